@@ -13,7 +13,7 @@ from .sequence import DEFAULT_LAYOUT, Layout, ensure_layout, entity_first, runni
 def derive_labels(df: DataFrame, spec: SensorSpec, layout: Layout = DEFAULT_LAYOUT,
                   horizon_days: float | None = None) -> DataFrame:
     """Add ``days_to_failure`` (to the next failure at or after the row, NULL if none),
-    ``maintenance_required`` (next failure within the horizon), ``hours_since_last_maintenance``
+    ``maintenance_required`` (next failure within the horizon), ``next_failure_us``, ``hours_since_last_maintenance``
     (since the last failure at or before the row, else since the first reading) and
     ``cumulative_operating_hours`` (since the first reading)."""
     horizon = spec.thresholds.label_horizon_days if horizon_days is None else horizon_days
@@ -28,5 +28,5 @@ def derive_labels(df: DataFrame, spec: SensorSpec, layout: Layout = DEFAULT_LAYO
         spec.label: F.coalesce((days <= F.lit(horizon)).cast("int"), F.lit(0)),
         spec.counters[0]: hours_between_us(spec.time_us, F.coalesce("_last_fail_us", "_first_us")),
         spec.counters[1]: hours_between_us(spec.time_us, "_first_us"),
-    }).drop("_next_fail_us", "_last_fail_us", "_first_us")
+    }).withColumnRenamed("_next_fail_us", "next_failure_us").drop("_last_fail_us", "_first_us")
     return strip(d) if created else d

@@ -284,3 +284,275 @@ SELECT strftime(strptime(schedule_by, '%b %d, %Y'), '%Y-%m-%d') AS date, count(*
 FROM sched WHERE days_remaining <= 30 GROUP BY 1""", "I6")
 def workload(spark, d):
     return schedule.workload(_schedule(spark, d), SPEC)
+
+
+# ---------------------------------------------------------------- D/E/F/G: scoring chain (formula model)
+from ..operators import alerts as alerts_op  # noqa: E402
+from ..operators import evaluate  # noqa: E402
+from ..operators import prepare  # noqa: E402
+from ..operators.features import feature_columns  # noqa: E402
+from .scoring import EVENTS_FORMULA, score_formula  # noqa: E402
+
+FEATS = list(SPEC.features)
+
+
+def scored(spark, d):
+    return score_formula(events_features(spark, d), SPEC, EVENTS_FORMULA)
+
+
+def _sql_scored(*extra: str) -> str:
+    base = [sql.events_readings(), sql.labeled(), sql.imputed(SPEC.impute_cols), sql.features()]
+    return sql.with_ctes(*base, *sql.scoring(FEATS, EVENTS_FORMULA.prob_sql, EVENTS_FORMULA.days_sql), *extra)
+
+
+TEST = "split = 'test'"
+
+
+@register("standardize", _sql_scored() + "SELECT record_id, split, "
+          + ", ".join(f"{sql.r6(c + '_z')} AS {c}_z" for c in FEATS) + " FROM decided", "D1 D2 D3")
+def standardize(spark, d):
+    s = scored(spark, d).frame
+    return s.select("record_id", "split", *[r6(c + "_z").alias(c + "_z") for c in FEATS])
+
+
+@register("split_report", _sql_scored() + f"""
+SELECT split, count(*) AS n_rows, {sql.r6('avg(CAST(maintenance_required AS DOUBLE))')} AS positive_rate
+FROM decided GROUP BY split""", "D3 D4")
+def split_report(spark, d):
+    r = prepare.split_report(prepare.with_split(events_features(spark, d), SPEC), SPEC)
+    return r.select("split", "n_rows", r6("positive_rate").alias("positive_rate"))
+
+
+@register("class_weights", _sql_scored() + f""", c AS (SELECT maintenance_required, count(*) AS n_c FROM decided
+  WHERE split = 'train' GROUP BY 1)
+SELECT maintenance_required, n_c, {sql.r6('CAST(sum(n_c) OVER () AS DOUBLE) / (count(*) OVER () * n_c)')} AS weight,
+  {sql.r6('CAST(sum(CASE WHEN maintenance_required = 0 THEN n_c END) OVER () AS DOUBLE) / sum(CASE WHEN maintenance_required = 1 THEN n_c END) OVER ()')} AS pos_weight
+FROM c""", "D5")
+def class_weights(spark, d):
+    f = prepare.with_split(events_features(spark, d), SPEC).filter(F.col("split") == "train")
+    w = prepare.class_weights(f, SPEC)
+    return w.select("maintenance_required", "n_c", r6("weight").alias("weight"), r6("pos_weight").alias("pos_weight"))
+
+
+@register("training_subsets", _sql_scored() + f"""
+SELECT split, CAST(sum(CASE WHEN maintenance_required = 0 THEN 1 ELSE 0 END) AS BIGINT) AS normal_rows,
+  CAST(sum(CASE WHEN days_to_failure IS NOT NULL AND days_to_failure < {SPEC.thresholds.regressor_horizon_days} THEN 1 ELSE 0 END) AS BIGINT) AS near_failure_rows
+FROM decided GROUP BY split""", "D6 D7")
+def training_subsets(spark, d):
+    f = prepare.with_split(events_features(spark, d), SPEC).persist()
+    normal = prepare.normal_rows(f, SPEC).groupBy("split").agg(F.count(F.lit(1)).alias("normal_rows"))
+    near = prepare.near_failure_rows(f, SPEC).groupBy("split").agg(F.count(F.lit(1)).alias("near_failure_rows"))
+    splits = f.select("split").distinct()
+    return (splits.join(normal, "split", "left").join(near, "split", "left")
+            .select("split", F.coalesce("normal_rows", F.lit(0)).alias("normal_rows"),
+                    F.coalesce("near_failure_rows", F.lit(0)).alias("near_failure_rows")))
+
+
+@register("anomaly_scores", _sql_scored() + f"""
+SELECT record_id, well_id, {sql.r6('anomaly_score')} AS anomaly_score, {sql.r6('threshold')} AS threshold, is_anomaly
+FROM decided""", "E2 E3 E4")
+def anomaly_scores(spark, d):
+    s = scored(spark, d).frame
+    return s.select("record_id", "well_id", r6("anomaly_score").alias("anomaly_score"),
+                    r6("threshold").alias("threshold"), "is_anomaly")
+
+
+PRED_SQL_COLS = (f"well_id, record_id, t_us, predicted_failure, {sql.r6('confidence_score')} AS confidence_score, "
+                 f"{sql.r6('days_to_failure_pred')} AS days_to_failure_pred, {sql.r6('anomaly_score')} AS anomaly_score, is_anomaly")
+
+
+def _pred_cols(df):
+    return df.select("well_id", "record_id", "t_us", "predicted_failure", r6("confidence_score").alias("confidence_score"),
+                     r6("days_to_failure_pred").alias("days_to_failure_pred"),
+                     r6("anomaly_score").alias("anomaly_score"), "is_anomaly")
+
+
+@register("predictions", _sql_scored() + f"SELECT {PRED_SQL_COLS} FROM decided", "E8 E9 E10 A10")
+def predictions(spark, d):
+    return _pred_cols(scored(spark, d).frame)
+
+
+_ALERT_SQL = _sql_scored(f"""risky AS (SELECT * FROM decided WHERE predicted_failure = 1
+  AND days_to_failure_pred <= {SPEC.thresholds.alert_days})""",
+                         """pick AS (SELECT well_id, arg_min(struct_pack(d := days_to_failure_pred, c := confidence_score),
+  struct_pack(d := days_to_failure_pred, t := t_us, r := record_id)) AS a FROM risky GROUP BY well_id)""")
+
+
+def _fmt_sql(expr: str, digits: int) -> str:
+    return f"printf('%.{digits}f', {sql.half_even(expr, digits)})"
+
+
+@register("alerts", _ALERT_SQL + f"""
+SELECT well_id, 'predicted_failure' AS alert_type,
+  CASE WHEN a.d <= {SPEC.thresholds.critical_days} THEN 'critical' ELSE 'high' END AS severity,
+  'Well ' || well_id || ': Predicted failure in ' || {_fmt_sql('a.d', 1)} || ' days (confidence: '
+    || {_fmt_sql('a.c * 100.0', 0)} || '%)' AS message,
+  {sql.r6('a.d')} AS days_to_failure, {sql.r6('a.c')} AS confidence_score, TRUE AS is_active
+FROM pick""", "F1 F2 F3 F4 A11")
+def alerts(spark, d):
+    a = alerts_op.alert_rows(scored(spark, d).frame, SPEC)
+    return a.select("well_id", "alert_type", "severity", "message", r6("days_to_failure").alias("days_to_failure"),
+                    r6("confidence_score").alias("confidence_score"), "is_active")
+
+
+@register("run_summary", _sql_scored() + f"""
+SELECT count(*) AS records, CAST(sum(predicted_failure) AS BIGINT) AS predicted_failures,
+  CAST(sum(CAST(is_anomaly AS INTEGER)) AS BIGINT) AS anomalies,
+  count(DISTINCT CASE WHEN predicted_failure = 1 AND days_to_failure_pred <= {SPEC.thresholds.alert_days} THEN well_id END)
+    AS wells_with_alerts
+FROM decided""", "F5")
+def run_summary(spark, d):
+    return alerts_op.run_summary(scored(spark, d).frame, SPEC)
+
+
+def _auc_sql(score: str) -> str:
+    return f"""(SELECT (sum(CASE WHEN y = 1 THEN rk END) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0)
+   / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0))
+ FROM (SELECT maintenance_required AS y, rank() OVER (ORDER BY {score}) + (count(*) OVER (PARTITION BY {score}) - 1) / 2.0 AS rk
+       FROM decided WHERE {TEST}))"""
+
+
+_CM = f"""cm AS (SELECT CAST(sum(CASE WHEN maintenance_required = 0 AND predicted_failure = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+  CAST(sum(CASE WHEN maintenance_required = 0 AND predicted_failure = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+  CAST(sum(CASE WHEN maintenance_required = 1 AND predicted_failure = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+  CAST(sum(CASE WHEN maintenance_required = 1 AND predicted_failure = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp
+  FROM decided WHERE {TEST})"""
+_MAE = f"""m AS (SELECT avg(abs(days_to_failure - days_to_failure_pred)) AS mae FROM decided
+  WHERE {TEST} AND days_to_failure IS NOT NULL AND days_to_failure < {SPEC.thresholds.regressor_horizon_days})"""
+
+
+@register("model_metrics", _sql_scored(_CM, _MAE) + f"""
+SELECT {sql.half_even(_auc_sql('anomaly_score'), 4)} AS autoencoder_auc,
+       {sql.half_even(_auc_sql('confidence_score'), 4)} AS classifier_auc_roc,
+       {sql.half_even('CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END', 4)} AS classifier_f1,
+       {sql.half_even('mae', 4)} AS regressor_mae_days,
+       {sql.r6('(SELECT max(threshold) FROM decided)')} AS anomaly_threshold,
+       {len(FEATS)} AS input_dim,
+       CASE WHEN {_auc_sql('confidence_score')} >= 0.95 THEN 'A+' WHEN {_auc_sql('confidence_score')} >= 0.90 THEN 'A'
+            WHEN {_auc_sql('confidence_score')} >= 0.85 THEN 'B' ELSE 'C' END AS grade
+FROM cm, m""", "G1 G2 G5 G6 G7 A14")
+def model_metrics(spark, d):
+    from ..functions.scalars import half_even
+
+    s = scored(spark, d)
+    test = s.frame.filter(F.col("split") == "test").persist()
+    auc_a = evaluate.auc(test, "maintenance_required", "anomaly_score")
+    auc_c = evaluate.auc(test, "maintenance_required", "confidence_score")
+    cm = evaluate.confusion(test, "maintenance_required", "predicted_failure")
+    near = prepare.near_failure_rows(test, SPEC)
+    m = evaluate.mae(near, "days_to_failure", "days_to_failure_pred").select("mae")
+    # both sides are one-row aggregates
+    row = cm.join(F.broadcast(m), how="inner")
+    return row.select(
+        half_even(F.lit(auc_a), 4).alias("autoencoder_auc"),
+        half_even(F.lit(auc_c), 4).alias("classifier_auc_roc"),
+        half_even(evaluate.f1_from(F.col("tp"), F.col("fp"), F.col("fn")), 4).alias("classifier_f1"),
+        half_even("mae", 4).alias("regressor_mae_days"),
+        r6(F.lit(s.threshold)).alias("anomaly_threshold"),
+        F.lit(len(s.features)).alias("input_dim"),
+        evaluate.grade(F.lit(auc_c)).alias("grade"),
+    )
+
+
+@register("confusion_matrix", _sql_scored(_CM) + """
+SELECT tn, fp, fn, tp, """ + ", ".join(f"{sql.r6(f'{k} * 100.0 / (tn + fp + fn + tp)')} AS {k}_pct" for k in ("tn", "fp", "fn", "tp"))
+          + " FROM cm", "G3")
+def confusion_matrix(spark, d):
+    test = scored(spark, d).frame.filter(F.col("split") == "test")
+    c = evaluate.confusion(test, "maintenance_required", "predicted_failure")
+    return c.select("tn", "fp", "fn", "tp", *[r6(f"{k}_pct").alias(f"{k}_pct") for k in ("tn", "fp", "fn", "tp")])
+
+
+def _report_sql() -> str:
+    def safe(a, b):
+        return f"(CASE WHEN ({b}) > 0 THEN CAST({a} AS DOUBLE) / ({b}) ELSE 0.0 END)"
+    p0, r0, p1, r1 = safe("tn", "tn + fn"), safe("tn", "tn + fp"), safe("tp", "tp + fp"), safe("tp", "tp + fn")
+    f0, f1 = safe(f"2.0 * {p0} * {r0}", f"{p0} + {r0}"), safe(f"2.0 * {p1} * {r1}", f"{p1} + {r1}")
+    n = "(tn + fp + fn + tp)"
+    acc = safe("tn + tp", n)
+    rows = [("'0'", p0, r0, f0, "tn + fp"), ("'1'", p1, r1, f1, "fn + tp"), ("'accuracy'", acc, acc, acc, n),
+            ("'macro avg'", f"({p0} + {p1}) / 2", f"({r0} + {r1}) / 2", f"({f0} + {f1}) / 2", n),
+            ("'weighted avg'", safe(f"{p0} * (tn + fp) + {p1} * (fn + tp)", n),
+             safe(f"{r0} * (tn + fp) + {r1} * (fn + tp)", n), safe(f"{f0} * (tn + fp) + {f1} * (fn + tp)", n), n)]
+    return " UNION ALL ".join(
+        f"SELECT {c} AS class, {sql.r6(p)} AS precision, {sql.r6(r)} AS recall, {sql.r6(f)} AS f1, CAST({s} AS BIGINT) AS support FROM cm"
+        for c, p, r, f, s in rows)
+
+
+@register("classification_report", _sql_scored(_CM) + _report_sql(), "G4")
+def classification_report(spark, d):
+    test = scored(spark, d).frame.filter(F.col("split") == "test")
+    r = evaluate.classification_report(test, "maintenance_required", "predicted_failure")
+    return r.select("class", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"),
+                    F.col("support").cast("long").alias("support"))
+
+
+@register("roc_curve", _sql_scored(f"""per AS (SELECT CAST(floor(confidence_score / 0.01) AS INTEGER) AS bucket,
+  CAST(sum(maintenance_required) AS BIGINT) AS pos, CAST(sum(1 - maintenance_required) AS BIGINT) AS neg
+  FROM decided WHERE {TEST} GROUP BY 1)""") + f"""
+SELECT {sql.r6('bucket * 0.01')} AS threshold,
+  {sql.r6('CAST(sum(pos) OVER (ORDER BY bucket DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / sum(pos) OVER ()')} AS tpr,
+  {sql.r6('CAST(sum(neg) OVER (ORDER BY bucket DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / sum(neg) OVER ()')} AS fpr
+FROM per""", "G8")
+def roc_curve(spark, d):
+    test = scored(spark, d).frame.filter(F.col("split") == "test")
+    r = evaluate.roc_points(test, "maintenance_required", "confidence_score")
+    return r.select(r6("threshold").alias("threshold"), r6("tpr").alias("tpr"), r6("fpr").alias("fpr"))
+
+
+_LEADS = f"""leads AS (SELECT well_id, next_failure_us,
+  min(CASE WHEN predicted_failure = 1 AND days_to_failure_pred <= {SPEC.thresholds.alert_days} THEN t_us END) AS first_alert_us
+  FROM decided WHERE next_failure_us IS NOT NULL GROUP BY well_id, next_failure_us)"""
+
+
+@register("lead_times", _sql_scored(_LEADS) + f"""
+SELECT well_id, next_failure_us, CAST(first_alert_us AS DOUBLE) AS first_alert_us,
+  {sql.r6('CAST(next_failure_us - first_alert_us AS DOUBLE) / ' + sql.US_PER_DAY)} AS lead_days FROM leads""", "G9")
+def lead_times(spark, d):
+    lt = evaluate.lead_times(scored(spark, d).frame, SPEC)
+    # nullable epoch as double (exact below 2**53) so both engines hand back the same null
+    return lt.select("well_id", "next_failure_us", F.col("first_alert_us").cast("double").alias("first_alert_us"),
+                     r6("lead_days").alias("lead_days"))
+
+
+@register("downtime_summary", _sql_scored(_LEADS, f"""l2 AS (SELECT *, CAST(next_failure_us - first_alert_us AS DOUBLE)
+  / {sql.US_PER_DAY} AS lead_days FROM leads)""") + f"""
+SELECT count(*) AS failures, CAST(sum(CASE WHEN lead_days >= 1.0 THEN 1 ELSE 0 END) AS BIGINT) AS warned,
+  {sql.r6('avg(CASE WHEN lead_days >= 1.0 THEN lead_days END)')} AS mean_lead_days,
+  {sql.r6('(count(*) * 24.0 - (sum(CASE WHEN lead_days >= 1.0 THEN 1 ELSE 0 END) * 8.0 + (count(*) - sum(CASE WHEN lead_days >= 1.0 THEN 1 ELSE 0 END)) * 24.0)) / (count(*) * 24.0) * 100.0')} AS downtime_reduction_pct
+FROM l2""", "G9")
+def downtime_summary(spark, d):
+    s = evaluate.downtime_summary(evaluate.lead_times(scored(spark, d).frame, SPEC))
+    return s.select("failures", "warned", r6("mean_lead_days").alias("mean_lead_days"),
+                    r6("downtime_reduction_pct").alias("downtime_reduction_pct"))
+
+
+@register("latest_prediction", _sql_scored(f"""n AS (SELECT *, row_number() OVER ({sql.ORDER}) AS _rn FROM decided)""",
+                                           """lp AS (SELECT well_id, arg_max(confidence_score, _rn) AS c, arg_max(days_to_failure_pred, _rn) AS dd,
+  CAST(sum(CAST(is_anomaly AS INTEGER)) AS BIGINT) AS n_anomalies, count(*) AS n_readings FROM n GROUP BY well_id)""") + f"""
+SELECT well_id, {sql.r6('c')} AS confidence_score, {sql.r6('dd')} AS days_to_failure_pred, n_anomalies, n_readings,
+  CASE WHEN dd <= 3 THEN 'act_now' WHEN dd <= 7 THEN 'schedule' ELSE 'none_imminent' END AS days_band,
+  CASE WHEN c > 0.7 THEN 'high' WHEN c > 0.4 THEN 'moderate' ELSE 'low' END AS risk_band,
+  CASE WHEN n_anomalies > 10 THEN 'many' WHEN n_anomalies > 0 THEN 'some' ELSE 'none' END AS anomaly_band
+FROM lp""", "H18 H19")
+def latest_prediction(spark, d):
+    lp = fleet.latest_prediction(scored(spark, d).frame, SPEC)
+    return lp.select("well_id", r6("confidence_score").alias("confidence_score"),
+                     r6("days_to_failure_pred").alias("days_to_failure_pred"), "n_anomalies", "n_readings",
+                     "days_band", "risk_band", "anomaly_band")
+
+
+@register("anomaly_series", _sql_scored() + f"""
+SELECT well_id, t_us, {sql.r6('anomaly_score')} AS anomaly_score, {sql.r6('threshold')} AS threshold, is_anomaly
+FROM decided""", "H20")
+def anomaly_series(spark, d):
+    s = scored(spark, d).frame
+    return s.select("well_id", "t_us", r6("anomaly_score").alias("anomaly_score"), r6("threshold").alias("threshold"),
+                    "is_anomaly")
+
+
+@register("anomaly_overlay", _sql_scored() + f"""
+SELECT well_id, t_us, {sql.r6('value')} AS value FROM decided WHERE is_anomaly""", "H17")
+def anomaly_overlay(spark, d):
+    o = fleet.overlay_rows(scored(spark, d).frame, SPEC, "is_anomaly", ["value"])
+    return o.select("well_id", "t_us", r6("value").alias("value"))

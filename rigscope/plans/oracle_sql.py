@@ -58,7 +58,7 @@ def labeled(spec: SensorSpec = EVENTS_SPEC, src: str = "readings", name: str = "
     min(t_us) OVER (PARTITION BY well_id) AS _f0
   FROM {src}),
 {name} AS (
-  SELECT * EXCLUDE (_nf, _lf, _f0),
+  SELECT * EXCLUDE (_nf, _lf, _f0), _nf AS next_failure_us,
     CAST(_nf - t_us AS DOUBLE) / {US_PER_DAY} AS days_to_failure,
     COALESCE(CAST(CAST(_nf - t_us AS DOUBLE) / {US_PER_DAY} <= {h} AS INTEGER), 0) AS maintenance_required,
     CAST(t_us - COALESCE(_lf, _f0) AS DOUBLE) / {US_PER_HOUR} AS hours_since_last_maintenance,
@@ -147,3 +147,23 @@ def priority_select(spec: SensorSpec = EVENTS_SPEC, now_us: str = "_now") -> str
   {half_even(days, 1)} AS days_remaining,
   strftime(make_timestamp({now_us} + CAST(trunc(greatest({days}, 0.0) * {US_PER_DAY}) AS BIGINT)), '%b %d, %Y') AS schedule_by,
   CAST(trunc(hours_since_last_maintenance) AS INTEGER) AS hrs_since_service"""
+
+
+def scoring(feats, prob: str, days_raw: str, src: str = "features", fit_on: str = "train",
+            q: float = 0.95, label: str = "maintenance_required", record: str = "record_id") -> list:
+    """CTEs: split → scaler stats → z-score reconstruction error, probability, raw days → threshold → decisions."""
+    fit_filter = "WHERE split = 'train'" if fit_on == "train" else ""
+    stats = ", ".join(f"avg({c}) AS m_{i}, stddev_pop({c}) AS s_{i}" for i, c in enumerate(feats))
+    z = [f"(({c} - m_{i}) / (CASE WHEN s_{i} IS NULL OR s_{i} = 0 THEN 1.0 ELSE s_{i} END))" for i, c in enumerate(feats)]
+    zcols = ", ".join(f"{e} AS {c}_z" for e, c in zip(z, feats))
+    err = " + ".join(f"power({e}, 2)" for e in z)
+    return [
+        f"split AS (SELECT *, CASE WHEN md5(CAST({record} AS VARCHAR) || ':42') < '33333333' THEN 'test' ELSE 'train' END AS split FROM {src})",
+        f"stats AS (SELECT {stats} FROM split {fit_filter})",
+        f"""scored AS (SELECT split.*, {zcols}, ({err}) / {float(len(feats))} AS anomaly_score,
+       {prob} AS confidence_score, {days_raw} AS days_raw FROM split, stats)""",
+        f"thr AS (SELECT quantile_cont(anomaly_score, {q}) AS threshold FROM scored WHERE split = 'train' AND {label} = 0)",
+        """decided AS (SELECT scored.*, threshold, CAST(confidence_score >= 0.5 AS INTEGER) AS predicted_failure,
+       least(greatest(days_raw, 0.0), 30.0) AS days_to_failure_pred, anomaly_score > threshold AS is_anomaly
+       FROM scored, thr)""",
+    ]
