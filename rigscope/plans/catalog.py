@@ -556,3 +556,97 @@ SELECT well_id, t_us, {sql.r6('value')} AS value FROM decided WHERE is_anomaly""
 def anomaly_overlay(spark, d):
     o = fleet.overlay_rows(scored(spark, d).frame, SPEC, "is_anomaly", ["value"])
     return o.select("well_id", "t_us", r6("value").alias("value"))
+
+
+# ---------------------------------------------------------------- lineitem: four-sensor fleet
+from ..config import LINEITEM_SPEC  # noqa: E402
+from .frames import lineitem_features as _lineitem_features  # noqa: E402
+
+_LI_OUT = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", *ENG]
+
+
+@register("lineitem_features", sql.with_ctes(
+    sql.lineitem_readings(), sql.labeled(LINEITEM_SPEC), sql.imputed(LINEITEM_SPEC.sensors, spec=LINEITEM_SPEC),
+    sql.features(LINEITEM_SPEC)) + "SELECT record_id, l_partkey, well_id, t_us, maintenance_required, "
+    + ", ".join(f"{sql.r6(c)} AS {c}" for c in _LI_OUT) + " FROM features", "C1-C9 C11 C12 B1 (4 sensors, ties)")
+def lineitem_features(spark, d):
+    f = _lineitem_features(spark, d)
+    return f.select("record_id", "l_partkey", "well_id", "t_us", "maintenance_required",
+                    *[r6(c).alias(c) for c in _LI_OUT])
+
+
+# ---------------------------------------------------------------- E1/E5/E7/E12/E13/G10: fitted models (rows-only)
+from ..operators import models  # noqa: E402
+
+
+def _pca(spark, d):
+    s = scored(spark, d)
+    zcols = [c + "_z" for c in s.features]
+    normal_train = s.frame.filter((F.col("split") == "train") & (F.col("maintenance_required") == 0))
+    det = models.fit_pca_detector(normal_train, zcols, models.pca_k(len(zcols)))
+    f = s.frame.withColumn("pca_score", det.reconstruction_error())
+    from ..operators.score import anomaly_threshold
+    det.threshold = anomaly_threshold(f.filter((F.col("split") == "train") & (F.col("maintenance_required") == 0)),
+                                      "pca_score")
+    return f.withColumn("pca_anomaly", F.col("pca_score") > F.lit(det.threshold)), det
+
+
+@register("pca_anomaly_scores", None, "E1 E2 E3 E4")
+def pca_anomaly_scores(spark, d):
+    f, det = _pca(spark, d)
+    return f.select("record_id", "well_id", "split", r6("pca_score").alias("anomaly_score"),
+                    F.col("pca_anomaly").alias("is_anomaly"), r6(F.lit(det.threshold)).alias("threshold"))
+
+
+def _classifier(spark, d, kind="mlp", max_iter=40):
+    s = scored(spark, d)
+    zcols = [c + "_z" for c in s.features]
+    train = s.frame.filter(F.col("split") == "train")
+    return s, zcols, models.fit_classifier(train, zcols, "maintenance_required", kind=kind, max_iter=max_iter)
+
+
+@register("mlp_failure_probability", None, "E5 E6 E9 C10")
+def mlp_failure_probability(spark, d):
+    s, zcols, m = _classifier(spark, d)
+    p = models.failure_probability(m, s.frame.select("record_id", "well_id", "split", *zcols))
+    return p.select("record_id", "well_id", "split", r6("confidence_score").alias("confidence_score"),
+                    (F.col("confidence_score") >= F.lit(SPEC.thresholds.probability)).cast("int").alias("predicted_failure"))
+
+
+@register("huber_days_prediction", None, "E7 E8 D7")
+def huber_days_prediction(spark, d):
+    s = scored(spark, d)
+    zcols = [c + "_z" for c in s.features]
+    near = prepare.near_failure_rows(s.frame.filter(F.col("split") == "train"), SPEC)
+    m = models.fit_regressor(near, zcols, SPEC.days)
+    p = models.predict_days(m, s.frame.select("record_id", "well_id", "split", SPEC.days, *zcols))
+    lo, hi = SPEC.thresholds.days_clip
+    from ..functions.scalars import clip
+    return p.select("record_id", "well_id", "split", r6(clip("days_raw", lo, hi)).alias("days_to_failure_pred"))
+
+
+@register("model_scoring", None, "E10 E11 A10")
+def model_scoring(spark, d):
+    """All three fitted models in one lazy chain → the 8 prediction columns."""
+    f, det = _pca(spark, d)
+    zcols = [c + "_z" for c in FEATS]
+    clf = models.fit_classifier(f.filter(F.col("split") == "train"), zcols, "maintenance_required",
+                                kind="logistic", max_iter=50)
+    reg = models.fit_regressor(prepare.near_failure_rows(f.filter(F.col("split") == "train"), SPEC), zcols, SPEC.days)
+    x = models.failure_probability(clf, f.drop("confidence_score"))
+    x = models.predict_days(reg, x.drop("days_raw"))
+    from ..operators.score import decisions
+    x = decisions(x.drop("anomaly_score", "is_anomaly", "predicted_failure", "days_to_failure_pred")
+                  .withColumnRenamed("pca_score", "anomaly_score"), SPEC, det.threshold)
+    return _pred_cols(x)
+
+
+@register("dense_network_scores", None, "E12")
+def dense_network_scores(spark, d):
+    """The fitted MLP's weights run through the generic Arrow forward pass (sigmoid hidden, softmax out)."""
+    s, zcols, m = _classifier(spark, d, max_iter=20)
+    mlp = m.stages[-1]
+    layers = models.mlp_layers(mlp)
+    acts = ["sigmoid"] * (len(layers) - 1) + ["softmax"]
+    x = models.dense_forward(s.frame.select("record_id", "well_id", *zcols), zcols, layers, acts, out="p_forward")
+    return x.select("record_id", "well_id", r6("p_forward").alias("p_forward"))

@@ -13,6 +13,10 @@ US_PER_HOUR = "CAST(3600000000 AS DOUBLE)"
 ORDER = "PARTITION BY well_id ORDER BY t_us, record_id"
 
 
+def order(spec: SensorSpec) -> str:
+    return "PARTITION BY well_id ORDER BY " + ", ".join(spec.order_cols)
+
+
 def r6(expr: str) -> str:
     return f"(round({expr}, 6) + 0.0)"
 
@@ -50,6 +54,7 @@ def events_readings() -> str:
 
 def labeled(spec: SensorSpec = EVENTS_SPEC, src: str = "readings", name: str = "labeled") -> str:
     h = spec.thresholds.label_horizon_days
+    ORDER = order(spec)
     fail = f"CASE WHEN failure_type <> '{NO_FAULT}' THEN t_us END"
     return f"""{name}_w AS (
   SELECT *,
@@ -66,7 +71,8 @@ def labeled(spec: SensorSpec = EVENTS_SPEC, src: str = "readings", name: str = "
   FROM {name}_w)"""
 
 
-def imputed(cols, src: str = "labeled", name: str = "imputed") -> str:
+def imputed(cols, src: str = "labeled", name: str = "imputed", spec: SensorSpec = EVENTS_SPEC) -> str:
+    ORDER = order(spec)
     w = f"({ORDER} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)"
     first = ", ".join(f"COALESCE({c}, median({c}) OVER {w}) AS {c}" for c in cols)
     second = ", ".join(f"COALESCE({c}, (SELECT median({c}) FROM {name}_1)) AS {c}" for c in cols)
@@ -76,6 +82,7 @@ def imputed(cols, src: str = "labeled", name: str = "imputed") -> str:
 
 def features(spec: SensorSpec = EVENTS_SPEC, src: str = "imputed", name: str = "features") -> str:
     p, v, t = spec.pressure, spec.vibration, spec.temperature
+    ORDER = order(spec)
     w4 = f"({ORDER} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
     w24 = f"({ORDER} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)"
     return f"""{name}_n AS (SELECT *, row_number() OVER ({ORDER}) AS _rn FROM {src}),
@@ -105,7 +112,8 @@ def events_chain(upto: str = "labeled") -> str:
     return with_ctes(*parts)
 
 
-def latest(cols, src: str, name: str = "latest") -> str:
+def latest(cols, src: str, name: str = "latest", spec: SensorSpec = EVENTS_SPEC) -> str:
+    ORDER = order(spec)
     aggs = ", ".join(f"arg_max({c}, _rn) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in cols)
     return f"""{name}_n AS (SELECT *, row_number() OVER ({ORDER}) AS _rn FROM {src}),
 {name} AS (SELECT well_id, {aggs} FROM {name}_n GROUP BY well_id)"""
@@ -167,3 +175,17 @@ def scoring(feats, prob: str, days_raw: str, src: str = "features", fit_on: str
        least(greatest(days_raw, 0.0), 30.0) AS days_to_failure_pred, anomaly_score > threshold AS is_anomaly
        FROM scored, thr)""",
     ]
+
+
+def lineitem_readings() -> str:
+    return f"""readings AS (
+  SELECT l_orderkey * 16 + l_linenumber AS record_id,
+         printf('SUPP_%06d', l_suppkey) AS well_id,
+         l_shipdate AS "timestamp",
+         epoch_us(l_shipdate) AS t_us,
+         CAST(1000 + l_suppkey AS INTEGER) AS depth_ft,
+         l_orderkey, l_linenumber, l_partkey,
+         l_quantity + 0.0 AS l_quantity, l_extendedprice + 0.0 AS l_extendedprice,
+         l_discount + 0.0 AS l_discount, l_tax + 0.0 AS l_tax,
+         CASE WHEN l_returnflag = 'R' THEN '{FAULT_TYPES[0]}' ELSE '{NO_FAULT}' END AS failure_type
+  FROM lineitem)"""
