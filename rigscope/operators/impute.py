@@ -27,9 +27,13 @@ def rolling_median_fill(df: DataFrame, spec: SensorSpec, cols=None, layout: Layo
     if persist:
         d = d.persist(StorageLevel.MEMORY_AND_DISK)
     base = home_rows(d)
-    medians = exact_quantiles(base, cols, 0.5) if exact else approx_quantiles(base, cols, 0.5)
+    left = base.agg(*[F.count(F.when(F.col(c).isNull(), F.lit(1))).alias(c) for c in cols]).first()
+    need = [c for c in cols if left[c] > 0]   # B2 only where B1 left gaps
+    medians = dict.fromkeys(cols)
+    if need:
+        medians.update(exact_quantiles(base, need, 0.5) if exact else approx_quantiles(base, need, 0.5))
     d = d.select(*[
-        F.coalesce(F.col(c), F.lit(medians[c]).cast("double")).alias(c) if c in cols else F.col(c)
+        F.coalesce(F.col(c), F.lit(medians[c]).cast("double")).alias(c) if c in need else F.col(c)
         for c in d.columns
     ])
     return strip(d) if created else d

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import NO_FAULT, SensorSpec
 from ..functions.scalars import days_between_us, hours_between_us
-from .sequence import DEFAULT_LAYOUT, Layout, ensure_layout, entity_first, running_max_through, running_min_from, strip
+from .sequence import DEFAULT_LAYOUT, Layout, carry_scans, ensure_layout, strip
 
 
 def derive_labels(df: DataFrame, spec: SensorSpec, layout: Layout = DEFAULT_LAYOUT,
@@ -19,9 +19,10 @@ def derive_labels(df: DataFrame, spec: SensorSpec, layout: Layout = DEFAULT_LAYO
     horizon = spec.thresholds.label_horizon_days if horizon_days is None else horizon_days
     d, created = ensure_layout(df, spec, 0, layout)
     failure_us = F.when(F.col(spec.fault) != F.lit(NO_FAULT), F.col(spec.time_us))
-    d = running_min_from(d, spec, failure_us, "_next_fail_us")
-    d = running_max_through(d, spec, failure_us, "_last_fail_us")
-    d = entity_first(d, spec, spec.time_us, "_first_us")
+    # time leads the row order, so the first reading's time is the entity's minimum time
+    d = carry_scans(d, spec, running_max=[(failure_us, "_last_fail_us")],
+                    running_min_after=[(failure_us, "_next_fail_us")],
+                    entity_min=[(F.col(spec.time_us), "_first_us")])
     days = days_between_us("_next_fail_us", spec.time_us)
     d = d.withColumns({
         spec.days: days,

@@ -50,18 +50,40 @@ def add_sequence(df: DataFrame, spec: SensorSpec, layout: Layout = DEFAULT_LAYOU
         F.col(bucket).alias("_o_bucket"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
     )
+    # plain equality keeps the join's (entity, bucket) hash partitioning for the row_number below;
+    # a left join keeps rows with a null key (they share one null group)
     d = d.join(
         offsets,
-        d[spec.entity].eqNullSafe(offsets["_o_entity"]) & d[bucket].eqNullSafe(offsets["_o_bucket"]),
+        (d[spec.entity] == offsets["_o_entity"]) & (d[bucket] == offsets["_o_bucket"]),
+        "left",
     ).drop("_o_entity", "_o_bucket")
     in_bucket = Window.partitionBy(spec.entity, bucket).orderBy(*spec.order_cols)
     return d.withColumn(SEQ, F.col("_off") + F.row_number().over(in_bucket) - 1).drop("_off", bucket)
 
 
-def lay_out(df: DataFrame, spec: SensorSpec, lookback: int, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
-    """Add ``_seq``, ``_chunk`` and ``_ctx`` (context copies for a ``lookback``-row frame)."""
+SINGLE = "single_chunk"
+
+
+def largest_entity(df: DataFrame, spec: SensorSpec) -> int:
+    """Rows of the biggest entity: one aggregate (entity column only), one number to the driver."""
+    sizes = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.agg(F.max("_n")).first()[0] or 0
+
+
+def lay_out(df: DataFrame, spec: SensorSpec, lookback: int, layout: Layout = DEFAULT_LAYOUT,
+            force_chunks: bool = False) -> DataFrame:
+    """Add ``_seq``, ``_chunk`` and ``_ctx`` (context copies for a ``lookback``-row frame).
+
+    When every entity holds at most ``chunk_rows`` rows (checked with one aggregate) each entity is a
+    single chunk: one window task per entity, bounded by ``chunk_rows``, and no carries.  Otherwise
+    positions come from per-bucket counts and entities are cut into chunks."""
     if lookback >= layout.chunk_rows:
         raise ValueError("lookback must be smaller than chunk_rows")
+    if not force_chunks and largest_entity(df, spec) <= layout.chunk_rows:
+        w = Window.partitionBy(spec.entity).orderBy(*spec.order_cols)
+        return (df.withColumn(SEQ, F.row_number().over(w) - 1)
+                .withColumn(CHUNK, F.lit(0).alias(CHUNK, metadata={SINGLE: True}))
+                .withColumn(CTX, F.lit(False)))
     d = add_sequence(df, spec, layout)
     home = F.floor(F.col(SEQ) / F.lit(layout.chunk_rows))
     pos = F.col(SEQ) - home * F.lit(layout.chunk_rows)
@@ -80,6 +102,10 @@ def lay_out(df: DataFrame, spec: SensorSpec, lookback: int, layout: Layout = DEF
     )
 
 
+def single_chunk(df: DataFrame) -> bool:
+    return bool(df.schema[CHUNK].metadata.get(SINGLE, False))
+
+
 def chunk_window(spec: SensorSpec) -> Window:
     return Window.partitionBy(spec.entity, CHUNK).orderBy(SEQ)
 
@@ -103,38 +129,49 @@ def ensure_layout(df: DataFrame, spec: SensorSpec, lookback: int, layout: Layout
     return lay_out(df, spec, lookback, layout), True
 
 
-def running_max_through(df: DataFrame, spec: SensorSpec, value: Column, out: str) -> DataFrame:
-    """``out`` = max of ``value`` over all rows of the entity up to and including this one."""
-    local = F.max(value).over(frame(spec, Window.unboundedPreceding, 0))
-    d = df.withColumn("_local", local)
-    per_chunk = home_rows(df).groupBy(spec.entity, CHUNK).agg(F.max(value).alias("_m"))
-    earlier = Window.partitionBy(spec.entity).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_chunk.select(
-        F.col(spec.entity).alias("_c_entity"), F.col(CHUNK).alias("_c_chunk"),
-        F.max("_m").over(earlier).alias("_carry"),
-    )
-    d = d.join(carry, d[spec.entity].eqNullSafe(carry["_c_entity"]) & (d[CHUNK] == carry["_c_chunk"]), "left")
-    return d.withColumn(out, F.greatest("_local", "_carry")).drop("_local", "_carry", "_c_entity", "_c_chunk")
-
-
-def running_min_from(df: DataFrame, spec: SensorSpec, value: Column, out: str) -> DataFrame:
-    """``out`` = min of ``value`` over this row and all later rows of the entity."""
-    local = F.min(value).over(frame(spec, 0, Window.unboundedFollowing))
-    d = df.withColumn("_local", local)
-    per_chunk = home_rows(df).groupBy(spec.entity, CHUNK).agg(F.min(value).alias("_m"))
-    later = Window.partitionBy(spec.entity).orderBy(CHUNK).rowsBetween(1, Window.unboundedFollowing)
-    carry = per_chunk.select(
-        F.col(spec.entity).alias("_c_entity"), F.col(CHUNK).alias("_c_chunk"),
-        F.min("_m").over(later).alias("_carry"),
-    )
-    d = d.join(carry, d[spec.entity].eqNullSafe(carry["_c_entity"]) & (d[CHUNK] == carry["_c_chunk"]), "left")
-    return d.withColumn(out, F.least("_local", "_carry")).drop("_local", "_carry", "_c_entity", "_c_chunk")
-
-
-def entity_first(df: DataFrame, spec: SensorSpec, value: str, out: str) -> DataFrame:
-    """``out`` = ``value`` at the first row (``_seq`` = 0) of the entity; a per-entity aggregate, no window."""
-    firsts = (
-        df.filter((F.col(SEQ) == 0) & ~F.col(CTX))
-        .select(F.col(spec.entity).alias("_f_entity"), F.col(value).alias(out))
-    )
-    return df.join(firsts, df[spec.entity].eqNullSafe(firsts["_f_entity"]), "left").drop("_f_entity")
+def carry_scans(df: DataFrame, spec: SensorSpec, running_max=(), running_min_after=(), entity_min=()) -> DataFrame:
+    """Unbounded frames in one pass over the per-chunk table.
+
+    * ``running_max``       [(value, out)]: max of ``value`` over the entity's rows up to and including this one;
+    * ``running_min_after`` [(value, out)]: min of ``value`` over this row and all later rows;
+    * ``entity_min``        [(value, out)]: min of ``value`` over the whole entity.
+
+    Each is an in-chunk window combined with a carry from the other chunks, computed by one aggregate
+    per (entity, chunk) and windows over that small table, joined back once on (entity, chunk)."""
+    upto = frame(spec, Window.unboundedPreceding, 0)
+    after = frame(spec, 0, Window.unboundedFollowing)
+    if single_chunk(df):
+        whole_entity = Window.partitionBy(spec.entity, CHUNK)
+        return df.withColumns({
+            **{out: F.max(v).over(upto) for v, out in running_max},
+            **{out: F.min(v).over(after) for v, out in running_min_after},
+            **{out: F.min(v).over(whole_entity) for v, out in entity_min},
+        })
+    home = home_rows(df)
+    aggs, carries, finals = [], [], []
+    earlier = Window.partitionBy("_c_entity").orderBy("_c_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("_c_entity").orderBy("_c_chunk").rowsBetween(1, Window.unboundedFollowing)
+    whole = Window.partitionBy("_c_entity")
+    locals_ = {}
+    for i, (value, out) in enumerate(running_max):
+        aggs.append(F.max(value).alias(f"_a{i}"))
+        carries.append(F.max(f"_a{i}").over(earlier).alias(f"_k{i}"))
+        locals_[f"_l{i}"] = F.max(value).over(upto)
+        finals.append((out, F.greatest(f"_l{i}", f"_k{i}")))
+    for j, (value, out) in enumerate(running_min_after):
+        i = len(running_max) + j
+        aggs.append(F.min(value).alias(f"_a{i}"))
+        carries.append(F.min(f"_a{i}").over(later).alias(f"_k{i}"))
+        locals_[f"_l{i}"] = F.min(value).over(after)
+        finals.append((out, F.least(f"_l{i}", f"_k{i}")))
+    for j, (value, out) in enumerate(entity_min):
+        i = len(running_max) + len(running_min_after) + j
+        aggs.append(F.min(value).alias(f"_a{i}"))
+        carries.append(F.min(f"_a{i}").over(whole).alias(f"_k{i}"))
+        finals.append((out, F.col(f"_k{i}")))
+    per_chunk = home.groupBy(F.col(spec.entity).alias("_c_entity"), F.col(CHUNK).alias("_c_chunk")).agg(*aggs)
+    carry = per_chunk.select("_c_entity", "_c_chunk", *carries)
+    d = df.withColumns(locals_) if locals_ else df
+    d = d.join(carry, (d[spec.entity] == carry["_c_entity"]) & (d[CHUNK] == carry["_c_chunk"]), "left")
+    d = d.withColumns({out: expr for out, expr in finals})
+    return d.drop("_c_entity", "_c_chunk", *locals_.keys(), *[f"_k{i}" for i in range(len(finals))])

@@ -15,9 +15,10 @@ from ..sources.adapters import events_readings, lineitem_readings
 CHAIN_LOOKBACK = (WINDOW_ROWS - 1) + (TREND - 1)
 
 
-def labeled(readings: DataFrame, spec: SensorSpec, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
+def labeled(readings: DataFrame, spec: SensorSpec, layout: Layout = DEFAULT_LAYOUT,
+            force_chunks: bool = False) -> DataFrame:
     """Laid-out readings with labels and counters (layout columns kept)."""
-    return derive_labels(lay_out(readings, spec, CHAIN_LOOKBACK, layout), spec)
+    return derive_labels(lay_out(readings, spec, CHAIN_LOOKBACK, layout, force_chunks), spec)
 
 
 def featurized(laid: DataFrame, spec: SensorSpec, cols=None, exact: bool = True) -> DataFrame:
@@ -26,12 +27,15 @@ def featurized(laid: DataFrame, spec: SensorSpec, cols=None, exact: bool = True)
     return strip(engineer_features(d, spec))
 
 
-def events_labeled(spark: SparkSession, sf_dir: str, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
-    return strip(labeled(events_readings(spark, sf_dir), EVENTS_SPEC, layout))
+def events_labeled(spark: SparkSession, sf_dir: str, layout: Layout = DEFAULT_LAYOUT,
+                   force_chunks: bool = False) -> DataFrame:
+    return strip(labeled(events_readings(spark, sf_dir), EVENTS_SPEC, layout, force_chunks))
 
 
-def events_features(spark: SparkSession, sf_dir: str, layout: Layout = DEFAULT_LAYOUT, exact: bool = True) -> DataFrame:
-    return featurized(labeled(events_readings(spark, sf_dir), EVENTS_SPEC, layout), EVENTS_SPEC, exact=exact)
+def events_features(spark: SparkSession, sf_dir: str, layout: Layout = DEFAULT_LAYOUT, exact: bool = True,
+                    force_chunks: bool = False) -> DataFrame:
+    return featurized(labeled(events_readings(spark, sf_dir), EVENTS_SPEC, layout, force_chunks), EVENTS_SPEC,
+                      exact=exact)
 
 
 def lineitem_features(spark: SparkSession, sf_dir: str, layout: Layout = DEFAULT_LAYOUT, exact: bool = True) -> DataFrame:
