@@ -73,3 +73,14 @@ def first_match(conditions, default) -> Column:
         expr = F.when(cond, v) if expr is None else expr.when(cond, v)
     d = default if isinstance(default, Column) else F.lit(default)
     return d if expr is None else expr.otherwise(d)
+
+
+def one_row(*frames):
+    """Combine one-row aggregates side by side without a join: union by name, then one ``max`` per column."""
+    from functools import reduce as _reduce
+
+    u = _reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    cols = []
+    for f in frames:
+        cols += [c for c in f.columns if c not in cols]
+    return u.agg(*[F.max(c).alias(c) for c in cols])

@@ -441,8 +441,9 @@ def model_metrics(spark, d):
     cm = evaluate.confusion(test, "maintenance_required", "predicted_failure")
     near = prepare.near_failure_rows(test, SPEC)
     m = evaluate.mae(near, "days_to_failure", "days_to_failure_pred").select("mae")
-    # both sides are one-row aggregates
-    row = cm.join(F.broadcast(m), how="inner")
+    from ..functions.scalars import one_row
+
+    row = one_row(cm, m)
     return row.select(
         half_even(F.lit(auc_a), 4).alias("autoencoder_auc"),
         half_even(F.lit(auc_c), 4).alias("classifier_auc_roc"),
@@ -650,3 +651,148 @@ def dense_network_scores(spark, d):
     acts = ["sigmoid"] * (len(layers) - 1) + ["softmax"]
     x = models.dense_forward(s.frame.select("record_id", "well_id", *zcols), zcols, layers, acts, out="p_forward")
     return x.select("record_id", "well_id", r6("p_forward").alias("p_forward"))
+
+
+# ---------------------------------------------------------------- A: ingestion, keys, derived tables, sinks
+from ..operators.impute import keep_first  # noqa: E402
+from ..sources import sinks  # noqa: E402
+from ..sources.adapters import lineitem_readings, read_table  # noqa: E402
+
+
+@register("ingestion_report", sql.with_ctes(
+    sql.events_readings(), sql.labeled(), sql.imputed(SPEC.sensors, "labeled", "cleaned")) + """
+SELECT (SELECT count(*) FROM labeled) AS rows_in,
+  (SELECT CAST(count(*) FILTER (WHERE value IS NULL) + count(*) FILTER (WHERE signal IS NULL) AS BIGINT) FROM labeled) AS nulls_before,
+  (SELECT CAST(count(*) FILTER (WHERE value IS NULL) + count(*) FILTER (WHERE signal IS NULL) AS BIGINT) FROM cleaned) AS nulls_after,
+  (SELECT CAST(count(*) FILTER (WHERE value IS NULL) + count(*) FILTER (WHERE signal IS NULL) AS BIGINT) FROM labeled)
+   - (SELECT CAST(count(*) FILTER (WHERE value IS NULL) + count(*) FILTER (WHERE signal IS NULL) AS BIGINT) FROM cleaned) AS nulls_imputed,
+  (SELECT count(*) - count(DISTINCT record_id) FROM cleaned) AS duplicates_dropped,
+  (SELECT count(DISTINCT record_id) FROM cleaned) AS rows_out,
+  (SELECT CAST(sum(maintenance_required) AS BIGINT) FROM cleaned) AS maintenance_events,
+  (SELECT """ + sql.r6("avg(CAST(maintenance_required AS DOUBLE)) * 100") + """ FROM cleaned) AS maintenance_pct""",
+          "A3 B3 B4 B6")
+def ingestion_report(spark, d):
+    raw = events_labeled(spark, d)
+    cleaned = rolling_median_fill(raw, SPEC, cols=SPEC.sensors)
+    deduped = keep_first(cleaned, SPEC.record, SPEC.order_cols)
+    r = sinks.ingestion_report(raw, cleaned, deduped, SPEC.sensors, SPEC)
+    return r.withColumn("maintenance_pct", r6("maintenance_pct"))
+
+
+_LI_KEY = ["l_orderkey", "l_linenumber"]
+_LI_ORDER = ["t_us", "l_partkey", "l_quantity", "l_extendedprice"]
+
+
+@register("dedup_keep_first", sql.with_ctes(sql.lineitem_readings()) + """
+SELECT record_id, l_orderkey, l_linenumber, l_partkey, well_id, t_us, l_quantity, l_extendedprice, l_discount, l_tax
+FROM readings QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+  ORDER BY t_us, l_partkey, l_quantity, l_extendedprice) = 1""", "B4")
+def dedup_keep_first(spark, d):
+    r = lineitem_readings(spark, d).select("record_id", "l_orderkey", "l_linenumber", "l_partkey", "well_id", "t_us",
+                                           "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return keep_first(r, _LI_KEY, _LI_ORDER)
+
+
+@register("key_checks", """
+WITH k AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem
+           WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL GROUP BY 1, 2)
+SELECT (SELECT count(*) FROM lineitem) AS rows,
+  (SELECT CAST(count(*) FILTER (WHERE l_orderkey IS NULL OR l_linenumber IS NULL) AS BIGINT) FROM lineitem) AS null_keys,
+  (SELECT CAST(COALESCE(sum(n - 1), 0) AS BIGINT) FROM k) AS duplicate_rows,
+  (SELECT CAST(count(*) FILTER (WHERE n > 1) AS BIGINT) FROM k) AS duplicated_keys,
+  (SELECT count(*) FROM lineitem l WHERE l_suppkey IS NOT NULL
+     AND NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = l.l_suppkey)) AS orphans""", "A6")
+def key_checks(spark, d):
+    li = read_table(spark, d, "lineitem")
+    sup = read_table(spark, d, "supplier")
+    return sinks.key_report(li, _LI_KEY, sup, "l_suppkey", "s_suppkey")
+
+
+@register("wells_table", sql.with_ctes(sql.events_readings()) + f"""
+, n AS (SELECT *, row_number() OVER ({sql.ORDER}) AS _rn FROM readings)
+SELECT well_id, CAST(arg_min(depth_ft, _rn) FILTER (WHERE depth_ft IS NOT NULL) AS INTEGER) AS depth_ft,
+  '2022-01-01' AS install_date, 'Field-' || right(well_id, 3) AS location, 'active' AS status
+FROM n GROUP BY well_id""", "A8 A7")
+def wells_table(spark, d):
+    w = sinks.wells_table(events_readings(spark, d), SPEC)
+    return w.withColumn("install_date", F.date_format("install_date", "yyyy-MM-dd"))
+
+
+_REDELIVERY_DAYS = 2
+
+
+@register("idempotent_append", sql.with_ctes(sql.events_readings()) + f"""
+, lim AS (SELECT max(t_us) - {AS_OF_DAYS_BACK} * {DAY_US} AS cut FROM readings),
+stored AS (SELECT r.* FROM readings r, lim WHERE t_us <= cut),
+batch AS (SELECT r.* FROM readings r, lim WHERE t_us > cut - {_REDELIVERY_DAYS} * {DAY_US}
+          UNION ALL SELECT r.* FROM readings r, lim WHERE t_us > cut - {_REDELIVERY_DAYS} * {DAY_US}),
+fresh AS (SELECT * FROM batch QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY t_us) = 1)
+SELECT record_id, well_id, t_us, value, signal, failure_type FROM fresh
+WHERE record_id NOT IN (SELECT record_id FROM stored)""", "A5")
+def idempotent_append(spark, d):
+    """Stored = readings up to five days before the end; a redelivered batch (the last seven days,
+    sent twice) appends only what is new, once."""
+    r = events_readings(spark, d).select("record_id", "well_id", "t_us", "value", "signal", "failure_type")
+    cut = r.agg(F.max("t_us")).first()[0] - AS_OF_DAYS_BACK * DAY_US
+    stored = r.filter(F.col("t_us") <= F.lit(cut))
+    part = r.filter(F.col("t_us") > F.lit(cut - _REDELIVERY_DAYS * DAY_US))
+    return sinks.rows_to_append(part.unionByName(part), stored, "record_id", ["t_us"])
+
+
+@register("visit_requests", _SQL_SCHED + """
+SELECT well_id, strftime(strptime(schedule_by, '%b %d, %Y'), '%Y-%m-%d') AS scheduled_date,
+  CASE WHEN priority = 'Critical' THEN 'corrective' ELSE 'inspection' END AS maintenance_type,
+  CASE WHEN fault_type <> 'None' THEN lower(replace(fault_type, ' ', '_')) END AS failure_type_addressed,
+  'Unassigned' AS technician, '' AS notes, 'scheduled' AS status
+FROM sched WHERE priority IN ('Critical', 'High')""", "A12 A7")
+def visit_requests(spark, d):
+    v = sinks.visit_requests(_schedule(spark, d))
+    return v.select("well_id", F.date_format("scheduled_date", "yyyy-MM-dd").alias("scheduled_date"),
+                    "maintenance_type", "failure_type_addressed", "technician", "notes", "status")
+
+
+_ADHOC = "SELECT well_id, count(*) AS n, avg(value) AS avg_value FROM readings WHERE value >= :lo GROUP BY well_id"
+
+
+@register("adhoc_sql", sql.with_ctes(sql.events_readings()) + f"""
+SELECT well_id, count(*) AS n, {sql.r6('avg(value)')} AS avg_value FROM readings WHERE value >= 50.0 GROUP BY well_id""",
+          "A13")
+def adhoc_sql(spark, d):
+    out = sinks.run_sql(spark, _ADHOC, views={"readings": events_readings(spark, d)}, args={"lo": 50.0})
+    return out.select("well_id", "n", r6("avg_value").alias("avg_value"))
+
+
+# ---------------------------------------------------------------- E11 + B5: score a date window
+from ..operators.features import engineer_features as _engineer  # noqa: E402
+from ..operators.impute import zero_fill  # noqa: E402
+from ..operators.score import decisions as _decisions, reconstruction_error as _rec  # noqa: E402
+
+
+@register("window_scoring", _sql_scored(
+    f"""win AS (SELECT * EXCLUDE (pressure_rolling_mean, pressure_rolling_std, vibration_rolling_max, temp_rolling_mean,
+  pressure_change_rate, vibration_trend, maintenance_age_ratio) FROM features
+  WHERE "timestamp" >= CAST(CAST((SELECT max("timestamp") FROM features) AS DATE) - INTERVAL {_WINDOW_DAYS} DAY AS TIMESTAMP)
+    AND "timestamp" <= CAST(CAST((SELECT max("timestamp") FROM features) AS DATE) AS TIMESTAMP))""",
+    sql.features(SPEC, src="win", name="wf"),
+    "wz AS (SELECT wf.*, (" + " + ".join(
+        f"power(((COALESCE({c}, 0.0) - m_{i}) / (CASE WHEN s_{i} IS NULL OR s_{i} = 0 THEN 1.0 ELSE s_{i} END)), 2)"
+        for i, c in enumerate(FEATS)) + f") / {float(len(FEATS))} AS w_score FROM wf, stats)") + f"""
+SELECT well_id, record_id, t_us, {sql.r6('w_score')} AS anomaly_score, w_score > threshold AS is_anomaly,
+  {sql.r6('pressure_rolling_mean')} AS pressure_rolling_mean, {sql.r6('vibration_trend')} AS vibration_trend
+FROM wz, thr""", "E11 B5 H11")
+def window_scoring(spark, d):
+    """Features computed inside the window (no warm-up rows, like the original's single-well scoring),
+    nulls → 0, then the full-data scaler and threshold."""
+    s = scored(spark, d)
+    c = clean(spark, d)
+    end = c.agg(F.max(F.col(SPEC.time).cast("date"))).first()[0]
+    import datetime as _dt
+    win = fleet.window_filter(c, SPEC, (end - _dt.timedelta(days=_WINDOW_DAYS)).isoformat(), end.isoformat())
+    f = zero_fill(_engineer(win, SPEC), s.features)
+    from ..operators.prepare import apply_scaler
+    z = apply_scaler(f, s.stats, suffix="_z")
+    z = z.withColumn("anomaly_score", _rec([x + "_z" for x in s.features], [F.lit(0.0)] * len(s.features)))
+    return z.select("well_id", "record_id", "t_us", r6("anomaly_score").alias("anomaly_score"),
+                    (F.col("anomaly_score") > F.lit(s.threshold)).alias("is_anomaly"),
+                    r6("pressure_rolling_mean").alias("pressure_rolling_mean"),
+                    r6("vibration_trend").alias("vibration_trend"))
