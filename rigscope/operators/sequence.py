@@ -77,8 +77,6 @@ def lay_out(df: DataFrame, spec: SensorSpec, lookback: int, layout: Layout = DEF
     When every entity holds at most ``chunk_rows`` rows (checked with one aggregate) each entity is a
     single chunk: one window task per entity, bounded by ``chunk_rows``, and no carries.  Otherwise
     positions come from per-bucket counts and entities are cut into chunks."""
-    if lookback >= layout.chunk_rows:
-        raise ValueError("lookback must be smaller than chunk_rows")
     if not force_chunks and largest_entity(df, spec) <= layout.chunk_rows:
         w = Window.partitionBy(spec.entity).orderBy(*spec.order_cols)
         return (df.withColumn(SEQ, F.row_number().over(w) - 1)
@@ -86,14 +84,13 @@ def lay_out(df: DataFrame, spec: SensorSpec, lookback: int, layout: Layout = DEF
                 .withColumn(CTX, F.lit(False)))
     d = add_sequence(df, spec, layout)
     home = F.floor(F.col(SEQ) / F.lit(layout.chunk_rows))
-    pos = F.col(SEQ) - home * F.lit(layout.chunk_rows)
     targets = F.array(F.struct(home.alias("c"), F.lit(False).alias("x")))
     if lookback > 0:
-        targets = F.when(
-            pos >= F.lit(layout.chunk_rows - lookback),
-            F.array(F.struct(home.alias("c"), F.lit(False).alias("x")),
-                    F.struct((home + 1).alias("c"), F.lit(True).alias("x"))),
-        ).otherwise(targets)
+        # a row is context for every later chunk whose first row lies within ``lookback`` rows after it
+        last = F.floor((F.col(SEQ) + F.lit(lookback)) / F.lit(layout.chunk_rows))
+        copies = F.transform(F.sequence(home + 1, last),
+                             lambda c: F.struct(c.alias("c"), F.lit(True).alias("x")))
+        targets = F.when(last > home, F.concat(targets, copies)).otherwise(targets)
     return (
         d.withColumn("_t", F.explode(targets))
         .withColumn(CHUNK, F.col("_t.c"))
