@@ -115,3 +115,30 @@ def downtime_summary(leads: DataFrame, emergency_hours: float = 24.0, planned_ho
     baseline = F.col("failures") * F.lit(emergency_hours)
     planned = F.col("warned") * F.lit(planned_hours) + (F.col("failures") - F.col("warned")) * F.lit(emergency_hours)
     return agg.select("*", F.when(baseline > 0, (baseline - planned) / baseline * F.lit(100.0)).alias("downtime_reduction_pct"))
+
+
+def permutation_importance(df: DataFrame, feats, rescore, label: str, record: str, score: str = "score",
+                           rows_per_bucket: int = 50_000, seed: int = 42):
+    """AUC drop when one feature is shuffled across rows.
+
+    The shuffle is distributed and deterministic: rows fall into ``n / rows_per_bucket`` hash buckets;
+    inside a bucket each row takes feature ``f`` from the row whose rank under a second hash equals its
+    own rank (two ``row_number``s per bucket, one self-join).  ``rescore(frame)`` recomputes ``score``.
+    Returns [(feature, auc_drop)] and the base AUC."""
+    from pyspark import StorageLevel
+
+    n = df.count()
+    buckets = max(1, -(-n // rows_per_bucket))
+    d = df.withColumn("_b", F.pmod(F.xxhash64(F.col(record), F.lit(seed)), F.lit(buckets)))
+    d = d.withColumn("_r1", F.row_number().over(Window.partitionBy("_b").orderBy(record)))
+    d = d.persist(StorageLevel.MEMORY_AND_DISK)
+    base = auc(rescore(d), label, score)
+    out = []
+    for j, f in enumerate(feats):
+        donor = d.select("_b", F.row_number().over(
+            Window.partitionBy("_b").orderBy(F.xxhash64(F.col(record), F.lit(seed + j + 1)), record)).alias("_r1"),
+            F.col(f).alias("_perm"))
+        shuffled = d.join(donor, ["_b", "_r1"]).withColumn(f, F.col("_perm")).drop("_perm")
+        out.append((f, base - auc(rescore(shuffled), label, score)))
+    d.unpersist()
+    return out, base

@@ -796,3 +796,20 @@ def window_scoring(spark, d):
                     (F.col("anomaly_score") > F.lit(s.threshold)).alias("is_anomaly"),
                     r6("pressure_rolling_mean").alias("pressure_rolling_mean"),
                     r6("vibration_trend").alias("vibration_trend"))
+
+
+@register("permutation_importance", None, "G10")
+def permutation_importance(spark, d):
+    """Anomaly-score AUC drop per shuffled feature on the test split (formula model)."""
+    s = scored(spark, d)
+    zc = [c + "_z" for c in s.features]
+    test = s.frame.filter(F.col("split") == "test").select("record_id", "maintenance_required", *zc)
+
+    def rescore(frame):
+        return frame.withColumn("score", _rec(zc, [F.lit(0.0)] * len(zc)))
+
+    drops, base = evaluate.permutation_importance(test, zc, rescore, "maintenance_required", "record_id")
+    total = sum(max(v, 0.0) for _, v in drops) or 1.0
+    rows = [(f[:-2], float(v), float(max(v, 0.0) / total * 100.0), float(base)) for f, v in drops]
+    # one row per feature: as many rows as features, built from the measured drops
+    return spark.createDataFrame(rows, "feature string, auc_drop double, importance_pct double, base_auc double")

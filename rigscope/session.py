@@ -36,6 +36,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf_dir and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+    # local runs and tests only: a scratch folder
     target = conf_dir or tempfile.mkdtemp(prefix="rigscope-ckpt-", dir="/tmp")
     sc.setCheckpointDir(target)
     return target
