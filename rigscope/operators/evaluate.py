@@ -80,7 +80,8 @@ def grade(auc_col) -> Column:
 def roc_points(df: DataFrame, label: str, prob: str, step: float = 0.01) -> DataFrame:
     """ROC points at thresholds ``k * step`` for a probability in [0, 1]: counts per bucket, then
     cumulative true/false positives from the top.  The window runs over at most 1/step + 1 rows."""
-    b = F.floor(F.col(prob) / F.lit(step)).cast("int")
+    top_bucket = int(round(1.0 / step))
+    b = F.least(F.greatest(F.floor(F.col(prob) / F.lit(step)).cast("int"), F.lit(0)), F.lit(top_bucket))
     per = df.groupBy(b.alias("bucket")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"), F.sum((1 - F.col(label)).cast("long")).alias("neg"))
     top = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0)

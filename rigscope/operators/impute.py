@@ -14,10 +14,18 @@ WINDOW_ROWS = 24
 
 
 def rolling_median_fill(df: DataFrame, spec: SensorSpec, cols=None, layout: Layout = DEFAULT_LAYOUT,
-                        exact: bool = True, persist: bool = True) -> DataFrame:
+                        exact: bool = True, persist: bool = True, complete=()) -> DataFrame:
     """B1 + B2. A null becomes the median of the non-null raw values among the last 24 rows of its
-    machine (current row included); what is still null becomes the column median after that step."""
-    cols = list(cols or spec.impute_cols)
+    machine (current row included); what is still null becomes the column median after that step.
+    ``complete``: columns known to hold no null (e.g. counters derived by ``derive_labels``)."""
+    cols = [c for c in (cols or spec.impute_cols) if c not in complete]
+    if not cols:
+        return df
+    # B1/B2 only change nulls: one column-pruned count decides which columns need the windows at all
+    have = df.agg(*[F.count(F.when(F.col(c).isNull(), F.lit(1))).alias(c) for c in cols]).first()
+    cols = [c for c in cols if have[c] > 0]
+    if not cols:
+        return df
     d, created = ensure_layout(df, spec, WINDOW_ROWS - 1, layout)
     w = frame(spec, -(WINDOW_ROWS - 1), 0)
     d = d.select(*[
@@ -27,11 +35,10 @@ def rolling_median_fill(df: DataFrame, spec: SensorSpec, cols=None, layout: Layo
     if persist:
         d = d.persist(StorageLevel.MEMORY_AND_DISK)
     base = home_rows(d)
-    left = base.agg(*[F.count(F.when(F.col(c).isNull(), F.lit(1))).alias(c) for c in cols]).first()
-    need = [c for c in cols if left[c] > 0]   # B2 only where B1 left gaps
-    medians = dict.fromkeys(cols)
-    if need:
-        medians.update(exact_quantiles(base, need, 0.5) if exact else approx_quantiles(base, need, 0.5))
+    # B2 only where B1 left gaps (the null check rides on the quantile's first pass)
+    medians = (exact_quantiles(base, cols, 0.5, only_with_nulls=True) if exact
+               else approx_quantiles(base, cols, 0.5))
+    need = [c for c in cols if medians.get(c) is not None]
     d = d.select(*[
         F.coalesce(F.col(c), F.lit(medians[c]).cast("double")).alias(c) if c in need else F.col(c)
         for c in d.columns

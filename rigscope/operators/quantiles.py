@@ -24,15 +24,20 @@ def _bin_expr(v: Column, lo: float, hi: float, bins: int) -> Column:
 
 
 def exact_quantiles(df: DataFrame, cols, q: float, bins: int = 1024, gather_limit: int = 100_000,
-                    max_rounds: int = 12) -> dict:
-    """Return {col: quantile q of the non-null values of col} (None for an all-null column)."""
+                    max_rounds: int = 12, only_with_nulls: bool = False) -> dict:
+    """Return {col: quantile q of the non-null values of col} (None for an all-null column, and with
+    ``only_with_nulls`` also for a column without nulls, which then needs no quantile)."""
     cols = list(cols)
-    long = df.select(F.explode(F.array(*[
+    every = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)
-    ])).alias("p")).select("p.k", "p.v").filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    ])).alias("p")).select("p.k", F.when(~F.isnan("p.v"), F.col("p.v")).alias("v"))
+    long = every.filter(F.col("v").isNotNull())
 
-    stats = {r["k"]: r for r in long.groupBy("k").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    # first pass: count, min, max (and nulls) per column
+    stats = {r["k"]: r for r in every.groupBy("k").agg(
+        F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+        F.count(F.when(F.col("v").isNull(), F.lit(1))).alias("nulls")).collect()}
+    stats = {k: r for k, r in stats.items() if r["n"] > 0 and (r["nulls"] > 0 or not only_with_nulls)}
 
     # targets: (column index, rank) -> state
     targets = {}

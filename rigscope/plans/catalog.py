@@ -37,13 +37,13 @@ def register(name: str, oracle: str | None, ids: str):
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labeled readings with sensors and counters imputed (the dashboard's frame)."""
     laid = labeled(events_readings(spark, sf_dir), SPEC)
-    return strip(rolling_median_fill(laid, SPEC))
+    return strip(rolling_median_fill(laid, SPEC, complete=SPEC.counters))
 
 
 def clean_as_of(spark: SparkSession, sf_dir: str, days_back: int = AS_OF_DAYS_BACK):
     lab = events_labeled(spark, sf_dir)
     cut = lab.agg(F.max(SPEC.time_us)).first()[0] - days_back * DAY_US
-    return rolling_median_fill(lab.filter(F.col(SPEC.time_us) <= F.lit(cut)), SPEC), cut
+    return rolling_median_fill(lab.filter(F.col(SPEC.time_us) <= F.lit(cut)), SPEC, complete=SPEC.counters), cut
 
 
 def _latest(df: DataFrame) -> DataFrame:

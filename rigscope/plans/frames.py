@@ -22,8 +22,8 @@ def labeled(readings: DataFrame, spec: SensorSpec, layout: Layout = DEFAULT_LAYO
 
 
 def featurized(laid: DataFrame, spec: SensorSpec, cols=None, exact: bool = True) -> DataFrame:
-    """Imputed + engineered, layout stripped."""
-    d = rolling_median_fill(laid, spec, cols=cols, exact=exact)
+    """Imputed + engineered, layout stripped.  The counters come from ``derive_labels`` and are never null."""
+    d = rolling_median_fill(laid, spec, cols=cols, exact=exact, complete=spec.counters)
     return strip(engineer_features(d, spec))
 
 

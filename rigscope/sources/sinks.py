@@ -62,9 +62,10 @@ def key_report(child: DataFrame, key, parent: DataFrame | None = None, fk: str |
                  F.coalesce(F.sum((F.col("_n") > 1).cast("long")), F.lit(0)).alias("duplicated_keys")))
     parts = [base, dups]
     if parent is not None and fk is not None:
-        parts.append(child.filter(F.col(fk).isNotNull())
-                     .join(parent.select(F.col(parent_key or fk).alias(fk)).distinct(), fk, "left_anti")
-                     .agg(F.count(F.lit(1)).alias("orphans")))
+        # one row per foreign key before the anti join, so a hot key is one row, not one task
+        per_fk = child.filter(F.col(fk).isNotNull()).groupBy(fk).agg(F.count(F.lit(1)).alias("_n"))
+        parts.append(per_fk.join(parent.select(F.col(parent_key or fk).alias(fk)), fk, "left_anti")
+                     .agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("orphans")))
     return one_row(*parts)
 
 
