@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import SensorSpec
 from .quantiles import approx_quantiles, exact_quantiles
-from .sequence import DEFAULT_LAYOUT, Layout, ensure_layout, frame, home_rows, strip
+from .sequence import CHUNK, DEFAULT_LAYOUT, Layout, ensure_layout, frame, home_rows, known_complete, strip
 
 WINDOW_ROWS = 24
 
@@ -18,14 +18,16 @@ def rolling_median_fill(df: DataFrame, spec: SensorSpec, cols=None, layout: Layo
     """B1 + B2. A null becomes the median of the non-null raw values among the last 24 rows of its
     machine (current row included); what is still null becomes the column median after that step.
     ``complete``: columns known to hold no null (e.g. counters derived by ``derive_labels``)."""
-    cols = [c for c in (cols or spec.impute_cols) if c not in complete]
-    if not cols:
-        return df
-    # B1/B2 only change nulls: one column-pruned count decides which columns need the windows at all
-    have = df.agg(*[F.count(F.when(F.col(c).isNull(), F.lit(1))).alias(c) for c in cols]).first()
-    cols = [c for c in cols if have[c] > 0]
+    skip = set(complete) | set(known_complete(df))
+    cols = [c for c in (cols or spec.impute_cols) if c not in skip]
     if not cols:
         return df
+    if CHUNK not in df.columns:
+        # B1/B2 only change nulls: one column-pruned count decides which columns need the windows at all
+        have = df.agg(*[F.count(F.when(F.col(c).isNull(), F.lit(1))).alias(c) for c in cols]).first()
+        cols = [c for c in cols if have[c] > 0]
+        if not cols:
+            return df
     d, created = ensure_layout(df, spec, WINDOW_ROWS - 1, layout)
     w = frame(spec, -(WINDOW_ROWS - 1), 0)
     d = d.select(*[

@@ -64,10 +64,28 @@ def add_sequence(df: DataFrame, spec: SensorSpec, layout: Layout = DEFAULT_LAYOU
 SINGLE = "single_chunk"
 
 
+COMPLETE = "null_free"
+
+
+def profile(df: DataFrame, spec: SensorSpec):
+    """One scan: rows of the biggest entity and the double columns without any null.
+    Per-entity partial counts, then one row to the driver."""
+    dbl = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("double", "float")]
+    per = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("_n"),
+                                      *[F.count(F.when(F.col(c).isNull(), F.lit(1))).alias(c) for c in dbl])
+    row = per.agg(F.max("_n").alias("_n"), *[F.sum(c).alias(c) for c in dbl]).first()
+    return (row["_n"] or 0), [c for c in dbl if not row[c]]
+
+
 def largest_entity(df: DataFrame, spec: SensorSpec) -> int:
-    """Rows of the biggest entity: one aggregate (entity column only), one number to the driver."""
-    sizes = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.agg(F.max("_n")).first()[0] or 0
+    return profile(df, spec)[0]
+
+
+def known_complete(df: DataFrame) -> list:
+    """Columns the layout's profile found without nulls (empty when unknown)."""
+    if CHUNK not in df.columns:
+        return []
+    return list(df.schema[CHUNK].metadata.get(COMPLETE, []))
 
 
 def lay_out(df: DataFrame, spec: SensorSpec, lookback: int, layout: Layout = DEFAULT_LAYOUT,
@@ -77,10 +95,11 @@ def lay_out(df: DataFrame, spec: SensorSpec, lookback: int, layout: Layout = DEF
     When every entity holds at most ``chunk_rows`` rows (checked with one aggregate) each entity is a
     single chunk: one window task per entity, bounded by ``chunk_rows``, and no carries.  Otherwise
     positions come from per-bucket counts and entities are cut into chunks."""
-    if not force_chunks and largest_entity(df, spec) <= layout.chunk_rows:
+    biggest, complete = (None, []) if force_chunks else profile(df, spec)
+    if biggest is not None and biggest <= layout.chunk_rows:
         w = Window.partitionBy(spec.entity).orderBy(*spec.order_cols)
         return (df.withColumn(SEQ, F.row_number().over(w) - 1)
-                .withColumn(CHUNK, F.lit(0).alias(CHUNK, metadata={SINGLE: True}))
+                .withColumn(CHUNK, F.lit(0).alias(CHUNK, metadata={SINGLE: True, COMPLETE: complete}))
                 .withColumn(CTX, F.lit(False)))
     d = add_sequence(df, spec, layout)
     home = F.floor(F.col(SEQ) / F.lit(layout.chunk_rows))
@@ -93,7 +112,7 @@ def lay_out(df: DataFrame, spec: SensorSpec, lookback: int, layout: Layout = DEF
         targets = F.when(last > home, F.concat(targets, copies)).otherwise(targets)
     return (
         d.withColumn("_t", F.explode(targets))
-        .withColumn(CHUNK, F.col("_t.c"))
+        .withColumn(CHUNK, F.col("_t.c").alias(CHUNK, metadata={COMPLETE: complete}))
         .withColumn(CTX, F.col("_t.x"))
         .drop("_t")
     )
