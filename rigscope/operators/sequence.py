@@ -4,8 +4,8 @@ A plain ``Window.partitionBy(entity)`` sends a whole entity to one task; one
 machine can hold a third of all rows.  Instead every row gets
 
 * ``_seq``   – its 0-based position inside its entity in (time, record, tiebreak)
-  order, computed from counts per (entity, time bucket) and a ``row_number``
-  inside each bucket, so no task sees more than one bucket of one entity;
+  order, computed from counts per (range partition, entity) and a ``row_number``
+  inside each, so no task sees more than one range partition of one entity;
 * ``_chunk`` – ``_seq // chunk_rows``; windows run over
   ``partitionBy(entity, _chunk).orderBy(_seq)``;
 * ``_ctx``   – true on copies of the last ``lookback`` rows of the previous
@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,32 +35,39 @@ HELPERS = (SEQ, CHUNK, CTX)
 @dataclass(frozen=True)
 class Layout:
     chunk_rows: int = 1 << 20              # at most this many home rows per window task
-    bucket_us: int = 86_400_000_000        # time bucket used to number rows (1 day)
+    range_partitions: int | None = None    # range partitions used to number rows (default: shuffle partitions)
 
 
 DEFAULT_LAYOUT = Layout()
 
 
 def add_sequence(df: DataFrame, spec: SensorSpec, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
-    """Add ``_seq`` (position within the entity) without a per-entity task."""
-    bucket = "_bucket"
-    d = df.withColumn(bucket, F.floor(F.col(spec.time_us) / F.lit(layout.bucket_us)))
-    counts = d.groupBy(spec.entity, bucket).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(spec.entity).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    """Add ``_seq`` (position within the entity) without a per-entity task.
+
+    Rows are range-partitioned on (entity, time, record, tiebreak): Spark samples that composite key,
+    so a hot entity — even one with tied timestamps — spreads over many partitions.  Counts per
+    (range partition, entity) give each partition's offset inside its entity (a window over that small
+    table); a ``row_number`` inside each (partition, entity) adds the local position."""
+    spark = df.sparkSession
+    parts = layout.range_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # persisted so the count branch and the row branch read ONE range exchange: the partitioner's
+    # sample is seeded per RDD, two planned exchanges could cut at different bounds.  A lost block
+    # is recomputed through the same shuffle dependency, i.e. with the same bounds.
+    r = (df.repartitionByRange(parts, F.col(spec.entity), *[F.col(c) for c in spec.order_cols])
+         .withColumn("_pid", F.spark_partition_id())
+         .persist(StorageLevel.MEMORY_AND_DISK))
+    counts = r.groupBy(spec.entity, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(spec.entity).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         F.col(spec.entity).alias("_o_entity"),
-        F.col(bucket).alias("_o_bucket"),
+        F.col("_pid").alias("_o_pid"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
     )
-    # plain equality keeps the join's (entity, bucket) hash partitioning for the row_number below;
-    # a left join keeps rows with a null key (they share one null group)
-    d = d.join(
-        offsets,
-        (d[spec.entity] == offsets["_o_entity"]) & (d[bucket] == offsets["_o_bucket"]),
-        "left",
-    ).drop("_o_entity", "_o_bucket")
-    in_bucket = Window.partitionBy(spec.entity, bucket).orderBy(*spec.order_cols)
-    return d.withColumn(SEQ, F.col("_off") + F.row_number().over(in_bucket) - 1).drop("_off", bucket)
+    # left join keeps rows with a null entity (they share one null group)
+    d = r.join(offsets, (r[spec.entity] == offsets["_o_entity"]) & (r["_pid"] == offsets["_o_pid"]), "left")
+    d = d.drop("_o_entity", "_o_pid")
+    local = Window.partitionBy("_pid", spec.entity).orderBy(*spec.order_cols)
+    return d.withColumn(SEQ, F.col("_off") + F.row_number().over(local) - 1).drop("_off", "_pid")
 
 
 SINGLE = "single_chunk"

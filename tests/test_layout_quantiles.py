@@ -14,10 +14,10 @@ def _pdf(df, key):
     return df.toPandas().sort_values(key).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("chunk,bucket_h", [(7, 1), (40, 24)])
-def test_chunked_equals_single(spark, chunk, bucket_h):
+@pytest.mark.parametrize("chunk,parts", [(7, 3), (40, 16)])
+def test_chunked_equals_single(spark, chunk, parts):
     a = _pdf(events_features(spark, SF001), "record_id")
-    b = _pdf(events_features(spark, SF001, layout=Layout(chunk_rows=chunk, bucket_us=bucket_h * 3_600_000_000),
+    b = _pdf(events_features(spark, SF001, layout=Layout(chunk_rows=chunk, range_partitions=parts),
                              force_chunks=True), "record_id")
     pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-9, atol=1e-9)
 
@@ -32,7 +32,7 @@ def test_lineitem_ties_chunked(spark):
     r = lineitem_readings(spark, SF001)
     one = strip(engineer_features(derive_labels(lay_out(r, LINEITEM_SPEC, 46), LINEITEM_SPEC), LINEITEM_SPEC))
     many = strip(engineer_features(derive_labels(
-        lay_out(r, LINEITEM_SPEC, 46, Layout(chunk_rows=50, bucket_us=7 * 86_400_000_000), force_chunks=True),
+        lay_out(r, LINEITEM_SPEC, 46, Layout(chunk_rows=50, range_partitions=5), force_chunks=True),
         LINEITEM_SPEC), LINEITEM_SPEC))
     key = ["record_id", "l_partkey", "l_quantity", "l_extendedprice", "t_us"]
     pd.testing.assert_frame_equal(_pdf(one, key), _pdf(many, key), check_exact=False, rtol=1e-9, atol=1e-9)
@@ -52,3 +52,22 @@ def test_exact_quantiles_match_numpy(spark):
 
 def test_lineitem_features_run(spark):
     assert lineitem_features(spark, SF001).count() == spark.read.parquet(f"{SF001}/lineitem.parquet").count()
+
+
+def test_hot_machine_with_tied_times_numbered_exactly(spark):
+    """One machine holding every row (and many equal timestamps) is split by the range partitioning."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from rigscope.config import LINEITEM_SPEC
+    from rigscope.operators.sequence import SEQ, add_sequence
+    from rigscope.sources.adapters import lineitem_readings
+
+    hot = lineitem_readings(spark, SF001).withColumn("well_id", F.lit("HOT"))
+    got = add_sequence(hot, LINEITEM_SPEC, Layout(range_partitions=8))
+    w = Window.partitionBy("well_id").orderBy(*LINEITEM_SPEC.order_cols)
+    check = got.withColumn("_want", F.row_number().over(w) - 1)
+    assert check.filter(F.col(SEQ) != F.col("_want")).count() == 0
+    parts = (hot.repartitionByRange(8, "well_id", *LINEITEM_SPEC.order_cols)
+             .groupBy(F.spark_partition_id()).count().count())
+    assert parts > 1
