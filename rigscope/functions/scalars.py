@@ -47,9 +47,21 @@ def relu(c) -> Column:
     return F.greatest(col(c), F.lit(0.0))
 
 
-def epoch_us(c) -> Column:
-    """Epoch microseconds of a TIMESTAMP or TIMESTAMP_NTZ column (session time zone UTC)."""
-    return F.unix_micros(col(c).cast("timestamp"))
+def epoch_us(c, ntz: bool = True) -> Column:
+    """Epoch microseconds.  A TIMESTAMP_NTZ wall-clock is read as UTC whatever the session time zone
+    (difference to the NTZ epoch); a TIMESTAMP (instant) uses ``unix_micros``."""
+    if ntz:
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col(c))
+    return F.unix_micros(col(c))
+
+
+def epoch_us_of(df, name: str) -> Column:
+    return epoch_us(name, ntz=df.schema[name].dataType.simpleString() == "timestamp_ntz")
+
+
+def date_of_us(c) -> Column:
+    """Calendar date (UTC) of epoch microseconds, independent of the session time zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(col(c) / F.lit(86_400_000_000)).cast("int"))
 
 
 def hours_between_us(later, earlier) -> Column:

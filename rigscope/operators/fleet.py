@@ -130,9 +130,10 @@ def window_filter(df: DataFrame, spec: SensorSpec, start, end, wells=None, inclu
     """Readings of ``wells`` between two dates; both ends are midnight, so the last day keeps only
     00:00 unless ``inclusive_end`` (then the whole end day)."""
     ts = F.col(spec.time)
-    lo = F.to_timestamp(F.lit(start)) if isinstance(start, str) else start
-    hi = F.to_timestamp(F.lit(end)) if isinstance(end, str) else end
-    cond = (ts >= lo) & ((ts < F.date_add(hi.cast("date"), 1).cast("timestamp")) if inclusive_end else (ts <= hi))
+    kind = df.schema[spec.time].dataType.simpleString()   # compare in the column's own type (no zone shift)
+    lo = F.lit(start).cast("date").cast(kind) if isinstance(start, str) else start
+    hi = F.lit(end).cast("date").cast(kind) if isinstance(end, str) else end
+    cond = (ts >= lo) & ((ts < F.date_add(hi.cast("date"), 1).cast(kind)) if inclusive_end else (ts <= hi))
     if wells is not None:
         cond = cond & F.col(spec.entity).isin(list(wells))
     return df.filter(cond)

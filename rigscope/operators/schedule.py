@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CRITICAL_DEFAULT_DAYS, NO_FAULT, PRIORITY_ACTIONS, PRIORITY_DAYS, SensorSpec
-from ..functions.scalars import first_match, half_even, title_words
+from ..functions.scalars import date_of_us, first_match, half_even, title_words
 
 PRIORITIES = tuple(p for p, _ in PRIORITY_ACTIONS)
 
@@ -35,7 +35,7 @@ def priority_columns(spec: SensorSpec) -> dict:
 def schedule_by(now_us: Column, days: Column) -> Column:
     """``now + max(0, days)`` formatted ``Mon DD, YYYY``."""
     shift = (F.greatest(days, F.lit(0.0)) * F.lit(86_400_000_000.0)).cast("long")
-    return F.date_format(F.timestamp_micros(now_us + shift), "MMM dd, yyyy")
+    return F.date_format(date_of_us(now_us + shift), "MMM dd, yyyy")
 
 
 def maintenance_schedule(latest: DataFrame, spec: SensorSpec, now_us: Column, wells=None) -> DataFrame:

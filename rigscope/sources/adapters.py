@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FAULT_TYPES, NO_FAULT
-from ..functions.scalars import epoch_us
+from ..functions.scalars import epoch_us_of
 
 # Fixed adapter parameters (mirrored in the DuckDB oracle).
 SIGNAL_FLOOR = 10.0
@@ -43,7 +43,7 @@ def events_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("record_id"),
         F.format_string("WELL_%04d", F.col("user_id")).alias("well_id"),
         F.col("ts").alias("timestamp"),
-        epoch_us("ts").alias("t_us"),
+        epoch_us_of(e, "ts").alias("t_us"),
         (F.lit(5000) + F.col("user_id")).cast("int").alias("depth_ft"),
         F.when(k >= F.lit(SIGNAL_FLOOR), F.col("value")).alias("value"),
         k.alias("signal"),
@@ -57,7 +57,7 @@ def lineitem_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("record_id"),
         F.format_string("SUPP_%06d", F.col("l_suppkey")).alias("well_id"),
         F.col("l_shipdate").alias("timestamp"),
-        epoch_us("l_shipdate").alias("t_us"),
+        epoch_us_of(li, "l_shipdate").alias("t_us"),
         (F.lit(1000) + F.col("l_suppkey")).cast("int").alias("depth_ft"),
         "l_orderkey", "l_linenumber", "l_partkey",
         (F.col("l_quantity") + F.lit(0.0)).alias("l_quantity"),
