@@ -68,3 +68,10 @@ def normal_rows(df: DataFrame, spec: SensorSpec) -> DataFrame:
 def near_failure_rows(df: DataFrame, spec: SensorSpec) -> DataFrame:
     """Days known and below the regressor horizon."""
     return df.filter(F.col(spec.days).isNotNull() & (F.col(spec.days) < F.lit(spec.thresholds.regressor_horizon_days)))
+
+
+def subset_counts(df: DataFrame, spec: SensorSpec) -> DataFrame:
+    """D6 + D7 sizes per split in one aggregate."""
+    near = F.col(spec.days).isNotNull() & (F.col(spec.days) < F.lit(spec.thresholds.regressor_horizon_days))
+    return df.groupBy("split").agg(F.sum((F.col(spec.label) == 0).cast("long")).alias("normal_rows"),
+                                   F.sum(near.cast("long")).alias("near_failure_rows"))

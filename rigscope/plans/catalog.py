@@ -339,13 +339,8 @@ SELECT split, CAST(sum(CASE WHEN maintenance_required = 0 THEN 1 ELSE 0 END) AS
   CAST(sum(CASE WHEN days_to_failure IS NOT NULL AND days_to_failure < {SPEC.thresholds.regressor_horizon_days} THEN 1 ELSE 0 END) AS BIGINT) AS near_failure_rows
 FROM decided GROUP BY split""", "D6 D7")
 def training_subsets(spark, d):
-    f = prepare.with_split(events_features(spark, d), SPEC).persist()
-    normal = prepare.normal_rows(f, SPEC).groupBy("split").agg(F.count(F.lit(1)).alias("normal_rows"))
-    near = prepare.near_failure_rows(f, SPEC).groupBy("split").agg(F.count(F.lit(1)).alias("near_failure_rows"))
-    splits = f.select("split").distinct()
-    return (splits.join(normal, "split", "left").join(near, "split", "left")
-            .select("split", F.coalesce("normal_rows", F.lit(0)).alias("normal_rows"),
-                    F.coalesce("near_failure_rows", F.lit(0)).alias("near_failure_rows")))
+    f = prepare.with_split(events_features(spark, d), SPEC)
+    return prepare.subset_counts(f, SPEC)
 
 
 @register("anomaly_scores", _sql_scored() + f"""
@@ -672,8 +667,9 @@ SELECT (SELECT count(*) FROM labeled) AS rows_in,
   (SELECT """ + sql.r6("avg(CAST(maintenance_required AS DOUBLE)) * 100") + """ FROM cleaned) AS maintenance_pct""",
           "A3 B3 B4 B6")
 def ingestion_report(spark, d):
-    raw = events_labeled(spark, d)
-    cleaned = rolling_median_fill(raw, SPEC, cols=SPEC.sensors)
+    laid = labeled(events_readings(spark, d), SPEC)        # one layout for labels and imputation
+    raw = strip(laid)
+    cleaned = strip(rolling_median_fill(laid, SPEC, cols=SPEC.sensors))
     deduped = keep_first(cleaned, SPEC.record, SPEC.order_cols)
     r = sinks.ingestion_report(raw, cleaned, deduped, SPEC.sensors, SPEC)
     return r.withColumn("maintenance_pct", r6("maintenance_pct"))
