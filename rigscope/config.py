@@ -66,6 +66,13 @@ SPLIT_SEED = 42
 TEST_FRACTION = 0.2
 # grade cut-offs: (minimum AUC, grade)
 GRADES = ((0.95, "A+"), (0.90, "A"), (0.85, "B"))
+# dashboard bands: (upper days bound, band) / (probability above, band) / (anomalies above, band)
+DAYS_BANDS = ((3.0, "act_now"), (7.0, "schedule"))
+DAYS_BAND_ELSE = "none_imminent"
+RISK_BANDS = ((0.7, "high"), (0.4, "moderate"))
+RISK_BAND_ELSE = "low"
+ANOMALY_BANDS = ((10, "many"), (0, "some"))
+ANOMALY_BAND_ELSE = "none"
 # ---------------------------------------------------------------------------
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import (NO_FAULT, STATUS_ISSUE_CRITICAL, STATUS_ISSUE_MAINT, STATUS_ISSUE_OK,
-                      STATUS_ISSUE_OVERDUE, SensorSpec)
+from ..config import (ANOMALY_BAND_ELSE, ANOMALY_BANDS, DAYS_BAND_ELSE, DAYS_BANDS, NO_FAULT, RISK_BAND_ELSE,
+                      RISK_BANDS, STATUS_ISSUE_CRITICAL, STATUS_ISSUE_MAINT, STATUS_ISSUE_OK, STATUS_ISSUE_OVERDUE,
+                      SensorSpec)
 from ..functions.scalars import first_match, half_even, thousands, title_words
 
 STATUSES = ("CRITICAL", "WARNING", "OK")
@@ -193,17 +194,17 @@ def overlay_rows(df: DataFrame, spec: SensorSpec, flag: str, cols) -> DataFrame:
 def days_band(days) -> Column:
     """H19."""
     d = F.col(days) if isinstance(days, str) else days
-    return first_match([(d <= 3, "act_now"), (d <= 7, "schedule")], "none_imminent")
+    return first_match([(d <= F.lit(cut), band) for cut, band in DAYS_BANDS], DAYS_BAND_ELSE)
 
 
 def risk_band(p) -> Column:
     c = F.col(p) if isinstance(p, str) else p
-    return first_match([(c > 0.7, "high"), (c > 0.4, "moderate")], "low")
+    return first_match([(c > F.lit(cut), band) for cut, band in RISK_BANDS], RISK_BAND_ELSE)
 
 
 def anomaly_band(n) -> Column:
     c = F.col(n) if isinstance(n, str) else n
-    return first_match([(c > 10, "many"), (c > 0, "some")], "none")
+    return first_match([(c > F.lit(cut), band) for cut, band in ANOMALY_BANDS], ANOMALY_BAND_ELSE)
 
 
 def latest_prediction(pred: DataFrame, spec: SensorSpec) -> DataFrame:

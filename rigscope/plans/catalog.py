@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import EVENTS_SPEC
+from ..config import (ANOMALY_BAND_ELSE, ANOMALY_BANDS, DAYS_BAND_ELSE, DAYS_BANDS, EVENTS_SPEC, RISK_BAND_ELSE,
+                      RISK_BANDS)
 from ..functions.scalars import r6
 from ..operators import fleet, schedule
 from ..operators.impute import rolling_median_fill
@@ -380,8 +381,7 @@ def _fmt_sql(expr: str, digits: int) -> str:
 @register("alerts", _ALERT_SQL + f"""
 SELECT well_id, 'predicted_failure' AS alert_type,
   CASE WHEN a.d <= {SPEC.thresholds.critical_days} THEN 'critical' ELSE 'high' END AS severity,
-  'Well ' || well_id || ': Predicted failure in ' || {_fmt_sql('a.d', 1)} || ' days (confidence: '
-    || {_fmt_sql('a.c * 100.0', 0)} || '%)' AS message,
+  {sql.alert_message('well_id', _fmt_sql('a.d', 1), _fmt_sql('a.c * 100.0', 0))} AS message,
   {sql.r6('a.d')} AS days_to_failure, {sql.r6('a.c')} AS confidence_score, TRUE AS is_active
 FROM pick""", "F1 F2 F3 F4 A11")
 def alerts(spark, d):
@@ -423,8 +423,7 @@ SELECT {sql.half_even(_auc_sql('anomaly_score'), 4)} AS autoencoder_auc,
        {sql.half_even('mae', 4)} AS regressor_mae_days,
        {sql.r6('(SELECT max(threshold) FROM decided)')} AS anomaly_threshold,
        {len(FEATS)} AS input_dim,
-       CASE WHEN {_auc_sql('confidence_score')} >= 0.95 THEN 'A+' WHEN {_auc_sql('confidence_score')} >= 0.90 THEN 'A'
-            WHEN {_auc_sql('confidence_score')} >= 0.85 THEN 'B' ELSE 'C' END AS grade
+       {sql.grade(_auc_sql('confidence_score'))} AS grade
 FROM cm, m""", "G1 G2 G5 G6 G7 A14")
 def model_metrics(spark, d):
     from ..functions.scalars import half_even
@@ -527,9 +526,9 @@ def downtime_summary(spark, d):
                                            """lp AS (SELECT well_id, arg_max(confidence_score, _rn) AS c, arg_max(days_to_failure_pred, _rn) AS dd,
   CAST(sum(CAST(is_anomaly AS INTEGER)) AS BIGINT) AS n_anomalies, count(*) AS n_readings FROM n GROUP BY well_id)""") + f"""
 SELECT well_id, {sql.r6('c')} AS confidence_score, {sql.r6('dd')} AS days_to_failure_pred, n_anomalies, n_readings,
-  CASE WHEN dd <= 3 THEN 'act_now' WHEN dd <= 7 THEN 'schedule' ELSE 'none_imminent' END AS days_band,
-  CASE WHEN c > 0.7 THEN 'high' WHEN c > 0.4 THEN 'moderate' ELSE 'low' END AS risk_band,
-  CASE WHEN n_anomalies > 10 THEN 'many' WHEN n_anomalies > 0 THEN 'some' ELSE 'none' END AS anomaly_band
+  {sql.bands('dd', DAYS_BANDS, DAYS_BAND_ELSE, '<=')} AS days_band,
+  {sql.bands('c', RISK_BANDS, RISK_BAND_ELSE, '>')} AS risk_band,
+  {sql.bands('n_anomalies', ANOMALY_BANDS, ANOMALY_BAND_ELSE, '>')} AS anomaly_band
 FROM lp""", "H18 H19")
 def latest_prediction(spark, d):
     lp = fleet.latest_prediction(scored(spark, d).frame, SPEC)

@@ -5,7 +5,9 @@ Used only as the independent oracle for the Spark queries (``oracle_sql()``).
 
 from __future__ import annotations
 
-from ..config import EVENTS_SPEC, FAULT_TYPES, NO_FAULT, SensorSpec
+from ..config import (ALERT_MESSAGE, CRITICAL_DEFAULT_DAYS, EVENTS_SPEC, FAULT_TYPES, GRADES, NO_FAULT,
+                      PRIORITY_ACTIONS, PRIORITY_DAYS, STATUS_ISSUE_CRITICAL, STATUS_ISSUE_MAINT, STATUS_ISSUE_OK,
+                      STATUS_ISSUE_OVERDUE, SensorSpec)
 from ..sources.adapters import FAILURE_VALUE, FAULT_BUCKET, SIGNAL_FLOOR
 
 US_PER_DAY = "CAST(86400000000 AS DOUBLE)"
@@ -35,6 +37,36 @@ def thousands(expr: str) -> str:
     return f"format('{{:,.0f}}', {expr})"
 
 
+def q(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def fill(template: str, **parts: str) -> str:
+    """A fixed text with ``{name}`` slots as a SQL concatenation."""
+    out, rest = [], template
+    while "{" in rest:
+        head, _, tail = rest.partition("{")
+        name, _, rest = tail.partition("}")
+        out += [q(head), parts[name]]
+    out.append(q(rest))
+    return "(" + " || ".join(out) + ")"
+
+
+def bands(expr: str, cuts, default: str, op: str) -> str:
+    cases = " ".join(f"WHEN {expr} {op} {cut} THEN {q(b)}" for cut, b in cuts)
+    return f"(CASE {cases} ELSE {q(default)} END)"
+
+
+def grade(expr: str) -> str:
+    cases = " ".join(f"WHEN {expr} >= {cut} THEN {q(g)}" for cut, g in GRADES)
+    return f"(CASE {cases} ELSE 'C' END)"
+
+
+def alert_message(well: str, days_text: str, pct_text: str) -> str:
+    return fill(ALERT_MESSAGE, well=well, days=days_text, pct=pct_text)
+
+
 def events_readings() -> str:
     k = "CAST(json_extract_string(props, '$.k') AS DOUBLE)"
     faults = ", ".join(f"'{f}'" for f in FAULT_TYPES)
@@ -127,10 +159,10 @@ def status_select(spec: SensorSpec = EVENTS_SPEC) -> str:
     return f"""SELECT well_id,
   CASE WHEN {crit} THEN 'CRITICAL' WHEN {maint} THEN 'WARNING' WHEN {over} THEN 'WARNING' ELSE 'OK' END AS status,
   CASE WHEN {crit} THEN 0 WHEN {maint} THEN 1 WHEN {over} THEN 1 ELSE 2 END AS urgency,
-  CASE WHEN {crit} THEN 'Active ' || {title('failure_type')} || ' — maintenance required today'
-       WHEN {maint} THEN 'Sensors suggest maintenance is overdue — inspect within 5 days'
-       WHEN {over} THEN 'No service in ' || {thousands('hours_since_last_maintenance')} || ' hrs — routine inspection recommended'
-       ELSE 'All sensors within normal operating range' END AS issue,
+  CASE WHEN {crit} THEN {fill(STATUS_ISSUE_CRITICAL, fault=title('failure_type'))}
+       WHEN {maint} THEN {q(STATUS_ISSUE_MAINT)}
+       WHEN {over} THEN {fill(STATUS_ISSUE_OVERDUE, hours=thousands('hours_since_last_maintenance'))}
+       ELSE {q(STATUS_ISSUE_OK)} END AS issue,
   {title('failure_type')} AS fault_type,
   {half_even(spec.pressure, 1)} AS pump_psi,
   {half_even(spec.vibration, 2)} AS vibration,
@@ -143,15 +175,15 @@ def priority_select(spec: SensorSpec = EVENTS_SPEC, now_us: str = "_now") -> str
     crit = f"maintenance_required = 1 AND failure_type <> '{NO_FAULT}'"
     maint = "maintenance_required = 1"
     over = f"hours_since_last_maintenance > {o}"
-    days = f"(CASE WHEN {crit} THEN COALESCE(days_to_failure, 2.0) WHEN {maint} THEN 5.0 WHEN {over} THEN 14.0 ELSE 30.0 END)"
+    fixed = dict(PRIORITY_DAYS)
+    (p0, a0), (p1, a1), (p2, a2), (p3, a3) = PRIORITY_ACTIONS
+    days = (f"(CASE WHEN {crit} THEN COALESCE(days_to_failure, {CRITICAL_DEFAULT_DAYS}) WHEN {maint} THEN {fixed[p1]} "
+            f"WHEN {over} THEN {fixed[p2]} ELSE {fixed[p3]} END)")
     return f"""SELECT well_id,
-  CASE WHEN {crit} THEN 'Critical' WHEN {maint} THEN 'High' WHEN {over} THEN 'Medium' ELSE 'Low' END AS priority,
+  CASE WHEN {crit} THEN {q(p0)} WHEN {maint} THEN {q(p1)} WHEN {over} THEN {q(p2)} ELSE {q(p3)} END AS priority,
   CASE WHEN {crit} THEN 0 WHEN {maint} THEN 1 WHEN {over} THEN 2 ELSE 3 END AS priority_order,
   {title('failure_type')} AS fault_type,
-  CASE WHEN {crit} THEN 'Dispatch crew immediately — active fault confirmed'
-       WHEN {maint} THEN 'Inspect within 5 days — sensors flagged for maintenance'
-       WHEN {over} THEN 'Routine inspection overdue — schedule within 2 weeks'
-       ELSE 'No action needed — continue monitoring' END AS action,
+  CASE WHEN {crit} THEN {q(a0)} WHEN {maint} THEN {q(a1)} WHEN {over} THEN {q(a2)} ELSE {q(a3)} END AS action,
   {half_even(days, 1)} AS days_remaining,
   strftime(make_timestamp({now_us} + CAST(trunc(greatest({days}, 0.0) * {US_PER_DAY}) AS BIGINT)), '%b %d, %Y') AS schedule_by,
   CAST(trunc(hours_since_last_maintenance) AS INTEGER) AS hrs_since_service"""
