@@ -71,6 +71,8 @@ def add_sequence(df: DataFrame, spec: SensorSpec, layout: Layout = DEFAULT_LAYOU
 
 
 SINGLE = "single_chunk"
+LOOKBACK = "lookback"
+ROWS = "chunk_rows"
 
 
 COMPLETE = "null_free"
@@ -111,17 +113,28 @@ def lay_out(df: DataFrame, spec: SensorSpec, lookback: int, layout: Layout = DEF
                 .withColumn(CHUNK, F.lit(0).alias(CHUNK, metadata={SINGLE: True, COMPLETE: complete}))
                 .withColumn(CTX, F.lit(False)))
     d = add_sequence(df, spec, layout)
-    home = F.floor(F.col(SEQ) / F.lit(layout.chunk_rows))
+    meta = {COMPLETE: complete, LOOKBACK: lookback, ROWS: layout.chunk_rows}
+    d = (d.withColumn(CHUNK, F.floor(F.col(SEQ) / F.lit(layout.chunk_rows)).alias(CHUNK, metadata=meta))
+         .withColumn(CTX, F.lit(False)))
+    return add_context(d)
+
+
+def add_context(df: DataFrame) -> DataFrame:
+    """Copy each row into every later chunk whose first row lies within ``lookback`` rows after it
+    (flagged ``_ctx``), so bounded frames of the next chunk see their predecessors."""
+    meta = dict(df.schema[CHUNK].metadata)
+    lookback, rows = meta.get(LOOKBACK, 0), meta.get(ROWS)
+    if meta.get(SINGLE) or not lookback:
+        return df
+    home = F.col(CHUNK)
     targets = F.array(F.struct(home.alias("c"), F.lit(False).alias("x")))
-    if lookback > 0:
-        # a row is context for every later chunk whose first row lies within ``lookback`` rows after it
-        last = F.floor((F.col(SEQ) + F.lit(lookback)) / F.lit(layout.chunk_rows))
-        copies = F.transform(F.sequence(home + 1, last),
-                             lambda c: F.struct(c.alias("c"), F.lit(True).alias("x")))
-        targets = F.when(last > home, F.concat(targets, copies)).otherwise(targets)
+    last = F.floor((F.col(SEQ) + F.lit(lookback)) / F.lit(rows))
+    copies = F.transform(F.sequence(home + 1, last), lambda c: F.struct(c.alias("c"), F.lit(True).alias("x")))
+    targets = F.when(last > home, F.concat(targets, copies)).otherwise(targets)
     return (
-        d.withColumn("_t", F.explode(targets))
-        .withColumn(CHUNK, F.col("_t.c").alias(CHUNK, metadata={COMPLETE: complete}))
+        df.filter(~F.col(CTX))
+        .withColumn("_t", F.explode(targets))
+        .withColumn(CHUNK, F.col("_t.c").alias(CHUNK, metadata=meta))
         .withColumn(CTX, F.col("_t.x"))
         .drop("_t")
     )

@@ -71,3 +71,23 @@ def test_hot_machine_with_tied_times_numbered_exactly(spark):
     parts = (hot.repartitionByRange(8, "well_id", *LINEITEM_SPEC.order_cols)
              .groupBy(F.spark_partition_id()).count().count())
     assert parts > 1
+
+
+def test_context_copies_carry_home_labels(spark):
+    """After labels on a chunked layout, every context copy holds its home row's label values."""
+    from pyspark.sql import functions as F
+
+    from rigscope.config import EVENTS_SPEC
+    from rigscope.operators.sequence import CHUNK, CTX, SEQ
+    from rigscope.plans.frames import labeled
+    from rigscope.sources.adapters import events_readings
+
+    lab = labeled(events_readings(spark, SF001), EVENTS_SPEC, Layout(chunk_rows=9, range_partitions=4),
+                  force_chunks=True)
+    cols = ["hours_since_last_maintenance", "days_to_failure", "cumulative_operating_hours"]
+    home = lab.filter(~F.col(CTX)).select("well_id", SEQ, *[F.col(c).alias("h_" + c) for c in cols])
+    ctx = lab.filter(F.col(CTX)).select("well_id", SEQ, CHUNK, *cols)
+    assert ctx.count() > 0
+    j = ctx.join(home, ["well_id", SEQ])
+    bad = j.filter(" OR ".join(f"NOT ({c} <=> h_{c})" for c in cols))
+    assert j.count() == ctx.count() and bad.count() == 0
