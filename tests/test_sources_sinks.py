@@ -100,3 +100,14 @@ def test_stage_reuse(spark, scratch):
 
 def test_schema_has_required(spark):
     assert [f.name for f in READINGS_SCHEMA.fields] == list(REQUIRED_COLS)
+
+
+def test_pipeline_model_save_load(spark, scratch):
+    df = spark.range(200).select((F.col("id") / 20.0).alias("x"), F.rand(4).alias("n"))
+    df = df.withColumn("y", F.col("x") * 2 - 1)
+    m = models.fit_regressor(df, ["x", "n"], "y")
+    models.save_model(m, f"{scratch}/reg")
+    back = models.load_pipeline(f"{scratch}/reg")
+    a = [r["days_raw"] for r in models.predict_days(m, df).orderBy("x").collect()]
+    b = [r["days_raw"] for r in models.predict_days(back, df).orderBy("x").collect()]
+    assert a == b
