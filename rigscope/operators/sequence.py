@@ -78,20 +78,24 @@ ROWS = "chunk_rows"
 COMPLETE = "null_free"
 
 
-def profile(df: DataFrame, spec: SensorSpec):
-    """One scan: rows of the biggest entity and the double columns without any null.
-    Per-entity partial counts, then one row to the driver."""
+def profile(df: DataFrame, spec: SensorSpec, chunk_rows: int = DEFAULT_LAYOUT.chunk_rows):
+    """One scan: rows of the biggest entity, the number of entities above ``chunk_rows`` and the
+    double columns without any null.  Per-entity partial counts, then one row to the driver."""
     dbl = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("double", "float")]
     per = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("_n"),
                                       *[F.count(F.when(F.col(c).isNull(), F.lit(1))).alias(c) for c in dbl])
-    row = per.agg(F.max("_n").alias("_n"), *[F.sum(c).alias(c) for c in dbl]).first()
-    return (row["_n"] or 0), [c for c in dbl if not row[c]]
+    row = per.agg(F.max("_n").alias("_n"), F.count(F.when(F.col("_n") > F.lit(chunk_rows), F.lit(1))).alias("_hot"),
+                  *[F.sum(c).alias(c) for c in dbl]).first()
+    return (row["_n"] or 0), [c for c in dbl if not row[c]], row["_hot"]
 
 
 def largest_entity(df: DataFrame, spec: SensorSpec) -> int:
     return profile(df, spec)[0]
 
 
+HOT_BROADCAST_LIMIT = 1_000_000   # hot-entity keys broadcast up to this many (≤ rows / chunk_rows)
+
+
 def known_complete(df: DataFrame) -> list:
     """Columns the layout's profile found without nulls (empty when unknown)."""
     if CHUNK not in df.columns:
@@ -103,16 +107,27 @@ def lay_out(df: DataFrame, spec: SensorSpec, lookback: int, layout: Layout = DEF
             force_chunks: bool = False) -> DataFrame:
     """Add ``_seq``, ``_chunk`` and ``_ctx`` (context copies for a ``lookback``-row frame).
 
-    When every entity holds at most ``chunk_rows`` rows (checked with one aggregate) each entity is a
-    single chunk: one window task per entity, bounded by ``chunk_rows``, and no carries.  Otherwise
-    positions come from per-bucket counts and entities are cut into chunks."""
-    biggest, complete = (None, []) if force_chunks else profile(df, spec)
-    if biggest is not None and biggest <= layout.chunk_rows:
-        w = Window.partitionBy(spec.entity).orderBy(*spec.order_cols)
-        return (df.withColumn(SEQ, F.row_number().over(w) - 1)
-                .withColumn(CHUNK, F.lit(0).alias(CHUNK, metadata={SINGLE: True, COMPLETE: complete}))
-                .withColumn(CTX, F.lit(False)))
-    d = add_sequence(df, spec, layout)
+    One profiling aggregate decides.  When every entity holds at most ``chunk_rows`` rows, each entity
+    is a single chunk: one window task per entity, bounded by ``chunk_rows``, no carries.  Otherwise
+    only the entities above ``chunk_rows`` ("hot", at most rows / chunk_rows of them) are numbered by
+    range partitioning and cut into chunks; the others keep the per-entity ``row_number``."""
+    w_entity = Window.partitionBy(spec.entity).orderBy(*spec.order_cols)
+    if force_chunks:
+        complete, d = [], add_sequence(df, spec, layout)
+    else:
+        biggest, complete, n_hot = profile(df, spec, layout.chunk_rows)
+        if biggest <= layout.chunk_rows:
+            return (df.withColumn(SEQ, F.row_number().over(w_entity) - 1)
+                    .withColumn(CHUNK, F.lit(0).alias(CHUNK, metadata={SINGLE: True, COMPLETE: complete}))
+                    .withColumn(CTX, F.lit(False)))
+        sizes = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("_n"))
+        hot = sizes.filter(F.col("_n") > F.lit(layout.chunk_rows)).select(spec.entity)
+        if n_hot <= HOT_BROADCAST_LIMIT:      # counted above: a proven bound on the broadcast side
+            hot = F.broadcast(hot)
+        cold = (df.join(hot, spec.entity, "left_anti").select(*df.columns)
+                .withColumn(SEQ, F.row_number().over(w_entity) - 1))
+        warm = add_sequence(df.join(hot, spec.entity, "left_semi").select(*df.columns), spec, layout)
+        d = cold.unionByName(warm)
     meta = {COMPLETE: complete, LOOKBACK: lookback, ROWS: layout.chunk_rows}
     d = (d.withColumn(CHUNK, F.floor(F.col(SEQ) / F.lit(layout.chunk_rows)).alias(CHUNK, metadata=meta))
          .withColumn(CTX, F.lit(False)))

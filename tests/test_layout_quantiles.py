@@ -91,3 +91,27 @@ def test_context_copies_carry_home_labels(spark):
     j = ctx.join(home, ["well_id", SEQ])
     bad = j.filter(" OR ".join(f"NOT ({c} <=> h_{c})" for c in cols))
     assert j.count() == ctx.count() and bad.count() == 0
+
+
+def test_hybrid_layout_with_one_hot_machine(spark):
+    """Half the suppliers merged into one hot machine: only it goes through the chunked numbering,
+    and the features equal the single-window answer."""
+    from pyspark.sql import functions as F
+
+    from rigscope.config import LINEITEM_SPEC
+    from rigscope.operators.features import engineer_features
+    from rigscope.operators.labels import derive_labels
+    from rigscope.operators.sequence import lay_out, strip
+    from rigscope.sources.adapters import lineitem_readings
+
+    r = lineitem_readings(spark, SF001)
+    r = r.withColumn("well_id", F.when(F.col("depth_ft") <= 1005, F.lit("HOT")).otherwise(F.col("well_id")))
+
+    def chain(layout):
+        return strip(engineer_features(derive_labels(lay_out(r, LINEITEM_SPEC, 46, layout), LINEITEM_SPEC),
+                                       LINEITEM_SPEC))
+
+    key = ["record_id", "l_partkey", "l_quantity", "l_extendedprice", "t_us"]
+    hybrid = _pdf(chain(Layout(chunk_rows=1000, range_partitions=6)), key)   # HOT ≈ 3000 rows, others ≈ 600
+    single = _pdf(chain(Layout(chunk_rows=10**6)), key)
+    pd.testing.assert_frame_equal(hybrid, single, check_exact=False, rtol=1e-9, atol=1e-9)
