@@ -10,15 +10,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import (ANOMALY_BAND_ELSE, ANOMALY_BANDS, DAYS_BAND_ELSE, DAYS_BANDS, EVENTS_SPEC, RISK_BAND_ELSE,
-                      RISK_BANDS)
+from ..config import (ANOMALY_BAND_ELSE, ANOMALY_BANDS, DAYS_BAND_ELSE, DAYS_BANDS, EVENTS_SPEC, LINEITEM_SPEC,
+                      RISK_BAND_ELSE, RISK_BANDS)
 from ..functions.scalars import r6
-from ..operators import fleet, schedule
-from ..operators.impute import rolling_median_fill
+from ..operators import alerts as alerts_op
+from ..operators import evaluate, fleet, models, prepare, schedule
+from ..operators.features import engineer_features as _engineer
+from ..operators.impute import keep_first, rolling_median_fill, zero_fill
+from ..operators.score import reconstruction_error as _rec
 from ..operators.sequence import strip
-from ..sources.adapters import events_readings
+from ..sources import sinks
+from ..sources.adapters import events_readings, lineitem_readings, read_table
 from . import oracle_sql as sql
 from .frames import events_features, events_labeled, labeled
+from .frames import lineitem_features as _lineitem_features
+from .scoring import EVENTS_FORMULA, score_formula
 
 SPEC = EVENTS_SPEC
 DAY_US = 86_400_000_000
@@ -288,11 +294,6 @@ def workload(spark, d):
 
 
 # ---------------------------------------------------------------- D/E/F/G: scoring chain (formula model)
-from ..operators import alerts as alerts_op  # noqa: E402
-from ..operators import evaluate  # noqa: E402
-from ..operators import prepare  # noqa: E402
-from ..operators.features import feature_columns  # noqa: E402
-from .scoring import EVENTS_FORMULA, score_formula  # noqa: E402
 
 FEATS = list(SPEC.features)
 
@@ -554,8 +555,6 @@ def anomaly_overlay(spark, d):
 
 
 # ---------------------------------------------------------------- lineitem: four-sensor fleet
-from ..config import LINEITEM_SPEC  # noqa: E402
-from .frames import lineitem_features as _lineitem_features  # noqa: E402
 
 _LI_OUT = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", *ENG]
 
@@ -571,7 +570,6 @@ def lineitem_features(spark, d):
 
 
 # ---------------------------------------------------------------- E1/E5/E7/E12/E13/G10: fitted models (rows-only)
-from ..operators import models  # noqa: E402
 
 
 def _pca(spark, d):
@@ -648,9 +646,6 @@ def dense_network_scores(spark, d):
 
 
 # ---------------------------------------------------------------- A: ingestion, keys, derived tables, sinks
-from ..operators.impute import keep_first  # noqa: E402
-from ..sources import sinks  # noqa: E402
-from ..sources.adapters import lineitem_readings, read_table  # noqa: E402
 
 
 @register("ingestion_report", sql.with_ctes(
@@ -758,9 +753,6 @@ def adhoc_sql(spark, d):
 
 
 # ---------------------------------------------------------------- E11 + B5: score a date window
-from ..operators.features import engineer_features as _engineer  # noqa: E402
-from ..operators.impute import zero_fill  # noqa: E402
-from ..operators.score import decisions as _decisions, reconstruction_error as _rec  # noqa: E402
 
 
 @register("window_scoring", _sql_scored(

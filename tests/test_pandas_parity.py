@@ -2,7 +2,6 @@
 
 import numpy as np
 import pandas as pd
-import pytest
 
 from rigscope.config import SensorSpec
 from rigscope.operators.features import engineer_features
