@@ -44,5 +44,6 @@ def decisions(df: DataFrame, spec: SensorSpec, threshold: float, prob: str = "co
 
 def prediction_rows(df: DataFrame, spec: SensorSpec) -> DataFrame:
     """The 8 prediction columns."""
-    return df.select(spec.entity, spec.record, spec.time_us, "predicted_failure", "confidence_score",
+    when = [spec.time] if spec.time in df.columns else []
+    return df.select(spec.entity, spec.record, *when, spec.time_us, "predicted_failure", "confidence_score",
                      "days_to_failure_pred", "anomaly_score", "is_anomaly")
