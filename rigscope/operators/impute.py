@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SensorSpec
+from .cache import keep
 from .quantiles import approx_quantiles, exact_quantiles
 from .sequence import CHUNK, DEFAULT_LAYOUT, Layout, ensure_layout, frame, home_rows, known_complete, strip
 
@@ -35,7 +35,7 @@ def rolling_median_fill(df: DataFrame, spec: SensorSpec, cols=None, layout: Layo
         for c in d.columns
     ])
     if persist:
-        d = d.persist(StorageLevel.MEMORY_AND_DISK)
+        d = keep(d)
     base = home_rows(d)
     # B2 only where B1 left gaps (the null check rides on the quantile's first pass)
     medians = (exact_quantiles(base, cols, 0.5, only_with_nulls=True) if exact

@@ -19,12 +19,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SensorSpec
+from .cache import keep
 
 SEQ = "_seq"
 CHUNK = "_chunk"
@@ -53,9 +53,8 @@ def add_sequence(df: DataFrame, spec: SensorSpec, layout: Layout = DEFAULT_LAYOU
     # persisted so the count branch and the row branch read ONE range exchange: the partitioner's
     # sample is seeded per RDD, two planned exchanges could cut at different bounds.  A lost block
     # is recomputed through the same shuffle dependency, i.e. with the same bounds.
-    r = (df.repartitionByRange(parts, F.col(spec.entity), *[F.col(c) for c in spec.order_cols])
-         .withColumn("_pid", F.spark_partition_id())
-         .persist(StorageLevel.MEMORY_AND_DISK))
+    r = keep(df.repartitionByRange(parts, F.col(spec.entity), *[F.col(c) for c in spec.order_cols])
+             .withColumn("_pid", F.spark_partition_id()))
     counts = r.groupBy(spec.entity, "_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(spec.entity).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(

@@ -15,6 +15,7 @@ from ..config import (ANOMALY_BAND_ELSE, ANOMALY_BANDS, DAYS_BAND_ELSE, DAYS_BAN
 from ..functions.scalars import r6
 from ..operators import alerts as alerts_op
 from ..operators import evaluate, fleet, models, prepare, schedule
+from ..operators.cache import keep
 from ..operators.features import engineer_features as _engineer
 from ..operators.impute import keep_first, rolling_median_fill, zero_fill
 from ..operators.score import reconstruction_error as _rec
@@ -430,7 +431,7 @@ def model_metrics(spark, d):
     from ..functions.scalars import half_even
 
     s = scored(spark, d)
-    test = s.frame.filter(F.col("split") == "test").persist()
+    test = keep(s.frame.filter(F.col("split") == "test"))
     auc_a = evaluate.auc(test, "maintenance_required", "anomaly_score")
     auc_c = evaluate.auc(test, "maintenance_required", "confidence_score")
     cm = evaluate.confusion(test, "maintenance_required", "predicted_failure")

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SensorSpec
+from ..operators.cache import keep
 from ..operators.features import feature_columns
 from ..operators.prepare import apply_scaler, fit_scaler, normal_rows, with_split
 from ..operators.score import anomaly_threshold, decisions, reconstruction_error
@@ -40,7 +40,7 @@ class Scored:
 
 def score_formula(features: DataFrame, spec: SensorSpec, model: FormulaModel = EVENTS_FORMULA,
                   fit_on: str = "train", q: float = 0.95) -> Scored:
-    f = with_split(features, spec).persist(StorageLevel.MEMORY_AND_DISK)
+    f = keep(with_split(features, spec))
     feats = feature_columns(f, spec)
     stats = fit_scaler(f.filter(F.col("split") == "train") if fit_on == "train" else f, feats)
     z = apply_scaler(f, stats, suffix="_z")
