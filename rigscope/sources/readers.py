@@ -50,3 +50,10 @@ def read_readings(spark: SparkSession, path: str, fmt: str = "csv", schema: T.St
             c = F.when(F.isnan(c), F.lit(None)).otherwise(c)
         out.append(c.alias(f.name))
     return df.select(*out)
+
+
+def with_epoch(df: DataFrame, spec) -> DataFrame:
+    """Add ``spec.time_us`` (epoch microseconds of ``spec.time``) used for ordering and arithmetic."""
+    from ..functions.scalars import epoch_us_of
+
+    return df.withColumn(spec.time_us, epoch_us_of(df, spec.time))
