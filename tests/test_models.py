@@ -55,3 +55,16 @@ def test_balanced_replicas(spark):
     df = spark.createDataFrame([(0.0,)] * 9 + [(1.0,)], "y double")
     out = {r["y"]: r["count"] for r in models.balanced_replicas(df, "y").groupBy("y").count().collect()}
     assert out == {0.0: 9, 1.0: 9}
+
+
+@pytest.mark.parametrize("kind", ["logistic", "gbt"])
+def test_weighted_classifiers(spark, kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 2))
+    y = (x[:, 0] > 1.0).astype(float)                      # ~16 % positives
+    df = spark.createDataFrame([(float(a), float(b), float(t)) for (a, b), t in zip(x, y)], "a double, b double, y double")
+    m = models.fit_classifier(df, ["a", "b"], "y", kind=kind, max_iter=20)
+    p = models.failure_probability(m, df).toPandas()
+    assert p["confidence_score"].between(0, 1).all()
+    auc = evaluate.auc(spark.createDataFrame(p[["y", "confidence_score"]]), "y", "confidence_score")
+    assert auc > 0.9
