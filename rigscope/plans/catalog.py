@@ -801,3 +801,30 @@ def permutation_importance(spark, d):
     rows = [(f[:-2], float(v), float(max(v, 0.0) / total * 100.0), float(base)) for f, v in drops]
     # one row per feature: as many rows as features, built from the measured drops
     return spark.createDataFrame(rows, "feature string, auc_drop double, importance_pct double, base_auc double")
+
+
+@register("fault_value_counts", sql.with_ctes(sql.events_readings()) + """
+SELECT failure_type, count(*) AS n FROM readings GROUP BY failure_type""", "A3")
+def fault_value_counts(spark, d):
+    """Every fault value including ``none``, most frequent first (the ingestion printout)."""
+    r = events_readings(spark, d)
+    return r.groupBy("failure_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "failure_type")
+
+
+@register("null_counts", sql.with_ctes(sql.events_readings(), sql.labeled(),
+                                       sql.imputed(SPEC.sensors, "labeled", "cleaned")) + """
+SELECT 'before' AS stage, CAST(count(*) FILTER (WHERE value IS NULL) AS BIGINT) AS value,
+       CAST(count(*) FILTER (WHERE signal IS NULL) AS BIGINT) AS signal,
+       CAST(count(*) FILTER (WHERE value IS NULL) + count(*) FILTER (WHERE signal IS NULL) AS BIGINT) AS total_nulls
+FROM labeled
+UNION ALL
+SELECT 'after', CAST(count(*) FILTER (WHERE value IS NULL) AS BIGINT), CAST(count(*) FILTER (WHERE signal IS NULL) AS BIGINT),
+       CAST(count(*) FILTER (WHERE value IS NULL) + count(*) FILTER (WHERE signal IS NULL) AS BIGINT)
+FROM cleaned""", "B3")
+def null_counts(spark, d):
+    from ..operators.impute import null_counts as _nulls
+
+    laid = labeled(events_readings(spark, d), SPEC)
+    before = _nulls(strip(laid), SPEC.sensors).withColumn("stage", F.lit("before"))
+    after = _nulls(strip(rolling_median_fill(laid, SPEC, cols=SPEC.sensors)), SPEC.sensors).withColumn("stage", F.lit("after"))
+    return before.unionByName(after).select("stage", *SPEC.sensors, "total_nulls")
