@@ -228,7 +228,8 @@ def well_kpis(spark, d):
 
 
 def _ranges_sql() -> str:
-    rows = ", ".join(f"('{s}', {float(lo)}, {float(hi)}, '{lab}')" for s, lo, hi, lab in SPEC.ranges)
+    rows = ", ".join(f"('{s}', CAST({float(lo)} AS DOUBLE), CAST({float(hi)} AS DOUBLE), '{lab}')"
+                     for s, lo, hi, lab in SPEC.ranges)
     return f"ranges AS (SELECT * FROM (VALUES {rows}) AS t(sensor, lo, hi, label))"
 
 
@@ -487,7 +488,7 @@ def classification_report(spark, d):
 @register("roc_curve", _sql_scored(f"""per AS (SELECT CAST(floor(confidence_score / 0.01) AS INTEGER) AS bucket,
   CAST(sum(maintenance_required) AS BIGINT) AS pos, CAST(sum(1 - maintenance_required) AS BIGINT) AS neg
   FROM decided WHERE {TEST} GROUP BY 1)""") + f"""
-SELECT {sql.r6('bucket * 0.01')} AS threshold,
+SELECT {sql.r6('CAST(bucket AS DOUBLE) * CAST(0.01 AS DOUBLE)')} AS threshold,
   {sql.r6('CAST(sum(pos) OVER (ORDER BY bucket DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / sum(pos) OVER ()')} AS tpr,
   {sql.r6('CAST(sum(neg) OVER (ORDER BY bucket DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / sum(neg) OVER ()')} AS fpr
 FROM per""", "G8")
