@@ -25,7 +25,7 @@ from ..sources.adapters import events_readings, lineitem_readings, read_table
 from . import oracle_sql as sql
 from .frames import events_features, events_labeled, labeled
 from .frames import lineitem_features as _lineitem_features
-from .scoring import EVENTS_FORMULA, score_formula
+from .scoring import EVENTS_FORMULA, score_formula, score_window
 
 SPEC = EVENTS_SPEC
 DAY_US = 86_400_000_000
@@ -776,13 +776,8 @@ def window_scoring(spark, d):
     c = clean(spark, d)
     end = c.agg(F.max(F.col(SPEC.time).cast("date"))).first()[0]
     import datetime as _dt
-    win = fleet.window_filter(c, SPEC, (end - _dt.timedelta(days=_WINDOW_DAYS)).isoformat(), end.isoformat())
-    f = zero_fill(_engineer(win, SPEC), s.features)
-    from ..operators.prepare import apply_scaler
-    z = apply_scaler(f, s.stats, suffix="_z")
-    z = z.withColumn("anomaly_score", _rec([x + "_z" for x in s.features], [F.lit(0.0)] * len(s.features)))
-    return z.select("well_id", "record_id", "t_us", r6("anomaly_score").alias("anomaly_score"),
-                    (F.col("anomaly_score") > F.lit(s.threshold)).alias("is_anomaly"),
+    z = score_window(c, SPEC, s, (end - _dt.timedelta(days=_WINDOW_DAYS)).isoformat(), end.isoformat())
+    return z.select("well_id", "record_id", "t_us", r6("anomaly_score").alias("anomaly_score"), "is_anomaly",
                     r6("pressure_rolling_mean").alias("pressure_rolling_mean"),
                     r6("vibration_trend").alias("vibration_trend"))
 

@@ -52,3 +52,23 @@ def score_formula(features: DataFrame, spec: SensorSpec, model: FormulaModel = E
     thr = anomaly_threshold(normal_rows(z.filter(F.col("split") == "train"), spec))
     out = decisions(z, spec, thr).withColumn("threshold", F.lit(thr))
     return Scored(out, thr, stats, feats)
+
+
+def score_window(clean: DataFrame, spec: SensorSpec, fitted: Scored, start: str, end: str, wells=None,
+                 warmup: bool = False, inclusive_end: bool = False) -> DataFrame:
+    """E11 + B5: score the readings of ``wells`` between two dates with an already fitted scaler and
+    threshold.  ``warmup=False`` computes the window features from the window's rows only (the first
+    rows lose their history, as in the original's single-well scoring); ``warmup=True`` computes them
+    on the full history first and then filters.  Remaining feature nulls become 0."""
+    from ..operators.features import engineer_features
+    from ..operators.fleet import window_filter
+    from ..operators.impute import zero_fill
+
+    if warmup:
+        f = window_filter(engineer_features(clean, spec), spec, start, end, wells, inclusive_end)
+    else:
+        f = engineer_features(window_filter(clean, spec, start, end, wells, inclusive_end), spec)
+    z = apply_scaler(zero_fill(f, fitted.features), fitted.stats, suffix="_z")
+    z = z.withColumn("anomaly_score",
+                     reconstruction_error([c + "_z" for c in fitted.features], [F.lit(0.0)] * len(fitted.features)))
+    return z.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(fitted.threshold))
