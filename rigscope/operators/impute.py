@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..config import SensorSpec
 from .cache import keep
 from .quantiles import approx_quantiles, exact_quantiles
-from .sequence import CHUNK, DEFAULT_LAYOUT, Layout, ensure_layout, frame, home_rows, known_complete, strip
+from .sequence import (CHUNK, DEFAULT_LAYOUT, Layout, ensure_layout, frame, home_rows, known_complete, strip,
+                       total_rows)
 
 WINDOW_ROWS = 24
 
@@ -38,7 +39,7 @@ def rolling_median_fill(df: DataFrame, spec: SensorSpec, cols=None, layout: Layo
         d = keep(d)
     base = home_rows(d)
     # B2 only where B1 left gaps (the null check rides on the quantile's first pass)
-    medians = (exact_quantiles(base, cols, 0.5, only_with_nulls=True) if exact
+    medians = (exact_quantiles(base, cols, 0.5, only_with_nulls=True, max_rows=total_rows(d)) if exact
                else approx_quantiles(base, cols, 0.5))
     need = [c for c in cols if medians.get(c) is not None]
     d = d.select(*[

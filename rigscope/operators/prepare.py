@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from ..config import SPLIT_SEED, TEST_FRACTION, SensorSpec
 
 
-def fit_scaler(df: DataFrame, cols) -> dict:
+def fit_scaler(df: DataFrame, cols, with_count: bool = False):
     """Mean and population std per column (nulls ignored); a zero std divides by 1.
-    One global aggregate with map-side partials; the result is 2 numbers per column."""
+    One global aggregate with map-side partials; the result is 2 numbers per column
+    (and the row count with ``with_count``)."""
     row = df.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)],
-                 *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cols)]).first()
+                 *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cols)],
+                 F.count(F.lit(1)).alias("_rows")).first()
     out = {}
     for i, c in enumerate(cols):
         s = row[f"s_{i}"]
         out[c] = (row[f"m_{i}"], 1.0 if (s is None or s == 0.0) else s)
-    return out
+    return (out, row["_rows"]) if with_count else out
 
 
 def apply_scaler(df: DataFrame, stats: dict, suffix: str = "") -> DataFrame:

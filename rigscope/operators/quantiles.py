@@ -23,16 +23,37 @@ def _bin_expr(v: Column, lo: float, hi: float, bins: int) -> Column:
     return F.least(F.greatest(scaled, F.lit(0)), F.lit(bins - 1))
 
 
+def _interpolate(sorted_vals, q: float) -> float:
+    n = len(sorted_vals)
+    h = (n - 1) * q
+    k0 = int(math.floor(h))
+    k1 = min(k0 + 1, n - 1)
+    return sorted_vals[k0] + (h - k0) * (sorted_vals[k1] - sorted_vals[k0])
+
+
 def exact_quantiles(df: DataFrame, cols, q: float, bins: int = 1024, gather_limit: int = 100_000,
-                    max_rounds: int = 12, only_with_nulls: bool = False) -> dict:
+                    max_rounds: int = 12, only_with_nulls: bool = False, max_rows: int | None = None) -> dict:
     """Return {col: quantile q of the non-null values of col} (None for an all-null column, and with
-    ``only_with_nulls`` also for a column without nulls, which then needs no quantile)."""
+    ``only_with_nulls`` also for a column without nulls, which then needs no quantile).
+    ``max_rows``: a known upper bound on the rows; within ``gather_limit`` one pass gathers the values."""
     cols = list(cols)
     every = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)
     ])).alias("p")).select("p.k", F.when(~F.isnan("p.v"), F.col("p.v")).alias("v"))
     long = every.filter(F.col("v").isNotNull())
 
+    if max_rows is not None and max_rows <= gather_limit:
+        got = {r["k"]: r for r in every.groupBy("k").agg(
+            F.count(F.when(F.col("v").isNull(), F.lit(1))).alias("nulls"),
+            F.sort_array(F.collect_list("v")).alias("vals")).collect()}
+        out = dict.fromkeys(cols)
+        for i, c in enumerate(cols):
+            r = got.get(i)
+            if r is None or not r["vals"] or (only_with_nulls and r["nulls"] == 0):
+                continue
+            out[c] = _interpolate(r["vals"], q)
+        return out
+
     # first pass: count, min, max (and nulls) per column
     stats = {r["k"]: r for r in every.groupBy("k").agg(
         F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),

@@ -24,10 +24,11 @@ def reconstruction_error(x_cols, xhat_cols) -> Column:
     return reduce(lambda a, b: a + b, terms) / F.lit(float(len(terms)))
 
 
-def anomaly_threshold(scores: DataFrame, col: str = "anomaly_score", q: float = 0.95, exact: bool = True) -> float:
+def anomaly_threshold(scores: DataFrame, col: str = "anomaly_score", q: float = 0.95, exact: bool = True,
+                      max_rows: int | None = None) -> float:
     """Q-quantile (linear interpolation) of the normal training scores."""
     if exact:
-        return exact_quantiles(scores, [col], q)[col]
+        return exact_quantiles(scores, [col], q, max_rows=max_rows)[col]
     return scores.agg(F.percentile_approx(col, q, 100_000)).first()[0]
 
 

@@ -71,6 +71,7 @@ def add_sequence(df: DataFrame, spec: SensorSpec, layout: Layout = DEFAULT_LAYOU
 
 SINGLE = "single_chunk"
 LOOKBACK = "lookback"
+TOTAL = "rows_total"
 ROWS = "chunk_rows"
 
 
@@ -84,14 +85,21 @@ def profile(df: DataFrame, spec: SensorSpec, chunk_rows: int = DEFAULT_LAYOUT.ch
     per = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("_n"),
                                       *[F.count(F.when(F.col(c).isNull(), F.lit(1))).alias(c) for c in dbl])
     row = per.agg(F.max("_n").alias("_n"), F.count(F.when(F.col("_n") > F.lit(chunk_rows), F.lit(1))).alias("_hot"),
-                  *[F.sum(c).alias(c) for c in dbl]).first()
-    return (row["_n"] or 0), [c for c in dbl if not row[c]], row["_hot"]
+                  F.sum("_n").alias("_total"), *[F.sum(c).alias(c) for c in dbl]).first()
+    return (row["_n"] or 0), [c for c in dbl if not row[c]], row["_hot"], (row["_total"] or 0)
 
 
 def largest_entity(df: DataFrame, spec: SensorSpec) -> int:
     return profile(df, spec)[0]
 
 
+def total_rows(df: DataFrame):
+    """Rows counted by the layout's profile (None when unknown)."""
+    if CHUNK not in df.columns:
+        return None
+    return df.schema[CHUNK].metadata.get(TOTAL)
+
+
 HOT_BROADCAST_LIMIT = 1_000_000   # hot-entity keys broadcast up to this many (≤ rows / chunk_rows)
 
 
@@ -112,12 +120,13 @@ def lay_out(df: DataFrame, spec: SensorSpec, lookback: int, layout: Layout = DEF
     range partitioning and cut into chunks; the others keep the per-entity ``row_number``."""
     w_entity = Window.partitionBy(spec.entity).orderBy(*spec.order_cols)
     if force_chunks:
-        complete, d = [], add_sequence(df, spec, layout)
+        complete, total, d = [], None, add_sequence(df, spec, layout)
     else:
-        biggest, complete, n_hot = profile(df, spec, layout.chunk_rows)
+        biggest, complete, n_hot, total = profile(df, spec, layout.chunk_rows)
         if biggest <= layout.chunk_rows:
+            meta = {SINGLE: True, COMPLETE: complete, TOTAL: total}
             return (df.withColumn(SEQ, F.row_number().over(w_entity) - 1)
-                    .withColumn(CHUNK, F.lit(0).alias(CHUNK, metadata={SINGLE: True, COMPLETE: complete}))
+                    .withColumn(CHUNK, F.lit(0).alias(CHUNK, metadata=meta))
                     .withColumn(CTX, F.lit(False)))
         sizes = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("_n"))
         hot = sizes.filter(F.col("_n") > F.lit(layout.chunk_rows)).select(spec.entity)
@@ -127,7 +136,7 @@ def lay_out(df: DataFrame, spec: SensorSpec, lookback: int, layout: Layout = DEF
                 .withColumn(SEQ, F.row_number().over(w_entity) - 1))
         warm = add_sequence(df.join(hot, spec.entity, "left_semi").select(*df.columns), spec, layout)
         d = cold.unionByName(warm)
-    meta = {COMPLETE: complete, LOOKBACK: lookback, ROWS: layout.chunk_rows}
+    meta = {COMPLETE: complete, LOOKBACK: lookback, ROWS: layout.chunk_rows, TOTAL: total}
     d = (d.withColumn(CHUNK, F.floor(F.col(SEQ) / F.lit(layout.chunk_rows)).alias(CHUNK, metadata=meta))
          .withColumn(CTX, F.lit(False)))
     return add_context(d)

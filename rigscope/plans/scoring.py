@@ -42,14 +42,16 @@ def score_formula(features: DataFrame, spec: SensorSpec, model: FormulaModel = E
                   fit_on: str = "train", q: float = 0.95) -> Scored:
     f = keep(with_split(features, spec))
     feats = feature_columns(f, spec)
-    stats = fit_scaler(f.filter(F.col("split") == "train") if fit_on == "train" else f, feats)
+    stats, n_fit = fit_scaler(f.filter(F.col("split") == "train") if fit_on == "train" else f, feats, with_count=True)
     z = apply_scaler(f, stats, suffix="_z")
     z = z.withColumns({
         "anomaly_score": reconstruction_error([c + "_z" for c in feats], [F.lit(0.0)] * len(feats)),
         "confidence_score": F.expr(model.prob_sql),
         "days_raw": F.expr(model.days_sql),
     })
-    thr = anomaly_threshold(normal_rows(z.filter(F.col("split") == "train"), spec))
+    # normal training rows are a subset of the fitted rows when fitting on train
+    bound = n_fit if fit_on == "train" else None
+    thr = anomaly_threshold(normal_rows(z.filter(F.col("split") == "train"), spec), max_rows=bound)
     out = decisions(z, spec, thr).withColumn("threshold", F.lit(thr))
     return Scored(out, thr, stats, feats)
 

@@ -115,3 +115,15 @@ def test_hybrid_layout_with_one_hot_machine(spark):
     hybrid = _pdf(chain(Layout(chunk_rows=1000, range_partitions=6)), key)   # HOT ≈ 3000 rows, others ≈ 600
     single = _pdf(chain(Layout(chunk_rows=10**6)), key)
     pd.testing.assert_frame_equal(hybrid, single, check_exact=False, rtol=1e-9, atol=1e-9)
+
+
+def test_one_pass_quantiles_equal_refinement(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=3000)
+    x[rng.random(3000) < 0.2] = np.nan
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "z": np.ones(3000)}))
+    for q in (0.5, 0.95):
+        one = exact_quantiles(df, ["x", "z"], q, max_rows=3000)
+        many = exact_quantiles(df, ["x", "z"], q, bins=8, gather_limit=40)
+        assert one == pytest.approx(many, abs=1e-12)
+        assert exact_quantiles(df, ["x", "z"], q, max_rows=3000, only_with_nulls=True)["z"] is None
