@@ -1,9 +1,11 @@
 """Skew-safe per-entity ordering for row-based windows.
 
 A plain ``Window.partitionBy(entity)`` sends a whole entity to one task; one
-machine can hold a third of all rows.  Instead every row gets
+machine can hold a third of all rows.  One profiling aggregate counts rows per
+entity: entities within ``chunk_rows`` keep a plain per-entity window (a proven
+bound); the others ("hot") get
 
-* ``_seq``   – its 0-based position inside its entity in (time, record, tiebreak)
+* ``_seq``   – their 0-based position inside the entity in (time, record, tiebreak)
   order, computed from counts per (range partition, entity) and a ``row_number``
   inside each, so no task sees more than one range partition of one entity;
 * ``_chunk`` – ``_seq // chunk_rows``; windows run over
