@@ -25,7 +25,7 @@ from ..sources.adapters import events_readings, lineitem_readings, read_table
 from . import oracle_sql as sql
 from .frames import events_features, events_labeled, labeled
 from .frames import lineitem_features as _lineitem_features
-from .scoring import EVENTS_FORMULA, score_formula, score_window
+from .scoring import EVENTS_FORMULA, apply_models, fit_models, score_formula, score_window
 
 SPEC = EVENTS_SPEC
 DAY_US = 86_400_000_000
@@ -622,18 +622,9 @@ def huber_days_prediction(spark, d):
 
 @register("model_scoring", None, "E10 E11 A10")
 def model_scoring(spark, d):
-    """All three fitted models in one lazy chain → the 8 prediction columns."""
-    f, det = _pca(spark, d)
-    zcols = [c + "_z" for c in FEATS]
-    clf = models.fit_classifier(f.filter(F.col("split") == "train"), zcols, "maintenance_required",
-                                kind="logistic", max_iter=50)
-    reg = models.fit_regressor(prepare.near_failure_rows(f.filter(F.col("split") == "train"), SPEC), zcols, SPEC.days)
-    x = models.failure_probability(clf, f.drop("confidence_score"))
-    x = models.predict_days(reg, x.drop("days_raw"))
-    from ..operators.score import decisions
-    x = decisions(x.drop("anomaly_score", "is_anomaly", "predicted_failure", "days_to_failure_pred")
-                  .withColumnRenamed("pca_score", "anomaly_score"), SPEC, det.threshold)
-    return _pred_cols(x)
+    """All three fitted models (fitted concurrently) in one lazy chain → the 8 prediction columns."""
+    s = scored(spark, d)
+    return _pred_cols(apply_models(s, fit_models(s, SPEC), SPEC))
 
 
 @register("dense_network_scores", None, "E12")

@@ -74,3 +74,46 @@ def score_window(clean: DataFrame, spec: SensorSpec, fitted: Scored, start: str,
     z = z.withColumn("anomaly_score",
                      reconstruction_error([c + "_z" for c in fitted.features], [F.lit(0.0)] * len(fitted.features)))
     return z.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(fitted.threshold))
+
+
+@dataclass
+class FittedModels:
+    detector: object      # PcaDetector with its threshold
+    classifier: object    # PipelineModel → probability
+    regressor: object     # PipelineModel → days
+
+
+def fit_models(s: Scored, spec: SensorSpec, classifier: str = "logistic", max_iter: int = 50) -> FittedModels:
+    """E1 + E5 + E7 on the standardised training rows.  The three fits are independent jobs and are
+    submitted from parallel threads, so Spark runs them concurrently."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from ..operators import models
+    from ..operators.prepare import near_failure_rows
+
+    zcols = [c + "_z" for c in s.features]
+    train = s.frame.filter(F.col("split") == "train")
+    normal = normal_rows(train, spec)
+
+    def anomaly_model():
+        det = models.fit_pca_detector(normal, zcols, models.pca_k(len(zcols)))
+        det.threshold = anomaly_threshold(normal.withColumn("_pca", det.reconstruction_error()), "_pca")
+        return det
+
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        det = pool.submit(anomaly_model)
+        clf = pool.submit(models.fit_classifier, train, zcols, spec.label, kind=classifier, max_iter=max_iter)
+        reg = pool.submit(models.fit_regressor, near_failure_rows(train, spec), zcols, spec.days)
+        return FittedModels(det.result(), clf.result(), reg.result())
+
+
+def apply_models(s: Scored, fitted: FittedModels, spec: SensorSpec) -> DataFrame:
+    """One lazy chain from standardised features to the decision columns."""
+    from ..operators import models
+
+    x = s.frame.drop("confidence_score", "days_raw", "anomaly_score", "is_anomaly", "predicted_failure",
+                     "days_to_failure_pred")
+    x = x.withColumn("anomaly_score", fitted.detector.reconstruction_error())
+    x = models.failure_probability(fitted.classifier, x)
+    x = models.predict_days(fitted.regressor, x)
+    return decisions(x, spec, fitted.detector.threshold)
