@@ -17,14 +17,23 @@ from ..operators.models import stage
 from ..operators.score import prediction_rows
 from ..sources import sinks
 from .frames import events_features
-from .scoring import EVENTS_FORMULA, score_formula
+from .scoring import EVENTS_FORMULA, apply_models, fit_models, score_formula
 
 
-def run(spark: SparkSession, sf_dir: str, out_root: str, run_id: str, mode: str = "reuse") -> dict:
+def run(spark: SparkSession, sf_dir: str, out_root: str, run_id: str, mode: str = "reuse",
+        model: str = "fitted") -> dict:
+    """``model='fitted'`` trains the anomaly model, classifier and regressor (like the original run);
+    ``'formula'`` uses the transparent formula model."""
     spec = EVENTS_SPEC
     feats = stage(f"{out_root}/features", lambda: events_features(spark, sf_dir), mode, spark)
     s = score_formula(feats, spec, EVENTS_FORMULA)
-    scored = stage(f"{out_root}/scored/{run_id}", lambda: s.frame, mode, spark)
+    if model == "fitted":
+        fitted = fit_models(s, spec)
+        frame = apply_models(s, fitted, spec)
+        threshold = fitted.detector.threshold
+    else:
+        frame, threshold = s.frame, s.threshold
+    scored = stage(f"{out_root}/scored/{run_id}", lambda: frame, mode, spark)
 
     sinks.write_run(sinks.with_defaults(prediction_rows(scored, spec), "model_predictions"),
                     f"{out_root}/model_predictions", run_id)
@@ -45,7 +54,7 @@ def run(spark: SparkSession, sf_dir: str, out_root: str, run_id: str, mode: str
         "downtime_reduction_pct": down["downtime_reduction_pct"],
         "feature_cols": s.features,
         "input_dim": len(s.features),
-        "anomaly_threshold": s.threshold,
+        "anomaly_threshold": threshold,
     }
     sinks.write_metrics(spark, metrics, f"{out_root}/metrics")
     summary = alerts_op.run_summary(scored, spec).first().asDict()

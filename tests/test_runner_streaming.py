@@ -29,3 +29,8 @@ def test_streaming_ingest_is_idempotent(spark, scratch):
     q.awaitTermination(120)
     out = spark.read.parquet(f"{scratch}/table")
     assert out.count() == r.count() == out.select("record_id").distinct().count()
+
+
+def test_formula_run(spark, scratch):
+    out = run(spark, SF001, scratch, "f1", model="formula")
+    assert out["summary"]["records"] == spark.read.parquet(f"{SF001}/events.parquet").count()
