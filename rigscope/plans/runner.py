@@ -59,3 +59,26 @@ def run(spark: SparkSession, sf_dir: str, out_root: str, run_id: str, mode: str
     sinks.write_metrics(spark, metrics, f"{out_root}/metrics")
     summary = alerts_op.run_summary(scored, spec).first().asDict()
     return {"metrics": metrics, "summary": summary}
+
+
+def main(argv=None) -> None:
+    """``python -m rigscope.plans.runner --sf-dir D --out O --run-id R [--skip-training] [--formula]``"""
+    import argparse
+    import json
+
+    from ..session import build_session
+
+    ap = argparse.ArgumentParser(description=__doc__)
+    ap.add_argument("--sf-dir", required=True)
+    ap.add_argument("--out", required=True)
+    ap.add_argument("--run-id", required=True)
+    ap.add_argument("--skip-training", action="store_true", help="reuse finished stages")
+    ap.add_argument("--formula", action="store_true", help="use the formula model instead of fitted models")
+    a = ap.parse_args(argv)
+    out = run(build_session(), a.sf_dir, a.out, a.run_id, mode="reuse" if a.skip_training else "overwrite",
+              model="formula" if a.formula else "fitted")
+    print(json.dumps(out, default=str))
+
+
+if __name__ == "__main__":
+    main()

@@ -40,3 +40,17 @@ def test_reference_schema_pipeline(spark, scratch):
     s = score_formula(feats, spec, FormulaModel("1.0 / (1.0 + exp(-(vibration_mm_s - 20.0)))",
                                                 "(650.0 - hours_since_last_maintenance) / 24.0"))
     assert len(s.features) == 19 and s.frame.count() == clean.count()
+
+
+def test_ingestion_run_is_idempotent(spark, scratch):
+    from rigscope.plans.ingest import ingest
+
+    n = _write_reference_csv(spark, f"{scratch}/csv")
+    first = ingest(spark, f"{scratch}/csv", f"{scratch}/tables")
+    second = ingest(spark, f"{scratch}/csv", f"{scratch}/tables")
+    assert first["rows_in"] == n and first["rows_written"] == n and second["rows_written"] == 0
+    assert first["nulls_before"] > 0 and first["nulls_after"] == 0
+    assert spark.read.parquet(f"{scratch}/tables/sensor_readings").count() == n
+    wells = spark.read.parquet(f"{scratch}/tables/wells")
+    assert wells.count() == wells.select("well_id").distinct().count()
+    assert set(first["fault_counts"]) >= {"none"}
