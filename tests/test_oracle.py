@@ -18,7 +18,7 @@ def _norm(v):
     if v is None or v is pd.NA:
         return None
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6) + 0.0
+        return None if math.isnan(v) else v + 0.0      # exact: both engines round to 6 decimals
     return v.item() if hasattr(v, "item") else v
 
 
