@@ -5,16 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rigscope.llm import simhash
+from rigscope.llm import langid, linededup, simhash
 from rigscope.llm.tables import read
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
+    cut = linededup.dedup_lines(docs.withColumn("n_lines", n_lines), removed_col="removed_lines")
+    return cut.select("doc_id", "n_lines", "removed_lines", F.char_length("text").alias("kept_chars"),
+                      F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
 QUERIES = {
+    "op8_language_id": op8_language_id,
+    "op9_line_dedup": op9_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_line_dedup": linededup.op9_sql(),
+}
