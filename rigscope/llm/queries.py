@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rigscope.llm import decontam, langid, linededup, simhash
+from rigscope.llm import decontam, langid, linededup, pieces, simhash
 from rigscope.llm.tables import read
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of each document's sampled pieces: how many, a hash of their ids, and whether decoding gives the text."""
+    cut = pieces.segmentations(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return cut.select("doc_id", F.size("piece_ids").alias("n_pieces"),
+                      F.lower(F.hex(F.xxhash64("piece_ids"))).alias("pieces_hash"),
+                      F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -30,6 +39,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_decontamination": op6_decontamination,
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,

@@ -190,3 +190,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(classes.join(first, "root").select("code", "component_id"), "simhash-components")
     return (prints.join(classes, "code")
             .select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+             radius: int = 3) -> DataFrame:
+    """``docs`` without the documents whose component has a smaller id, with its columns; rows without an id stay."""
+    found = near_duplicates(docs, id_col, text_col, shingle, radius)
+    copies = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(materialize(copies, "simhash-copies"), id_col, "left_anti")
