@@ -6,10 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rigscope.llm import decontam, langid, linededup, pieces, simhash
+from rigscope.llm import decontam, langid, linededup, pieces, simhash, tokencounts, toxicity
 from rigscope.llm.tables import read
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of each document's sampled pieces: how many, a hash of their ids, and whether decoding gives the text."""
     cut = pieces.segmentations(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -39,6 +47,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op3_toxicity": op3_toxicity,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_decontamination": op6_decontamination,
     "op8_language_id": op8_language_id,

@@ -35,3 +35,15 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Let Arrow batches hold at most ``rows`` rows from now on, so that long texts don't fill a worker's memory.
+
+    Spark reads this setting when it plans the stage that runs Python, which may be after an operator has returned; it
+    stays set for the session (a smaller value that is already set stands).
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= rows:
+        spark.conf.set(key, rows)
