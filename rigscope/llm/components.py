@@ -26,11 +26,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     either direction, repeated links and self links are allowed; links with a null end are ignored.
     An empty table gives an empty table.
     """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    edges = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    alone = materialize(edges.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("root")).distinct(),
-                        "component-selves")
-    edges = materialize(edges.where("u > v").distinct(), "component-edges")
+    ends = links.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    ends = materialize(ends.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "component-links")
+    alone = ends.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("root"))
+    edges = ends.where("u > v")
     before = _fingerprint(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rigscope.llm.components import connected_components
-from rigscope.llm.tables import materialize
+from rigscope.llm.tables import materialize, small_batches
 
 SEED = 42           # of the shingles' XXH64
 TILE_ROWS = 4096    # fingerprints in a tile: 32 KB
@@ -148,6 +148,7 @@ def close_links(codes: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS) -
     together hold no link and are skipped; all others are compared exactly. A dense group yields a spanning forest of
     its links within each pair of tiles, not all its pairs; the components are the same.
     """
+    small_batches(codes.sparkSession)
     count = lambda k: F.bit_count(F.shiftrightunsigned("code", 16 * k).bitwiseAND(F.lit(0xFFFF)))
     n = codes.count()
     tiles = max(1, -(-n // tile_rows))
@@ -179,6 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id are fingerprinted and link others, but give no component id (null where a component has no id at all). Repeated
     rows are returned as often as they come; an empty table gives no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     prints = docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), shingle).alias("code"))
     prints = materialize(prints, "simhash-prints")
     classes = materialize(prints.groupBy("code").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
