@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rigscope.llm import decontam, langid, linededup, pieces, simhash, tokencounts, toxicity
-from rigscope.llm.tables import read
+from rigscope.llm import archives, decontam, langid, linededup, pieces, simhash, tokencounts, toxicity
+from rigscope.llm.tables import read, shared_path
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,15 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to ARC files, those to WARC files, and these read back."""
+    arc, warc = shared_path(spark, "pages-arc"), shared_path(spark, "pages-warc")
+    archives.write_arc(read(spark, sf_dir, "pages"), arc)
+    archives.convert(spark, arc, warc, min_bytes=0)
+    records = archives.read_warc(spark, warc).where("record_type IN ('response', 'revisit')")
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -50,6 +59,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_toxicity": op3_toxicity,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
@@ -57,5 +67,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op5_warc": archives.op5_sql(),
     "op9_line_dedup": linededup.op9_sql(),
 }
