@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rigscope.llm import archives, decontam, langid, linededup, pieces, simhash, tokencounts, toxicity
+from rigscope.llm import archives, chat, decontam, hamming, langid, linededup, pieces, simhash, tokencounts, toxicity
 from rigscope.llm.tables import read, shared_path
 
 
@@ -14,6 +14,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=10, bits=64)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -39,6 +43,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of each conversation's chat text."""
+    text = chat.formatted(read(spark, sf_dir, "conversations"))
+    return text.select("conv_id", "block", "n_messages", "n_quotes", "n_replies", "turns",
+                       F.char_length("chat").alias("chat_chars"), F.md5(F.col("chat").cast("binary")).alias("chat_md5"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
@@ -57,16 +68,20 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_exact_top_k": op2_exact_top_k,
     "op3_toxicity": op3_toxicity,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op2_exact_top_k": hamming.op2_sql(),
     "op5_warc": archives.op5_sql(),
+    "op7_chat_formatting": chat.op7_sql(),
     "op9_line_dedup": linededup.op9_sql(),
 }
