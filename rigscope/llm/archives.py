@@ -18,7 +18,7 @@ import io
 import re
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote, unquote
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -56,13 +56,13 @@ def version_block(name: str, version: int, date: str = _NO_DATE) -> bytes:
 
 
 def arc_record(url: str | None, key, payload: bytes, version: int, name: str, date: str = _NO_DATE) -> bytes:
-    """A record for a page: header line, HTTP head, payload. White space and percent signs of a URL are escaped, a null
+    """A record for a page: header line, HTTP head, payload. White space in a URL is percent-escaped, a null or empty
     URL is ``-``; the row's key goes along in the HTTP head."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n"
     if key is not None:
         head += f"X-Record-Key: {key}\r\n"
     block = head.encode() + b"\r\n" + payload
-    place = "-" if url is None else re.sub(r"[\s%\x00-\x1f]", lambda m: quote(m[0], safe=""), url) or "%"
+    place = re.sub(r"[\s\x00-\x1f]", lambda m: quote(m[0], safe=""), url) if url else "-"
     fields = [place, "0.0.0.0", date, "text/html"]
     if version == 2:
         fields += ["200", digest_of(payload), "-", "0", name]
@@ -297,11 +297,10 @@ def _read_rows(batches):
                     payload = block[cut:] if block.startswith(b"HTTP/") else block
                 sound = bare(f["warc-block-digest"]) == digest_of(block) and (
                     payload is None or bare(f.get("warc-payload-digest")) == digest_of(payload))
-                url = f.get("warc-target-uri")
-                rows.append((bare(f["warc-record-id"]), kind, f["warc-date"], None if url is None else unquote(
-                    "" if url == "%" else url), number(f.get("x-record-key")), number(f.get("x-payload-bytes")),
-                    bare(f.get("warc-payload-digest")), bare(f.get("warc-refers-to")), number(f.get("x-refers-to-key")),
-                    payload, sound))
+                rows.append((bare(f["warc-record-id"]), kind, f["warc-date"], f.get("warc-target-uri"),
+                             number(f.get("x-record-key")), number(f.get("x-payload-bytes")),
+                             bare(f.get("warc-payload-digest")), bare(f.get("warc-refers-to")),
+                             number(f.get("x-refers-to-key")), payload, sound))
                 size += len(block)
                 if size > 1 << 22:
                     yield make(rows)
