@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rigscope.llm import decontam, langid, linededup, pieces, simhash
-from rigscope.llm.tables import materialize, read
+from rigscope.llm.tables import materialize, read, small_batches
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,6 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled piece ids of each document, which decode to its text."""
+    small_batches(spark)
     ids = pieces.encode(F.col("text"), F.col("doc_id"), public_tokenizers.path("piece_bpe_32k.model"))
     return docs.select("doc_id", "lang", "source", "n_chars", ids.alias("piece_ids"))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rigscope.llm.tables import materialize
+from rigscope.llm.tables import materialize, small_batches
 
 GRAM = 4             # words of a seed
 SPREAD = 4           # one seed, the rarest, is taken of every so many neighbouring n-grams of an item
@@ -195,6 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     each item, their best. An empty table on either side gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     tests = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).dropna()
     blocks = max(1, -(-tests.count() // block_items))

@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rigscope.llm.tables import small_batches
+
 BUCKETS = 1 << 16
 DIMENSION = 16
 MAX_ROWS_PER_LANGUAGE = 500   # bound of the labelled sample that the model is fitted on
 UNDETERMINED = "und"
 _CROPS = (2, 5, 12, 40)       # words of the short passages that are learned beside whole texts
 _STRIP = 1 << 20              # characters hashed at a time
-_BAG = "label string, whole boolean, calibrates boolean, at array<int>, weight array<float>"
+_BAG = "label string, calibrates boolean, at array<int>, weight array<float>"
 _MULTIPLIERS = {2: (2654435761, 2246822519), 3: (3266489917, 668265263, 374761393),
                 4: (2870177451, 1540483477, 3432918353, 461845907)}
 
@@ -126,21 +128,32 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray] | None:
 def _bags(batches):
     """Bags of whole texts and of short passages at places that the text's hash picks."""
     for batch in batches:
-        rows = {name: [] for name in ("label", "whole", "calibrates", "at", "weight")}
+        rows = {name: [] for name in ("label", "calibrates", "at", "weight")}
         for label, text, pick in zip(*(c.to_pylist() for c in batch.columns)):
             words = text.split()
             passages = [text]
             for n in _CROPS:
                 start = (pick >> 8) % max(1, len(words) - n)
                 passages.append(" ".join(words[start:start + n]))
-            for k, passage in enumerate(passages):
+            for passage in passages:
                 if bag := _bag(passage):
-                    for name, value in zip(rows, (label, k == 0, pick % 5 == 0, *bag)):
+                    for name, value in zip(rows, (label, pick % 5 == 0, *bag)):
                         rows[name].append(value)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows["label"], pa.string()), pa.array(rows["whole"], pa.bool_()),
-             pa.array(rows["calibrates"], pa.bool_()), pa.array(rows["at"], pa.list_(pa.int32())),
-             pa.array(rows["weight"], pa.list_(pa.float32()))], list(rows))
+            [pa.array(rows["label"], pa.string()), pa.array(rows["calibrates"], pa.bool_()),
+             pa.array(rows["at"], pa.list_(pa.int32())), pa.array(rows["weight"], pa.list_(pa.float32()))], list(rows))
+
+
+def _examples(sample: pa.Table, labels: list[str]):
+    """(language number, buckets, shares) of the passages to fit on, and of those to calibrate on, in a fixed order."""
+    lists = [sample[name].combine_chunks() for name in ("at", "weight")]
+    ends = lists[0].offsets.to_numpy()
+    at, weight = (np.split(x.values.to_numpy(), ends[1:-1]) for x in lists) if len(sample) else ([], [])
+    number = {y: k for k, y in enumerate(labels)}
+    label, calibrates = sample["label"].to_pylist(), sample["calibrates"].to_pylist()
+    order = sorted(range(len(at)), key=lambda k: (label[k], len(at[k]), at[k].tobytes()))
+    examples = [(calibrates[k], (number[label[k]], at[k], weight[k])) for k in order]
+    return [x for aside, x in examples if not aside], [x for aside, x in examples if aside]
 
 
 def _sgd(bags: list[tuple[int, np.ndarray, np.ndarray]], classes: int, epochs: int, rate: float, seed: int):
@@ -179,6 +192,7 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", label_col: str
     lets ``accepted`` of the rightly told calibration passages pass, never above one half. No rows to learn from: a
     model without languages, which calls every text undetermined.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(learn).select(F.col(label_col).alias("label"), F.col(text_col).alias("text")).dropna()
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     labels = sorted(counts)
@@ -187,13 +201,7 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", label_col: str
     share = F.create_map(*(F.lit(x) for y in labels for x in (y, min(1.0, 1.1 * max_rows / counts[y]))))
     pick = F.xxhash64("text").bitwiseAND(F.lit((1 << 48) - 1))
     picked = rows.withColumn("pick", pick).where(F.col("pick") / float(1 << 48) < share[F.col("label")])
-    sample = picked.mapInArrow(_bags, _BAG).toArrow().to_pydict()
-    at = [np.asarray(x) for x in sample["at"]]
-    weight = [np.asarray(x, np.float32) for x in sample["weight"]]
-    number = {y: k for k, y in enumerate(labels)}
-    order = sorted(range(len(at)), key=lambda k: (sample["label"][k], len(at[k]), at[k].tobytes()))
-    fitted = [(number[sample["label"][k]], at[k], weight[k]) for k in order if not sample["calibrates"][k]]
-    checked = [(number[sample["label"][k]], at[k], weight[k]) for k in order if sample["calibrates"][k]]
+    fitted, checked = _examples(picked.mapInArrow(_bags, _BAG).toArrow(), labels)
     embedding, linear, bias, history = _sgd(fitted or checked, len(labels), epochs, rate, seed)
     scores = np.zeros((BUCKETS + 1, len(labels)), np.float32)
     scores[:BUCKETS] = embedding @ linear.T
