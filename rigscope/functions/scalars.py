@@ -77,6 +77,17 @@ def nan_to_null(c) -> Column:
     return F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(x)
 
 
+def template(text: str, **parts: Column) -> Column:
+    """Fill ``{name}`` slots of a fixed text with columns."""
+    pieces, rest = [], text
+    while "{" in rest:
+        head, _, tail = rest.partition("{")
+        name, _, rest = tail.partition("}")
+        pieces += [F.lit(head), parts[name]]
+    pieces.append(F.lit(rest))
+    return F.concat(*pieces)
+
+
 def first_match(conditions, default) -> Column:
     """Cascade: value of the first true condition, ``default`` otherwise."""
     expr = None

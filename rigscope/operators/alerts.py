@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ALERT_MESSAGE, ALERT_TYPE, SensorSpec
-from ..functions.scalars import fixed
+from ..functions.scalars import fixed, template
 
 
 def at_risk(pred: DataFrame, spec: SensorSpec) -> DataFrame:
@@ -28,12 +28,7 @@ def alert_rows(pred: DataFrame, spec: SensorSpec, created_at=None) -> DataFrame:
     """F3 + F4 + A7 defaults: the ``alerts`` table rows."""
     a = one_per_machine(at_risk(pred, spec), spec)
     pct = F.col("confidence_score") * F.lit(100.0)
-    msg = F.concat(
-        F.lit(ALERT_MESSAGE.split("{well}")[0]), F.col(spec.entity),
-        F.lit(ALERT_MESSAGE.split("{well}")[1].split("{days}")[0]), fixed("days_to_failure_pred", 1),
-        F.lit(ALERT_MESSAGE.split("{days}")[1].split("{pct}")[0]), fixed(pct, 0),
-        F.lit(ALERT_MESSAGE.split("{pct}")[1]),
-    )
+    msg = template(ALERT_MESSAGE, well=F.col(spec.entity), days=fixed("days_to_failure_pred", 1), pct=fixed(pct, 0))
     return a.select(
         F.col(spec.entity).alias("well_id"),
         F.lit(ALERT_TYPE).alias("alert_type"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import (ANOMALY_BAND_ELSE, ANOMALY_BANDS, DAYS_BAND_ELSE, DAYS_BANDS, NO_FAULT, RISK_BAND_ELSE,
                       RISK_BANDS, STATUS_ISSUE_CRITICAL, STATUS_ISSUE_MAINT, STATUS_ISSUE_OK, STATUS_ISSUE_OVERDUE,
                       SensorSpec)
-from ..functions.scalars import first_match, half_even, thousands, title_words
+from ..functions.scalars import first_match, half_even, template, thousands, title_words
 
 STATUSES = ("CRITICAL", "WARNING", "OK")
 
@@ -24,17 +24,6 @@ def latest_state(df: DataFrame, spec: SensorSpec, cols=None) -> DataFrame:
     ])
 
 
-def _template(text: str, **parts: Column) -> Column:
-    """Fill ``{name}`` slots of a fixed text with columns."""
-    pieces, rest = [], text
-    while "{" in rest:
-        head, _, tail = rest.partition("{")
-        name, _, rest = tail.partition("}")
-        pieces += [F.lit(head), parts[name]]
-    pieces.append(F.lit(rest))
-    return F.concat(*pieces)
-
-
 def status_columns(spec: SensorSpec) -> dict:
     """H2/H3: status cascade, urgency and issue text."""
     maint = F.col(spec.label) == 1
@@ -46,9 +35,9 @@ def status_columns(spec: SensorSpec) -> dict:
         "status": first_match([(critical, "CRITICAL"), (maint, "WARNING"), (overdue, "WARNING")], "OK"),
         "urgency": first_match([(critical, 0), (maint, 1), (overdue, 1)], 2),
         "issue": first_match([
-            (critical, _template(STATUS_ISSUE_CRITICAL, fault=title_words(fault))),
+            (critical, template(STATUS_ISSUE_CRITICAL, fault=title_words(fault))),
             (maint, F.lit(STATUS_ISSUE_MAINT)),
-            (overdue, _template(STATUS_ISSUE_OVERDUE, hours=thousands(hours))),
+            (overdue, template(STATUS_ISSUE_OVERDUE, hours=thousands(hours))),
         ], F.lit(STATUS_ISSUE_OK)),
     }
 

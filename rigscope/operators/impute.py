@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..config import SensorSpec
 from .cache import keep
 from .quantiles import approx_quantiles, exact_quantiles
-from .sequence import (CHUNK, DEFAULT_LAYOUT, Layout, ensure_layout, frame, home_rows, known_complete, strip,
-                       total_rows)
+from .sequence import CHUNK, DEFAULT_LAYOUT, Layout, ensure_layout, frame, home_rows, known_complete, strip
 
 WINDOW_ROWS = 24
 
@@ -31,15 +30,19 @@ def rolling_median_fill(df: DataFrame, spec: SensorSpec, cols=None, layout: Layo
             return df
     d, created = ensure_layout(df, spec, WINDOW_ROWS - 1, layout)
     w = frame(spec, -(WINDOW_ROWS - 1), 0)
-    d = d.select(*[
-        F.coalesce(F.col(c), F.percentile(F.col(c), 0.5).over(w)).alias(c) if c in cols else F.col(c)
-        for c in d.columns
-    ])
+    def filled(c):
+        # the frame's values are collected (24 at most) and sorted only for a row whose own value is missing
+        values = F.when(F.col(c).isNull(), F.sort_array(F.collect_list(F.col(c)).over(w)))
+        n = F.size(values)
+        low, high = F.get(values, F.floor((n - 1) / 2).cast("int")), F.get(values, F.floor(n / 2).cast("int"))
+        return F.coalesce(F.col(c), low + 0.5 * (high - low)).alias(c)
+
+    d = d.select(*[filled(c) if c in cols else F.col(c) for c in d.columns])
     if persist:
         d = keep(d)
     base = home_rows(d)
     # B2 only where B1 left gaps (the null check rides on the quantile's first pass)
-    medians = (exact_quantiles(base, cols, 0.5, only_with_nulls=True, max_rows=total_rows(d)) if exact
+    medians = (exact_quantiles(base, cols, 0.5, only_with_nulls=True) if exact
                else approx_quantiles(base, cols, 0.5))
     need = [c for c in cols if medians.get(c) is not None]
     d = d.select(*[

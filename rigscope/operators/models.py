@@ -185,27 +185,16 @@ def load_pipeline(path: str):
 
 def stage(path: str, build, mode: str = "reuse", spark: SparkSession | None = None):
     """Materialise a stage's DataFrame as Parquet once; ``mode='overwrite'`` rebuilds it."""
-    from pyspark.sql import SparkSession as _S
+    from ..sources.sinks import path_exists
 
-    spark = spark or _S.getActiveSession()
+    spark = spark or SparkSession.getActiveSession()
     done = os.path.join(path, "_SUCCESS")
-    if mode == "reuse" and _exists(spark, done):
+    if mode == "reuse" and path_exists(spark, done):
         return spark.read.parquet(path)
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(p)
-
-
 def pca_k(d: int) -> int:
     """Bottleneck size: 8 like the original network, fewer for narrow inputs."""
     return max(1, min(8, d - 1))
-
-
-def feature_z_cols(spec: SensorSpec, df: DataFrame) -> list:
-    return [c + "_z" for c in spec.features if c in df.columns]

@@ -8,18 +8,16 @@ from pyspark.sql import functions as F
 from ..config import SPLIT_SEED, TEST_FRACTION, SensorSpec
 
 
-def fit_scaler(df: DataFrame, cols, with_count: bool = False):
+def fit_scaler(df: DataFrame, cols):
     """Mean and population std per column (nulls ignored); a zero std divides by 1.
-    One global aggregate with map-side partials; the result is 2 numbers per column
-    (and the row count with ``with_count``)."""
+    One global aggregate with map-side partials; the result is 2 numbers per column."""
     row = df.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)],
-                 *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cols)],
-                 F.count(F.lit(1)).alias("_rows")).first()
+                 *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cols)]).first()
     out = {}
     for i, c in enumerate(cols):
         s = row[f"s_{i}"]
         out[c] = (row[f"m_{i}"], 1.0 if (s is None or s == 0.0) else s)
-    return (out, row["_rows"]) if with_count else out
+    return out
 
 
 def apply_scaler(df: DataFrame, stats: dict, suffix: str = "") -> DataFrame:
@@ -57,11 +55,6 @@ def class_weights(df: DataFrame, spec: SensorSpec) -> DataFrame:
     return counts.select(spec.label, "n_c", (n / (k * F.col("n_c"))).alias("weight"), (n0 / n1).alias("pos_weight"))
 
 
-def with_weights(df: DataFrame, spec: SensorSpec) -> DataFrame:
-    w = class_weights(df, spec).select(spec.label, "weight")
-    return df.join(F.broadcast(w), spec.label, "left")
-
-
 def normal_rows(df: DataFrame, spec: SensorSpec) -> DataFrame:
     """D6."""
     return df.filter(F.col(spec.label) == 0)

@@ -1,137 +1,94 @@
-"""Exact quantiles without gathering a column into one task.
-
-``percentile`` as an aggregate merges every distinct value in one final task.
-Here each requested order statistic is narrowed by equal-width histograms
-(one scan and a ``groupBy(target, bin)`` of at most ``bins`` rows per target
-and round) until its bin holds at most ``gather_limit`` values; only that
-bounded candidate set reaches the driver.  Interpolation is linear between the
-two neighbouring order statistics, like pandas/numpy (``median`` included).
+"""Exact quantiles by bisecting the order of the doubles themselves.
+
+``percentile`` as an aggregate merges every distinct value in one final task. Here each requested order statistic is
+narrowed round by round. A double maps to a 64-bit integer that sorts like it (its sign and bit pattern, ±infinity
+included); the range that is left is cut into at most ``bins`` equal parts of that integer, and one aggregate counts the
+values in each. The part that holds the wanted rank is the next range, shrunk to the smallest and largest integer seen in
+it. However the values are spread, 64 bits are settled in a handful of rounds, each of which sends at most ``bins`` rows
+per target to the driver; no values are gathered. One path serves all sizes. Interpolation is linear between the two
+neighbouring order statistics, like pandas/numpy (``median`` included).
 """
 
 from __future__ import annotations
 
 import math
+import struct
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_MANTISSA = 52
 
-def _bin_expr(v: Column, lo: float, hi: float, bins: int) -> Column:
-    if hi <= lo:
-        return F.lit(0)
-    scaled = F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)).cast("int")
-    return F.least(F.greatest(scaled, F.lit(0)), F.lit(bins - 1))
 
+def ordered_bits(v: Column) -> Column:
+    """A long that sorts like the double ``v``: its IEEE pattern without the sign, negated for negative values (both
+    zeros are 0). Computed exactly from powers of two: scaling by one changes no bit of a double."""
+    a = F.abs(v)
+    guess = F.floor(F.log2(a))
+    power = F.pow(F.lit(2.0), guess)
+    exact = guess + F.when(a < power, -1).when(a >= power * 2, 1).otherwise(0)      # the logarithm may be off by one
+    exponent = F.greatest(exact, F.lit(-1022))
+    scaled = a / F.pow(F.lit(2.0), exponent) * F.lit(float(1 << _MANTISSA))            # below 2 ** 53
+    bits = (exponent + 1022).cast("long") * F.lit(1 << _MANTISSA) + scaled.cast("long")
+    bits = F.when(a == 0, F.lit(0)).when(a == F.lit(float("inf")), F.lit(0x7FF << _MANTISSA)).otherwise(bits)
+    return F.when(v < 0, -bits).otherwise(bits).cast("long")
 
-def _interpolate(sorted_vals, q: float) -> float:
-    n = len(sorted_vals)
-    h = (n - 1) * q
-    k0 = int(math.floor(h))
-    k1 = min(k0 + 1, n - 1)
-    return sorted_vals[k0] + (h - k0) * (sorted_vals[k1] - sorted_vals[k0])
 
+def value_of_bits(bits: int) -> float:
+    """The double of an ``ordered_bits`` value."""
+    value = struct.unpack("<d", struct.pack("<q", abs(bits)))[0]
+    return -value if bits < 0 else value
 
-def exact_quantiles(df: DataFrame, cols, q: float, bins: int = 1024, gather_limit: int = 100_000,
-                    max_rounds: int = 12, only_with_nulls: bool = False, max_rows: int | None = None) -> dict:
-    """Return {col: quantile q of the non-null values of col} (None for an all-null column, and with
-    ``only_with_nulls`` also for a column without nulls, which then needs no quantile).
-    ``max_rows``: a known upper bound on the rows; within ``gather_limit`` one pass gathers the values."""
-    cols = list(cols)
-    every = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)
-    ])).alias("p")).select("p.k", F.when(~F.isnan("p.v"), F.col("p.v")).alias("v"))
-    long = every.filter(F.col("v").isNotNull())
 
-    if max_rows is not None and max_rows <= gather_limit:
-        got = {r["k"]: r for r in every.groupBy("k").agg(
-            F.count(F.when(F.col("v").isNull(), F.lit(1))).alias("nulls"),
-            F.sort_array(F.collect_list("v")).alias("vals")).collect()}
-        out = dict.fromkeys(cols)
-        for i, c in enumerate(cols):
-            r = got.get(i)
-            if r is None or not r["vals"] or (only_with_nulls and r["nulls"] == 0):
-                continue
-            out[c] = _interpolate(r["vals"], q)
-        return out
+def _interpolate(low: float, high: float, share: float) -> float:
+    if low == high or share == 0:
+        return low
+    gap = high - low
+    return low + share * gap if math.isfinite(gap) or math.isinf(low) or math.isinf(high) else low * (1 - share) + high * share
 
-    # first pass: count, min, max (and nulls) per column
-    stats = {r["k"]: r for r in every.groupBy("k").agg(
-        F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-        F.count(F.when(F.col("v").isNull(), F.lit(1))).alias("nulls")).collect()}
-    stats = {k: r for k, r in stats.items() if r["n"] > 0 and (r["nulls"] > 0 or not only_with_nulls)}
 
-    # targets: (column index, rank) -> state
-    targets = {}
+def exact_quantiles(df: DataFrame, cols, q: float, bins: int = 1024, only_with_nulls: bool = False) -> dict:
+    """Return {col: quantile q of the values of col that are neither null nor NaN}; None for a column without values,
+    and with ``only_with_nulls`` also for a column without nulls, which then needs no quantile and is never read again."""
+    cols = list(cols)
+    values = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+    keys = df.select(*[ordered_bits(v).alias(f"k{i}") for i, v in enumerate(values.values())])
+    first = keys.agg(F.count(F.lit(1)).alias("rows"), *[
+        f(f"k{i}").alias(f"{name}{i}") for i in range(len(cols)) for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))
+    ]).first()
+    ranks = {}        # (column, rank) -> [values below the range, least and largest key of the range]
     for i in range(len(cols)):
-        s = stats.get(i)
-        if s is None:
-            continue
-        h = (s["n"] - 1) * q
-        for rank in {int(math.floor(h)), min(int(math.floor(h)) + 1, s["n"] - 1)}:
-            targets[(i, rank)] = {"conds": [], "below": 0, "count": s["n"], "lo": s["lo"], "hi": s["hi"],
-                                  "value": None}
-
-    for _ in range(max_rounds):
-        active = [t for t, st in targets.items()
-                  if st["value"] is None and st["count"] > gather_limit and st["hi"] > st["lo"]]
-        for t, st in targets.items():
-            if st["value"] is None and st["hi"] <= st["lo"]:
-                st["value"] = st["lo"]
-        if not active:
-            break
+        n = first[f"n{i}"]
+        if n and not (only_with_nulls and n == first["rows"]):
+            place = int(math.floor((n - 1) * q))
+            for rank in (place, min(place + 1, n - 1)):
+                ranks[i, rank] = [0, first[f"lo{i}"], first[f"hi{i}"]]
+    while active := [(t, *state) for t, state in ranks.items() if state[1] < state[2]]:
         tagged = []
-        for tid, t in enumerate(active):
-            st = targets[t]
-            cond = F.col("k") == F.lit(t[0])
-            for c in st["conds"]:
-                cond = cond & c
-            tagged.append(F.when(cond, F.struct(F.lit(tid).alias("t"),
-                                                _bin_expr(F.col("v"), st["lo"], st["hi"], bins).alias("b"))))
-        hist = (long.select(F.explode(F.filter(F.array(*tagged), lambda x: x.isNotNull())).alias("m"), "v")
-                .groupBy("m.t", "m.b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                           F.max("v").alias("hi"))
-                .collect())
-        by_t = {}
-        for r in hist:
-            by_t.setdefault(r["t"], []).append(r)
-        for tid, t in enumerate(active):
-            st = targets[t]
-            want = t[1] - st["below"]
-            acc = 0
-            for r in sorted(by_t.get(tid, []), key=lambda r: r["b"]):
-                if acc + r["n"] > want:
-                    st["conds"].append(_bin_expr(F.col("v"), st["lo"], st["hi"], bins) == F.lit(r["b"]))
-                    st["below"] += acc
-                    st["count"], st["lo"], st["hi"] = r["n"], r["lo"], r["hi"]
+        for number, ((i, _), _, lo, hi) in enumerate(active):
+            shift = 0
+            while (hi >> shift) - (lo >> shift) >= bins:
+                shift += 1
+            part = F.shiftright(f"k{i}", shift) - F.lit(lo >> shift)
+            tagged.append(F.when(F.col(f"k{i}").between(lo, hi), F.struct(
+                F.lit(number).alias("t"), part.alias("part"), F.col(f"k{i}").alias("key"))))
+        parts = (keys.select(F.explode(F.array_compact(F.array(*tagged))).alias("m"))
+                 .groupBy("m.t", "m.part").agg(F.count(F.lit(1)).alias("n"), F.min("m.key").alias("lo"), F.max("m.key").alias("hi"))
+                 .orderBy("t", "part").collect())
+        for number, (target, below, _, _) in enumerate(active):
+            for r in (r for r in parts if r["t"] == number):
+                if below + r["n"] > target[1]:
+                    ranks[target] = [below, r["lo"], r["hi"]]
                     break
-                acc += r["n"]
-
-    pending = [t for t, st in targets.items() if st["value"] is None]
-    if pending:
-        tagged = []
-        for tid, t in enumerate(pending):
-            cond = F.col("k") == F.lit(t[0])
-            for c in targets[t]["conds"]:
-                cond = cond & c
-            tagged.append(F.when(cond, F.lit(tid)))
-        rows = (long.select(F.explode(F.filter(F.array(*tagged), lambda x: x.isNotNull())).alias("t"), "v")
-                .groupBy("t").agg(F.sort_array(F.collect_list("v")).alias("vals")).collect())
-        vals = {r["t"]: r["vals"] for r in rows}
-        for tid, t in enumerate(pending):
-            st = targets[t]
-            st["value"] = vals[tid][t[1] - st["below"]]
-
-    out = {}
+                below += r["n"]
+    out = dict.fromkeys(cols)
     for i, c in enumerate(cols):
-        s = stats.get(i)
-        if s is None:
-            out[c] = None
-            continue
-        h = (s["n"] - 1) * q
-        k0 = int(math.floor(h))
-        k1 = min(k0 + 1, s["n"] - 1)
-        v0, v1 = targets[(i, k0)]["value"], targets[(i, k1)]["value"]
-        out[c] = v0 + (h - k0) * (v1 - v0)
+        n = first[f"n{i}"]
+        place = (n - 1) * q
+        rank = int(math.floor(place)) if n else 0
+        if (i, rank) in ranks:
+            low, high = (value_of_bits(ranks[i, r][1]) for r in (rank, min(rank + 1, n - 1)))
+            out[c] = _interpolate(low, high, place - rank)
     return out
 
 

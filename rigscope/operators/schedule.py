@@ -32,10 +32,15 @@ def priority_columns(spec: SensorSpec) -> dict:
     }
 
 
-def schedule_by(now_us: Column, days: Column) -> Column:
-    """``now + max(0, days)`` formatted ``Mon DD, YYYY``."""
+def schedule_date(now_us: Column, days: Column) -> Column:
+    """The date of ``now + max(0, days)``."""
     shift = (F.greatest(days, F.lit(0.0)) * F.lit(86_400_000_000.0)).cast("long")
-    return F.date_format(date_of_us(now_us + shift), "MMM dd, yyyy")
+    return date_of_us(now_us + shift)
+
+
+def schedule_by(now_us: Column, days: Column) -> Column:
+    """That date as ``Mon DD, YYYY``."""
+    return F.date_format(schedule_date(now_us, days), "MMM dd, yyyy")
 
 
 def maintenance_schedule(latest: DataFrame, spec: SensorSpec, now_us: Column, wells=None) -> DataFrame:
@@ -51,6 +56,7 @@ def maintenance_schedule(latest: DataFrame, spec: SensorSpec, now_us: Column, we
         half_even(p["days"], 1).alias("days_remaining"),
         schedule_by(now_us, p["days"]).alias("schedule_by"),
         F.col(spec.counters[0]).cast("int").alias("hrs_since_service"),
+        schedule_date(now_us, p["days"]).alias("schedule_date"),
     ).orderBy("priority_order", "well_id")
 
 
@@ -66,7 +72,7 @@ def priority_counts(schedule: DataFrame, spark: SparkSession) -> DataFrame:
 def workload(schedule: DataFrame, spec: SensorSpec) -> DataFrame:
     """Machines due per schedule date, for days remaining <= 30."""
     return (schedule.filter(F.col("days_remaining") <= F.lit(spec.thresholds.workload_days))
-            .withColumn("date", F.to_date("schedule_by", "MMM dd, yyyy"))
+            .withColumnRenamed("schedule_date", "date")
             .groupBy("date").agg(F.count(F.lit(1)).alias("wells_due"))
             .select(F.date_format("date", "yyyy-MM-dd").alias("date"), "wells_due")
             .orderBy("date"))

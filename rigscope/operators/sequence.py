@@ -43,15 +43,19 @@ class Layout:
 DEFAULT_LAYOUT = Layout()
 
 
-def add_sequence(df: DataFrame, spec: SensorSpec, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
+def add_sequence(df: DataFrame, spec: SensorSpec, layout: Layout = DEFAULT_LAYOUT, rows: int = 0) -> DataFrame:
     """Add ``_seq`` (position within the entity) without a per-entity task.
 
     Rows are range-partitioned on (entity, time, record, tiebreak): Spark samples that composite key,
     so a hot entity — even one with tied timestamps — spreads over many partitions.  Counts per
     (range partition, entity) give each partition's offset inside its entity (a window over that small
-    table); a ``row_number`` inside each (partition, entity) adds the local position."""
+    table); a ``row_number`` inside each (partition, entity) adds the local position.
+
+    ``rows`` (an upper bound, as profiled) makes the number of ranges grow with the data: none is to hold
+    much more than ``chunk_rows`` rows.  Rows without an entity form an entity of their own."""
     spark = df.sparkSession
-    parts = layout.range_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = layout.range_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                           -(-rows // layout.chunk_rows))
     # persisted so the count branch and the row branch read ONE range exchange: the partitioner's
     # sample is seeded per RDD, two planned exchanges could cut at different bounds.  A lost block
     # is recomputed through the same shuffle dependency, i.e. with the same bounds.
@@ -64,8 +68,7 @@ def add_sequence(df: DataFrame, spec: SensorSpec, layout: Layout = DEFAULT_LAYOU
         F.col("_pid").alias("_o_pid"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
     )
-    # left join keeps rows with a null entity (they share one null group)
-    d = r.join(offsets, (r[spec.entity] == offsets["_o_entity"]) & (r["_pid"] == offsets["_o_pid"]), "left")
+    d = r.join(offsets, r[spec.entity].eqNullSafe(offsets["_o_entity"]) & (r["_pid"] == offsets["_o_pid"]))
     d = d.drop("_o_entity", "_o_pid")
     local = Window.partitionBy("_pid", spec.entity).orderBy(*spec.order_cols)
     return d.withColumn(SEQ, F.col("_off") + F.row_number().over(local) - 1).drop("_off", "_pid")
@@ -73,36 +76,20 @@ def add_sequence(df: DataFrame, spec: SensorSpec, layout: Layout = DEFAULT_LAYOU
 
 SINGLE = "single_chunk"
 LOOKBACK = "lookback"
-TOTAL = "rows_total"
 ROWS = "chunk_rows"
 
 
 COMPLETE = "null_free"
 
 
-def profile(df: DataFrame, spec: SensorSpec, chunk_rows: int = DEFAULT_LAYOUT.chunk_rows):
-    """One scan: rows of the biggest entity, the number of entities above ``chunk_rows`` and the
-    double columns without any null.  Per-entity partial counts, then one row to the driver."""
+def profile(df: DataFrame, spec: SensorSpec):
+    """One scan: rows of the biggest entity, the double columns without any null, and all rows.
+    Per-entity partial counts, then one row to the driver."""
     dbl = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("double", "float")]
     per = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("_n"),
                                       *[F.count(F.when(F.col(c).isNull(), F.lit(1))).alias(c) for c in dbl])
-    row = per.agg(F.max("_n").alias("_n"), F.count(F.when(F.col("_n") > F.lit(chunk_rows), F.lit(1))).alias("_hot"),
-                  F.sum("_n").alias("_total"), *[F.sum(c).alias(c) for c in dbl]).first()
-    return (row["_n"] or 0), [c for c in dbl if not row[c]], row["_hot"], (row["_total"] or 0)
-
-
-def largest_entity(df: DataFrame, spec: SensorSpec) -> int:
-    return profile(df, spec)[0]
-
-
-def total_rows(df: DataFrame):
-    """Rows counted by the layout's profile (None when unknown)."""
-    if CHUNK not in df.columns:
-        return None
-    return df.schema[CHUNK].metadata.get(TOTAL)
-
-
-HOT_BROADCAST_LIMIT = 1_000_000   # hot-entity keys broadcast up to this many (≤ rows / chunk_rows)
+    row = per.agg(F.max("_n").alias("_n"), F.sum("_n").alias("_total"), *[F.sum(c).alias(c) for c in dbl]).first()
+    return (row["_n"] or 0), [c for c in dbl if not row[c]], (row["_total"] or 0)
 
 
 def known_complete(df: DataFrame) -> list:
@@ -122,23 +109,21 @@ def lay_out(df: DataFrame, spec: SensorSpec, lookback: int, layout: Layout = DEF
     range partitioning and cut into chunks; the others keep the per-entity ``row_number``."""
     w_entity = Window.partitionBy(spec.entity).orderBy(*spec.order_cols)
     if force_chunks:
-        complete, total, d = [], None, add_sequence(df, spec, layout)
+        complete, d = [], add_sequence(df, spec, layout)
     else:
-        biggest, complete, n_hot, total = profile(df, spec, layout.chunk_rows)
+        biggest, complete, total = profile(df, spec)
         if biggest <= layout.chunk_rows:
-            meta = {SINGLE: True, COMPLETE: complete, TOTAL: total}
+            meta = {SINGLE: True, COMPLETE: complete}
             return (df.withColumn(SEQ, F.row_number().over(w_entity) - 1)
                     .withColumn(CHUNK, F.lit(0).alias(CHUNK, metadata=meta))
                     .withColumn(CTX, F.lit(False)))
         sizes = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("_n"))
-        hot = sizes.filter(F.col("_n") > F.lit(layout.chunk_rows)).select(spec.entity)
-        if n_hot <= HOT_BROADCAST_LIMIT:      # counted above: a proven bound on the broadcast side
-            hot = F.broadcast(hot)
-        cold = (df.join(hot, spec.entity, "left_anti").select(*df.columns)
-                .withColumn(SEQ, F.row_number().over(w_entity) - 1))
-        warm = add_sequence(df.join(hot, spec.entity, "left_semi").select(*df.columns), spec, layout)
+        hot = sizes.filter(F.col("_n") > F.lit(layout.chunk_rows)).select(F.col(spec.entity).alias("_hot"))
+        is_hot = F.col(spec.entity).eqNullSafe(F.col("_hot"))      # rows without an entity may be hot, too
+        cold = df.join(hot, is_hot, "left_anti").withColumn(SEQ, F.row_number().over(w_entity) - 1)
+        warm = add_sequence(df.join(hot, is_hot, "left_semi"), spec, layout, total)
         d = cold.unionByName(warm)
-    meta = {COMPLETE: complete, LOOKBACK: lookback, ROWS: layout.chunk_rows, TOTAL: total}
+    meta = {COMPLETE: complete, LOOKBACK: lookback, ROWS: layout.chunk_rows}
     d = (d.withColumn(CHUNK, F.floor(F.col(SEQ) / F.lit(layout.chunk_rows)).alias(CHUNK, metadata=meta))
          .withColumn(CTX, F.lit(False)))
     return add_context(d)
@@ -235,6 +220,6 @@ def carry_scans(df: DataFrame, spec: SensorSpec, running_max=(), running_min_aft
     per_chunk = home.groupBy(F.col(spec.entity).alias("_c_entity"), F.col(CHUNK).alias("_c_chunk")).agg(*aggs)
     carry = per_chunk.select("_c_entity", "_c_chunk", *carries)
     d = df.withColumns(locals_) if locals_ else df
-    d = d.join(carry, (d[spec.entity] == carry["_c_entity"]) & (d[CHUNK] == carry["_c_chunk"]), "left")
+    d = d.join(carry, d[spec.entity].eqNullSafe(carry["_c_entity"]) & (d[CHUNK] == carry["_c_chunk"]), "left")
     d = d.withColumns({out: expr for out, expr in finals})
     return d.drop("_c_entity", "_c_chunk", *locals_.keys(), *[f"_k{i}" for i in range(len(finals))])

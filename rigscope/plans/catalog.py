@@ -29,7 +29,7 @@ from .scoring import EVENTS_FORMULA, apply_models, fit_models, score_formula, sc
 
 SPEC = EVENTS_SPEC
 DAY_US = 86_400_000_000
-AS_OF_DAYS_BACK = 5   # status/priority "as of" five days before the end of data (labels computed first)
+AS_OF_DAYS_BACK = 5   # of ``fleet_status_as_of`` and the stored rows of ``idempotent_append``, whose feature it is
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None, str]] = {}
 
@@ -48,10 +48,17 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip(rolling_median_fill(laid, SPEC, complete=SPEC.counters))
 
 
-def clean_as_of(spark: SparkSession, sf_dir: str, days_back: int = AS_OF_DAYS_BACK):
-    lab = events_labeled(spark, sf_dir)
-    cut = lab.agg(F.max(SPEC.time_us)).first()[0] - days_back * DAY_US
-    return rolling_median_fill(lab.filter(F.col(SPEC.time_us) <= F.lit(cut)), SPEC, complete=SPEC.counters), cut
+def newest_us(spark: SparkSession, sf_dir: str) -> int:
+    """Time of the newest reading: one column of the raw scan."""
+    return events_readings(spark, sf_dir).agg(F.max(SPEC.time_us)).first()[0]
+
+
+def clean_as_of(spark: SparkSession, sf_dir: str, days_back: int = AS_OF_DAYS_BACK) -> DataFrame:
+    """``clean`` of the readings up to ``days_back`` days before the newest one, labels by what came later. A prefix
+    of each machine's rows keeps their positions, so labels and imputation share one layout."""
+    cut = newest_us(spark, sf_dir) - days_back * DAY_US
+    laid = labeled(events_readings(spark, sf_dir), SPEC).filter(F.col(SPEC.time_us) <= F.lit(cut))
+    return strip(rolling_median_fill(laid, SPEC, complete=SPEC.counters))
 
 
 def _latest(df: DataFrame) -> DataFrame:
@@ -97,10 +104,9 @@ def failure_labels(spark, d):
 SELECT i.record_id, i.well_id, r.value AS raw_value, {sql.r6('i.value')} AS value, {sql.r6('i.signal')} AS signal
 FROM imputed i JOIN readings r USING (record_id)""", "B1 B2 B6")
 def rolling_median_impute(spark, d):
-    raw = events_readings(spark, d)
+    raw = events_readings(spark, d).withColumn("raw_value", F.col("value"))
     imp = rolling_median_fill(raw, SPEC, cols=["value", "signal"])
-    return imp.select("record_id", "well_id", r6("value").alias("value"), r6("signal").alias("signal")).join(
-        raw.select("record_id", F.col("value").alias("raw_value")), "record_id")
+    return imp.select("record_id", "well_id", "raw_value", r6("value").alias("value"), r6("signal").alias("signal"))
 
 
 # ---------------------------------------------------------------- C: window features
@@ -140,7 +146,7 @@ def fleet_status(spark, d):
 
 @register("fleet_status_as_of", _sql_latest(SQL_ASOF) + sql.status_select() + " FROM latest", "H2 H3 H4")
 def fleet_status_as_of(spark, d):
-    return fleet.fleet_status(_latest(clean_as_of(spark, d)[0]), SPEC)
+    return fleet.fleet_status(_latest(clean_as_of(spark, d)), SPEC)
 
 
 _SQL_COUNTS = """, s AS ({status})
@@ -155,23 +161,22 @@ FROM s""".format(status=sql.status_select() + " FROM latest",
                  pct=sql.half_even("CAST(sum(CASE WHEN status = 'CRITICAL' THEN 1 ELSE 0 END) AS DOUBLE) / count(*) * 100.0", 1))
 
 
-@register("status_counts", _sql_latest(SQL_ASOF).rstrip("\n") + _SQL_COUNTS, "H5 H6")
+@register("status_counts", _sql_latest(SQL_CLEAN).rstrip("\n") + _SQL_COUNTS, "H5 H6")
 def status_counts(spark, d):
-    return fleet.status_counts(fleet.fleet_status(_latest(clean_as_of(spark, d)[0]), SPEC))
+    return fleet.status_counts(fleet_status(spark, d))
 
 
-@register("status_filter", _sql_latest(SQL_ASOF).rstrip("\n") + ", s AS (" + sql.status_select()
+@register("status_filter", _sql_latest(SQL_CLEAN).rstrip("\n") + ", s AS (" + sql.status_select()
           + " FROM latest) SELECT * FROM s WHERE status IN ('CRITICAL', 'WARNING')", "H7")
 def status_filter(spark, d):
-    return fleet.filter_in(fleet.fleet_status(_latest(clean_as_of(spark, d)[0]), SPEC), "status",
-                           ["CRITICAL", "WARNING"])
+    return fleet.filter_in(fleet_status(spark, d), "status", ["CRITICAL", "WARNING"])
 
 
 @register("fault_distribution", SQL_CLEAN + f"""
 SELECT {sql.title('failure_type')} AS fault_type, count(*) AS occurrences
 FROM clean WHERE failure_type <> 'none' GROUP BY failure_type""", "H8 A3")
 def fault_distribution(spark, d):
-    return fleet.fault_distribution(clean(spark, d), SPEC)
+    return fleet.fault_distribution(events_readings(spark, d), SPEC)      # imputation touches no fault
 
 
 @register("monthly_maintenance", SQL_CLEAN.rstrip("\n") + """,
@@ -182,7 +187,7 @@ months AS (SELECT last_day(CAST(m AS DATE)) AS month FROM (SELECT unnest(generat
 SELECT strftime(months.month, '%Y-%m-%d') AS month, COALESCE(events, 0) AS events
 FROM months LEFT JOIN per_month USING (month)""", "H9")
 def monthly_maintenance(spark, d):
-    return fleet.monthly_maintenance(clean(spark, d), SPEC)
+    return fleet.monthly_maintenance(events_labeled(spark, d), SPEC)
 
 
 @register("well_ids", sql.events_chain("labeled") + "SELECT DISTINCT well_id FROM readings", "H10")
@@ -199,7 +204,7 @@ def date_span(spark, d):
     return fleet.date_span(events_readings(spark, d), SPEC)
 
 
-_WINDOW_DAYS = 7
+_WINDOW_DAYS = 90     # the default range of a date window, as ``date_span`` gives it
 
 
 @register("window_filter", SQL_CLEAN + f"""
@@ -266,18 +271,16 @@ def maintenance_overlay(spark, d):
 
 # ---------------------------------------------------------------- I: scheduler
 def _schedule(spark, d):
-    c, cut = clean_as_of(spark, d)
-    return schedule.maintenance_schedule(_latest(c), SPEC, F.lit(cut))
+    return schedule.maintenance_schedule(_latest(clean(spark, d)), SPEC, F.lit(newest_us(spark, d)))
 
 
-_SQL_SCHED = (_sql_latest(SQL_ASOF).rstrip("\n")
-              + f",\nnowv AS (SELECT (SELECT max(t_us) FROM labeled) - {AS_OF_DAYS_BACK} * {DAY_US} AS _now),\n"
+_SQL_SCHED = (_sql_latest(SQL_CLEAN).rstrip("\n") + ",\nnowv AS (SELECT max(t_us) AS _now FROM labeled),\n"
               + "sched AS (" + sql.priority_select() + " FROM latest, nowv)\n")
 
 
 @register("maintenance_schedule", _SQL_SCHED + "SELECT * FROM sched", "I1 I2 I3 I4")
 def maintenance_schedule(spark, d):
-    return _schedule(spark, d)
+    return _schedule(spark, d).drop("schedule_date")
 
 
 @register("priority_counts", _SQL_SCHED + """, names AS (SELECT * FROM (VALUES ('Critical', 0), ('High', 1),
@@ -323,7 +326,7 @@ def standardize(spark, d):
 SELECT split, count(*) AS n_rows, {sql.r6('avg(CAST(maintenance_required AS DOUBLE))')} AS positive_rate
 FROM decided GROUP BY split""", "D3 D4")
 def split_report(spark, d):
-    r = prepare.split_report(prepare.with_split(events_features(spark, d), SPEC), SPEC)
+    r = prepare.split_report(prepare.with_split(events_labeled(spark, d), SPEC), SPEC)
     return r.select("split", "n_rows", r6("positive_rate").alias("positive_rate"))
 
 
@@ -333,7 +336,7 @@ SELECT maintenance_required, n_c, {sql.r6('CAST(sum(n_c) OVER () AS DOUBLE) / (c
   {sql.r6('CAST(sum(CASE WHEN maintenance_required = 0 THEN n_c END) OVER () AS DOUBLE) / sum(CASE WHEN maintenance_required = 1 THEN n_c END) OVER ()')} AS pos_weight
 FROM c""", "D5")
 def class_weights(spark, d):
-    f = prepare.with_split(events_features(spark, d), SPEC).filter(F.col("split") == "train")
+    f = prepare.with_split(events_labeled(spark, d), SPEC).filter(F.col("split") == "train")
     w = prepare.class_weights(f, SPEC)
     return w.select("maintenance_required", "n_c", r6("weight").alias("weight"), r6("pos_weight").alias("pos_weight"))
 
@@ -343,8 +346,7 @@ SELECT split, CAST(sum(CASE WHEN maintenance_required = 0 THEN 1 ELSE 0 END) AS
   CAST(sum(CASE WHEN days_to_failure IS NOT NULL AND days_to_failure < {SPEC.thresholds.regressor_horizon_days} THEN 1 ELSE 0 END) AS BIGINT) AS near_failure_rows
 FROM decided GROUP BY split""", "D6 D7")
 def training_subsets(spark, d):
-    f = prepare.with_split(events_features(spark, d), SPEC)
-    return prepare.subset_counts(f, SPEC)
+    return prepare.subset_counts(prepare.with_split(events_labeled(spark, d), SPEC), SPEC)
 
 
 @register("anomaly_scores", _sql_scored() + f"""

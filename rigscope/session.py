@@ -8,24 +8,27 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "rigscope") -> SparkSession:
-    master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
+def build_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "rigscope") -> SparkSession:
+    """A session for the cluster that ``spark-submit`` (or the environment) names. Only tests and benches pass a master
+    and a number of shuffle partitions; without them those of the cluster's configuration stand."""
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master).config("spark.driver.memory", os.environ.get("RIGSCOPE_DRIVER_MEMORY", "16g"))
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = (
-        SparkSession.builder.master(master)
-        .appName(app)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("RIGSCOPE_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if master or spark.conf.get("spark.checkpoint.dir", None):
+        ensure_checkpoint_dir(spark)
     return spark
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_TECHNICIAN, WELL_INSTALL_DATE, WELL_LOCATION_PREFIX, SensorSpec
-from ..functions.scalars import one_row
+from ..functions.scalars import nan_to_null, one_row
 from ..operators.impute import keep_first
+from ..session import ensure_checkpoint_dir
 from .schemas import TABLES
 
 
@@ -36,16 +37,31 @@ def rows_to_append(batch: DataFrame, existing: DataFrame | None, key, order_cols
     return fresh.join(existing.select(*keys), keys, "left_anti")
 
 
-def append_new(batch: DataFrame, path: str, key, order_cols, fmt: str = "parquet") -> DataFrame:
-    """Append only new keys to the table at ``path`` and return what was written."""
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is there, in any file system that Spark reaches; every failure to look is an error."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def append_new(batch: DataFrame, path: str, key, order_cols, fmt: str = "parquet",
+               partition_by: str | None = None) -> DataFrame:
+    """Append only new keys to the table at ``path`` and return what was written.
+
+    A table that is there but can't be read is an error, not an empty table.  ``partition_by``: a date column
+    that the table is partitioned by and that belongs to the key's row (a redelivered key comes with the same
+    date); only the stored partitions of the batch's dates are then looked through."""
     spark = batch.sparkSession
-    try:
-        existing = spark.read.format(fmt).load(path)
-    except Exception:  # noqa: BLE001 — first write: no table yet
-        existing = None
+    ensure_checkpoint_dir(spark)
+    existing = spark.read.format(fmt).load(path) if path_exists(spark, path) else None
+    if existing is not None and partition_by:
+        days = [r[0] for r in batch.select(partition_by).distinct().collect()]    # a batch has few dates
+        known = [d for d in days if d is not None]
+        existing = existing.filter(F.col(partition_by).isin(known) | (F.col(partition_by).isNull()
+                                                                      if None in days else F.lit(False)))
     new = rows_to_append(batch, existing, key, order_cols)
     ckpt = new.checkpoint()  # cut lineage: the anti join must not re-read the table it appends to
-    ckpt.write.mode("append").format(fmt).save(path)
+    writer = ckpt.write.mode("append").format(fmt)
+    (writer.partitionBy(partition_by) if partition_by else writer).save(path)
     return ckpt
 
 
@@ -105,7 +121,7 @@ def sensor_readings_rows(readings: DataFrame, schema_fields) -> DataFrame:
     for f in schema_fields:
         c = F.col(f.name).cast(f.dataType) if f.name in readings.columns else F.lit(None).cast(f.dataType)
         if f.dataType.simpleString() == "double":
-            c = F.when(F.isnan(c), F.lit(None)).otherwise(c)
+            c = nan_to_null(c)
         out.append(c.alias(f.name))
     return readings.select(*out)
 
@@ -113,9 +129,8 @@ def sensor_readings_rows(readings: DataFrame, schema_fields) -> DataFrame:
 # ---------------------------------------------------------------- A10 / A11: run-scoped sinks
 def write_run(df: DataFrame, path: str, run_id: str) -> None:
     """Write one run's rows; re-running the same ``run_id`` replaces only that run (dynamic overwrite)."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").partitionBy("run_id").parquet(path)
+    (df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id").parquet(path))
 
 
 # ---------------------------------------------------------------- A12
@@ -124,11 +139,12 @@ def visit_requests(schedule: DataFrame, technician: Column | None = None, notes:
     """Scheduled visits for the urgent machines: technician defaults to ``Unassigned``, notes to "",
     status ``scheduled``; type by priority."""
     s = schedule.filter(F.col("priority").isin(list(priorities)))
+    due = F.col("schedule_date") if "schedule_date" in schedule.columns else F.to_date("schedule_by", "MMM dd, yyyy")
     tech = technician if technician is not None else F.lit(None).cast("string")
     note = notes if notes is not None else F.lit(None).cast("string")
     return s.select(
         "well_id",
-        F.to_date("schedule_by", "MMM dd, yyyy").alias("scheduled_date"),
+        due.alias("scheduled_date"),
         F.lit(None).cast("date").alias("completed_date"),
         F.when(F.col("priority") == "Critical", F.lit("corrective")).otherwise(F.lit("inspection")).alias("maintenance_type"),
         F.when(F.col("fault_type") != "None", F.lower(F.replace("fault_type", F.lit(" "), F.lit("_"))))
@@ -139,6 +155,25 @@ def visit_requests(schedule: DataFrame, technician: Column | None = None, notes:
     )
 
 
+def given_visits(requests: DataFrame) -> DataFrame:
+    """Visits as a planner asks for them (``well_id``, ``scheduled_date``, ``maintenance_type``, and any of
+    ``failure_type_addressed``, ``technician``, ``notes``), with the defaults of scheduled ones."""
+    text = lambda c: F.col(c) if c in requests.columns else F.lit(None).cast("string")
+    return requests.select(
+        "well_id", F.col("scheduled_date").cast("date").alias("scheduled_date"),
+        F.lit(None).cast("date").alias("completed_date"), "maintenance_type",
+        text("failure_type_addressed").alias("failure_type_addressed"),
+        F.coalesce(text("technician"), F.lit(DEFAULT_TECHNICIAN)).alias("technician"),
+        F.coalesce(text("notes"), F.lit("")).alias("notes"), F.lit("scheduled").alias("status"))
+
+
+def append_visits(visits: DataFrame, path: str, now: Column | None = None) -> DataFrame:
+    """Append visits to ``maintenance_events``; one that is already planned (same well, date and type) stays as it is."""
+    key = list(TABLES["maintenance_events"][1])
+    return append_new(with_defaults(visits, "maintenance_events", now), path, key, ["created_at", "technician", "notes"],
+                      partition_by="scheduled_date")
+
+
 # ---------------------------------------------------------------- A13
 def run_sql(spark: SparkSession, text: str, views: dict | None = None, args: dict | None = None) -> DataFrame:
     """Parametrised SQL over named DataFrames (``:name`` markers bound from ``args``)."""
@@ -153,10 +188,7 @@ def write_metrics(spark: SparkSession, metrics: dict, path: str) -> None:
 
 
 def read_metrics(spark: SparkSession, path: str) -> dict:
-    try:
-        row = spark.read.text(path).first()
-    except Exception:  # noqa: BLE001 — absent document
-        return {}
+    row = spark.read.text(path).first() if path_exists(spark, path) else None
     return json.loads(row[0]) if row else {}
 
 

@@ -45,7 +45,7 @@ def test_exact_quantiles_match_numpy(spark):
     y = np.round(rng.exponential(size=5000), 1)          # many ties
     df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
     for q in (0.5, 0.95, 0.0, 1.0):
-        got = exact_quantiles(df, ["x", "y"], q, bins=16, gather_limit=50)   # forces several rounds
+        got = exact_quantiles(df, ["x", "y"], q, bins=16)   # forces several rounds
         assert got["x"] == pytest.approx(np.nanpercentile(x, q * 100), abs=1e-12)
         assert got["y"] == pytest.approx(np.percentile(y, q * 100), abs=1e-12)
 
@@ -117,13 +117,39 @@ def test_hybrid_layout_with_one_hot_machine(spark):
     pd.testing.assert_frame_equal(hybrid, single, check_exact=False, rtol=1e-9, atol=1e-9)
 
 
-def test_one_pass_quantiles_equal_refinement(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=3000)
-    x[rng.random(3000) < 0.2] = np.nan
-    df = spark.createDataFrame(pd.DataFrame({"x": x, "z": np.ones(3000)}))
-    for q in (0.5, 0.95):
-        one = exact_quantiles(df, ["x", "z"], q, max_rows=3000)
-        many = exact_quantiles(df, ["x", "z"], q, bins=8, gather_limit=40)
-        assert one == pytest.approx(many, abs=1e-12)
-        assert exact_quantiles(df, ["x", "z"], q, max_rows=3000, only_with_nulls=True)["z"] is None
+HARD = {
+    "decades": [10.0 ** k * (1 + j / 64) for k in range(-150, 150) for j in range(10)],
+    "infinite": [float("inf"), float("-inf")] + [float(k) for k in range(500)],
+    "overflowing": [1.7e308, -1.7e308, 1.6e308, -1.6e308, 0.0, -0.0, 1.0],
+    "tiny": [5e-324, 1e-323, 2.2250738585072014e-308, 2.225073858507201e-308, -5e-324, 0.0, 1e-310],
+    "powers": [2.0 ** k for k in range(-1074, 1024)] + [-(2.0 ** k) for k in range(-1074, 1024, 7)]
+              + [float(np.nextafter(2.0 ** k, 0)) for k in range(-1000, 1000, 3)],
+    "one": [3.25],
+}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_exact_quantiles_of_any_spread(spark, monkeypatch, name):
+    from pyspark.sql import DataFrame
+
+    values = HARD[name]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "x double")
+    sent, plain = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: sent.append(plain(self)) or sent[-1])
+    for q in (0.0, 0.37, 0.5, 0.95, 1.0):
+        sent.clear()
+        got = exact_quantiles(df, ["x"], q, bins=64)["x"]
+        ordered = sorted(values)
+        place = (len(ordered) - 1) * q
+        low, high = ordered[int(place)], ordered[min(int(place) + 1, len(ordered) - 1)]
+        assert low <= got <= high
+        if np.isfinite(high - low):
+            assert got == pytest.approx(low + (high - low) * (place - int(place)), rel=1e-15, abs=0)
+        assert len(sent) <= 11 and all(len(rows) <= 2 * 64 for rows in sent)
+
+
+def test_quantiles_only_where_nulls_are(spark):
+    df = spark.createDataFrame([(float(k), None if k % 3 else float(k), None) for k in range(99)],
+                               "full double, gaps double, empty double")
+    assert exact_quantiles(df, ["full", "gaps", "empty"], 0.5, only_with_nulls=True) == {
+        "full": None, "gaps": 48.0, "empty": None}
