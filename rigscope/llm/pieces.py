@@ -22,10 +22,12 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rigscope.llm.tables import small_batches
+
 MARK = "▁"
 _LITERAL = 0x110001           # stands for a literal mark in a unit's code points
-_KEPT_UNITS = 300_000         # filtered units that a worker keeps
-_CHUNK_UNITS = 400_000        # units that are sampled together
+_KEPT_UNITS = 120_000         # filtered units that a worker keeps
+_CHUNK_UNITS = 40_000         # units that are sampled together
 _SLOTS = 1 << 20
 _SEED, _UNIT, _STEP = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7))
 
@@ -175,7 +177,7 @@ class Sampler:
             weight = total[start[a:b]] + log[a:b]
             heads = np.flatnonzero(np.diff(end[a:b], prepend=-1))
             most = np.maximum.reduceat(weight, heads)
-            length = np.diff([*heads, b - a])
+            length = np.diff(heads, append=b - a)
             share = np.exp(weight - np.repeat(most, length))
             whole = np.add.reduceat(share, heads)
             total[end[a:b][heads]] = most + np.log(whole)
@@ -185,10 +187,8 @@ class Sampler:
             source = np.concatenate([source, chain_source])
             piece = np.concatenate([piece, np.array(chain_piece, np.int32)])
             chance = np.concatenate([chance, np.ones(len(chain_state))])
-        order = np.argsort(end, kind="stable")
-        end, source, piece, chance = (x[order] for x in (end, source, piece, chance))
         heads = np.flatnonzero(np.diff(end, prepend=-1))
-        length = np.diff([*heads, len(end)])
+        length = np.diff(heads, append=len(end))
         cumulative = chance                                   # summed arc by arc: the same bits in any batch
         for k in range(1, length.max()):
             more = heads[length > k] + k
@@ -207,13 +207,17 @@ class Sampler:
 
     def states(self, units: list[str]) -> np.ndarray:
         """The last state of each unit; unknown ones are filtered."""
-        missing = set(units).difference(self.units)
-        if len(self.units) + len(missing) > self.kept_units:
-            self.forget()
-            missing = set(units)
-        if missing:
+        found = list(map(self.units.get, units))
+        if None in found:
+            at = [k for k, state in enumerate(found) if state is None]
+            missing = {units[k] for k in at}
+            if len(self.units) + len(missing) > self.kept_units:
+                self.forget()
+                missing, at = set(units), range(len(units))
             self.filter(list(missing))
-        return np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
+            for k in at:
+                found[k] = self.units[units[k]]
+        return np.array(found, np.int64)
 
     def sample(self, units: list[str], seeds: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pieces of all units in order, pieces in each unit); a draw depends on seed, place and step alone."""
@@ -292,7 +296,8 @@ def encode(text: Column, key: Column, path: str, alpha: float = 1.0, seed: int =
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out), mask=pa.compute.is_null(texts))
 
-    return of(text, F.xxhash64(F.lit(seed), key))
+    # not that it were random: so marked, Spark computes it once where several columns are made from it
+    return of.asNondeterministic()(text, F.xxhash64(F.lit(seed), key))
 
 
 def join_pieces(table: list[bytes], ids) -> str:
@@ -305,10 +310,10 @@ def decode(ids: Column, path: str) -> Column:
     @F.arrow_udf("string")
     def of(lists: pa.Array) -> pa.Array:
         table = _sampler(path, 1.0).vocabulary.bytes
-        values, ends = lists.values.to_pylist(), lists.offsets.to_numpy()
+        values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
         valid = lists.is_valid().to_pylist()
-        return pa.array([join_pieces(table, values[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], valid)],
-                        pa.string())
+        return pa.array((join_pieces(table, values[a:b].tolist()) if ok else None
+                         for a, b, ok in zip(ends, ends[1:], valid)), pa.string())
 
     return of(ids)
 
@@ -317,6 +322,7 @@ def segmentations(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                   seed: int = 0) -> DataFrame:
     """(doc_id, text, piece_ids, decoded) for every row, in the order of nothing: repeated rows are cut alike, because
     the id seeds them; rows without an id share a seed. An empty table gives no rows."""
+    small_batches(docs.sparkSession)
     cut = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                       encode(F.col(text_col), F.col(id_col), path, alpha, seed).alias("piece_ids"))
     return cut.withColumn("decoded", decode(F.col("piece_ids"), path))
