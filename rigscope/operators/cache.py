@@ -1,7 +1,8 @@
 """Intermediates that are read more than once (a scalar pass, then the final plan) are persisted here.
 
 The returned lazy plans still read them, so operators cannot unpersist on their own; call
-``release()`` after the actions that consume a query's result.
+``release()`` after the actions that consume a query's result. Registered queries release what the one before
+kept, so at most one query's frames are held.
 """
 
 from __future__ import annotations

@@ -7,15 +7,38 @@ from pyspark.sql import functions as F
 
 from ..config import GRADES, SensorSpec
 from ..functions.scalars import first_match
+from .sequence import SEQ, add_sequence
+
+
+def aucs(df: DataFrame, label: str, scores) -> dict:
+    """G1 for several score columns in one pass: area under the ROC curve, ties counted half (NaN with one class only).
+
+    Rows are first counted by distinct score; these counts are dealt out by ranges of the score, each range adds up
+    its own share, and one row a range reaches the driver: positives times the negatives below them, and
+    what the ranges before hold of either."""
+    scores = list(scores)
+    long = df.select(F.col(label).cast("int").alias("y"), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("s")) for i, c in enumerate(scores)])).alias("p"))
+    per = (long.filter(F.col("p.s").isNotNull()).groupBy("p.k", "p.s")
+           .agg(F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.sum((F.col("y") == 0).cast("long")).alias("neg")))
+    dealt = per.repartitionByRange("k", "s").withColumn("part", F.spark_partition_id())
+    below = F.sum("neg").over(Window.partitionBy("k", "part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
+    area = F.col("pos") * (F.coalesce(below, F.lit(0)) + F.col("neg") / 2)
+    parts = (dealt.withColumn("area", area).groupBy("k", "part")
+             .agg(F.sum("area").alias("area"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect())
+    out = {}
+    for i, c in enumerate(scores):
+        total = pos = neg = 0
+        for r in sorted((r for r in parts if r["k"] == i), key=lambda r: r["part"]):
+            total += r["area"] + r["pos"] * neg
+            pos, neg = pos + r["pos"], neg + r["neg"]
+        out[c] = total / (pos * neg) if pos and neg else float("nan")
+    return out
 
 
 def auc(df: DataFrame, label: str, score: str) -> float:
-    """G1: area under the ROC curve, ties counted half.  ``numBins=0`` keeps every distinct score
-    (exact); the evaluator sorts scores with a range-partitioned sort, not in one task."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-
-    ev = BinaryClassificationEvaluator(rawPredictionCol="_s", labelCol="_y", metricName="areaUnderROC", numBins=0)
-    return ev.evaluate(df.select(F.col(score).cast("double").alias("_s"), F.col(label).cast("double").alias("_y")))
+    """G1 for one score column."""
+    return aucs(df, label, [score])[score]
 
 
 def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
@@ -118,28 +141,31 @@ def downtime_summary(leads: DataFrame, emergency_hours: float = 24.0, planned_ho
     return agg.select("*", F.when(baseline > 0, (baseline - planned) / baseline * F.lit(100.0)).alias("downtime_reduction_pct"))
 
 
-def permutation_importance(df: DataFrame, feats, rescore, label: str, record: str, score: str = "score",
-                           rows_per_bucket: int = 50_000, seed: int = 42):
-    """AUC drop when one feature is shuffled across rows.
-
-    The shuffle is distributed and deterministic: rows fall into ``n / rows_per_bucket`` hash buckets;
-    inside a bucket each row takes feature ``f`` from the row whose rank under a second hash equals its
-    own rank (two ``row_number``s per bucket, one self-join).  ``rescore(frame)`` recomputes ``score``.
-    Returns [(feature, auc_drop)] and the base AUC."""
-    from pyspark import StorageLevel
-
-    n = df.count()
-    buckets = max(1, -(-n // rows_per_bucket))
-    d = df.withColumn("_b", F.pmod(F.xxhash64(F.col(record), F.lit(seed)), F.lit(buckets)))
-    d = d.withColumn("_r1", F.row_number().over(Window.partitionBy("_b").orderBy(record)))
-    d = d.persist(StorageLevel.MEMORY_AND_DISK)
-    base = auc(rescore(d), label, score)
-    out = []
-    for j, f in enumerate(feats):
-        donor = d.select("_b", F.row_number().over(
-            Window.partitionBy("_b").orderBy(F.xxhash64(F.col(record), F.lit(seed + j + 1)), record)).alias("_r1"),
-            F.col(f).alias("_perm"))
-        shuffled = d.join(donor, ["_b", "_r1"]).withColumn(f, F.col("_perm")).drop("_perm")
-        out.append((f, base - auc(rescore(shuffled), label, score)))
-    d.unpersist()
-    return out, base
+def permuted(df: DataFrame, feats, record: str, seed: int = 42) -> DataFrame:
+    """``df`` with a column ``<feature>_perm`` for each feature: its values dealt anew to the rows.
+
+    The row that is n-th by ``md5(record ':' seed)`` gets the value of the row that is n-th by the same hash with
+    the seed plus the feature's number from 1. Places come from range-partitioned counts, so any number of
+    rows is shuffled as one, and the result depends on the rows alone. ``record`` is unique."""
+    def placed(frame: DataFrame, salt: int) -> DataFrame:
+        spec = SensorSpec(entity="_all", time_us="_hash", record=record)
+        hashed = frame.withColumns({"_all": F.lit(0), "_hash": F.md5(F.concat(F.col(record).cast("string"), F.lit(f":{salt}")))})
+        return add_sequence(hashed, spec).drop("_all", "_hash").withColumnRenamed(SEQ, "_place")
+
+    out = placed(df, seed)
+    for j, f in enumerate(feats, 1):
+        donor = placed(df.select(record, F.col(f).alias(f"{f}_perm")), seed + j).drop(record)
+        out = out.join(donor, "_place")
+    return out.drop("_place")
+
+
+def permutation_importance(df: DataFrame, feats, rescore, label: str, record: str, seed: int = 42):
+    """AUC drop when one feature is shuffled across rows (``permuted``). ``rescore({feature: column})`` gives the score
+    column from the columns to use for the features. Returns [(feature, auc_drop)] and the base AUC; all AUCs come
+    from one pass."""
+    feats = list(feats)
+    d = permuted(df, feats, record, seed)
+    own = {f: F.col(f) for f in feats}
+    scores = {"_base": rescore(own)} | {f"_s{j}": rescore(own | {f: F.col(f"{f}_perm")}) for j, f in enumerate(feats)}
+    found = aucs(d.select(label, *[c.alias(n) for n, c in scores.items()]), label, scores)
+    return [(f, found["_base"] - found[f"_s{j}"]) for j, f in enumerate(feats)], found["_base"]

@@ -45,7 +45,15 @@ def feature_columns(df: DataFrame, spec: SensorSpec) -> list:
     return [c for c in spec.features if c in df.columns]
 
 
-def assemble(df: DataFrame, spec: SensorSpec, out: str = "features") -> DataFrame:
+def assembler(cols, out: str = "features"):
+    """The stage that puts ``cols`` into one vector. A missing value is an error: callers drop such rows (fits) or
+    fill them (scores)."""
     from pyspark.ml.feature import VectorAssembler
 
-    return VectorAssembler(inputCols=feature_columns(df, spec), outputCol=out, handleInvalid="keep").transform(df)
+    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="error")
+
+
+def assemble(df: DataFrame, spec: SensorSpec, out: str = "features") -> DataFrame:
+    """The feature vector, missing features as 0."""
+    cols = feature_columns(df, spec)
+    return assembler(cols, out).transform(df.na.fill(0.0, subset=cols))

@@ -4,8 +4,8 @@
   autoencoder.  ``x̂ = μ + P Pᵀ (x − μ)``; the score is mean((x − x̂)²).  Scoring
   is a fixed linear map, so it is written as column expressions (JVM, codegen).
 * failure classifier: ``MultilayerPerceptronClassifier`` (no ``weightCol``) on
-  rows replicated for class balance, or ``LogisticRegression`` with weights.
-* days regressor: ``LinearRegression(loss="huber")`` on near-failure rows.
+  rows replicated for class balance, or ``LogisticRegression``/``GBTClassifier`` with weights.
+* days regressor: ``LinearRegression(loss="huber")`` or ``GBTRegressor`` on near-failure rows.
 * any dense network's weights: an iterator ``pandas_udf`` with broadcast numpy
   matrices (Arrow batches).
 """
@@ -23,7 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import SensorSpec
+from .features import assembler
+from .impute import zero_fill
 
 
 # ------------------------------------------------------------------ E1 / E2: PCA reconstruction
@@ -47,88 +48,104 @@ class PcaDetector:
 
     def save(self, path: str, spark: SparkSession) -> None:
         """One-row JSON document (components, mean, threshold)."""
-        doc = json.dumps({"cols": self.cols, "mean": self.mean, "components": self.components,
-                          "threshold": self.threshold})
-        spark.createDataFrame([(doc,)], "doc string").write.mode("overwrite").text(path)
+        save_document({"cols": self.cols, "mean": self.mean, "components": self.components,
+                       "threshold": self.threshold}, path, spark)
 
     @classmethod
     def load(cls, path: str, spark: SparkSession) -> "PcaDetector":
-        doc = json.loads(spark.read.text(path).first()[0])
+        doc = load_document(path, spark)
         return cls(doc["cols"], doc["mean"], doc["components"], doc["threshold"])
 
 
 def fit_pca_detector(normal: DataFrame, cols, k: int) -> PcaDetector:
     """Distributed covariance (``ml.feature.PCA``) on the normal rows; μ from one aggregate."""
-    from pyspark.ml.feature import PCA, VectorAssembler
+    from pyspark.ml.feature import PCA
 
     cols = list(cols)
+    normal = normal.na.drop(subset=cols)
     mean_row = normal.agg(*[F.avg(c).alias(c) for c in cols]).first()
     mean = [float(mean_row[c]) for c in cols]
-    vec = VectorAssembler(inputCols=cols, outputCol="_x").transform(normal.select(*cols))
+    vec = assembler(cols, "_x").transform(normal.select(*cols))
     model = PCA(k=k, inputCol="_x", outputCol="_pc").fit(vec)
     return PcaDetector(cols, mean, model.pc.toArray().tolist())
 
 
 # ------------------------------------------------------------------ E5 / E6: failure classifier
-def balanced_replicas(df: DataFrame, label: str) -> DataFrame:
-    """Class balance without ``weightCol``: repeat each minority row round(n_major / n_minor) times
-    (``explode(sequence)``, no shuffle); the counts come from one tiny aggregate."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+FIT_ROWS = 200_000     # labelled rows that the network is fitted on at most (a sample by hash beyond that)
+
+
+def class_counts(df: DataFrame, label: str) -> dict:
+    return {r[0]: r[1] for r in df.groupBy(label).count().collect() if r[0] is not None}
+
+
+def balanced_replicas(df: DataFrame, label: str, counts: dict | None = None, share: Column | None = None) -> DataFrame:
+    """Class balance without ``weightCol``: each minority row comes n_major / n_minor times, the fraction by a
+    share of the rows (``explode(sequence)``, no shuffle); the counts come from one tiny aggregate.
+    ``share``: a number in [0, 1) for each row, by default a hash of the whole row."""
+    counts = counts or class_counts(df, label)
     if len(counts) < 2:
         return df
+    if share is None:
+        share = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
     major = max(counts.values())
-    reps = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(max(1, round(major / n))))])
-    return df.withColumn("_r", F.explode(F.sequence(F.lit(1), reps[F.col(label)]))).drop("_r")
+    ratio = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(major / n))])[F.col(label)]
+    times = F.floor(ratio).cast("int") + (share < ratio - F.floor(ratio)).cast("int")
+    return df.withColumn("_r", F.explode(F.sequence(F.lit(1), times))).drop("_r")
 
 
 def fit_classifier(train: DataFrame, cols, label: str, kind: str = "mlp", hidden=(128, 64, 32),
-                   max_iter: int = 60, seed: int = 42):
-    """E5: returns a fitted ``PipelineModel`` producing ``probability``."""
+                   max_iter: int = 60, seed: int = 42, max_rows: int = FIT_ROWS):
+    """E5: returns a fitted ``PipelineModel`` producing ``probability``. Rows with a missing feature or label are left
+    out of the fit.  ``max_rows`` bounds the rows that the network (``mlp``) is fitted on, which repeats and
+    iterates over them; the other kinds take all rows with class weights."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-    from pyspark.ml.feature import VectorAssembler
 
     cols = list(cols)
-    asm = VectorAssembler(inputCols=cols, outputCol="_x", handleInvalid="keep")
-    data = train.withColumn("_y", F.col(label).cast("double"))
+    data = train.withColumn("_y", F.col(label).cast("double")).na.drop(subset=[*cols, "_y"])
+    counts = class_counts(data, "_y")
     if kind == "mlp":
-        data = balanced_replicas(data, "_y")
+        share = F.pmod(F.xxhash64("_y", *cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        part = min(1.0, max_rows / max(1, sum(counts.values())))
+        # the share of a kept row is uniform again once divided by the kept part
+        data = balanced_replicas(data.filter(share < F.lit(part)), "_y", counts, share / F.lit(part))
         est = MultilayerPerceptronClassifier(featuresCol="_x", labelCol="_y", layers=[len(cols), *hidden, 2],
                                              maxIter=max_iter, seed=seed, blockSize=256)
     else:
-        n = data.groupBy("_y").count().collect()
-        cnt = {r[0]: r[1] for r in n}
-        tot, k = sum(cnt.values()), len(cnt)
-        wmap = F.create_map(*[x for c, v in cnt.items() for x in (F.lit(c), F.lit(tot / (k * v)))])
+        tot, k = sum(counts.values()), len(counts)
+        wmap = F.create_map(*[x for c, v in counts.items() for x in (F.lit(c), F.lit(tot / (k * v)))])
         data = data.withColumn("_w", wmap[F.col("_y")])
         est = (LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=max_iter)
                if kind == "logistic" else
-               GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=min(max_iter, 40), seed=seed))
-    return Pipeline(stages=[asm, est]).fit(data)
+               GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=max_iter, seed=seed))
+    return Pipeline(stages=[assembler(cols, "_x"), est]).fit(data)
 
 
 def failure_probability(model, df: DataFrame, out: str = "confidence_score") -> DataFrame:
-    """Probability of class 1."""
+    """Probability of class 1; missing features count as 0."""
     from pyspark.ml.functions import vector_to_array
 
-    scored = model.transform(df)
+    scored = model.transform(zero_fill(df, model.stages[0].getInputCols()))
     return scored.withColumn(out, vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability",
                                                                             "prediction")
 
 
 # ------------------------------------------------------------------ E7: days regressor
-def fit_regressor(near: DataFrame, cols, target: str, max_iter: int = 100):
+def fit_regressor(near: DataFrame, cols, target: str, max_iter: int = 100, kind: str = "huber", seed: int = 42):
+    """``huber`` is linear with Spark's Huber loss (the scale is fitted, errors beyond 1.35 scales count linearly;
+    the original loss has a fixed delta of 1); ``gbt`` are boosted trees, ``max_iter`` of them."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+    from pyspark.ml.regression import GBTRegressor, LinearRegression
 
-    asm = VectorAssembler(inputCols=list(cols), outputCol="_x", handleInvalid="keep")
-    est = LinearRegression(featuresCol="_x", labelCol=target, loss="huber", maxIter=max_iter, regParam=0.0)
-    return Pipeline(stages=[asm, est]).fit(near)
+    cols = list(cols)
+    est = (LinearRegression(featuresCol="_x", labelCol=target, loss="huber", maxIter=max_iter, regParam=0.0)
+           if kind == "huber" else GBTRegressor(featuresCol="_x", labelCol=target, maxIter=max_iter, seed=seed))
+    return Pipeline(stages=[assembler(cols, "_x"), est]).fit(near.na.drop(subset=[*cols, target]))
 
 
 def predict_days(model, df: DataFrame, out: str = "days_raw") -> DataFrame:
-    return model.transform(df).withColumnRenamed("prediction", out).drop("_x")
+    """Missing features count as 0."""
+    return model.transform(zero_fill(df, model.stages[0].getInputCols())).withColumnRenamed("prediction", out).drop("_x")
 
 
 # ------------------------------------------------------------------ E12: any dense network
@@ -148,7 +165,8 @@ def mlp_layers(mlp_model) -> list:
 
 def dense_forward(df: DataFrame, cols, layers, activations, out: str = "nn_out", output_index: int = -1) -> DataFrame:
     """Score ``df`` with weights ``layers`` = [(W (in×out), b)], ``activations`` per layer in
-    {relu, sigmoid, softmax, identity}; Arrow batches, weights broadcast once per executor."""
+    {relu, sigmoid, softmax, identity}; Arrow batches, weights broadcast once per executor.
+    Missing inputs count as 0 (B5)."""
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast([(np.asarray(W, float), np.asarray(b, float)) for W, b in layers])
     acts = list(activations)
@@ -157,7 +175,7 @@ def dense_forward(df: DataFrame, cols, layers, activations, out: str = "nn_out",
     def forward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         weights = bc.value
         for pdf in batches:
-            x = pdf.to_numpy(dtype=float, na_value=0.0)
+            x = pdf.to_numpy(dtype=float)
             for (W, b), act in zip(weights, acts):
                 x = x @ W + b
                 if act == "relu":
@@ -169,10 +187,19 @@ def dense_forward(df: DataFrame, cols, layers, activations, out: str = "nn_out",
                     x = e / e.sum(axis=1, keepdims=True)
             yield pd.Series(x[:, output_index])
 
-    return df.withColumn(out, forward(F.struct(*[F.col(c).cast("double") for c in cols])))
+    inputs = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(cols)]
+    return df.withColumn(out, forward(F.struct(*inputs)))
 
 
 # ------------------------------------------------------------------ A15 / E13: persistence, staged runs
+def save_document(doc: dict, path: str, spark: SparkSession) -> None:
+    spark.createDataFrame([(json.dumps(doc),)], "doc string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_document(path: str, spark: SparkSession) -> dict:
+    return json.loads(spark.read.text(path).first()[0])
+
+
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 

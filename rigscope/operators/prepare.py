@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SPLIT_SEED, TEST_FRACTION, SensorSpec
+from .quantiles import smallest_share
 
 
 def fit_scaler(df: DataFrame, cols):
@@ -37,6 +38,22 @@ def with_split(df: DataFrame, spec: SensorSpec) -> DataFrame:
     return df.withColumn("split", F.when(split_flag(spec.record), F.lit("test")).otherwise(F.lit("train")))
 
 
+def with_stratified_split(df: DataFrame, spec: SensorSpec, seed: int = SPLIT_SEED,
+                          test_fraction: float = TEST_FRACTION) -> DataFrame:
+    """D3, stratified: of each label the floor(fraction * n) rows with the smallest ``md5(id ':' seed)`` are test rows. The
+    cut of each label is an exact order statistic of the hash's first 52 bits (two labels, found in the same passes),
+    so no label's rows meet in one task. Rows without a label are training rows."""
+    digest = F.md5(F.concat(F.col(spec.record).cast("string"), F.lit(f":{seed}")))
+    place = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
+    labels = [r[0] for r in df.select(spec.label).distinct().collect() if r[0] is not None]
+    cuts = smallest_share(df, [F.when(F.col(spec.label) == y, place) for y in labels], test_fraction)
+    test = F.lit(False)
+    for y, cut in zip(labels, cuts):
+        if cut is not None:
+            test = test | ((F.col(spec.label) == y) & (place <= F.lit(cut)))
+    return df.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train")))
+
+
 def split_report(df: DataFrame, spec: SensorSpec) -> DataFrame:
     """Rows and positive rate per split."""
     return df.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"),

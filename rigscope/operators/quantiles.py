@@ -47,22 +47,18 @@ def _interpolate(low: float, high: float, share: float) -> float:
     return low + share * gap if math.isfinite(gap) or math.isinf(low) or math.isinf(high) else low * (1 - share) + high * share
 
 
-def exact_quantiles(df: DataFrame, cols, q: float, bins: int = 1024, only_with_nulls: bool = False) -> dict:
-    """Return {col: quantile q of the values of col that are neither null nor NaN}; None for a column without values,
-    and with ``only_with_nulls`` also for a column without nulls, which then needs no quantile and is never read again."""
-    cols = list(cols)
-    values = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
-    keys = df.select(*[ordered_bits(v).alias(f"k{i}") for i, v in enumerate(values.values())])
+def _order_statistics(df: DataFrame, values, wanted, bins: int) -> tuple[list, dict]:
+    """(number of values by column, {(column, rank): value}): of each column's values that are neither null nor NaN those
+    at the 0-based ranks ``wanted(rows, values)``."""
+    keys = df.select(*[ordered_bits(F.when(~F.isnan(v.cast("double")), v.cast("double"))).alias(f"k{i}")
+                       for i, v in enumerate(values)])
     first = keys.agg(F.count(F.lit(1)).alias("rows"), *[
-        f(f"k{i}").alias(f"{name}{i}") for i in range(len(cols)) for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))
-    ]).first()
-    ranks = {}        # (column, rank) -> [values below the range, least and largest key of the range]
-    for i in range(len(cols)):
-        n = first[f"n{i}"]
-        if n and not (only_with_nulls and n == first["rows"]):
-            place = int(math.floor((n - 1) * q))
-            for rank in (place, min(place + 1, n - 1)):
-                ranks[i, rank] = [0, first[f"lo{i}"], first[f"hi{i}"]]
+        f(f"k{i}").alias(f"{name}{i}") for i in range(len(values))
+        for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    counts = [first[f"n{i}"] for i in range(len(values))]
+    # (column, rank) -> [values below the range, least and largest key of the range]
+    ranks = {(i, rank): [0, first[f"lo{i}"], first[f"hi{i}"]]
+             for i, n in enumerate(counts) if n for rank in wanted(first["rows"], n)}
     while active := [(t, *state) for t, state in ranks.items() if state[1] < state[2]]:
         tagged = []
         for number, ((i, _), _, lo, hi) in enumerate(active):
@@ -81,17 +77,34 @@ def exact_quantiles(df: DataFrame, cols, q: float, bins: int = 1024, only_with_n
                     ranks[target] = [below, r["lo"], r["hi"]]
                     break
                 below += r["n"]
+    return counts, {t: value_of_bits(state[1]) for t, state in ranks.items()}
+
+
+def exact_quantiles(df: DataFrame, cols, q: float, bins: int = 1024, only_with_nulls: bool = False) -> dict:
+    """Return {col: quantile q of the values of col that are neither null nor NaN}; None for a column without values,
+    and with ``only_with_nulls`` also for a column without nulls, which then needs no quantile and is never read again."""
+    cols = list(cols)
+
+    def neighbours(rows: int, n: int) -> set:
+        place = int(math.floor((n - 1) * q))
+        return set() if only_with_nulls and n == rows else {place, min(place + 1, n - 1)}
+
+    counts, found = _order_statistics(df, [F.col(c) for c in cols], neighbours, bins)
     out = dict.fromkeys(cols)
-    for i, c in enumerate(cols):
-        n = first[f"n{i}"]
-        place = (n - 1) * q
-        rank = int(math.floor(place)) if n else 0
-        if (i, rank) in ranks:
-            low, high = (value_of_bits(ranks[i, r][1]) for r in (rank, min(rank + 1, n - 1)))
-            out[c] = _interpolate(low, high, place - rank)
+    for i, (c, n) in enumerate(zip(cols, counts)):
+        place = max(0, n - 1) * q
+        rank = int(math.floor(place))
+        if (i, rank) in found:
+            out[c] = _interpolate(found[i, rank], found[i, min(rank + 1, n - 1)], place - rank)
     return out
 
 
+def smallest_share(df: DataFrame, values, share: float, bins: int = 1024) -> list:
+    """For each column of ``values`` the largest of its floor(share * n) smallest values (None if that is no value)."""
+    counts, found = _order_statistics(df, values, lambda _, n: {int(share * n) - 1} - {-1}, bins)
+    return [found.get((i, int(share * n) - 1)) for i, n in enumerate(counts)]
+
+
 def approx_quantiles(df: DataFrame, cols, q: float, accuracy: int = 10_000) -> dict:
     """One-pass ``percentile_approx`` variant (rank error ~ n/accuracy)."""
     row = df.agg(*[F.percentile_approx(c, q, accuracy).alias(c) for c in cols]).first()

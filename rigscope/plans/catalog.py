@@ -5,9 +5,10 @@ Every builder takes ``(spark, sf_dir)`` and reads the supplied tables whole.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import (ANOMALY_BAND_ELSE, ANOMALY_BANDS, DAYS_BAND_ELSE, DAYS_BANDS, EVENTS_SPEC, LINEITEM_SPEC,
@@ -15,17 +16,18 @@ from ..config import (ANOMALY_BAND_ELSE, ANOMALY_BANDS, DAYS_BAND_ELSE, DAYS_BAN
 from ..functions.scalars import r6
 from ..operators import alerts as alerts_op
 from ..operators import evaluate, fleet, models, prepare, schedule
-from ..operators.cache import keep
+from ..operators.cache import keep, release
 from ..operators.features import engineer_features as _engineer
-from ..operators.impute import keep_first, rolling_median_fill, zero_fill
-from ..operators.score import reconstruction_error as _rec
-from ..operators.sequence import strip
+from ..operators.impute import keep_first, rolling_median_fill
+from ..operators.score import anomaly_threshold, prediction_rows
+from ..operators.sequence import Layout, strip
 from ..sources import sinks
 from ..sources.adapters import events_readings, lineitem_readings, read_table
+from ..sources.schemas import READING_DATE, SENSOR_READINGS
 from . import oracle_sql as sql
 from .frames import events_features, events_labeled, labeled
 from .frames import lineitem_features as _lineitem_features
-from .scoring import EVENTS_FORMULA, apply_models, fit_models, score_formula, score_window
+from .scoring import EVENTS_FORMULA, apply_models, fit_models, score_formula, score_window, standardised
 
 SPEC = EVENTS_SPEC
 DAY_US = 86_400_000_000
@@ -36,7 +38,12 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None,
 
 def register(name: str, oracle: str | None, ids: str):
     def deco(fn):
-        REGISTRY[name] = (fn, oracle, ids)
+        @functools.wraps(fn)
+        def build(spark, sf_dir):
+            release()          # what the query before kept; a frame that is still read is computed anew
+            return fn(spark, sf_dir)
+
+        REGISTRY[name] = (build, oracle, ids)
         return fn
     return deco
 
@@ -330,6 +337,15 @@ def split_report(spark, d):
     return r.select("split", "n_rows", r6("positive_rate").alias("positive_rate"))
 
 
+@register("stratified_split", sql.events_chain("labeled") + """
+, ranked AS (SELECT record_id, maintenance_required, row_number() OVER (PARTITION BY maintenance_required
+    ORDER BY md5(record_id::VARCHAR || ':42')) AS place, count(*) OVER (PARTITION BY maintenance_required) AS n FROM labeled)
+SELECT record_id, maintenance_required, CASE WHEN place <= floor(0.2 * n) THEN 'test' ELSE 'train' END AS split FROM ranked""", "D3")
+def stratified_split(spark, d):
+    """A test split with the same share of either label."""
+    return prepare.with_stratified_split(events_labeled(spark, d), SPEC).select("record_id", "maintenance_required", "split")
+
+
 @register("class_weights", _sql_scored() + f""", c AS (SELECT maintenance_required, count(*) AS n_c FROM decided
   WHERE split = 'train' GROUP BY 1)
 SELECT maintenance_required, n_c, {sql.r6('CAST(sum(n_c) OVER () AS DOUBLE) / (count(*) OVER () * n_c)')} AS weight,
@@ -362,10 +378,10 @@ PRED_SQL_COLS = (f"well_id, record_id, t_us, predicted_failure, {sql.r6('confide
                  f"{sql.r6('days_to_failure_pred')} AS days_to_failure_pred, {sql.r6('anomaly_score')} AS anomaly_score, is_anomaly")
 
 
-def _pred_cols(df):
+def _pred_cols(df, *more):
     return df.select("well_id", "record_id", "t_us", "predicted_failure", r6("confidence_score").alias("confidence_score"),
                      r6("days_to_failure_pred").alias("days_to_failure_pred"),
-                     r6("anomaly_score").alias("anomaly_score"), "is_anomaly")
+                     r6("anomaly_score").alias("anomaly_score"), "is_anomaly", *more)
 
 
 @register("predictions", _sql_scored() + f"SELECT {PRED_SQL_COLS} FROM decided", "E8 E9 E10 A10")
@@ -434,9 +450,11 @@ def model_metrics(spark, d):
     from ..functions.scalars import half_even
 
     s = scored(spark, d)
-    test = keep(s.frame.filter(F.col("split") == "test"))
-    auc_a = evaluate.auc(test, "maintenance_required", "anomaly_score")
-    auc_c = evaluate.auc(test, "maintenance_required", "confidence_score")
+    test = keep(s.frame.filter(F.col("split") == "test").select(
+        "maintenance_required", "predicted_failure", "anomaly_score", "confidence_score", "days_to_failure",
+        "days_to_failure_pred"))
+    areas = evaluate.aucs(test, "maintenance_required", ["anomaly_score", "confidence_score"])
+    auc_a, auc_c = areas["anomaly_score"], areas["confidence_score"]
     cm = evaluate.confusion(test, "maintenance_required", "predicted_failure")
     near = prepare.near_failure_rows(test, SPEC)
     m = evaluate.mae(near, "days_to_failure", "days_to_failure_pred").select("mae")
@@ -582,7 +600,6 @@ def _pca(spark, d):
     normal_train = s.frame.filter((F.col("split") == "train") & (F.col("maintenance_required") == 0))
     det = models.fit_pca_detector(normal_train, zcols, models.pca_k(len(zcols)))
     f = s.frame.withColumn("pca_score", det.reconstruction_error())
-    from ..operators.score import anomaly_threshold
     det.threshold = anomaly_threshold(f.filter((F.col("split") == "train") & (F.col("maintenance_required") == 0)),
                                       "pca_score")
     return f.withColumn("pca_anomaly", F.col("pca_score") > F.lit(det.threshold)), det
@@ -625,8 +642,8 @@ def huber_days_prediction(spark, d):
 @register("model_scoring", None, "E10 E11 A10")
 def model_scoring(spark, d):
     """All three fitted models (fitted concurrently) in one lazy chain → the 8 prediction columns."""
-    s = scored(spark, d)
-    return _pred_cols(apply_models(s, fit_models(s, SPEC), SPEC))
+    z, stats, feats = standardised(events_features(spark, d), SPEC)
+    return _pred_cols(apply_models(z, fit_models(z, SPEC, stats, feats), SPEC))
 
 
 @register("dense_network_scores", None, "E12")
@@ -758,8 +775,11 @@ def adhoc_sql(spark, d):
     sql.features(SPEC, src="win", name="wf"),
     "wz AS (SELECT wf.*, (" + " + ".join(
         f"power(((COALESCE({c}, 0.0) - m_{i}) / (CASE WHEN s_{i} IS NULL OR s_{i} = 0 THEN 1.0 ELSE s_{i} END)), 2)"
-        for i, c in enumerate(FEATS)) + f") / {float(len(FEATS))} AS w_score FROM wf, stats)") + f"""
+        for i, c in enumerate(FEATS)) + f""") / {float(len(FEATS))} AS w_score, {EVENTS_FORMULA.prob_sql} AS prob,
+      {EVENTS_FORMULA.days_sql} AS days FROM wf, stats)""") + f"""
 SELECT well_id, record_id, t_us, {sql.r6('w_score')} AS anomaly_score, w_score > threshold AS is_anomaly,
+  {sql.r6('prob')} AS confidence_score, CASE WHEN prob >= {SPEC.thresholds.probability} THEN 1 ELSE 0 END AS predicted_failure,
+  {sql.r6(f'least(greatest(days, {SPEC.thresholds.days_clip[0]}), {SPEC.thresholds.days_clip[1]})')} AS days_to_failure_pred,
   {sql.r6('pressure_rolling_mean')} AS pressure_rolling_mean, {sql.r6('vibration_trend')} AS vibration_trend
 FROM wz, thr""", "E11 B5 H11")
 def window_scoring(spark, d):
@@ -771,25 +791,249 @@ def window_scoring(spark, d):
     import datetime as _dt
     z = score_window(c, SPEC, s, (end - _dt.timedelta(days=_WINDOW_DAYS)).isoformat(), end.isoformat())
     return z.select("well_id", "record_id", "t_us", r6("anomaly_score").alias("anomaly_score"), "is_anomaly",
+                    r6("confidence_score").alias("confidence_score"), "predicted_failure",
+                    r6("days_to_failure_pred").alias("days_to_failure_pred"),
                     r6("pressure_rolling_mean").alias("pressure_rolling_mean"),
                     r6("vibration_trend").alias("vibration_trend"))
 
 
-@register("permutation_importance", None, "G10")
+# a fixed classifier of two features; the third one it ignores
+_RISK = "value / 50.0 + hours_since_last_maintenance / 200.0"
+_RISK_FEATURES = ["value", "hours_since_last_maintenance", "signal"]
+_PERM_SEED = 42
+
+
+def _risk(columns: dict) -> Column:
+    return columns["value"] / F.lit(50.0) + columns["hours_since_last_maintenance"] / F.lit(200.0)
+
+
+def _rank_auc_sql(score: str) -> str:
+    return f"""(SELECT (sum(CASE WHEN y = 1 THEN rk END) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0)
+   / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0))
+ FROM (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM (SELECT y, {score} AS s FROM perm)))"""
+
+
+def _place_sql(seed: int) -> str:
+    return f"row_number() OVER (ORDER BY md5(record_id::VARCHAR || ':{seed}'), record_id)"
+
+
+@register("permutation_importance", _sql_scored(
+    "t AS (SELECT record_id, maintenance_required AS y, " + ", ".join(_RISK_FEATURES) + f" FROM decided WHERE {TEST})",
+    "perm AS (SELECT * FROM (SELECT *, " + _place_sql(_PERM_SEED) + " AS place FROM t)"
+    + "".join(f" JOIN (SELECT {_place_sql(_PERM_SEED + j)} AS place, {f} AS p{j} FROM t) USING (place)"
+              for j, f in enumerate(_RISK_FEATURES, 1)) + ")",
+    "drops AS (" + " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, {_rank_auc_sql(_RISK)} AS base, {_rank_auc_sql(_RISK.replace(f, f'p{j}'))} AS shuffled"
+        for j, f in enumerate(_RISK_FEATURES, 1)) + ")") + f"""
+SELECT feature, {sql.r6('base - shuffled')} AS auc_drop, {sql.r6('base')} AS base_auc,
+  {sql.r6('greatest(base - shuffled, 0.0) / sum(greatest(base - shuffled, 0.0)) OVER () * 100.0')} AS importance_pct
+FROM drops""", "G10")
 def permutation_importance(spark, d):
-    """Anomaly-score AUC drop per shuffled feature on the test split (formula model)."""
-    s = scored(spark, d)
-    zc = [c + "_z" for c in s.features]
-    test = s.frame.filter(F.col("split") == "test").select("record_id", "maintenance_required", *zc)
+    """What a failure classifier's AUC on the test split loses when a feature is shuffled."""
+    test = scored(spark, d).frame.filter(F.col("split") == "test").select("record_id", "maintenance_required", *_RISK_FEATURES)
+    drops, base = evaluate.permutation_importance(test, _RISK_FEATURES, _risk, "maintenance_required", "record_id", _PERM_SEED)
+    return _importance_rows(spark, drops, base)
 
-    def rescore(frame):
-        return frame.withColumn("score", _rec(zc, [F.lit(0.0)] * len(zc)))
 
-    drops, base = evaluate.permutation_importance(test, zc, rescore, "maintenance_required", "record_id")
+def _importance_rows(spark, drops, base) -> DataFrame:
+    """One row per feature, from the measured drops."""
     total = sum(max(v, 0.0) for _, v in drops) or 1.0
-    rows = [(f[:-2], float(v), float(max(v, 0.0) / total * 100.0), float(base)) for f, v in drops]
-    # one row per feature: as many rows as features, built from the measured drops
-    return spark.createDataFrame(rows, "feature string, auc_drop double, importance_pct double, base_auc double")
+    rows = [(f, float(v), float(base), float(max(v, 0.0) / total * 100.0)) for f, v in drops]
+    out = spark.createDataFrame(rows, "feature string, auc_drop double, base_auc double, importance_pct double")
+    return out.select("feature", *[r6(c).alias(c) for c in ("auc_drop", "base_auc", "importance_pct")])
+
+
+@register("classifier_importance", None, "G10 E5")
+def classifier_importance(spark, d):
+    """The same for the fitted logistic classifier, all features; its probability is a column of its coefficients."""
+    from ..functions.scalars import sigmoid
+
+    z, _, feats = standardised(events_features(spark, d), SPEC)
+    zcols = [c + "_z" for c in feats]
+    model = models.fit_classifier(z.filter(F.col("split") == "train"), zcols, SPEC.label, kind="logistic").stages[-1]
+    weights = dict(zip(zcols, model.coefficients.toArray().tolist()))
+
+    def probability(columns):
+        return sigmoid(sum((columns[c] * F.lit(w) for c, w in weights.items()), F.lit(float(model.intercept))))
+
+    test = z.filter(F.col("split") == "test").select("record_id", SPEC.label, *zcols)
+    drops, base = evaluate.permutation_importance(test, zcols, probability, SPEC.label, "record_id")
+    return _importance_rows(spark, [(f.removesuffix("_z"), v) for f, v in drops], base)
+
+
+# ---------------------------------------------------------------- fitted models where SQL knows the answer
+
+
+@register("pca_two_sensors", _sql_scored(
+    """nt AS (SELECT * FROM decided WHERE split = 'train' AND maintenance_required = 0)""",
+    """mom AS (SELECT avg(value_z) AS m1, avg(signal_z) AS m2, var_samp(value_z) AS a, var_samp(signal_z) AS c,
+  covar_samp(value_z, signal_z) AS b FROM nt)""",
+    "lam AS (SELECT *, (a + c - sqrt(power(a - c, 2) + 4 * b * b)) / 2 AS l FROM mom)",
+    """pc AS (SELECT d.record_id, d.split, d.maintenance_required, power((value_z - m1) * b + (signal_z - m2) * (l - a), 2)
+  / (b * b + power(l - a, 2)) / 2 AS score FROM decided d, lam)""",
+    "cut AS (SELECT quantile_cont(score, 0.95) AS t FROM pc WHERE split = 'train' AND maintenance_required = 0)") + f"""
+SELECT record_id, {sql.r6('score')} AS anomaly_score, score > t AS is_anomaly, {sql.r6('t')} AS threshold FROM pc, cut""",
+          "E1 E2 E3 E4")
+def pca_two_sensors(spark, d):
+    """The fitted reconstruction of two sensors by one component; the discarded axis is known in closed form."""
+    f = scored(spark, d).frame
+    normal = prepare.normal_rows(f.filter(F.col("split") == "train"), SPEC)
+    det = models.fit_pca_detector(normal, ["value_z", "signal_z"], 1)
+    det.threshold = anomaly_threshold(normal.withColumn("_pca", det.reconstruction_error()), "_pca")
+    f = f.withColumn("score", det.reconstruction_error())
+    return f.select("record_id", r6("score").alias("anomaly_score"), (F.col("score") > F.lit(det.threshold)).alias("is_anomaly"),
+                    r6(F.lit(det.threshold)).alias("threshold"))
+
+
+_XOR = ["strong", "high"]
+
+
+@register("classifier_recovers_labels", sql.with_ctes(sql.events_readings()) + """
+SELECT record_id, CASE WHEN (signal >= 50) <> (COALESCE(value, 0) >= 50) THEN 1 ELSE 0 END AS mlp_class,
+       CASE WHEN (signal >= 50) <> (COALESCE(value, 0) >= 50) THEN 1 ELSE 0 END AS gbt_class
+FROM readings""", "E5 E6 E9 C10")
+def classifier_recovers_labels(spark, d):
+    """The network and the boosted trees fitted on a label that two features decide, and no linear rule does."""
+    r = events_readings(spark, d).select(
+        "record_id", (F.col("signal") >= 50).cast("double").alias("strong"),
+        (F.coalesce("value", F.lit(0.0)) >= 50).cast("double").alias("high"))
+    r = r.withColumn("label", (F.col("strong") != F.col("high")).cast("int"))
+    for kind, options in (("mlp", {"hidden": (8,), "max_iter": 200}), ("gbt", {"max_iter": 5})):
+        model = models.fit_classifier(r, _XOR, "label", kind=kind, **options)
+        r = models.failure_probability(model, r, out="p").withColumn(
+            f"{kind}_class", (F.col("p") >= F.lit(SPEC.thresholds.probability)).cast("int")).drop("p")
+    return r.select("record_id", "mlp_class", "gbt_class")
+
+
+@register("regressor_recovers_days", sql.with_ctes(sql.events_readings()) + """
+SELECT record_id, 1.0::DOUBLE + 0.25 * floor(COALESCE(value, 0)) + 0.5 * signal AS days FROM readings""", "E7")
+def regressor_recovers_days(spark, d):
+    """The Huber regressor fitted on a target that is a line of two features."""
+    r = events_readings(spark, d).select("record_id", F.floor(F.coalesce("value", F.lit(0.0))).cast("double").alias("v"), "signal")
+    r = r.withColumn("days", F.lit(1.0) + F.lit(0.25) * F.col("v") + F.lit(0.5) * F.col("signal"))
+    model = models.fit_regressor(r, ["v", "signal"], "days", max_iter=300)
+    return models.predict_days(model, r.drop("days"), out="days").select("record_id", (F.round("days", 2) + F.lit(0.0)).alias("days"))
+
+
+@register("gbt_days_prediction", None, "E7 E8 D7")
+def gbt_days_prediction(spark, d):
+    """The non-linear days regressor (boosted trees) on near-failure rows, clipped."""
+    from ..functions.scalars import clip
+
+    z, _, feats = standardised(events_features(spark, d), SPEC)
+    zcols = [c + "_z" for c in feats]
+    m = models.fit_regressor(prepare.near_failure_rows(z.filter(F.col("split") == "train"), SPEC), zcols, SPEC.days,
+                             kind="gbt", max_iter=20)
+    p = models.predict_days(m, z.select("record_id", "well_id", "split", *zcols))
+    return p.select("record_id", "well_id", "split", r6(clip("days_raw", *SPEC.thresholds.days_clip)).alias("days_to_failure_pred"))
+
+
+# fixed weights of a 2-3-2-1 network
+_NET = (([[0.02, -0.01, 0.03], [0.015, 0.02, -0.025]], [0.1, -0.2, 0.3], "relu"),
+        ([[0.4, -0.3], [0.2, 0.5], [-0.6, 0.1]], [0.05, -0.05], "sigmoid"),
+        ([[1.5], [-2.0]], [0.25], "identity"))
+
+
+def _net_sql() -> str:
+    inputs, ctes = ["COALESCE(value, 0.0)", "COALESCE(signal, 0.0)"], []
+    source = "readings"
+    for k, (weights, bias, act) in enumerate(_NET):
+        outs = []
+        for j, b in enumerate(bias):
+            x = " + ".join(f"{v} * CAST({weights[i][j]} AS DOUBLE)" for i, v in enumerate(inputs)) + f" + CAST({b} AS DOUBLE)"
+            outs.append({"relu": f"greatest({x}, 0.0)", "sigmoid": f"1.0 / (1.0 + exp(-({x})))", "identity": x}[act] + f" AS n{k}_{j}")
+        ctes.append(f"l{k} AS (SELECT record_id, {', '.join(outs)} FROM {source})")
+        inputs, source = [f"n{k}_{j}" for j in range(len(bias))], f"l{k}"
+    return sql.with_ctes(sql.events_readings(), *ctes) + f"SELECT record_id, {sql.r6(inputs[0])} AS nn_out FROM {source}"
+
+
+@register("network_forward", _net_sql(), "E12")
+def network_forward(spark, d):
+    """A network's given weights over every reading (Arrow batches)."""
+    r = events_readings(spark, d).select("record_id", "value", "signal")
+    out = models.dense_forward(r, ["value", "signal"], [(w, b) for w, b, _ in _NET], [a for *_, a in _NET])
+    return out.select("record_id", r6("nn_out").alias("nn_out"))
+
+
+@register("activations", sql.with_ctes(sql.events_readings()) + f"""
+SELECT record_id, {sql.r6('1.0 / (1.0 + exp(-((COALESCE(value, 0.0) - 50.0) / 10.0)))')} AS sigmoid,
+       greatest(COALESCE(value, 0.0) - 50.0, 0.0) AS relu FROM readings""", "J")
+def activations(spark, d):
+    from ..functions.scalars import relu, sigmoid
+
+    x = F.coalesce(F.col("value"), F.lit(0.0)) - F.lit(50.0)
+    return events_readings(spark, d).select("record_id", r6(sigmoid(x / F.lit(10.0))).alias("sigmoid"), relu(x).alias("relu"))
+
+
+# ---------------------------------------------------------------- the layout for machines of any size
+
+
+@register("window_features_chunked", REGISTRY["window_features"][1], "C1-C9 on the chunked layout")
+def window_features_chunked(spark, d):
+    """``window_features`` with at most 40 rows of a machine in a window task, so that most machines are cut."""
+    f = events_features(spark, d, layout=Layout(chunk_rows=40))
+    return f.select("record_id", "well_id", "t_us", *[r6(c).alias(c) for c in ["value", "signal", *ENG]])
+
+
+# ---------------------------------------------------------------- A9-A12: what the sinks store, read back
+
+
+@register("stored_readings", sql.events_chain("labeled") + f"""
+SELECT record_id, well_id, depth_ft, {sql.r6('value')} AS pump_pressure_psi, {sql.r6('signal')} AS vibration_mm_s, failure_type,
+       maintenance_required, strftime(CAST("timestamp" AS DATE), '%Y-%m-%d') AS reading_date FROM labeled""", "A9 A5")
+def stored_readings(spark, d):
+    """``sensor_readings`` partitioned by date, written twice by the idempotent append."""
+    path = sinks.scratch_path(spark, "sensor-readings")
+    rows = events_labeled(spark, d).withColumnsRenamed({"value": "pump_pressure_psi", "signal": "vibration_mm_s"})
+    rows = sinks.sensor_readings_rows(rows, SENSOR_READINGS.fields[:-1]).withColumn(READING_DATE, F.to_date(SPEC.time))
+    for _ in range(2):
+        sinks.append_new(sinks.with_defaults(rows, "sensor_readings"), path, "record_id", ["timestamp"], partition_by=READING_DATE)
+    return spark.read.parquet(path).select(
+        "record_id", "well_id", "depth_ft", r6("pump_pressure_psi").alias("pump_pressure_psi"),
+        r6("vibration_mm_s").alias("vibration_mm_s"), "failure_type", "maintenance_required",
+        F.date_format(READING_DATE, "yyyy-MM-dd").alias(READING_DATE))
+
+
+@register("stored_predictions", _sql_scored() + f"SELECT {PRED_SQL_COLS}, run_id FROM decided, (VALUES ('r1'), ('r2')) AS r(run_id)",
+          "A10")
+def stored_predictions(spark, d):
+    """``model_predictions`` of two runs, one of them written twice."""
+    path = sinks.scratch_path(spark, "predictions")
+    rows = sinks.with_defaults(prediction_rows(scored(spark, d).frame, SPEC), "model_predictions")
+    for run in ("r1", "r2", "r1"):
+        sinks.write_run(rows, path, run)
+    return _pred_cols(spark.read.parquet(path), "run_id")
+
+
+@register("stored_alerts", _ALERT_SQL + f"""
+SELECT well_id, CASE WHEN a.d <= {SPEC.thresholds.critical_days} THEN 'critical' ELSE 'high' END AS severity,
+  {sql.r6('a.d')} AS days_to_failure, TRUE AS is_active, 'r1' AS run_id FROM pick""", "A11")
+def stored_alerts(spark, d):
+    """``alerts`` of a run that was written twice."""
+    path = sinks.scratch_path(spark, "alerts")
+    rows = alerts_op.alert_rows(scored(spark, d).frame, SPEC)
+    for _ in range(2):
+        sinks.write_run(rows, path, "r1")
+    return spark.read.parquet(path).select("well_id", "severity", r6("days_to_failure").alias("days_to_failure"), "is_active", "run_id")
+
+
+@register("stored_visits", _SQL_SCHED + """
+, planned AS (SELECT well_id, strftime(strptime(schedule_by, '%b %d, %Y'), '%Y-%m-%d') AS scheduled_date,
+  CASE WHEN priority = 'Critical' THEN 'corrective' ELSE 'inspection' END AS maintenance_type, 'Unassigned' AS technician
+  FROM sched WHERE priority IN ('Critical', 'High'))
+SELECT *, 'scheduled' AS status FROM planned
+UNION ALL SELECT well_id, scheduled_date, 'calibration', 'Crew 7', 'scheduled' FROM planned""", "A12")
+def stored_visits(spark, d):
+    """``maintenance_events``: the planned visits appended twice, then a calibration asked for with each of them."""
+    path = sinks.scratch_path(spark, "visits")
+    visits = sinks.visit_requests(_schedule(spark, d))
+    for _ in range(2):
+        sinks.append_visits(visits, path)
+    asked = visits.select("well_id", "scheduled_date", F.lit("calibration").alias("maintenance_type"),
+                          F.lit("Crew 7").alias("technician"))
+    sinks.append_visits(sinks.given_visits(asked), path)
+    return spark.read.parquet(path).select("well_id", F.date_format("scheduled_date", "yyyy-MM-dd").alias("scheduled_date"),
+                                           "maintenance_type", "technician", "status")
 
 
 @register("fault_value_counts", sql.with_ctes(sql.events_readings()) + """

@@ -13,20 +13,25 @@ from pyspark.sql import functions as F
 
 from ..config import WELL_SPEC, SensorSpec
 from ..operators.impute import keep_first, rolling_median_fill
+from ..session import ensure_checkpoint_dir
 from ..sources import sinks
 from ..sources.readers import read_readings, with_epoch
-from ..sources.schemas import SENSOR_READINGS
+from ..sources.schemas import READING_DATE, SENSOR_READINGS
 
 
 def ingest(spark: SparkSession, path: str, tables: str, spec: SensorSpec = WELL_SPEC, fmt: str = "csv") -> dict:
+    """Impute and deduplicate once, into a table of this run; report, ``wells``, ``sensor_readings`` (partitioned by date)
+    and fault counts are all derived from it."""
     raw = with_epoch(read_readings(spark, path, fmt), spec)
     cleaned = rolling_median_fill(raw, spec, cols=spec.sensors)            # the ingestion path imputes sensors
-    deduped = keep_first(cleaned, spec.record, spec.order_cols)
-    report = sinks.ingestion_report(raw, cleaned, deduped, spec.sensors, spec).first().asDict()
-    wells = sinks.wells_table(deduped, spec)
-    sinks.append_new(wells, f"{tables}/wells", "well_id", ["well_id"])
+    ensure_checkpoint_dir(spark)
+    deduped = keep_first(cleaned, spec.record, spec.order_cols).checkpoint()
+    counts = sinks.batch_counts(raw, spec.sensors).first().asDict()
+    report = sinks.batch_report(counts, deduped, spec.sensors, spec)
+    sinks.append_new(sinks.wells_table(deduped, spec), f"{tables}/wells", "well_id", ["well_id"])
     rows = sinks.with_defaults(sinks.sensor_readings_rows(deduped, SENSOR_READINGS.fields[:-1]), "sensor_readings")
-    written = sinks.append_new(rows, f"{tables}/sensor_readings", spec.record, [spec.time])
+    rows = rows.withColumn(READING_DATE, F.to_date(spec.time))
+    written = sinks.append_new(rows, f"{tables}/sensor_readings", spec.record, [spec.time], partition_by=READING_DATE)
     report["rows_written"] = written.count()
     report["fault_counts"] = {r[spec.fault]: r["n"] for r in deduped.groupBy(spec.fault)
                               .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).collect()}

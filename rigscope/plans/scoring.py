@@ -7,15 +7,19 @@ checked against SQL; the fitted ``pyspark.ml`` models in ``operators/models.py``
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SensorSpec
+from ..operators import models
 from ..operators.cache import keep
-from ..operators.features import feature_columns
-from ..operators.prepare import apply_scaler, fit_scaler, normal_rows, with_split
+from ..operators.features import engineer_features, feature_columns
+from ..operators.fleet import window_filter
+from ..operators.impute import zero_fill
+from ..operators.prepare import apply_scaler, fit_scaler, near_failure_rows, normal_rows, with_split
 from ..operators.score import anomaly_threshold, decisions, reconstruction_error
 
 
@@ -32,10 +36,25 @@ EVENTS_FORMULA = FormulaModel(prob_sql="value / (value + 40.0)",
 
 @dataclass
 class Scored:
+    """A scored frame, and what scores further rows by the formula."""
+
     frame: DataFrame
     threshold: float
     stats: dict
     features: list
+    model: FormulaModel = EVENTS_FORMULA
+
+    def outputs(self, z: DataFrame) -> DataFrame:
+        """``anomaly_score``, ``confidence_score`` and ``days_raw`` of standardised rows."""
+        return _formula_outputs(z, self.features, self.model)
+
+
+def _formula_outputs(z: DataFrame, feats, model: FormulaModel) -> DataFrame:
+    return z.withColumns({
+        "anomaly_score": reconstruction_error([c + "_z" for c in feats], [F.lit(0.0)] * len(feats)),
+        "confidence_score": F.expr(model.prob_sql),
+        "days_raw": F.expr(model.days_sql),
+    })
 
 
 def score_formula(features: DataFrame, spec: SensorSpec, model: FormulaModel = EVENTS_FORMULA,
@@ -43,54 +62,59 @@ def score_formula(features: DataFrame, spec: SensorSpec, model: FormulaModel = E
     f = keep(with_split(features, spec))
     feats = feature_columns(f, spec)
     stats = fit_scaler(f.filter(F.col("split") == "train") if fit_on == "train" else f, feats)
-    z = apply_scaler(f, stats, suffix="_z")
-    z = z.withColumns({
-        "anomaly_score": reconstruction_error([c + "_z" for c in feats], [F.lit(0.0)] * len(feats)),
-        "confidence_score": F.expr(model.prob_sql),
-        "days_raw": F.expr(model.days_sql),
-    })
-    thr = anomaly_threshold(normal_rows(z.filter(F.col("split") == "train"), spec))
+    z = _formula_outputs(apply_scaler(f, stats, suffix="_z"), feats, model)
+    thr = anomaly_threshold(normal_rows(z.filter(F.col("split") == "train"), spec), q=q)
     out = decisions(z, spec, thr).withColumn("threshold", F.lit(thr))
-    return Scored(out, thr, stats, feats)
+    return Scored(out, thr, stats, feats, model)
 
 
-def score_window(clean: DataFrame, spec: SensorSpec, fitted: Scored, start: str, end: str, wells=None,
-                 warmup: bool = False, inclusive_end: bool = False) -> DataFrame:
-    """E11 + B5: score the readings of ``wells`` between two dates with an already fitted scaler and
-    threshold.  ``warmup=False`` computes the window features from the window's rows only (the first
-    rows lose their history, as in the original's single-well scoring); ``warmup=True`` computes them
-    on the full history first and then filters.  Remaining feature nulls become 0."""
-    from ..operators.features import engineer_features
-    from ..operators.fleet import window_filter
-    from ..operators.impute import zero_fill
+@dataclass
+class FittedModels:
+    """The scaler and the three fitted models of a run (A15): all that scoring needs."""
 
-    if warmup:
-        f = window_filter(engineer_features(clean, spec), spec, start, end, wells, inclusive_end)
-    else:
-        f = engineer_features(window_filter(clean, spec, start, end, wells, inclusive_end), spec)
-    z = apply_scaler(zero_fill(f, fitted.features), fitted.stats, suffix="_z")
-    z = z.withColumn("anomaly_score",
-                     reconstruction_error([c + "_z" for c in fitted.features], [F.lit(0.0)] * len(fitted.features)))
-    return z.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(fitted.threshold))
+    detector: models.PcaDetector      # with its threshold
+    classifier: object                # PipelineModel → probability
+    regressor: object                 # PipelineModel → days
+    stats: dict
+    features: list
 
+    @property
+    def threshold(self) -> float:
+        return self.detector.threshold
 
-@dataclass
-class FittedModels:
-    detector: object      # PcaDetector with its threshold
-    classifier: object    # PipelineModel → probability
-    regressor: object     # PipelineModel → days
+    def outputs(self, z: DataFrame) -> DataFrame:
+        x = z.withColumn("anomaly_score", self.detector.reconstruction_error())
+        return models.predict_days(self.regressor, models.failure_probability(self.classifier, x))
 
+    def save(self, root: str, spark: SparkSession) -> None:
+        self.detector.save(f"{root}/detector", spark)
+        models.save_model(self.classifier, f"{root}/classifier")
+        models.save_model(self.regressor, f"{root}/regressor")
+        # last: a run that breaks off leaves no complete set
+        models.save_document({"features": self.features, "stats": {c: list(v) for c, v in self.stats.items()}},
+                             f"{root}/scaler", spark)
 
-def fit_models(s: Scored, spec: SensorSpec, classifier: str = "logistic", max_iter: int = 50) -> FittedModels:
-    """E1 + E5 + E7 on the standardised training rows.  The three fits are independent jobs and are
-    submitted from parallel threads, so Spark runs them concurrently."""
-    from concurrent.futures import ThreadPoolExecutor
+    @classmethod
+    def load(cls, root: str, spark: SparkSession) -> FittedModels:
+        doc = models.load_document(f"{root}/scaler", spark)
+        return cls(models.PcaDetector.load(f"{root}/detector", spark), models.load_pipeline(f"{root}/classifier"),
+                   models.load_pipeline(f"{root}/regressor"), {c: tuple(v) for c, v in doc["stats"].items()}, doc["features"])
 
-    from ..operators import models
-    from ..operators.prepare import near_failure_rows
 
-    zcols = [c + "_z" for c in s.features]
-    train = s.frame.filter(F.col("split") == "train")
+def standardised(features: DataFrame, spec: SensorSpec) -> tuple[DataFrame, dict, list]:
+    """Split, scaler fitted on the training rows, and the standardised columns ``<feature>_z``."""
+    f = keep(with_split(features, spec))
+    feats = feature_columns(f, spec)
+    stats = fit_scaler(f.filter(F.col("split") == "train"), feats)
+    return apply_scaler(f, stats, suffix="_z"), stats, feats
+
+
+def fit_models(z: DataFrame, spec: SensorSpec, stats: dict, feats: list, classifier: str = "logistic",
+               max_iter: int = 50, regressor: str = "huber") -> FittedModels:
+    """E1 + E5 + E7 on the standardised training rows.  The three fits are independent jobs and are
+    submitted from parallel threads, so Spark runs them concurrently."""
+    zcols = [c + "_z" for c in feats]
+    train = z.filter(F.col("split") == "train")
     normal = normal_rows(train, spec)
 
     def anomaly_model():
@@ -101,17 +125,29 @@ def fit_models(s: Scored, spec: SensorSpec, classifier: str = "logistic", max_it
     with ThreadPoolExecutor(max_workers=3) as pool:
         det = pool.submit(anomaly_model)
         clf = pool.submit(models.fit_classifier, train, zcols, spec.label, kind=classifier, max_iter=max_iter)
-        reg = pool.submit(models.fit_regressor, near_failure_rows(train, spec), zcols, spec.days)
-        return FittedModels(det.result(), clf.result(), reg.result())
+        reg = pool.submit(models.fit_regressor, near_failure_rows(train, spec), zcols, spec.days, kind=regressor)
+        return FittedModels(det.result(), clf.result(), reg.result(), stats, feats)
 
 
-def apply_models(s: Scored, fitted: FittedModels, spec: SensorSpec) -> DataFrame:
+def apply_models(z: DataFrame, fitted: FittedModels, spec: SensorSpec) -> DataFrame:
     """One lazy chain from standardised features to the decision columns."""
-    from ..operators import models
-
-    x = s.frame.drop("confidence_score", "days_raw", "anomaly_score", "is_anomaly", "predicted_failure",
-                     "days_to_failure_pred")
-    x = x.withColumn("anomaly_score", fitted.detector.reconstruction_error())
-    x = models.failure_probability(fitted.classifier, x)
-    x = models.predict_days(fitted.regressor, x)
-    return decisions(x, spec, fitted.detector.threshold)
+    return decisions(fitted.outputs(z), spec, fitted.threshold)
+
+
+def score_new(features: DataFrame, fitted: Scored | FittedModels, spec: SensorSpec) -> DataFrame:
+    """E10 on rows that no fit has seen: missing features as 0 (B5), the fitted scaler, the models, the decisions."""
+    z = apply_scaler(zero_fill(features, fitted.features), fitted.stats, suffix="_z")
+    return decisions(fitted.outputs(z), spec, fitted.threshold)
+
+
+def score_window(clean: DataFrame, spec: SensorSpec, fitted: Scored | FittedModels, start: str, end: str, wells=None,
+                 warmup: bool = False, inclusive_end: bool = False) -> DataFrame:
+    """E11 + B5: score the readings of ``wells`` between two dates with what has been fitted before: anomaly score and
+    flag, probability, decision and clipped days.  ``warmup=False`` computes the window features from the window's
+    rows only (the first rows lose their history, as in the original's single-well scoring); ``warmup=True``
+    computes them on the full history first and then filters.  Remaining feature nulls become 0."""
+    if warmup:
+        f = window_filter(engineer_features(clean, spec), spec, start, end, wells, inclusive_end)
+    else:
+        f = engineer_features(window_filter(clean, spec, start, end, wells, inclusive_end), spec)
+    return score_new(f, fitted, spec)

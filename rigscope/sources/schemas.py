@@ -21,6 +21,8 @@ READINGS_SCHEMA = T.StructType([
     T.StructField("days_to_failure", _D),
 ])
 
+READING_DATE = "reading_date"      # partition column of the stored readings
+
 WELLS = T.StructType([
     T.StructField("well_id", _S, False),
     T.StructField("depth_ft", _I),
@@ -72,10 +74,11 @@ ALERTS = T.StructType([
     T.StructField("run_id", _S),
 ])
 
+# name: (schema, key, partition column)
 TABLES = {
     "wells": (WELLS, ("well_id",), None),
-    "sensor_readings": (SENSOR_READINGS, ("record_id",), "well_id"),
-    "maintenance_events": (MAINTENANCE_EVENTS, ("well_id", "scheduled_date", "maintenance_type"), "well_id"),
-    "model_predictions": (MODEL_PREDICTIONS, ("run_id", "record_id"), "well_id"),
-    "alerts": (ALERTS, ("run_id", "well_id"), "well_id"),
+    "sensor_readings": (T.StructType([*SENSOR_READINGS.fields, T.StructField(READING_DATE, T.DateType())]), ("record_id",), READING_DATE),
+    "maintenance_events": (MAINTENANCE_EVENTS, ("well_id", "scheduled_date", "maintenance_type"), "scheduled_date"),
+    "model_predictions": (MODEL_PREDICTIONS, ("run_id", "record_id"), "run_id"),
+    "alerts": (ALERTS, ("run_id", "well_id"), "run_id"),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ def declare_tables(spark: SparkSession, root: str) -> list:
     made = []
     for name, (schema, _key, part) in TABLES.items():
         cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-        part_sql = " PARTITIONED BY (run_id)" if "run_id" in schema.fieldNames() else ""
+        part_sql = f" PARTITIONED BY ({part})" if part else ""
         spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet{part_sql} LOCATION '{root}/{name}'")
         made.append(name)
     return made
@@ -43,6 +44,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def append_new(batch: DataFrame, path: str, key, order_cols, fmt: str = "parquet",
                partition_by: str | None = None) -> DataFrame:
     """Append only new keys to the table at ``path`` and return what was written.
@@ -192,17 +198,33 @@ def read_metrics(spark: SparkSession, path: str) -> dict:
     return json.loads(row[0]) if row else {}
 
 
-def ingestion_report(raw: DataFrame, cleaned: DataFrame, deduped: DataFrame, cols, spec: SensorSpec) -> DataFrame:
-    """A3 + B3: rows, nulls before/after imputation, duplicates dropped, maintenance sum and %."""
-    def nulls(df):
-        return sum((F.sum(F.col(c).isNull().cast("long")) for c in cols), F.lit(0))
+def batch_counts(df: DataFrame, cols) -> DataFrame:
+    """A3 + B3 of a batch in one scan: rows, and nulls over ``cols``."""
+    return df.agg(F.count(F.lit(1)).alias("rows_in"), _nulls(cols).alias("nulls_before"))
+
+
+def _nulls(cols) -> Column:
+    return sum((F.sum(F.col(c).isNull().cast("long")) for c in cols), F.lit(0))
+
 
-    before = raw.agg(F.count(F.lit(1)).alias("rows_in"), nulls(raw).alias("nulls_before"))
-    after = cleaned.agg(nulls(cleaned).alias("nulls_after"))
-    kept = deduped.agg(F.count(F.lit(1)).alias("rows_out"),
-                       F.sum(spec.label).cast("long").alias("maintenance_events"),
+def _kept(deduped: DataFrame, cols, spec: SensorSpec) -> DataFrame:
+    return deduped.agg(F.count(F.lit(1)).alias("rows_out"), F.sum(spec.label).cast("long").alias("maintenance_events"),
                        (F.avg(F.col(spec.label).cast("double")) * 100).alias("maintenance_pct"))
-    r = one_row(before, after, kept)
+
+
+def batch_report(counts: dict, deduped: DataFrame, cols, spec: SensorSpec) -> dict:
+    """The ingestion report of a stored, deduplicated batch and the ``batch_counts`` of the raw one. Nulls after imputation
+    are those of the kept rows; imputation leaves some only in a column without a single value."""
+    kept = _kept(deduped, cols, spec).first().asDict()
+    after = deduped.agg(_nulls(cols).alias("n")).first()["n"] or 0
+    return counts | {"nulls_after": after, "nulls_imputed": counts["nulls_before"] - after,
+                     "duplicates_dropped": counts["rows_in"] - kept["rows_out"]} | kept
+
+
+def ingestion_report(raw: DataFrame, cleaned: DataFrame, deduped: DataFrame, cols, spec: SensorSpec) -> DataFrame:
+    """A3 + B3: rows, nulls before/after imputation, duplicates dropped, maintenance sum and %."""
+    after = cleaned.agg(_nulls(cols).alias("nulls_after"))
+    r = one_row(batch_counts(raw, cols), after, _kept(deduped, cols, spec))
     return r.select("rows_in", "nulls_before", "nulls_after",
                     (F.col("nulls_before") - F.col("nulls_after")).alias("nulls_imputed"),
                     (F.col("rows_in") - F.col("rows_out")).alias("duplicates_dropped"),

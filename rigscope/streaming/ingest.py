@@ -15,11 +15,14 @@ from ..sources.sinks import append_new
 
 
 def start_ingest(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str, schema: T.StructType,
-                 key="record_id", order_cols=("t_us",), available_now: bool = True, max_files: int = 100):
+                 key="record_id", order_cols=("t_us",), available_now: bool = True, max_files: int = 100,
+                 partition_by: str | None = None):
+    """``partition_by``: a date column of the rows; a micro-batch then looks only through the stored partitions of its
+    own dates for keys that are already there."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        append_new(batch, table_path, key, list(order_cols))
+        append_new(batch, table_path, key, list(order_cols), partition_by=partition_by)
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
