@@ -232,7 +232,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              .where(F.col("toxic").isin(0, 1)).distinct())
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).dropna()
     counted = learnable("doc") & ~_calibrates("doc")
-    joined = texts.where(counted).join(known.where(counted), "doc").select("toxic", "text")
+    # a merge join at any size: labels grow with the input, so no task may hold them all
+    joined = texts.where(counted).join(known.where(counted).hint("merge"), "doc").select("toxic", "text")
     grams = joined.mapInArrow(_count, "gram long, toxic long, n long").groupBy("gram").agg(
         F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("ordinary"),
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"))
