@@ -163,7 +163,7 @@ def _arc_rows(version: int | None, records_per_file: int, date: str):
 
 def _write(records: DataFrame, path: str, separator: str, records_per_file: int) -> None:
     (records.select(F.col("value").cast("string")).write.option("lineSep", separator).option("compression", "gzip")
-     .option("maxRecordsPerFile", records_per_file).text(path))
+     .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", records_per_file).text(path))
 
 
 def write_arc(pages: DataFrame, path: str, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
