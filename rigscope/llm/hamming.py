@@ -89,7 +89,8 @@ def _nearest_codes(codes: DataFrame, queries: DataFrame, n: int, bits: int, name
         probes = active.select(*names, "bound", segments(names)).select("*", F.explode(masks).alias("mask"))
         probes = probes.select(*names, "bound", "segment", F.bit_count("mask").alias("off"),
                                F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-        met = (probes.join(index, ["segment", "value"]).where(first == F.col("off") * m + F.col("segment"))
+        # Spark can't foresee how many probes the few queries make, and would send them all to every task
+        met = (probes.join(index.hint("merge"), ["segment", "value"]).where(first == F.col("off") * m + F.col("segment"))
                .select(*names, *other, "least", "bound", distance.alias("distance")).where("distance <= bound"))
         met = met.select(*names, *other, "least", "distance")
         met = met if best is None else met.unionByName(best)
