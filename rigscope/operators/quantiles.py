@@ -70,9 +70,9 @@ def _order_statistics(df: DataFrame, values, wanted, bins: int) -> tuple[list, d
                 F.lit(number).alias("t"), part.alias("part"), F.col(f"k{i}").alias("key"))))
         parts = (keys.select(F.explode(F.array_compact(F.array(*tagged))).alias("m"))
                  .groupBy("m.t", "m.part").agg(F.count(F.lit(1)).alias("n"), F.min("m.key").alias("lo"), F.max("m.key").alias("hi"))
-                 .orderBy("t", "part").collect())
+                 .collect())
         for number, (target, below, _, _) in enumerate(active):
-            for r in (r for r in parts if r["t"] == number):
+            for r in sorted((r for r in parts if r["t"] == number), key=lambda r: r["part"]):
                 if below + r["n"] > target[1]:
                     ranks[target] = [below, r["lo"], r["hi"]]
                     break
@@ -80,7 +80,7 @@ def _order_statistics(df: DataFrame, values, wanted, bins: int) -> tuple[list, d
     return counts, {t: value_of_bits(state[1]) for t, state in ranks.items()}
 
 
-def exact_quantiles(df: DataFrame, cols, q: float, bins: int = 1024, only_with_nulls: bool = False) -> dict:
+def exact_quantiles(df: DataFrame, cols, q: float, bins: int = 4096, only_with_nulls: bool = False) -> dict:
     """Return {col: quantile q of the values of col that are neither null nor NaN}; None for a column without values,
     and with ``only_with_nulls`` also for a column without nulls, which then needs no quantile and is never read again."""
     cols = list(cols)
@@ -99,7 +99,7 @@ def exact_quantiles(df: DataFrame, cols, q: float, bins: int = 1024, only_with_n
     return out
 
 
-def smallest_share(df: DataFrame, values, share: float, bins: int = 1024) -> list:
+def smallest_share(df: DataFrame, values, share: float, bins: int = 4096) -> list:
     """For each column of ``values`` the largest of its floor(share * n) smallest values (None if that is no value)."""
     counts, found = _order_statistics(df, values, lambda _, n: {int(share * n) - 1} - {-1}, bins)
     return [found.get((i, int(share * n) - 1)) for i, n in enumerate(counts)]
