@@ -37,3 +37,24 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, SF), "test-empty")
     assert docs.count() == 0
+
+
+def test_odd_documents_pass_every_stage(spark):
+    """Null, empty and very long texts, null ids, repeated rows and columns whose names the stages use themselves."""
+    schema = ("doc_id long, text string, lang string, source string, n_chars long, gone string, code string, key string, "
+              "component_id string, fingerprint string, lang_pred string, found string, item_id string, score double")
+    words = "the tion and ing of that is with for was by this from are".split()
+    prose = [" ".join(words[(i * k + k) % 14] for k in range(60)) for i in range(1, 30)]
+    rows = [(i, t, "en", f"s{i % 7}") for i, t in enumerate(prose)]
+    rows += [(100, None, "en", "s1"), (101, "", None, None), (102, "12 34", "en", "s1"), (103, " \n\t\n", "fr", "s2"),
+             (104, (prose[0] + "\n") * 4000, "en", "s2"), (None, prose[1] + " and more of it", "en", "s3"),
+             (None, None, None, None), (5, prose[5], "en", "s5"), (105, prose[5], "en", "s6")]
+    docs = spark.createDataFrame([(d, t, la, s, len(t or ""), *["clash"] * 8, 0.5) for d, t, la, s in rows], schema)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, SF), f"test-odd-{name}")
+        assert docs.columns == columns and docs.count() > 0
+    kept = [r.doc_id for r in docs.select("doc_id").collect()]
+    assert 105 not in kept and kept.count(5) == 2 and None in kept and not {100, 101, 102, 103} & set(kept)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert len(last) == len(kept) and all(r.piece_ids for r in last if r.n_chars)
