@@ -17,7 +17,7 @@ from ..functions.scalars import r6
 from ..operators import alerts as alerts_op
 from ..operators import evaluate, fleet, models, prepare, schedule
 from ..operators.cache import keep, release
-from ..operators.features import engineer_features as _engineer
+from ..operators.features import assemble
 from ..operators.impute import keep_first, rolling_median_fill
 from ..operators.score import anomaly_threshold, prediction_rows
 from ..operators.sequence import Layout, strip
@@ -437,15 +437,28 @@ _MAE = f"""m AS (SELECT avg(abs(days_to_failure - days_to_failure_pred)) AS mae
   WHERE {TEST} AND days_to_failure IS NOT NULL AND days_to_failure < {SPEC.thresholds.regressor_horizon_days})"""
 
 
-@register("model_metrics", _sql_scored(_CM, _MAE) + f"""
+_LEADS = f"""leads AS (SELECT well_id, next_failure_us,
+  min(CASE WHEN predicted_failure = 1 AND days_to_failure_pred <= {SPEC.thresholds.alert_days} THEN t_us END) AS first_alert_us
+  FROM decided WHERE next_failure_us IS NOT NULL GROUP BY well_id, next_failure_us)"""
+
+
+_DOWN = f"""down AS (SELECT avg(CASE WHEN lead_days >= 1.0 THEN lead_days END) AS mean_lead,
+  (count(*) * 24.0 - (count(*) FILTER (WHERE lead_days >= 1.0) * 8.0 + (count(*) - count(*) FILTER (WHERE lead_days >= 1.0)) * 24.0))
+    / (count(*) * 24.0) * 100.0 AS reduction
+  FROM (SELECT CAST(next_failure_us - first_alert_us AS DOUBLE) / {sql.US_PER_DAY} AS lead_days FROM leads))"""
+
+
+@register("model_metrics", _sql_scored(_CM, _MAE, _LEADS, _DOWN) + f"""
 SELECT {sql.half_even(_auc_sql('anomaly_score'), 4)} AS autoencoder_auc,
        {sql.half_even(_auc_sql('confidence_score'), 4)} AS classifier_auc_roc,
        {sql.half_even('CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END', 4)} AS classifier_f1,
        {sql.half_even('mae', 4)} AS regressor_mae_days,
        {sql.r6('(SELECT max(threshold) FROM decided)')} AS anomaly_threshold,
        {len(FEATS)} AS input_dim,
-       {sql.grade(_auc_sql('confidence_score'))} AS grade
-FROM cm, m""", "G1 G2 G5 G6 G7 A14")
+       {sql.grade(_auc_sql('confidence_score'))} AS grade, tn, fp, fn, tp,
+       {sql.r6('mean_lead')} AS maintenance_lead_time_days, {sql.r6('reduction')} AS downtime_reduction_pct,
+       '{','.join(FEATS)}' AS feature_cols
+FROM cm, m, down""", "G1 G2 G3 G5 G6 G7 G9 A14")
 def model_metrics(spark, d):
     from ..functions.scalars import half_even
 
@@ -460,7 +473,8 @@ def model_metrics(spark, d):
     m = evaluate.mae(near, "days_to_failure", "days_to_failure_pred").select("mae")
     from ..functions.scalars import one_row
 
-    row = one_row(cm, m)
+    down = evaluate.downtime_summary(evaluate.lead_times(s.frame, SPEC)).select("mean_lead_days", "downtime_reduction_pct")
+    row = one_row(cm, m, down)
     return row.select(
         half_even(F.lit(auc_a), 4).alias("autoencoder_auc"),
         half_even(F.lit(auc_c), 4).alias("classifier_auc_roc"),
@@ -469,6 +483,9 @@ def model_metrics(spark, d):
         r6(F.lit(s.threshold)).alias("anomaly_threshold"),
         F.lit(len(s.features)).alias("input_dim"),
         evaluate.grade(F.lit(auc_c)).alias("grade"),
+        "tn", "fp", "fn", "tp",
+        r6("mean_lead_days").alias("maintenance_lead_time_days"), r6("downtime_reduction_pct").alias("downtime_reduction_pct"),
+        F.lit(",".join(s.features)).alias("feature_cols"),
     )
 
 
@@ -518,11 +535,6 @@ def roc_curve(spark, d):
     return r.select(r6("threshold").alias("threshold"), r6("tpr").alias("tpr"), r6("fpr").alias("fpr"))
 
 
-_LEADS = f"""leads AS (SELECT well_id, next_failure_us,
-  min(CASE WHEN predicted_failure = 1 AND days_to_failure_pred <= {SPEC.thresholds.alert_days} THEN t_us END) AS first_alert_us
-  FROM decided WHERE next_failure_us IS NOT NULL GROUP BY well_id, next_failure_us)"""
-
-
 @register("lead_times", _sql_scored(_LEADS) + f"""
 SELECT well_id, next_failure_us, CAST(first_alert_us AS DOUBLE) AS first_alert_us,
   {sql.r6('CAST(next_failure_us - first_alert_us AS DOUBLE) / ' + sql.US_PER_DAY)} AS lead_days FROM leads""", "G9")
@@ -955,6 +967,19 @@ def network_forward(spark, d):
     return out.select("record_id", r6("nn_out").alias("nn_out"))
 
 
+@register("feature_vector", sql.events_chain("features") + f"""
+SELECT record_id, {len(FEATS)} AS n_features, """ + ", ".join(
+    (f"CAST(COALESCE({c}, 0) AS DOUBLE)" if c in SPEC.counters else sql.r6(f"CAST(COALESCE({c}, 0) AS DOUBLE)"))
+    + f" AS f{i}" for i, c in enumerate(FEATS)) + " FROM features", "C10 B5")
+def feature_vector(spark, d):
+    """The vector that the models take, entry by entry. Counters are one exact division, so left unrounded."""
+    from pyspark.ml.functions import vector_to_array
+
+    x = assemble(events_features(spark, d), SPEC).select("record_id", vector_to_array("features").alias("v"))
+    return x.select("record_id", F.size("v").alias("n_features"), *[
+        (F.col("v")[i] if c in SPEC.counters else r6(F.col("v")[i])).alias(f"f{i}") for i, c in enumerate(FEATS)])
+
+
 @register("activations", sql.with_ctes(sql.events_readings()) + f"""
 SELECT record_id, {sql.r6('1.0 / (1.0 + exp(-((COALESCE(value, 0.0) - 50.0) / 10.0)))')} AS sigmoid,
        greatest(COALESCE(value, 0.0) - 50.0, 0.0) AS relu FROM readings""", "J")
