@@ -838,7 +838,7 @@ def _place_sql(seed: int) -> str:
         f"SELECT '{f}' AS feature, {_rank_auc_sql(_RISK)} AS base, {_rank_auc_sql(_RISK.replace(f, f'p{j}'))} AS shuffled"
         for j, f in enumerate(_RISK_FEATURES, 1)) + ")") + f"""
 SELECT feature, {sql.r6('base - shuffled')} AS auc_drop, {sql.r6('base')} AS base_auc,
-  {sql.r6('greatest(base - shuffled, 0.0) / sum(greatest(base - shuffled, 0.0)) OVER () * 100.0')} AS importance_pct
+  {sql.r6('coalesce(greatest(base - shuffled, 0.0) / nullif(sum(greatest(base - shuffled, 0.0)) OVER (), 0) * 100.0, 0.0)')} AS importance_pct
 FROM drops""", "G10")
 def permutation_importance(spark, d):
     """What a failure classifier's AUC on the test split loses when a feature is shuffled."""
