@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import (ANOMALY_BAND_ELSE, ANOMALY_BANDS, DAYS_BAND_ELSE, DAYS_BANDS, EVENTS_SPEC, LINEITEM_SPEC,
-                      RISK_BAND_ELSE, RISK_BANDS)
+from ..config import (ANOMALY_BAND_ELSE, ANOMALY_BANDS, DAYS_BAND_ELSE, DAYS_BANDS, EVENTS_SPEC, LINEITEM_SPEC, REQUIRED_COLS,
+                      RISK_BAND_ELSE, RISK_BANDS, SENSOR_COLS)
 from ..functions.scalars import r6
 from ..operators import alerts as alerts_op
 from ..operators import evaluate, fleet, models, prepare, schedule
@@ -23,6 +23,7 @@ from ..operators.score import anomaly_threshold, prediction_rows
 from ..operators.sequence import Layout, strip
 from ..sources import sinks
 from ..sources.adapters import events_readings, lineitem_readings, read_table
+from ..sources.readers import read_readings, with_epoch
 from ..sources.schemas import READING_DATE, SENSOR_READINGS
 from . import oracle_sql as sql
 from .frames import events_features, events_labeled, labeled
@@ -93,6 +94,23 @@ def readings_from_events(spark, d):
     return r.select("record_id", "well_id", "t_us", "depth_ft", "value", "signal", "failure_type")
 
 
+_CSV_SENSORS = ", ".join(f"{i + 1}.5 + value * {i + 1} AS {c}" for i, c in enumerate(SENSOR_COLS))
+
+
+@register("readings_from_csv", sql.events_chain("labeled") + f"""
+SELECT record_id, well_id, t_us, depth_ft, {', '.join(sql.r6(c) + f' AS {c}' for c in SENSOR_COLS)}, maintenance_required, failure_type,
+       days_to_failure FROM (SELECT *, {_CSV_SENSORS} FROM labeled)""", "A1 A2")
+def readings_from_csv(spark, d):
+    """The nine-sensor readings file: written as CSV text from the whole table, then read, checked and cast."""
+    path = sinks.scratch_path(spark, "readings-csv")
+    rows = events_labeled(spark, d).selectExpr("*", *_CSV_SENSORS.split(", "))
+    rows = rows.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    rows.select(*REQUIRED_COLS).write.option("header", True).csv(path)
+    back = with_epoch(read_readings(spark, path), SPEC)
+    return back.select("record_id", "well_id", "t_us", "depth_ft", *[r6(c).alias(c) for c in SENSOR_COLS], "maintenance_required",
+                       "failure_type", "days_to_failure")
+
+
 # ---------------------------------------------------------------- C11/C12: labels
 @register("failure_labels", sql.events_chain("labeled") + f"""
 SELECT record_id, well_id, t_us, failure_type, days_to_failure, maintenance_required,
@@ -489,6 +507,18 @@ def model_metrics(spark, d):
     )
 
 
+@register("stored_metrics", _sql_scored(_CM) + """
+SELECT tn, fp, fn, tp, (SELECT count(*) FROM decided) AS records FROM cm""", "A14")
+def stored_metrics(spark, d):
+    """The metrics document written and read back."""
+    frame = scored(spark, d).frame
+    doc = evaluate.confusion(frame.filter(F.col("split") == "test"), "maintenance_required", "predicted_failure").first().asDict()
+    path = sinks.scratch_path(spark, "metrics")
+    sinks.write_metrics(spark, {k: doc[k] for k in ("tn", "fp", "fn", "tp")} | {"records": frame.count()}, path)
+    back = sinks.read_metrics(spark, path)
+    return spark.createDataFrame([tuple(back.values())], ", ".join(f"{k} long" for k in back))
+
+
 @register("confusion_matrix", _sql_scored(_CM) + """
 SELECT tn, fp, fn, tp, """ + ", ".join(f"{sql.r6(f'{k} * 100.0 / (tn + fp + fn + tp)')} AS {k}_pct" for k in ("tn", "fp", "fn", "tp"))
           + " FROM cm", "G3")
