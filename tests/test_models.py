@@ -68,3 +68,48 @@ def test_weighted_classifiers(spark, kind):
     assert p["confidence_score"].between(0, 1).all()
     auc = evaluate.auc(spark.createDataFrame(p[["y", "confidence_score"]]), "y", "confidence_score")
     assert auc > 0.9
+
+
+def test_balance_is_exact_to_the_fraction(spark):
+    df = spark.range(24_000).select((F.col("id") % 12 < 5).cast("double").alias("y"), "id")      # 10,000 of 24,000: ratio 1.4
+    out = {r["y"]: r["count"] for r in models.balanced_replicas(df, "y").groupBy("y").count().collect()}
+    assert out[0.0] == 14_000 and out[1.0] == pytest.approx(14_000, rel=0.02)
+
+
+def test_network_is_fitted_on_a_bounded_number_of_rows(spark, monkeypatch):
+    df = spark.range(4000).select((F.col("id") / 100).alias("x"), (F.col("id") % 2).cast("double").alias("y"))
+    seen, plain = [], models.balanced_replicas
+    monkeypatch.setattr(models, "balanced_replicas", lambda d, *a: seen.append(d.count()) or plain(d, *a))
+    models.fit_classifier(df, ["x"], "y", kind="mlp", hidden=(2,), max_iter=1, max_rows=500)
+    assert 350 < seen[0] < 650
+
+
+def test_missing_features_are_left_out_of_fits_and_zero_in_scores(spark):
+    rows = [(float(k), float(k % 5), 2.0 * k + 1) for k in range(200)]
+    clean = spark.createDataFrame(rows, "a double, b double, y double")
+    holes = clean.unionByName(spark.createDataFrame([(None, 1.0, 5.0), (3.0, None, -99.0), (1.0, 1.0, None)], clean.schema))
+    for kind in ("huber", "gbt"):
+        m, n = (models.fit_regressor(d, ["a", "b"], "y", kind=kind, max_iter=20) for d in (clean, holes))
+        probe = spark.createDataFrame([(7.0, 2.0), (None, None)], "a double, b double")
+        got = [[r["days_raw"] for r in models.predict_days(x, probe).collect()] for x in (m, n)]
+        assert got[0] == pytest.approx(got[1]) and got[0][0] == pytest.approx(15.0, abs=8.0 if kind == "gbt" else 0.01)
+
+
+def test_aucs_of_several_scores_in_one_pass(spark):
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, 400)
+    scores = {"a": np.round(rng.random(400) + y * 0.3, 1), "b": rng.random(400), "tied": np.zeros(400)}
+    df = spark.createDataFrame([(int(t), *(float(s[k]) for s in scores.values())) for k, t in enumerate(y)],
+                               "y int, a double, b double, tied double")
+    got = evaluate.aucs(df, "y", list(scores))
+    for name, s in scores.items():
+        wins = (s[y == 1][:, None] > s[y == 0][None]).mean() + (s[y == 1][:, None] == s[y == 0][None]).mean() / 2
+        assert got[name] == pytest.approx(wins, abs=1e-12)
+    assert np.isnan(evaluate.auc(df.filter("y = 1"), "y", "a"))
+
+
+def test_permuted_values_are_a_permutation(spark):
+    df = spark.range(500).select(F.col("id").alias("record_id"), (F.col("id") * 2.0).alias("f"), F.lit(1.0).alias("same"))
+    got = evaluate.permuted(df, ["f", "same"], "record_id").collect()
+    assert sorted(r["f_perm"] for r in got) == sorted(r["f"] for r in got) and {r["same_perm"] for r in got} == {1.0}
+    assert sum(r["f_perm"] == r["f"] for r in got) < 20
