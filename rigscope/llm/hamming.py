@@ -76,6 +76,7 @@ def _nearest_codes(codes: DataFrame, queries: DataFrame, n: int, bits: int, name
     other = [f"c{i}" for i in range(len(names))]
     codes = codes.select(*[F.col(a).alias(b) for a, b in zip(names, other)], "least")
     index = materialize(codes.select(*other, "least", segments(other)), "search-index")
+    tasks = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = codes.count()
     wanted = min(n, total)
     active = materialize(queries.withColumn("bound", F.lit(bits)), "search-queries")
@@ -86,7 +87,9 @@ def _nearest_codes(codes: DataFrame, queries: DataFrame, n: int, bits: int, name
     first = F.least(*near) if m > 1 else near[0]
     while wanted and not active.isEmpty():
         masks = F.filter(F.sequence(F.lit(0), F.lit((1 << SEGMENT) - 1)), lambda x: F.bit_count(x).between(low, high))
-        probes = active.select(*names, "bound", segments(names)).select("*", F.explode(masks).alias("mask"))
+        # a few queries make many probes: dealt out first, or one task would make them all
+        dealt = active.select(*names, "bound", segments(names)).repartition(tasks, *names, "segment")
+        probes = dealt.select("*", F.explode(masks).alias("mask"))
         probes = probes.select(*names, "bound", "segment", F.bit_count("mask").alias("off"),
                                F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
         # Spark can't foresee how many probes the few queries make, and would send them all to every task
