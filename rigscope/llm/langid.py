@@ -8,6 +8,7 @@ whatever the corpus (``BUCKETS`` x languages).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,6 +42,19 @@ class _Letters:
         return cls.table
 
 
+def slices(text: str, limit: int) -> Iterator[str]:
+    """A text in parts of about ``limit`` characters, cut at blanks only, so that no word is torn."""
+    start = 0
+    while len(text) - start > limit:
+        cut = text.rfind(" ", start + 1, start + limit)
+        cut = cut if cut > 0 else text.find(" ", start + limit)
+        if cut < 0:
+            break
+        yield text[start:cut]
+        start = cut
+    yield text[start:]
+
+
 def _characters(text: str) -> np.ndarray:
     """Code points of the lower-cased text, zero where there is no letter, with a zero at either end."""
     points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
@@ -79,16 +93,30 @@ class LanguageModel:
     history: list[float] = field(default_factory=list)
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        """Mean subword scores of each text, over the whole text."""
+        """Mean subword scores of each text, over the whole text; memory follows the strip, not the text."""
         sums, counts = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts))
         group: list[np.ndarray] = []
-        first = size = 0
+        owner: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            if group:
+                part, n = np.zeros((len(group), len(self.labels))), np.zeros(len(group))
+                self._add(group, part, n)
+                np.add.at(sums, owner, part)
+                np.add.at(counts, owner, n)
+                group.clear()
+                owner.clear()
+
         for k, text in enumerate(texts):
-            group.append(_characters(text))
-            size += len(group[-1])
-            if size >= _STRIP or k == len(texts) - 1:
-                self._add(group, sums[first:k + 1], counts[first:k + 1])
-                group, first, size = [], k + 1, 0
+            for part in slices(text, _STRIP):
+                group.append(_characters(part))
+                owner.append(k)
+                size += len(group[-1])
+                if size >= _STRIP:
+                    flush()
+                    size = 0
+        flush()
         return sums / np.maximum(counts, 1)[:, None] + self.bias
 
     def _add(self, group: list[np.ndarray], sums: np.ndarray, counts: np.ndarray) -> None:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rigscope.llm.langid import _Letters, remainder
+from rigscope.llm.langid import _Letters, remainder, slices
 from rigscope.llm.tables import materialize, small_batches
 
 ORDER = 4                 # characters of an n-gram: 16 bits each in a 64-bit key
@@ -193,13 +193,14 @@ class ToxicityModel:
         """Mean log-likelihood ratio by character of whole texts; 0 where there is no letter."""
         sums, counts = np.zeros(len(texts)), np.zeros(len(texts))
         for k, text in enumerate(texts):
-            codes = _codes(text or "")
-            for begin in range(0, len(codes), _STRIP):       # a strip takes its history along
-                ahead = max(0, begin - ORDER + 1)
-                places, keys = _keys(codes[ahead:begin + _STRIP])
-                keys = keys[places >= begin - ahead]
-                sums[k] += self.ratios(keys).sum()
-                counts[k] += len(keys)
+            for part in slices(text or "", _STRIP):
+                codes = _codes(part)
+                for begin in range(0, len(codes), _STRIP):       # a strip takes its history along
+                    ahead = max(0, begin - ORDER + 1)
+                    places, keys = _keys(codes[ahead:begin + _STRIP])
+                    keys = keys[places >= begin - ahead]
+                    sums[k] += self.ratios(keys).sum()
+                    counts[k] += len(keys)
         return sums / np.maximum(counts, 1)
 
 
@@ -208,7 +209,7 @@ def _count(batches):
     for batch in batches:
         rows: dict[int, list[np.ndarray]] = {0: [], 1: []}
         for toxic, text in zip(*(c.to_pylist() for c in batch.columns)):
-            rows[toxic].append(_keys(_codes(text))[1])
+            rows[toxic] += (_keys(_codes(part))[1] for part in slices(text, _STRIP))
         for toxic, keys in rows.items():
             if keys:
                 gram, n = np.unique(np.concatenate(keys), return_counts=True)

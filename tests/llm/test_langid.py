@@ -63,3 +63,11 @@ def test_logits_of_long_texts_do_not_depend_on_strips():
     grams = {n: [chars[i:i + n] for i in range(len(chars) - n + 1)] for n in (2, 3, 4)}
     inside = [g for n in grams for g in grams[n] if g.strip() and " " not in g[1:-1]]
     assert sum((at != langid.BUCKETS).sum() for at in langid._subwords(langid._characters(text), 0, 99)) == len(inside)
+
+
+def test_slices_tear_no_word():
+    for text in ("", "a", "word " * 100, "x" * 300, " " * 50, "ab " * 30 + "y" * 90 + " cd", "é日 \n z " * 40):
+        for limit in (1, 7, 40, 1000):
+            parts = list(langid.slices(text, limit))
+            assert "".join(parts) == text and all(p[:1] == " " for p in parts[1:])
+            assert all(len(p) <= limit or " " not in p[1:limit] for p in parts)
