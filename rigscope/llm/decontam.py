@@ -1,14 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds bring passages and test items together, Smith-Waterman alignment of
+"""Benchmark decontamination: shared word pairs bring passages and test items together, Smith-Waterman alignment of
 their words scores the copies, exact or edited.
 
-Words are ``\\w+`` of the lower-cased text. Test items of fewer than ``GRAM`` words carry no seed and are never linked.
-Test items are taken in blocks of ``block_items``, so that the tables sent to the tasks have a proven bound; the
-documents are all read for each block.
+Words are ``\\w+`` of the lower-cased text. Test items of fewer than ``LEAST_WORDS`` words are never linked. Every other
+alignment that scores enough is found: a score of ``least`` leaves a budget of edits, each unit of it parts one pair of
+neighbouring words at most, so a copy holds a known number of the item's pairs (of its single words, for items of a
+few words) within a known span. Test items are taken in blocks of ``block_items``, so that the tables sent to the tasks
+have a proven bound; the documents are all read for each block.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,15 +23,13 @@ from pyspark.sql import functions as F
 
 from rigscope.llm.tables import materialize, small_batches
 
-GRAM = 4             # words of a seed
-SPREAD = 4           # one seed, the rarest, is taken of every so many neighbouring n-grams of an item
+LEAST_WORDS = 4      # words of the shortest item that is linked
+COMMON = 64          # items of a block that share an n-gram before a copy may be sought without it
 LEAST_SCORE = 0.6    # alignment score by the score of a whole copy
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_ITEMS = 20_000
-SLACK = 1.25         # words of a passage around a seed, by the words of the item
+STRIP = 8192         # words of a text that are looked through at a time
 _WORD = re.compile(r"\w+")
-_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-_PASSAGE = "doc long, start long, words string, grams array<long>"
 _FOUND = "doc_id long, item_id long, score double, start_word long, end_word long, seeds int"
 
 
@@ -35,61 +37,93 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _grams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, key) of each n-gram whose words are all in the block's vocabulary (numbers above zero)."""
-    n = len(ids) - GRAM + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    inside = ids[:n] > 0
-    for k in range(1, GRAM):
-        inside &= ids[k:n + k] > 0
-    place = np.flatnonzero(inside)
-    key = np.zeros(len(place), np.uint64)
-    for k in range(GRAM):
-        key ^= ids[place + k].astype(np.uint64) * _FACTORS[k]
-        key *= np.uint64(0xFF51AFD7ED558CCD)
-        key ^= key >> np.uint64(32)
-    return place, key
+def _grams(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, key) of each word or pair of words that is in the block's vocabulary (numbers above zero)."""
+    if size == 1:
+        place = np.flatnonzero(ids)
+        return place, ids[place]
+    place = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+    return place, ids[place] << 32 | ids[place + 1]
+
+
+class _Index:
+    """The items whose copies are sought by n-grams of one size: sorted keys, and the items that hold each."""
+
+    def __init__(self, size: int, needs: dict[int, int], words: dict[int, np.ndarray], spans: dict[int, int]):
+        self.size, self.items = size, np.array(sorted(needs), np.int64)
+        keys = {item: _grams(words[item], size)[1].tolist() for item in needs}
+        held = Counter(k for listed in keys.values() for k in set(listed))
+        rows, left = [], []
+        for at, item in enumerate(self.items.tolist()):
+            # a copy that holds ``need`` n-grams holds need - k of those that remain without any k of them
+            listed = sorted(keys[item], key=lambda k: (-held[k], k))
+            skipped = sum(held[k] > COMMON for k in listed[:needs[item] // 2])
+            rows += ((k, at) for k in set(listed[skipped:]))
+            left.append(needs[item] - skipped)
+        self.need, self.span = np.array(left, np.int64), np.array([spans[i] for i in self.items.tolist()], np.int64)
+        rows = np.array(sorted(rows), np.int64).reshape(-1, 2)
+        self.keys, first = np.unique(rows[:, 0], return_index=True)
+        self.first, self.holders = np.append(first, len(rows)), rows[:, 1]
+
+    def regions(self, numbers: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(item, first, last place, n-grams) of the surroundings of every span with as many n-grams as a copy has."""
+        place, key = _grams(numbers, self.size)
+        if not len(self.keys) or not len(key):
+            return
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[at] == key
+        place, at = place[hit], at[hit]
+        many = self.first[at + 1] - self.first[at]
+        inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        item, place = self.holders[np.repeat(self.first[at], many) + inside], np.repeat(place, many)
+        order = np.argsort(item, kind="stable")
+        item, place = item[order], place[order]
+        last = np.arange(len(item)) + self.need[item] - 1
+        begin = np.flatnonzero(last < len(item))
+        last = last[begin]
+        near = (item[last] == item[begin]) & (place[last] - place[begin] <= self.span[item[begin]] - self.size)
+        begin, last = begin[near], last[near]
+        low, high = place[last] + self.size - self.span[item[begin]], place[begin] + self.span[item[begin]]
+        if not len(begin):
+            return
+        cuts = np.flatnonzero((item[begin][1:] != item[begin][:-1]) | (low[1:] > high[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(begin)]):
+            yield (int(self.items[item[begin[a]]]), max(0, int(low[a])), int(high[b - 1]),
+                   int(last[b - 1] - begin[a]) + 1)
 
 
 class Items:
-    """A block of test items: their words as numbers, and the keys of all their n-grams."""
+    """A block of test items: their words as numbers, and how their copies are sought."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], least: float = LEAST_SCORE):
         self.words = {}
         self.vocabulary: dict[str, int] = {}
+        needs: dict[int, dict[int, int]] = {1: {}, 2: {}}
+        spans = {}
         for item, text in rows:
             listed = words_of(text)
-            if len(listed) >= GRAM:
+            n = len(listed)
+            if n >= LEAST_WORDS:
                 numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in listed]
                 self.words[item] = np.array(numbers, np.int64)
-        self.longest = max(map(len, self.words.values()), default=0)
-        self.margin = int(self.longest * SLACK) + GRAM
-        keys = [_grams(numbers)[1] for numbers in self.words.values()]
-        self.keys = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
-        self.seeds: dict[int, list[tuple[int, int]]] = {}
+                # what a copy may lose; the cheapest loss of a pair is a word put between: one GAP
+                budget = math.floor(MATCH * n * (1 - least) / -GAP + 1e-9)
+                pairs = n - 1 - budget
+                needs[2 if pairs > 0 else 1][item] = pairs if pairs > 0 else max(1, self.least_words(n, least))
+                spans[item] = n + budget
+        self.least = least
+        self.longest = max(spans.values(), default=0)
+        self.indexes = [_Index(size, need, self.words, spans) for size, need in needs.items()]
+
+    @staticmethod
+    def least_words(n: int, least: float) -> int:
+        """Words of an item of n that a copy holds at least."""
+        return math.ceil(least * n - 1e-9)
 
     def numbers(self, words: list[str]) -> np.ndarray:
         get = self.vocabulary.get
         return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
 
-    def known(self, keys: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        return self.keys[at] == keys
-
-    def choose(self, frequency: dict[int, int]) -> None:
-        """Seeds: of every SPREAD neighbouring n-grams of an item the one in the fewest documents, the first of equals.
-        Any GRAM + SPREAD - 1 words copied in a row hold one, however many copies there are."""
-        for item, numbers in self.words.items():
-            keys = _grams(numbers)[1].view(np.int64).tolist()
-            rarity = [(frequency.get(k, 0), at) for at, k in enumerate(keys)]
-            for first in range(max(1, len(keys) - SPREAD + 1)):
-                at = min(rarity[first:first + SPREAD])[1]
-                places = self.seeds.setdefault(keys[at], [])
-                if (item, at) not in places:
-                    places.append((item, at))
-
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     """Smith-Waterman over words: (best score by the score of a whole copy, first and last aligned word of the passage).
@@ -117,67 +151,34 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     return best[0] / (MATCH * len(item)), best[1], best[2]
 
 
-def _passages(items) -> callable:
-    def passages(batches) -> Iterator[pa.RecordBatch]:
-        """The surroundings of every n-gram that a document shares with any test item of the block."""
-        block = items.value
-        for batch in batches:
-            out = {name: [] for name in ("doc", "start", "words", "grams")}
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                words = words_of(text)
-                place, key = _grams(block.numbers(words))
-                hit = block.known(key)
-                if not hit.any():
+def _aligned(block: Items, numbers: np.ndarray, score_of: callable) -> Iterator[tuple[int, float, int, int, int]]:
+    """(item, score, first, last word, seeds) of the alignments of a text that score enough; one at least, the best, of
+    each item that has any."""
+    width = max(STRIP, 4 * block.longest)
+    for begin in range(0, max(1, len(numbers) - block.longest), width - block.longest):
+        strip = numbers[begin:begin + width]       # the next strip repeats as much as a copy can span
+        for index in block.indexes:
+            for item, low, high, seeds in index.regions(strip):
+                window = strip[low:high]
+                own = block.words[item]
+                if np.isin(own, window).sum() < block.least_words(len(own), block.least):
                     continue
-                place, key = place[hit], key[hit]
-                cuts = np.flatnonzero(np.diff(place) > 2 * block.margin) + 1
-                for places, keys in zip(np.split(place, cuts), np.split(key, cuts)):
-                    start = max(0, int(places[0]) - block.margin)
-                    part = words[start:int(places[-1]) + GRAM + block.margin]
-                    for name, value in zip(out, (doc, start, " ".join(part), np.unique(keys).view(np.int64))):
-                        out[name].append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["doc"], pa.int64()), pa.array(out["start"], pa.int64()),
-                 pa.array(out["words"], pa.string()), pa.array(out["grams"], pa.list_(pa.int64()))], list(out))
-
-    return passages
-
-
-def _aligned(block: Items, words: str) -> list[tuple[int, float, int, int, int]]:
-    """(item, score, first, last word, seeds) of each item that shares a seed with the passage: the best alignment."""
-    numbers = block.numbers(words.split(" "))
-    place, key = _grams(numbers)
-    shifts: dict[int, list[int]] = {}
-    for at, k in zip(place.tolist(), key.view(np.int64).tolist()):
-        for item, inside in block.seeds.get(k, ()):
-            shifts.setdefault(item, []).append(at - inside)
-    found = []
-    for item, moved in shifts.items():
-        moved.sort()
-        own = block.words[item]
-        reach = int(len(own) * (SLACK - 1)) + GRAM
-        best = (0.0, 0, 0)
-        cuts = [0, *(k for k in range(1, len(moved)) if moved[k] - moved[k - 1] > len(own)), len(moved)]
-        for a, b in zip(cuts, cuts[1:]):       # a window for each place where the passage follows the item
-            low = max(0, moved[a] - reach)
-            window = numbers[low:moved[b - 1] + len(own) + reach]
-            score, first, last = align(own, window)
-            best = max(best, (score, low + first, low + last), key=lambda x: (x[0], -x[1]))
-        found.append((item, *best, len(moved)))
-    return found
-
-
-def _scores(items, least: float) -> callable:
+                score, first, last = score_of(item, window.tobytes())
+                if score >= block.least:
+                    yield item, score, begin + low + first, begin + low + last, seeds
+
+
+def _scores(items) -> callable:
     def scores(batches) -> Iterator[pa.RecordBatch]:
         block = items.value
-        aligned = lru_cache(4096)(lambda words: _aligned(block, words))   # copies of a passage are aligned once
+        # copies of a passage are aligned once
+        score_of = lru_cache(4096)(lambda item, window: align(block.words[item], np.frombuffer(window, np.int64)))
         for batch in batches:
             out = [[] for _ in range(6)]
-            for doc, start, words in zip(*(c.to_pylist() for c in batch.columns)):
-                for item, score, first, last, seeds in aligned(words):
-                    if score >= least:
-                        for column, value in zip(out, (doc, item, score, start + first, start + last, seeds)):
-                            column.append(value)
+            for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for found in _aligned(block, block.numbers(words_of(text)), score_of):
+                    for column, value in zip(out, (doc, *found)):
+                        column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)],
                                              [x.split()[0] for x in _FOUND.split(", ")])
@@ -202,14 +203,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = None
     for k in range(blocks):
         rows = tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else tests
-        block = Items(sorted((r.item, r.text) for r in rows.collect()))
-        shared = spark.sparkContext.broadcast(block)
-        passages = materialize(texts.mapInArrow(_passages(shared), _PASSAGE), "benchmark-passages")
-        # how many documents hold each n-gram of the block; no more rows than the block has n-grams
-        counts = passages.select("doc", F.explode("grams").alias("gram")).groupBy("gram").count()
-        block.choose({r["gram"]: r["count"] for r in counts.collect()})
-        seeded = spark.sparkContext.broadcast(block)
-        found = passages.select("doc", "start", "words").mapInArrow(_scores(seeded, least), _FOUND)
+        shared = spark.sparkContext.broadcast(Items(sorted((r.item, r.text) for r in rows.collect()), least))
+        found = texts.mapInArrow(_scores(shared), _FOUND)
         out = found if out is None else out.unionByName(found)
     best = F.max_by(F.struct("score", "start_word", "end_word", "seeds"), F.struct("score", -F.col("start_word")))
     return (out.groupBy("doc_id", "item_id").agg(best.alias("best"))

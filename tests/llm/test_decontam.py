@@ -83,3 +83,41 @@ def test_empty_tables(spark):
     assert decontam.contaminated(docs, none).collect() == []
     assert decontam.contaminated(spark.createDataFrame([], SCHEMA), read(spark, "/root/testdata/sf0.001",
                                                                         "benchmark")).collect() == []
+
+
+def test_random_edits_match_alignment_of_all_pairs(spark, monkeypatch):
+    """Copies with any mix of replaced, dropped and added words, of short and long items, in prose of few words."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcd", k=3))
+    items = {i: [word() for _ in range(n)] for i, n in enumerate((4, 5, 6, 9, 14, 14, 20, 20, 30, 59))}
+    docs = {}
+    for d in range(600):
+        text = []
+        for w in items[d % len(items)]:
+            kind, rate = rng.random(), (d % 6) / 10
+            if kind >= rate:
+                text.append(w)
+            elif kind < rate / 3:
+                text.append(word())
+            elif kind < rate * 2 / 3:
+                text += [word(), w]
+        docs[d] = [word() for _ in range(rng.randrange(9))] + text + [word() for _ in range(rng.randrange(9))]
+    edited = [w if k not in (4, 10, 16) else "zzz" for k, w in enumerate(items[6])]
+    docs[1000] = edited                                                      # words 5, 11 and 17 of 20 replaced
+    docs[1001] = [w for pair in zip(items[7], ["zzz"] * 20) for w in pair][:31] + items[7][16:]
+    docs[1002] = [word() for _ in range(9000)] + edited + [word() for _ in range(9000)]
+    want = {}
+    for d, have in docs.items():
+        numbers = {w: k for k, w in enumerate(sorted(set(have)))}
+        for i, item in items.items():
+            score = decontam.align(np.array([numbers.get(w, -1 - k) for k, w in enumerate(item)]),
+                                   np.array([numbers[w] for w in have], np.int64))[0]
+            if score >= decontam.LEAST_SCORE:
+                want[d, i] = score
+    assert want[1000, 6] == 0.775 and (1001, 7) in want and (1002, 6) in want
+    rows = spark.createDataFrame([(d, " ".join(t)) for d, t in docs.items()], "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    for common in (64, 0):
+        monkeypatch.setattr(decontam, "COMMON", common, raising=False)
+        got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(rows, tests).collect()}
+        assert got == want
