@@ -16,8 +16,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that many sites share (each stays at its first place)."""
-    cut = linededup.dedup_lines(docs)
+    """All documents, without the lines, short ones too, that many sites share (each stays at its first place)."""
+    cut = linededup.dedup_lines(docs, min_chars=1)
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 

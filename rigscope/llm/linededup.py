@@ -23,8 +23,10 @@ def _keyed_lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min
     split = docs.select(F.col(site_col).alias("site"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("code"),
                         F.posexplode(F.split(text_col, "\n")).alias("pos", "raw"))
     plain = F.lower(F.trim("raw"))
-    return split.where(F.char_length(F.trim("raw")) >= min_chars).select("site", "doc", "code", "pos",
-                                                                        F.xxhash64(plain).alias("line"))
+    counted = F.char_length(F.trim("raw")) >= min_chars
+    if min_chars < MIN_CHARS:
+        counted &= F.col("raw").rlike(r"[^\s\p{Z}]")       # tabs, carriage returns and the like are a blank line
+    return split.where(counted).select("site", "doc", "code", "pos", F.xxhash64(plain).alias("line"))
 
 
 def site_spread(lines: DataFrame, lg_k: int = LG_K) -> DataFrame:

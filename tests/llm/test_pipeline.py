@@ -58,3 +58,10 @@ def test_odd_documents_pass_every_stage(spark):
     assert 105 not in kept and kept.count(5) == 2 and None in kept and not {100, 101, 102, 103} & set(kept)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert len(last) == len(kept) and all(r.piece_ids for r in last if r.n_chars)
+
+
+def test_short_lines_of_many_sites_go(spark):
+    rows = [(i, f"the text of document {i}\nRead more\n\n\t\n}}\n{'Log in' if i < 4 else 'own'}", "en", f"s{i}", 0) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
+    assert got == {i: t if not i else t.replace("Read more\n", "").replace("}\n", "") for i, t, *_ in rows}
