@@ -54,12 +54,12 @@ def append_new(batch: DataFrame, path: str, key, order_cols, fmt: str = "parquet
     """Append only new keys to the table at ``path`` and return what was written.
 
     A table that is there but can't be read is an error, not an empty table.  ``partition_by``: a date column
-    that the table is partitioned by and that belongs to the key's row (a redelivered key comes with the same
-    date); only the stored partitions of the batch's dates are then looked through."""
+    that the table is partitioned by.  A key that is stored under any date is not stored again; the key columns of
+    the whole table are read for that, unless the date is part of the key: then only the batch's dates can match."""
     spark = batch.sparkSession
     ensure_checkpoint_dir(spark)
     existing = spark.read.format(fmt).load(path) if path_exists(spark, path) else None
-    if existing is not None and partition_by:
+    if existing is not None and partition_by in ([key] if isinstance(key, str) else list(key)):
         days = [r[0] for r in batch.select(partition_by).distinct().collect()]    # a batch has few dates
         known = [d for d in days if d is not None]
         existing = existing.filter(F.col(partition_by).isin(known) | (F.col(partition_by).isNull()

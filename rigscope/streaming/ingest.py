@@ -17,8 +17,8 @@ from ..sources.sinks import append_new
 def start_ingest(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str, schema: T.StructType,
                  key="record_id", order_cols=("t_us",), available_now: bool = True, max_files: int = 100,
                  partition_by: str | None = None):
-    """``partition_by``: a date column of the rows; a micro-batch then looks only through the stored partitions of its
-    own dates for keys that are already there."""
+    """``partition_by``: a date column of the rows that the table is partitioned by; a key that is stored under another
+    date is there already."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:

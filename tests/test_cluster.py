@@ -58,6 +58,21 @@ def test_append_looks_only_through_the_dates_of_the_batch(spark, scratch):
     assert spark.read.parquet(f"{scratch}/t").count() == 4
 
 
+def test_a_key_redelivered_with_another_date_is_not_stored_again(spark, scratch):
+    first = spark.sql("SELECT * FROM VALUES (1, DATE'2024-01-01'), (2, NULL), (3, DATE'2024-01-02') AS t(record_id, d)")
+    again = spark.sql("SELECT * FROM VALUES (1, DATE'2024-01-05'), (2, DATE'2024-01-01'), (3, NULL), (4, NULL) AS t(record_id, d)")
+    for batch, new in ((first, [1, 2, 3]), (again, [4]), (again, [])):
+        got = sinks.append_new(batch, f"{scratch}/t", "record_id", ["d"], partition_by="d")
+        assert sorted(r.record_id for r in got.collect()) == new
+    assert spark.read.parquet(f"{scratch}/t").where("record_id = 1 AND d = DATE'2024-01-01'").count() == 1
+
+
+def test_a_date_that_is_part_of_the_key_makes_another_row(spark, scratch):
+    rows = spark.sql("SELECT * FROM VALUES ('a', DATE'2024-01-01'), ('a', DATE'2024-01-02') AS t(w, d)")
+    for batch, new in ((rows.limit(1), 1), (rows, 1), (rows, 0)):
+        assert sinks.append_new(batch, f"{scratch}/t", ["w", "d"], ["w"], partition_by="d").count() == new
+
+
 def test_write_run_leaves_the_session_alone(spark, scratch):
     key = "spark.sql.sources.partitionOverwriteMode"
     before = spark.conf.get(key)
