@@ -24,7 +24,6 @@ from rigscope.llm.langid import _Letters, remainder, slices
 from rigscope.llm.tables import materialize, small_batches
 
 ORDER = 4                 # characters of an n-gram: 16 bits each in a 64-bit key
-MAX_GRAMS = 2_000_000     # n-grams of a model that is sent to the tasks; scripts of few letters have far fewer
 BINS = 4000               # of the histogram that the logistic curve is fitted on
 RANGE = 4.0               # mean log-likelihood ratios beyond this are one bin
 _STRIP = 1 << 20
@@ -227,7 +226,9 @@ def _calibrates(id_col: str) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic") -> ToxicityModel:
-    """Count the n-grams of all labelled texts to learn from; the counts of each task are merged before they travel."""
+    """Count the n-grams of all labelled texts to learn from; the counts of each task are merged before they travel.
+
+    All distinct n-grams, the rarest too, make the model: discounts and backoffs rest on them. The driver holds them."""
     small_batches(docs.sparkSession)
     known = (labels.select(F.col(id_col).alias("doc"), F.col(label_col).cast("int").alias("toxic")).dropna()
              .where(F.col("toxic").isin(0, 1)).distinct())
@@ -238,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     grams = joined.mapInArrow(_count, "gram long, toxic long, n long").groupBy("gram").agg(
         F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("ordinary"),
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"))
-    table = grams.orderBy(F.desc(F.col("ordinary") + F.col("toxic")), "gram").limit(MAX_GRAMS).toArrow()
+    table = grams.toArrow()
     names = [_gram(k) for k in table["gram"].to_numpy().view(np.uint64).tolist()]
     both = (dict(zip(names, table[c].to_pylist())) for c in ("ordinary", "toxic"))
     return ToxicityModel.fit(*({g: n for g, n in x.items() if n} for x in both))

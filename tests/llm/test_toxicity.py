@@ -136,3 +136,15 @@ def test_documents(spark):
     clean = [r for r in got if not labels[r.doc_id]]
     assert np.mean([r.predicted for r in clean]) < 0.01
     assert np.mean([r.predicted for r in got if labels[r.doc_id]]) > 0.4   # the rest of these labels has no mark in the text
+
+
+def test_the_model_has_the_rarest_n_grams_too(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_GRAMS", 40, raising=False)
+    made = rows(200)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in made], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in made], "doc_id long, toxic int")
+    counted = [(t, y) for i, t, y in made if zlib.crc32(str(i).encode()) % 5 not in (0, 4)]
+    want = toxicity.ToxicityModel.fit(*(top_counts([t for t, y in counted if y == k]) for k in (0, 1)))
+    got = toxicity.train(docs, labels)
+    for mine, other in zip(got.grams + got.backoffs, want.grams + want.backoffs):
+        assert np.array_equal(mine.keys, other.keys) and np.allclose(mine.values, other.values)
