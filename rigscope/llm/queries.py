@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rigscope.llm import archives, chat, decontam, hamming, langid, linededup, pieces, simhash, tokencounts, toxicity
+from rigscope.llm import (alignment, archives, chat, decontam, hamming, langid, linededup, pieces, quality, runs, simhash,
+                          tokencounts, toxicity)
 from rigscope.llm.tables import read, shared_path
 
 
@@ -66,6 +67,21 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of each document's runs; one document of ten has its tail repeated first."""
+    docs = read(spark, sf_dir, "documents").withColumn("text", runs.planted(F.col("text"), F.col("doc_id")))
+    return runs.digest(runs.periodic_runs(docs))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(p) for p in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align(read(spark, sf_dir, "documents"), *paths)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_top_k": op2_exact_top_k,
@@ -77,6 +93,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 SQL: dict[str, str] = {
@@ -84,4 +103,5 @@ SQL: dict[str, str] = {
     "op5_warc": archives.op5_sql(),
     "op7_chat_formatting": chat.op7_sql(),
     "op9_line_dedup": linededup.op9_sql(),
+    "op13_quality_rules": quality.op13_sql(),
 }
