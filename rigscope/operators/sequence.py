@@ -3,7 +3,7 @@
 A plain ``Window.partitionBy(entity)`` sends a whole entity to one task; one
 machine can hold a third of all rows.  One profiling aggregate counts rows per
 entity: entities within ``chunk_rows`` keep a plain per-entity window (a proven
-bound); the others ("hot") get
+bound); when some are larger, all rows get
 
 * ``_seq``   – their 0-based position inside the entity in (time, record, tiebreak)
   order, computed from counts per (range partition, entity) and a ``row_number``
@@ -105,8 +105,7 @@ def lay_out(df: DataFrame, spec: SensorSpec, lookback: int, layout: Layout = DEF
 
     One profiling aggregate decides.  When every entity holds at most ``chunk_rows`` rows, each entity
     is a single chunk: one window task per entity, bounded by ``chunk_rows``, no carries.  Otherwise
-    only the entities above ``chunk_rows`` ("hot", at most rows / chunk_rows of them) are numbered by
-    range partitioning and cut into chunks; the others keep the per-entity ``row_number``."""
+    all rows are numbered in one pass over one range exchange, and entities above ``chunk_rows`` are cut into chunks."""
     w_entity = Window.partitionBy(spec.entity).orderBy(*spec.order_cols)
     if force_chunks:
         complete, d = [], add_sequence(df, spec, layout)
@@ -117,12 +116,7 @@ def lay_out(df: DataFrame, spec: SensorSpec, lookback: int, layout: Layout = DEF
             return (df.withColumn(SEQ, F.row_number().over(w_entity) - 1)
                     .withColumn(CHUNK, F.lit(0).alias(CHUNK, metadata=meta))
                     .withColumn(CTX, F.lit(False)))
-        sizes = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("_n"))
-        hot = sizes.filter(F.col("_n") > F.lit(layout.chunk_rows)).select(F.col(spec.entity).alias("_hot"))
-        is_hot = F.col(spec.entity).eqNullSafe(F.col("_hot"))      # rows without an entity may be hot, too
-        cold = df.join(hot, is_hot, "left_anti").withColumn(SEQ, F.row_number().over(w_entity) - 1)
-        warm = add_sequence(df.join(hot, is_hot, "left_semi"), spec, layout, total)
-        d = cold.unionByName(warm)
+        d = add_sequence(df, spec, layout, total)
     meta = {COMPLETE: complete, LOOKBACK: lookback, ROWS: layout.chunk_rows}
     d = (d.withColumn(CHUNK, F.floor(F.col(SEQ) / F.lit(layout.chunk_rows)).alias(CHUNK, metadata=meta))
          .withColumn(CTX, F.lit(False)))

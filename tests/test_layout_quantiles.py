@@ -153,3 +153,31 @@ def test_quantiles_only_where_nulls_are(spark):
                                "full double, gaps double, empty double")
     assert exact_quantiles(df, ["full", "gaps", "empty"], 0.5, only_with_nulls=True) == {
         "full": None, "gaps": 48.0, "empty": None}
+
+
+@pytest.mark.parametrize("collect,bins,most", [(100_000, 4096, 2), (300, 4096, 3), (60, 16, 20)])
+def test_passes_over_the_data(spark, collect, bins, most):
+    """A sketch and one exact pass settle a quantile; three passes where the bracket holds more than is collected."""
+    from pyspark.sql import functions as F
+    from rigscope.operators.quantiles import _order_statistics
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=20_000) * 10.0 ** rng.integers(-150, 150, 20_000), [np.inf, -np.inf, 0.0, -0.0, 5e-324]])
+    y = np.repeat([1.5, -2.0, 7.25], 6668)[:len(x)]                      # three values only
+    y = np.concatenate([y, np.full(len(x) - len(y), 3.0)])
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    for share in (0.0, 0.37, 0.95, 1.0):
+        rank = int(share * (len(x) - 1))
+        counts, found, passes = _order_statistics(df, [F.col("x"), F.col("y")], lambda _, n: {rank}, share, bins, 100, collect)
+        assert counts == [len(x), len(x)] and passes <= most
+        assert found == {(0, rank): np.sort(x)[rank], (1, rank): np.sort(y)[rank]}
+
+
+def test_a_bracket_that_misses_is_no_error(spark):
+    from pyspark.sql import functions as F
+    from rigscope.operators.quantiles import _order_statistics
+
+    x = np.random.default_rng(6).normal(size=5_000)
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    _, found, _ = _order_statistics(df, [F.col("x")], lambda _, n: {10, 4_900}, 0.5, 64, 1_000, 1_000)
+    assert found == {(0, 10): np.sort(x)[10], (0, 4_900): np.sort(x)[4_900]}
