@@ -17,6 +17,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import sinks
 from ..sources.readers import read_readings, with_epoch
 from ..sources.schemas import READING_DATE, SENSOR_READINGS
+from ..sources.store import append_indexed
 
 
 def ingest(spark: SparkSession, path: str, tables: str, spec: SensorSpec = WELL_SPEC, fmt: str = "csv") -> dict:
@@ -31,8 +32,8 @@ def ingest(spark: SparkSession, path: str, tables: str, spec: SensorSpec = WELL_
     sinks.append_new(sinks.wells_table(deduped, spec), f"{tables}/wells", "well_id", ["well_id"])
     rows = sinks.with_defaults(sinks.sensor_readings_rows(deduped, SENSOR_READINGS.fields[:-1]), "sensor_readings")
     rows = rows.withColumn(READING_DATE, F.to_date(spec.time))
-    written = sinks.append_new(rows, f"{tables}/sensor_readings", spec.record, [spec.time], partition_by=READING_DATE)
-    report["rows_written"] = written.count()
+    written = append_indexed(rows, f"{tables}/sensor_readings", spec.record, [spec.time], partition_by=READING_DATE)
+    report["rows_written"] = written.rows.count()
     report["fault_counts"] = {r[spec.fault]: r["n"] for r in deduped.groupBy(spec.fault)
                               .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).collect()}
     return report
