@@ -13,7 +13,6 @@
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass
 from functools import reduce
 from typing import Iterator
@@ -23,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import networks
 from .features import assembler
 from .impute import zero_fill
 
@@ -165,7 +165,7 @@ def mlp_layers(mlp_model) -> list:
 
 def dense_forward(df: DataFrame, cols, layers, activations, out: str = "nn_out", output_index: int = -1) -> DataFrame:
     """Score ``df`` with weights ``layers`` = [(W (in×out), b)], ``activations`` per layer in
-    {relu, sigmoid, softmax, identity}; Arrow batches, weights broadcast once per executor.
+    {relu, tanh, sigmoid, softmax, identity}; Arrow batches, weights broadcast once per executor.
     Missing inputs count as 0 (B5)."""
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast([(np.asarray(W, float), np.asarray(b, float)) for W, b in layers])
@@ -180,6 +180,8 @@ def dense_forward(df: DataFrame, cols, layers, activations, out: str = "nn_out",
                 x = x @ W + b
                 if act == "relu":
                     x = np.maximum(x, 0.0)
+                elif act == "tanh":
+                    x = np.tanh(x)
                 elif act == "sigmoid":
                     x = 1.0 / (1.0 + np.exp(-x))
                 elif act == "softmax":
@@ -191,6 +193,50 @@ def dense_forward(df: DataFrame, cols, layers, activations, out: str = "nn_out",
     return df.withColumn(out, forward(F.struct(*inputs)))
 
 
+# ------------------------------------------------------------------ E1 / E5 / E7 as networks
+def fit_bottleneck(normal: DataFrame, cols, hidden=(64, 32, 8, 32, 64), epochs: int = 40, **options) -> networks.Fitted:
+    """The non-linear autoencoder, fitted on normal rows."""
+    shape = networks.Shape((len(cols), *hidden, len(cols)), "reconstruction")
+    return networks.fit(networks.to_blocks(normal, cols, cols), shape, epochs, **options)
+
+
+def fit_network_classifier(train: DataFrame, cols, label: str, hidden=(128, 64, 32), epochs: int = 40,
+                           **options) -> networks.Fitted:
+    """E5: cross entropy, every class with the same sum of weights."""
+    data = train.na.drop(subset=[*cols, label])
+    counts = class_counts(data, label)
+    weights = F.create_map(*[F.lit(v) for c, n in counts.items() for v in (c, sum(counts.values()) / (len(counts) * n))])
+    blocks = networks.to_blocks(data, cols, [label], weights[F.col(label)])
+    return networks.fit(blocks, networks.Shape((len(cols), *hidden, 1), "binary"), epochs, **options)
+
+
+def fit_network_regressor(near: DataFrame, cols, target: str, hidden=(64, 32), epochs: int = 40, **options) -> networks.Fitted:
+    """The loss with a fixed delta of 1."""
+    return networks.fit(networks.to_blocks(near, cols, [target]), networks.Shape((len(cols), *hidden, 1), "huber"), epochs, **options)
+
+
+def network_probability(df: DataFrame, cols, fitted: networks.Fitted, out: str) -> DataFrame:
+    """The network's output of every row: probability or days. Missing features count as 0."""
+    return dense_forward(df, cols, fitted.layers, fitted.activations, out)
+
+
+def network_error(df: DataFrame, cols, fitted: networks.Fitted, out: str) -> DataFrame:
+    """Mean squared difference of the inputs and their reconstruction (Arrow batches)."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(fitted.layers)
+    shape = fitted.shape
+
+    @F.pandas_udf("double")
+    def error(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        flat = np.concatenate([v.ravel() for layer in shared.value for v in layer])
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float)
+            yield pd.Series(networks.row_losses(shape, flat, x, x))
+
+    inputs = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(cols)]
+    return df.withColumn(out, error(F.struct(*inputs)))
+
+
 # ------------------------------------------------------------------ A15 / E13: persistence, staged runs
 def save_document(doc: dict, path: str, spark: SparkSession) -> None:
     spark.createDataFrame([(json.dumps(doc),)], "doc string").coalesce(1).write.mode("overwrite").text(path)
@@ -210,15 +256,38 @@ def load_pipeline(path: str):
     return PipelineModel.load(path)
 
 
-def stage(path: str, build, mode: str = "reuse", spark: SparkSession | None = None):
-    """Materialise a stage's DataFrame as Parquet once; ``mode='overwrite'`` rebuilds it."""
+def input_state(spark: SparkSession, path: str) -> str:
+    """Number, size and a hash of the names, sizes and times of the files below ``path``. Spark lists them as a table of
+    files, whose content is not read, so any number of files comes back as one row."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    row = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"),
+                    F.coalesce(F.bit_xor(F.xxhash64("path", "length", "modificationTime")), F.lit(0)).alias("hash")).first()
+    return f"{row['n']} files, {row['bytes']} bytes, {row['hash'] & (1 << 64) - 1:016x}"
+
+
+def stage_manifest(spark: SparkSession, inputs=(), settings=None) -> dict:
+    """What a stage's result depends on: the state of its input files, and its settings (models among them) as text."""
+    return {"inputs": {p: input_state(spark, p) for p in inputs}, "settings": json.dumps(settings, sort_keys=True, default=repr)}
+
+
+def stage_is_current(spark: SparkSession, path: str, manifest: dict) -> bool:
+    """Whether the stage at ``path`` is complete and was built from what ``manifest`` says."""
     from ..sources.sinks import path_exists
 
+    kept = f"{path}/_manifest"
+    return (path_exists(spark, f"{path}/_SUCCESS") and path_exists(spark, f"{kept}/_SUCCESS")
+            and load_document(kept, spark) == manifest)
+
+
+def stage(path: str, build, mode: str = "reuse", spark: SparkSession | None = None, inputs=(), settings=None):
+    """Materialise a stage's DataFrame as Parquet once, with a manifest beside it. It is built again when an input file,
+    a setting or the list of either has changed since, when a run broke off before the manifest was written,
+    and always with ``mode='overwrite'``."""
     spark = spark or SparkSession.getActiveSession()
-    done = os.path.join(path, "_SUCCESS")
-    if mode == "reuse" and path_exists(spark, done):
-        return spark.read.parquet(path)
-    build().write.mode("overwrite").parquet(path)
+    manifest = stage_manifest(spark, inputs, settings)
+    if mode != "reuse" or not stage_is_current(spark, path, manifest):
+        build().write.mode("overwrite").parquet(path)
+        save_document(manifest, f"{path}/_manifest", spark)
     return spark.read.parquet(path)
 
 

@@ -1,8 +1,8 @@
 """End-to-end run: readings → features → models → scores → predictions, alerts, metrics.
 
 Readings come from a stored ``sensor_readings`` table (``plans/ingest.py`` writes it) or from the test tables. Each
-stage is materialised once under ``out_root`` (``mode='reuse'`` skips finished stages of the same run, ``'overwrite'``
-rebuilds them). Scaler, threshold and models are saved under ``out_root/models``; a run that skips training loads
+stage is materialised once under ``out_root`` (``mode='reuse'`` skips stages of the same run whose input files and options
+are those of their manifest, ``'overwrite'`` rebuilds them). Scaler, threshold and models are saved under ``out_root/models``; a run that skips training loads
 them and fits nothing, whatever rows it scores. Predictions and alerts are written per ``run_id``, so a re-run
 replaces its own rows instead of appending duplicates.
 """
@@ -66,8 +66,12 @@ def run(spark: SparkSession, source: str, out_root: str, run_id: str, mode: str
     ``skip_training``, loads the ones saved before; ``'formula'`` uses the transparent formula model."""
     spec = WELL_SPEC if stored else EVENTS_SPEC
     build = (lambda: stored_features(spark, source, spec)) if stored else (lambda: events_features(spark, source))
-    feats = stage(f"{out_root}/features/{run_id}", build, mode, spark)
+    read = [source] if stored else [f"{source}/events.parquet"]
+    feats = stage(f"{out_root}/features/{run_id}", build, mode, spark, inputs=read, settings={"spec": spec, "stored": stored})
     saved = f"{out_root}/models"
+    # what the models and decisions depend on; saved models are files and count as inputs
+    options = {"spec": spec, "model": model, "skip_training": skip_training, "classifier": classifier, "max_iter": max_iter}
+    read_by_scores = [f"{out_root}/features/{run_id}", *([saved] if skip_training else [])]
     if model == "formula":
         s = score_formula(feats, spec)
         frame, threshold, names = s.frame, s.threshold, s.features
@@ -79,7 +83,7 @@ def run(spark: SparkSession, source: str, out_root: str, run_id: str, mode: str
         fitted = fit_models(z, spec, stats, names, classifier=classifier, max_iter=max_iter)
         fitted.save(saved, spark)
         frame, threshold = apply_models(z, fitted, spec), fitted.threshold
-    scored = stage(f"{out_root}/scored/{run_id}", lambda: frame, mode, spark)
+    scored = stage(f"{out_root}/scored/{run_id}", lambda: frame, mode, spark, inputs=read_by_scores, settings=options)
 
     sinks.write_run(sinks.with_defaults(prediction_rows(scored, spec), "model_predictions"),
                     f"{out_root}/model_predictions", run_id)
