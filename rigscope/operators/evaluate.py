@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,22 +144,63 @@ def downtime_summary(leads: DataFrame, emergency_hours: float = 24.0, planned_ho
     return agg.select("*", F.when(baseline > 0, (baseline - planned) / baseline * F.lit(100.0)).alias("downtime_reduction_pct"))
 
 
+PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
+_WALK = 64        # steps of a walk; a step ends out of range with a chance of 1 / sqrt(n), and n <= 4096 never needs more
+
+
+def round_keys(seed: int, number: int, rounds: int = 6) -> list[tuple[int, int, int]]:
+    """Constants of the rounds of permutation ``number`` under ``seed``."""
+    rng = random.Random(f"{seed}:{number}")
+    return [tuple(rng.randrange(1, PRIMES[1]) for _ in range(4)) for _ in range(rounds)]
+
+
+def _network(x: Column, n: int, keys: list[tuple[int, int, int, int]]) -> Column:
+    a = math.isqrt(n - 1) + 1 if n > 1 else 1
+    b = -(-n // a)
+
+    def mixed(half: Column, key) -> Column:
+        return ((half * F.lit(key[0]) + F.lit(key[1])) % F.lit(PRIMES[0]) * F.lit(key[2]) + F.lit(key[3])) % F.lit(PRIMES[1])
+
+    left, right = F.floor(x / F.lit(b)), x % F.lit(b)
+    for k, key in enumerate(keys):
+        if k % 2:
+            right = (right + mixed(left, key)) % F.lit(b)
+        else:
+            left = (left + mixed(right, key)) % F.lit(a)
+    return left * F.lit(b) + right
+
+
+def permuted_places(df: DataFrame, place: str, n: int, keys: dict[str, list]) -> DataFrame:
+    """``df`` with a column for each entry of ``keys``: a keyed permutation of the places 0 .. n - 1, computed row by row.
+
+    A Feistel network, whose halves are the quotient and remainder of the place by b, works on the least rectangle a x b that holds
+    n places (a = ceil(sqrt n), b = ceil(n / a)). Each round adds a hash of one half to the other one. A place that
+    leaves the range goes through the network again until it is back (cycle walking)."""
+    once = df.withColumns({c: _network(F.col(place), n, k) for c, k in keys.items()})
+
+    def walk(c: str, k: list) -> Column:
+        back = F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), F.col(c), lambda x, _: F.when(x < n, x).otherwise(_network(x, n, k)))
+        return F.when(F.col(c) < n, F.col(c)).otherwise(back)
+
+    return once.withColumns({c: walk(c, k) for c, k in keys.items()})
+
+
 def permuted(df: DataFrame, feats, record: str, seed: int = 42) -> DataFrame:
     """``df`` with a column ``<feature>_perm`` for each feature: its values dealt anew to the rows.
 
-    The row that is n-th by ``md5(record ':' seed)`` gets the value of the row that is n-th by the same hash with
-    the seed plus the feature's number from 1. Places come from range-partitioned counts, so any number of
-    rows is shuffled as one, and the result depends on the rows alone. ``record`` is unique."""
-    def placed(frame: DataFrame, salt: int) -> DataFrame:
-        spec = SensorSpec(entity="_all", time_us="_hash", record=record)
-        hashed = frame.withColumns({"_all": F.lit(0), "_hash": F.md5(F.concat(F.col(record).cast("string"), F.lit(f":{salt}")))})
-        return add_sequence(hashed, spec).drop("_all", "_hash").withColumnRenamed(SEQ, "_place")
-
-    out = placed(df, seed)
-    for j, f in enumerate(feats, 1):
-        donor = placed(df.select(record, F.col(f).alias(f"{f}_perm")), seed + j).drop(record)
-        out = out.join(donor, "_place")
-    return out.drop("_place")
+    Rows are numbered once, by ``record``, which is unique; the row at place p gives its value of feature j to the row at
+    place that ``permuted_places`` gives p under that feature's keys. All features go through one shuffle as (place, feature, value)
+    and meet the rows in one join. Places come from range-partitioned counts, so any number of rows is shuffled as
+    one, and the result depends on the rows alone."""
+    feats = list(feats)
+    spec = SensorSpec(entity="_all", time_us=record, record=record)
+    placed = add_sequence(df.withColumn("_all", F.lit(0)), spec).drop("_all").withColumnRenamed(SEQ, "_place")
+    moved = permuted_places(placed, "_place", df.count(), {f"_to{j}": round_keys(seed, j) for j in range(1, len(feats) + 1)})
+    given = F.array(*[F.struct(F.col(f"_to{j}").alias("place"), F.lit(j).alias("j"), F.col(f).cast("double").alias("v"))
+                      for j, f in enumerate(feats, 1)])
+    dealt = (moved.select(F.explode(given).alias("g")).groupBy(F.col("g.place").alias("_place"))
+             .agg(*[F.max(F.when(F.col("g.j") == j, F.col("g.v"))).alias(f"{f}_perm") for j, f in enumerate(feats, 1)]))
+    return placed.join(dealt, "_place").drop("_place")
 
 
 def permutation_importance(df: DataFrame, feats, rescore, label: str, record: str, seed: int = 42):

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import SensorSpec
-from .sequence import DEFAULT_LAYOUT, SEQ, Layout, chunk_window, ensure_layout, frame, strip
+from .sequence import CHUNK, DEFAULT_LAYOUT, SEQ, Layout, chunk_window, ensure_layout, frame, strip
 
 SHORT = 4     # rows in the short rolling frames
 TREND = 24    # rows in the slope frame
@@ -24,6 +29,44 @@ def rolling(c, fn: str, spec: SensorSpec, rows: int, min_rows: int = 1):
     return F.when(F.count(x).over(w) >= F.lit(min_rows), agg) if min_rows > 1 else agg
 
 
+def rolling_median(df: DataFrame, c: str, spec: SensorSpec, rows: int, out: str, min_rows: int = 1,
+                   layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
+    """``out`` is the median of the non-null values of ``c`` among the last ``rows`` rows of the machine (current included),
+    NULL below ``min_rows`` values.
+
+    Rows of a (machine, chunk) arrive in order, in Arrow batches. The window is kept sorted across batches: a row's value is put
+    in, the one that leaves is taken out, both by binary search, so a wide window costs hardly more than a narrow
+    one, and a task holds one batch and one window. NaN counts as missing."""
+    d, created = ensure_layout(df, spec, rows - 1, layout)
+    schema = T.StructType([*d.schema.fields, T.StructField(out, T.DoubleType())])
+    keys = [d.columns.index(k) for k in (spec.entity, CHUNK)]
+    place = d.columns.index(c)
+
+    def medians(batches):
+        now, recent, ordered = None, deque(), []
+        for batch in batches:
+            found = []
+            for *key, x in zip(*(batch.column(k).to_pylist() for k in keys), batch.column(place).to_pylist()):
+                if key != now:
+                    now, recent, ordered = key, deque(), []
+                x = None if x is None or x != x else float(x)
+                recent.append(x)
+                if x is not None:
+                    insort(ordered, x)
+                if len(recent) > rows:
+                    gone = recent.popleft()
+                    if gone is not None:
+                        del ordered[bisect_left(ordered, gone)]
+                n = len(ordered)
+                low, high = (ordered[(n - 1) // 2], ordered[n // 2]) if n else (None, None)
+                found.append(None if n < max(1, min_rows) else low if low == high else low + 0.5 * (high - low))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, out])
+
+    near = d.repartition(spec.entity, CHUNK).sortWithinPartitions(spec.entity, CHUNK, SEQ)
+    filled = near.mapInArrow(medians, schema)
+    return strip(filled) if created else filled
+
+
 def engineer_features(df: DataFrame, spec: SensorSpec, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     """C2-C8, all on one ``(machine, chunk)`` partitioning ordered by position."""
     d, created = ensure_layout(df, spec, TREND - 1, layout)

@@ -8,6 +8,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +16,13 @@ from ..config import (ANOMALY_BAND_ELSE, ANOMALY_BANDS, DAYS_BAND_ELSE, DAYS_BAN
                       RISK_BAND_ELSE, RISK_BANDS, SENSOR_COLS)
 from ..functions.scalars import r6
 from ..operators import alerts as alerts_op
-from ..operators import evaluate, fleet, models, prepare, schedule
+from ..operators import evaluate, fleet, models, networks, prepare, schedule
 from ..operators.cache import keep, release
-from ..operators.features import assemble
+from ..operators.features import assemble, rolling_median
 from ..operators.impute import keep_first, rolling_median_fill
 from ..operators.score import anomaly_threshold, prediction_rows
 from ..operators.sequence import Layout, strip
-from ..sources import sinks
+from ..sources import sinks, store
 from ..sources.adapters import events_readings, lineitem_readings, read_table
 from ..sources.readers import read_readings, with_epoch
 from ..sources.schemas import READING_DATE, SENSOR_READINGS
@@ -663,12 +664,77 @@ def _classifier(spark, d, kind="mlp", max_iter=40):
 
 @register("mlp_failure_probability", None, "E5 E6 E9 C10")
 def mlp_failure_probability(spark, d):
-    s, zcols, m = _classifier(spark, d)
-    p = models.failure_probability(m, s.frame.select("record_id", "well_id", "split", *zcols))
+    """The class-weighted network of three hidden layers, 40 epochs."""
+    z, _, feats = standardised(events_features(spark, d), SPEC)
+    zcols = [c + "_z" for c in feats]
+    fitted = models.fit_network_classifier(z.filter(F.col("split") == "train"), zcols, SPEC.label)
+    p = models.network_probability(z.select("record_id", "well_id", "split", *zcols), zcols, fitted, "confidence_score")
     return p.select("record_id", "well_id", "split", r6("confidence_score").alias("confidence_score"),
                     (F.col("confidence_score") >= F.lit(SPEC.thresholds.probability)).cast("int").alias("predicted_failure"))
 
 
+@register("autoencoder_scores", None, "E1 E2 E3 E4")
+def autoencoder_scores(spark, d):
+    """The bottleneck network fitted on normal rows, its error of every row and the threshold of the normal training rows."""
+    z, _, feats = standardised(events_features(spark, d), SPEC)
+    zcols = [c + "_z" for c in feats]
+    normal = prepare.normal_rows(z.filter(F.col("split") == "train"), SPEC)
+    fitted = models.fit_bottleneck(normal, zcols, hidden=(32, 4, 32), epochs=20)
+    scored_rows = keep(models.network_error(z.select("record_id", "well_id", "split", SPEC.label, *zcols), zcols, fitted, "anomaly_score"))
+    cut = anomaly_threshold(prepare.normal_rows(scored_rows.filter(F.col("split") == "train"), SPEC))
+    return scored_rows.select("record_id", "well_id", "split", r6("anomaly_score").alias("anomaly_score"),
+                              (F.col("anomaly_score") > F.lit(cut)).alias("is_anomaly"), r6(F.lit(cut)).alias("threshold"))
+
+
+@register("network_days_prediction", None, "E7 E8 D7")
+def network_days_prediction(spark, d):
+    """The network with the loss of fixed delta 1, fitted on near-failure rows, clipped."""
+    from ..functions.scalars import clip
+
+    z, _, feats = standardised(events_features(spark, d), SPEC)
+    zcols = [c + "_z" for c in feats]
+    fitted = models.fit_network_regressor(prepare.near_failure_rows(z.filter(F.col("split") == "train"), SPEC), zcols, SPEC.days, epochs=20)
+    p = models.network_probability(z.select("record_id", "well_id", "split", *zcols), zcols, fitted, "days_raw")
+    return p.select("record_id", "well_id", "split", r6(clip("days_raw", *SPEC.thresholds.days_clip)).alias("days_to_failure_pred"))
+
+
+# a 2-2-1 network, its weights in the order of ``networks.Shape.layers``
+_GRADIENT_AT = (0.4, -0.3, 0.2, 0.5, 0.1, -0.1, 0.7, -0.6, 0.05)
+
+
+def _gradient_sql() -> str:
+    w11, w12, w21, w22, b1, b2, v1, v2, c = (f"CAST({x} AS DOUBLE)" for x in _GRADIENT_AT)
+    sums = ["loss", "e * %s * CAST(h1 > 0 AS INT) * x1" % v1, "e * %s * CAST(h2 > 0 AS INT) * x1" % v2,
+            "e * %s * CAST(h1 > 0 AS INT) * x2" % v1, "e * %s * CAST(h2 > 0 AS INT) * x2" % v2,
+            "e * %s * CAST(h1 > 0 AS INT)" % v1, "e * %s * CAST(h2 > 0 AS INT)" % v2, "e * h1", "e * h2", "e"]
+    out = " UNION ALL ".join(f"SELECT kind, {k} AS place, {sql.r6(f'sum(w * {x}) / sum(w)')} AS value FROM errors GROUP BY kind"
+                             for k, x in enumerate(sums))
+    return f"""
+, rows_in AS (SELECT COALESCE(value, 0.0) / 100.0 AS x1, signal / 100.0 AS x2, CAST(failure_type <> 'none' AS INT) AS y,
+    CASE WHEN failure_type <> 'none' THEN 5.0::DOUBLE ELSE 0.5::DOUBLE END AS w FROM readings WHERE signal IS NOT NULL),
+hid AS (SELECT *, greatest(x1 * {w11} + x2 * {w21} + {b1}, 0) AS h1, greatest(x1 * {w12} + x2 * {w22} + {b2}, 0) AS h2 FROM rows_in),
+outs AS (SELECT *, h1 * {v1} + h2 * {v2} + {c} AS o FROM hid),
+errors AS (SELECT 'binary' AS kind, *, ln(1 + exp(o)) - y * o AS loss, 1 / (1 + exp(-o)) - y AS e FROM outs
+  UNION ALL SELECT 'huber', *, CASE WHEN abs(o - 3 * y) <= 1 THEN 0.5 * power(o - 3 * y, 2) ELSE abs(o - 3 * y) - 0.5 END,
+  greatest(least(o - 3 * y, 1), -1) FROM outs)
+{out}"""
+
+
+@register("network_gradient", sql.with_ctes(sql.events_readings()) + _gradient_sql(), "E5 E7")
+def network_gradient(spark, d):
+    """Mean loss (place 0) and its gradient at given weights, over all readings, for both weighted losses."""
+    r = events_readings(spark, d).where("signal IS NOT NULL").select(
+        (F.coalesce("value", F.lit(0.0)) / 100).alias("x1"), (F.col("signal") / 100).alias("x2"),
+        (F.col("failure_type") != "none").cast("double").alias("y"))
+    rows = []
+    for kind, scale in (("binary", 1.0), ("huber", 3.0)):
+        blocks = networks.to_blocks(r.withColumn("target", F.col("y") * scale), ["x1", "x2"], ["target"],
+                                    F.when(F.col("y") == 1, 5.0).otherwise(0.5), held_share=0.0)
+        sums, gradient = networks.summed(blocks, networks.Shape((2, 2, 1), kind), np.array(_GRADIENT_AT))
+        rows += [(kind, k, float(v / sums[1])) for k, v in enumerate([sums[0], *gradient])]
+    return spark.createDataFrame(rows, "kind string, place int, value double").select("kind", "place", r6("value").alias("value"))
+
+
 @register("huber_days_prediction", None, "E7 E8 D7")
 def huber_days_prediction(spark, d):
     s = scored(spark, d)
@@ -855,21 +921,34 @@ def _rank_auc_sql(score: str) -> str:
  FROM (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM (SELECT y, {score} AS s FROM perm)))"""
 
 
-def _place_sql(seed: int) -> str:
-    return f"row_number() OVER (ORDER BY md5(record_id::VARCHAR || ':{seed}'), record_id)"
-
-
-@register("permutation_importance", _sql_scored(
-    "t AS (SELECT record_id, maintenance_required AS y, " + ", ".join(_RISK_FEATURES) + f" FROM decided WHERE {TEST})",
-    "perm AS (SELECT * FROM (SELECT *, " + _place_sql(_PERM_SEED) + " AS place FROM t)"
-    + "".join(f" JOIN (SELECT {_place_sql(_PERM_SEED + j)} AS place, {f} AS p{j} FROM t) USING (place)"
+def _walks_sql() -> str:
+    """(j, place, x): where the row at ``place`` gives its value of feature j to, walked until it is in range."""
+    keys = {j: evaluate.round_keys(_PERM_SEED, j) for j in range(1, len(_RISK_FEATURES) + 1)}
+    source = "SELECT j, place, n, a, b, x // b AS l, x % b AS r FROM walk WHERE x >= n OR step = 0"
+    for k in range(6):
+        k0, k1, k2, k3 = ("CASE j " + " ".join(f"WHEN {j} THEN {v[k][c]}" for j, v in keys.items()) + " END" for c in range(4))
+        p, q = evaluate.PRIMES
+        mixed = lambda half: f"((({half} * ({k0}) + ({k1})) % {p}) * ({k2}) + ({k3})) % {q}"  # noqa: E731, B023
+        moved = f"l, (r + {mixed('l')}) % b AS r" if k % 2 else f"(l + {mixed('r')}) % a AS l, r"
+        source = f"SELECT j, place, n, a, b, {moved} FROM ({source})"
+    start = ("SELECT j, place, n, CAST(ceil(sqrt(n)) AS BIGINT) AS a, CAST(ceil(n / ceil(sqrt(n))) AS BIGINT) AS b, place AS x, 0 AS step "
+             f"FROM t, (SELECT count(*) AS n FROM t), (SELECT unnest(range(1, {len(_RISK_FEATURES) + 1})) AS j)")
+    return (f"walk AS ({start} UNION ALL SELECT j, place, n, a, b, l * b + r AS x, 1 AS step FROM ({source})), "
+            "dealt AS (SELECT j, place, x FROM walk WHERE step = 1 AND x < n)")
+
+
+@register("permutation_importance", (_sql_scored(
+    "t AS (SELECT record_id, maintenance_required AS y, row_number() OVER (ORDER BY record_id) - 1 AS place, "
+    + ", ".join(_RISK_FEATURES) + f" FROM decided WHERE {TEST})", _walks_sql(),
+    "perm AS (SELECT t.*" + "".join(f", d{j}.p{j}" for j in range(1, len(_RISK_FEATURES) + 1)) + " FROM t"
+    + "".join(f" JOIN (SELECT x, {f} AS p{j} FROM dealt JOIN t USING (place) WHERE j = {j}) d{j} ON d{j}.x = t.place"
               for j, f in enumerate(_RISK_FEATURES, 1)) + ")",
     "drops AS (" + " UNION ALL ".join(
         f"SELECT '{f}' AS feature, {_rank_auc_sql(_RISK)} AS base, {_rank_auc_sql(_RISK.replace(f, f'p{j}'))} AS shuffled"
         for j, f in enumerate(_RISK_FEATURES, 1)) + ")") + f"""
 SELECT feature, {sql.r6('base - shuffled')} AS auc_drop, {sql.r6('base')} AS base_auc,
   {sql.r6('coalesce(greatest(base - shuffled, 0.0) / nullif(sum(greatest(base - shuffled, 0.0)) OVER (), 0) * 100.0, 0.0)')} AS importance_pct
-FROM drops""", "G10")
+FROM drops""").replace("WITH", "WITH RECURSIVE", 1), "G10")
 def permutation_importance(spark, d):
     """What a failure classifier's AUC on the test split loses when a feature is shuffled."""
     test = scored(spark, d).frame.filter(F.col("split") == "test").select("record_id", "maintenance_required", *_RISK_FEATURES)
@@ -1116,3 +1195,94 @@ def null_counts(spark, d):
     before = _nulls(strip(laid), SPEC.sensors).withColumn("stage", F.lit("before"))
     after = _nulls(strip(rolling_median_fill(laid, SPEC, cols=SPEC.sensors)), SPEC.sensors).withColumn("stage", F.lit("after"))
     return before.unionByName(after).select("stage", *SPEC.sensors, "total_nulls")
+
+
+# ---------------------------------------------------------------- E13: stages that notice changed inputs and options
+
+
+@register("staged_features", sql.with_ctes(sql.events_readings()) + """
+, n AS (SELECT count(*) AS all_rows, count(*) FILTER (WHERE record_id % 2 = 0) AS half, 
+        count(value) FILTER (WHERE record_id % 2 = 0) AS seen_half FROM readings)
+SELECT step, what, rebuilt, CASE WHEN step < 4 THEN half ELSE all_rows END AS rows,
+       CASE WHEN step < 3 THEN seen_half WHEN step = 3 THEN half ELSE all_rows END AS with_value
+FROM n, (VALUES (1, 'first run', TRUE), (2, 'same input and options', FALSE), (3, 'other option', TRUE), (4, 'more input', TRUE),
+         (5, 'same input and options', FALSE)) AS t(step, what, rebuilt)""", "E13")
+def staged_features(spark, d):
+    """A stage over half of the readings run twice, with another option, and after the other half has come: which of these
+    runs built it again, and what it holds then."""
+    source, out = sinks.scratch_path(spark, "stage-input"), sinks.scratch_path(spark, "stage")
+    r = events_readings(spark, d).select("record_id", "value")
+    even = F.col("record_id") % 2 == 0
+    rows = []
+    for step, (what, more, fill) in enumerate([("first run", even, None), ("same input and options", None, None),
+                                               ("other option", None, 0.0), ("more input", ~even, 0.0),
+                                               ("same input and options", None, 0.0)], 1):
+        if more is not None:
+            r.where(more).write.mode("append").parquet(source)
+        options = {"fill": fill}
+        manifest = models.stage_manifest(spark, [source], options)
+        rebuilt = not models.stage_is_current(spark, out, manifest)
+        kept = models.stage(out, lambda fill=fill: spark.read.parquet(source).withColumn(
+            "value", F.coalesce("value", F.lit(fill).cast("double"))), spark=spark, inputs=[source], settings=options)
+        seen = kept.agg(F.count(F.lit(1)).alias("rows"), F.count("value").alias("with_value")).first()
+        rows.append((step, what, rebuilt, seen["rows"], seen["with_value"]))
+    return spark.createDataFrame(rows, "step int, what string, rebuilt boolean, rows long, with_value long")
+
+
+# ---------------------------------------------------------------- A5/A9/H11: the store that opens few files
+
+_STORE_FILES = 60
+_STORE_BATCHES = 3
+
+
+@register("store_window", sql.with_ctes(sql.events_readings()) + f"""
+, busy AS (SELECT well_id FROM readings GROUP BY well_id ORDER BY count(*) DESC, well_id LIMIT 1),
+span AS (SELECT max(t_us) - 15 * {DAY_US} AS lo, max(t_us) AS hi FROM readings)
+SELECT 'one well' AS asked, record_id, well_id, t_us, {sql.r6('value')} AS value, {sql.r6('signal')} AS signal, failure_type
+FROM readings, span WHERE well_id IN (SELECT well_id FROM busy) AND t_us BETWEEN lo AND hi
+UNION ALL SELECT 'all wells', record_id, well_id, t_us, {sql.r6('value')}, {sql.r6('signal')}, failure_type FROM readings""", "A9 H11 E11")
+def store_window(spark, d):
+    """All readings written to the clustered store; the last 15 days of the busiest well, and everything, read from it."""
+    path = sinks.scratch_path(spark, "store")
+    r = events_readings(spark, d).select("record_id", "well_id", "t_us", "value", "signal", "failure_type")
+    store.write_clustered(r, path, SPEC, rows_per_file=max(1, r.count() // _STORE_FILES))
+    well = r.groupBy("well_id").count().orderBy(F.desc("count"), "well_id").first()[0]
+    hi = r.agg(F.max("t_us")).first()[0]
+    one = store.read_range(spark, path, SPEC, [well], hi - 15 * DAY_US, hi).withColumn("asked", F.lit("one well"))
+    rows = one.unionByName(store.read_range(spark, path, SPEC).withColumn("asked", F.lit("all wells")))
+    return rows.select("asked", "record_id", "well_id", "t_us", r6("value").alias("value"), r6("signal").alias("signal"), "failure_type")
+
+
+@register("indexed_append", sql.events_chain("labeled") + f"""
+SELECT record_id, well_id, {sql.r6('value')} AS value, failure_type, strftime(CAST("timestamp" AS DATE), '%Y-%m-%d') AS reading_date
+FROM labeled""", "A5 A9")
+def indexed_append(spark, d):
+    """All readings appended in batches by id; each batch brings a tenth of the one before again, under another date."""
+    path = sinks.scratch_path(spark, "indexed-readings")
+    r = events_readings(spark, d).select("record_id", "well_id", "t_us", "value", "failure_type",
+                                         F.to_date("timestamp").alias("reading_date"))
+    lo, hi = r.agg(F.min("record_id"), F.max("record_id")).first()
+    step = (hi - lo) // _STORE_BATCHES + 1
+    for k in range(_STORE_BATCHES):
+        batch = r.where(F.col("record_id").between(lo + k * step, lo + (k + 1) * step - 1))
+        again = r.where(F.col("record_id").between(lo + (k - 1) * step, lo + k * step - 1) & (F.col("record_id") % 10 == 0))
+        again = again.withColumn("reading_date", F.date_add("reading_date", 3))
+        store.append_indexed(batch.unionByName(again), path, "record_id", ["t_us"], partition_by="reading_date")
+    return spark.read.parquet(path).select("record_id", "well_id", r6("value").alias("value"), "failure_type",
+                                           F.date_format("reading_date", "yyyy-MM-dd").alias("reading_date"))
+
+
+# ---------------------------------------------------------------- C9: wide rolling medians
+
+_MEDIAN_ROWS = 500
+
+
+@register("rolling_median_wide", sql.with_ctes(sql.lineitem_readings()) + f"""
+SELECT record_id, l_partkey, well_id, t_us, {sql.r6('l_extendedprice')} AS l_extendedprice,
+  {sql.r6(f"median(l_extendedprice) OVER (PARTITION BY well_id ORDER BY t_us, record_id, l_partkey, l_quantity, l_extendedprice ROWS BETWEEN {_MEDIAN_ROWS - 1} PRECEDING AND CURRENT ROW)")} AS price_median
+FROM readings""", "C9")
+def rolling_median_wide(spark, d):
+    """The median of each supplier's last 500 prices."""
+    r = rolling_median(lineitem_readings(spark, d), "l_extendedprice", LINEITEM_SPEC, _MEDIAN_ROWS, "price_median")
+    return r.select("record_id", "l_partkey", "well_id", "t_us", r6("l_extendedprice").alias("l_extendedprice"),
+                    r6("price_median").alias("price_median"))

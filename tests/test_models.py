@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from conftest import SF001
-from rigscope.operators import evaluate, models
+from rigscope.operators import cache, evaluate, models
 
 
 def test_pca_scores_and_threshold(spark):
@@ -113,3 +113,22 @@ def test_permuted_values_are_a_permutation(spark):
     got = evaluate.permuted(df, ["f", "same"], "record_id").collect()
     assert sorted(r["f_perm"] for r in got) == sorted(r["f"] for r in got) and {r["same_perm"] for r in got} == {1.0}
     assert sum(r["f_perm"] == r["f"] for r in got) < 20
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 97, 1000, 4099])
+def test_places_are_dealt_one_to_one(spark, n):
+    keys = {f"p{i}": evaluate.round_keys(7, i) for i in (0, 1)}
+    rows = evaluate.permuted_places(spark.range(n), "id", n, keys).collect()
+    for c in ("p0", "p1"):
+        assert sorted(r[c] for r in rows) == list(range(n))
+    if n > 90:
+        assert sum(r["p0"] == r["p1"] for r in rows) < n / 10 and sum(r["p0"] == r["id"] for r in rows) < n / 10
+        steps = np.diff([r["p0"] for r in rows])
+        assert len(set(steps.tolist())) > n / 4                  # no shift, no stride
+
+
+def test_one_numbering_for_all_features(spark):
+    df = spark.range(300).select(F.col("id").alias("record_id"), *[(F.col("id") * k).cast("double").alias(f"f{k}") for k in range(1, 6)])
+    kept = len(cache._KEPT)
+    got = evaluate.permuted(df, [f"f{k}" for k in range(1, 6)], "record_id")
+    assert len(cache._KEPT) == kept + 1 and got.count() == 300
