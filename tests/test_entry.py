@@ -25,11 +25,15 @@ def test_without_the_optional_parts(tmp_path):
     assert queries == sorted(REGISTRY) and set(oracles) == {n for n, (_, text, _) in REGISTRY.items() if text}
 
 
-def test_a_broken_optional_part_is_an_error(tmp_path):
+def test_a_missing_library_leaves_the_other_queries(tmp_path):
+    from rigscope.plans.catalog import REGISTRY
+
     broken = tmp_path / "broken"
-    shutil.copytree(ROOT, broken, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    shutil.copytree(ROOT, broken, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
     (broken / "rigscope" / "llm").mkdir()
     (broken / "rigscope" / "llm" / "queries.py").write_text("import no_such_module_anywhere\n")
-    run = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__"], cwd=broken, capture_output=True, text=True,
-                         env=os.environ | {"PYTHONPATH": str(broken)})
-    assert run.returncode and "no_such_module_anywhere" in run.stderr
+    code = "import json, __spark_entry__ as e; print(json.dumps(sorted(e.queries())))"
+    run = subprocess.run([sys.executable, "-B", "-c", code], cwd=broken, capture_output=True, text=True,
+                         env=os.environ | {"PYTHONPATH": str(broken)}, check=True)
+    assert json.loads(run.stdout) == sorted(REGISTRY)
+    assert "no_such_module_anywhere" in run.stderr
