@@ -16,7 +16,7 @@ from ..config import (ANOMALY_BAND_ELSE, ANOMALY_BANDS, DAYS_BAND_ELSE, DAYS_BAN
                       RISK_BAND_ELSE, RISK_BANDS, SENSOR_COLS)
 from ..functions.scalars import r6
 from ..operators import alerts as alerts_op
-from ..operators import evaluate, fleet, models, networks, prepare, schedule
+from ..operators import evaluate, fleet, maintained, models, networks, prepare, schedule
 from ..operators.cache import keep, release
 from ..operators.features import assemble, rolling_median
 from ..operators.impute import keep_first, rolling_median_fill
@@ -1286,3 +1286,43 @@ def rolling_median_wide(spark, d):
     r = rolling_median(lineitem_readings(spark, d), "l_extendedprice", LINEITEM_SPEC, _MEDIAN_ROWS, "price_median")
     return r.select("record_id", "l_partkey", "well_id", "t_us", r6("l_extendedprice").alias("l_extendedprice"),
                     r6("price_median").alias("price_median"))
+
+
+# ---------------------------------------------------------------- H1/H2-H6/H13: pages kept up to date by date
+
+_PAGE_COLS = ["record_id", "t_us", "depth_ft", "value", "signal", "failure_type", "days_to_failure", "maintenance_required",
+              "hours_since_last_maintenance", "cumulative_operating_hours"]
+
+
+def _pages(spark, d):
+    """States of all readings, appended in three batches that overlap in their dates."""
+    readings, states = sinks.scratch_path(spark, "page-readings"), sinks.scratch_path(spark, "page-states")
+    rows = events_labeled(spark, d).select("well_id", *_PAGE_COLS, F.to_date("timestamp").alias("reading_date"))
+    for k in range(3):
+        added = store.append_indexed(rows.where(F.col("record_id") % 3 <= k), readings, "record_id", ["t_us"], partition_by="reading_date")
+        maintained.refresh(spark, readings, states, SPEC, _PAGE_COLS, "reading_date",
+                           maintained.touched_dates(added.rows, "reading_date"))
+    return spark.read.parquet(states)
+
+
+SQL_STORED = sql.with_ctes(sql.events_readings(), sql.labeled(), "clean AS (SELECT * FROM labeled)")
+
+
+@register("maintained_fleet_status", _sql_latest(SQL_STORED) + sql.status_select() + " FROM latest", "H1 H2 H3 H4")
+def maintained_fleet_status(spark, d):
+    """``fleet_status`` of the stored readings from states by date, after three appends."""
+    return fleet.fleet_status(maintained.latest_state(_pages(spark, d), SPEC, _PAGE_COLS), SPEC)
+
+
+@register("maintained_well_kpis", SQL_STORED.rstrip("\n") + f""",
+n AS (SELECT *, row_number() OVER ({sql.ORDER}) AS _rn FROM clean)
+SELECT well_id, arg_min(depth_ft, _rn) AS depth_ft, CAST(sum(maintenance_required) AS BIGINT) AS maintenance_events,
+       {sql.r6('round(avg(value), 9)')} AS avg_pressure, {sql.r6('round(avg(signal), 9)')} AS avg_vibration, count(*) AS readings,
+       avg(signal) > {SPEC.thresholds.vibration_limit} AS vibration_high
+FROM n GROUP BY well_id""", "H13 H14")
+def maintained_well_kpis(spark, d):
+    """``well_kpis`` of the stored readings from states by date, after three appends. Means of sums by date may differ from means
+    of all rows in a double's last place, so both are cut to nine places before they are rounded."""
+    k = maintained.well_kpis(_pages(spark, d), SPEC)
+    return k.select("well_id", "depth_ft", "maintenance_events", r6(F.round("avg_pressure", 9)).alias("avg_pressure"),
+                    r6(F.round("avg_vibration", 9)).alias("avg_vibration"), "readings", "vibration_high")
