@@ -1,7 +1,8 @@
 """Line deduplication by distinct-site spread: HyperLogLog sketches per line, exact counts near the threshold.
 
-A line is the text between line feeds, compared without outer blanks and in lower case. Lines of fewer than
-``min_chars`` characters are never removed. A line that at least ``min_sites`` different sites hold is boilerplate: it
+A line is the text between line feeds, compared without outer blanks and in lower case; one of nothing but white space
+is blank and stays (so do lines of fewer than ``min_chars`` characters, where a caller asks for that). A line, however
+short, that at least ``min_sites`` different sites hold is boilerplate: it
 stays at its first place (least document id, text hash, position) and goes everywhere else. Spark's functions only.
 """
 
@@ -13,19 +14,17 @@ from pyspark.sql import functions as F
 from rigscope.llm.tables import materialize, unused
 
 MIN_SITES = 5
-MIN_CHARS = 16
+BLANK = r"[^\x09-\x0D\x1C-\x20\p{Z}]"     # what a line that isn't blank holds
 LG_K = 11            # registers of a sketch: 2048, a standard error of 1.8 %
 NEAR = 0.15          # estimates within this share of the threshold (one site at least) are counted exactly
 
 
 def _keyed_lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int) -> DataFrame:
-    """(site, doc, code, pos, line): a row for each line long enough; line is a hash of the normalised line."""
+    """(site, doc, code, pos, line): a row for each line that counts; line is a hash of the normalised line."""
     split = docs.select(F.col(site_col).alias("site"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("code"),
                         F.posexplode(F.split(text_col, "\n")).alias("pos", "raw"))
     plain = F.lower(F.trim("raw"))
-    counted = F.char_length(F.trim("raw")) >= min_chars
-    if min_chars < MIN_CHARS:
-        counted &= F.col("raw").rlike(r"[^\s\p{Z}]")       # tabs, carriage returns and the like are a blank line
+    counted = F.col("raw").rlike(BLANK) & (F.char_length(F.trim("raw")) >= min_chars)
     return split.where(counted).select("site", "doc", "code", "pos", F.xxhash64(plain).alias("line"))
 
 
@@ -70,7 +69,7 @@ def _without(text: Column, gone: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-                min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, removed_col: str | None = None) -> DataFrame:
+                min_sites: int = MIN_SITES, min_chars: int = 1, removed_col: str | None = None) -> DataFrame:
     """``docs`` with boilerplate lines removed from its texts; ``removed_col`` adds the number of removed lines.
 
     Every row stays, texts may become empty; null texts stay null. Rows with the same id and the same text are treated
@@ -92,23 +91,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.select(*out, *removed)
 
 
-def op9_sql(min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> str:
+def op9_sql(min_sites: int = MIN_SITES, min_chars: int = 1) -> str:
     """DuckDB SQL for ``queries.op9_line_dedup``: exact site counts, which the sketches agree with."""
     return f"""
 WITH lines AS (
   SELECT doc_id, source, text, unnest(range(len(string_split(text, chr(10))))) AS pos,
          unnest(string_split(text, chr(10))) AS raw
   FROM documents WHERE text IS NOT NULL),
-keyed AS (SELECT *, lower(trim(raw)) AS line FROM lines),
+keyed AS (SELECT *, lower(trim(raw)) AS line, regexp_matches(raw, '{BLANK}') AND length(trim(raw)) >= {min_chars} AS counts FROM lines),
 spread AS (
-  SELECT line, min(doc_id) AS home FROM keyed WHERE length(trim(raw)) >= {min_chars}
+  SELECT line, min(doc_id) AS home FROM keyed WHERE counts
   GROUP BY line HAVING count(DISTINCT source) >= {min_sites}),
 first_place AS (
-  SELECT s.line, s.home, min(k.pos) AS pos FROM spread s JOIN keyed k ON k.line = s.line AND k.doc_id = s.home
+  SELECT s.line, s.home, min(k.pos) AS pos FROM spread s JOIN keyed k ON k.line = s.line AND k.doc_id = s.home AND k.counts
   GROUP BY ALL),
 marked AS (
   SELECT k.doc_id, k.pos, k.raw, f.line IS NOT NULL AND (k.doc_id <> f.home OR k.pos <> f.pos) AS gone
-  FROM keyed k LEFT JOIN first_place f ON k.line = f.line AND length(trim(k.raw)) >= {min_chars}),
+  FROM keyed k LEFT JOIN first_place f ON k.line = f.line AND k.counts),
 cut AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS removed,
          coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept

@@ -13,7 +13,7 @@ def plain(rows, min_sites, min_chars):
     for doc, text, source in rows:
         for pos, raw in enumerate(text.split("\n") if text is not None else []):
             line = raw.strip(" ").lower()
-            if len(line) >= min_chars:
+            if len(line) >= min_chars and line.strip():
                 sites.setdefault(line, set()).add(source)
                 places.setdefault(line, []).append((doc is not None, doc or 0, pos))
     out = []
@@ -24,6 +24,9 @@ def plain(rows, min_sites, min_chars):
         kept = []
         for pos, raw in enumerate(text.split("\n")):
             line = raw.strip(" ").lower()
+            if line not in sites:
+                kept.append(raw)
+                continue
             spread = len(sites.get(line, set()) - {None})
             if spread < min_sites or (doc is not None, doc or 0, pos) == min(places[line]):
                 kept.append(raw)
@@ -40,12 +43,16 @@ def test_edge_rows_match_plain_version(spark):
              (207, "exactly five sites hold this", "s2"), (208, "exactly five sites hold this", "s3"),
              (209, "exactly five sites hold this\n" * 50, "s4"), (210, "exactly five sites hold this", None),
              (204, "nothing shared here at all", "s2")]
+    rows += [(300 + i, f"ok\nown {i}\n\t\n \u00a0\nOK", f"s{i}") for i in range(5)]           # a short line on five sites
     docs = spark.createDataFrame([("clash", d, t, s, "clash", 1) for d, t, s in rows], SCHEMA)
     got = linededup.dedup_lines(docs, removed_col="removed")
     assert got.columns == [*docs.columns, "removed"]
     found = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
-    assert found == sorted(plain(rows, 5, 16), key=str)
+    assert found == sorted(plain(rows, 5, 1), key=str)
     assert {r.removed for r in got.where("doc_id = 209").collect()} == {50}
+    assert {r.text for r in got.where("doc_id = 304").collect()} == {"own 4\n\t\n \u00a0"}
+    longer = linededup.dedup_lines(docs, min_chars=16)
+    assert sorted(((r.doc_id, r.text) for r in longer.collect()), key=str) == sorted(plain(rows, 5, 16), key=str)
 
 
 def test_spread_near_threshold_is_exact(spark):
