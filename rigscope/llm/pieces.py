@@ -14,6 +14,8 @@ batch or attempt. Decoding any of these segmentations gives back the text.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +29,10 @@ from rigscope.llm.tables import small_batches
 MARK = "▁"
 _LITERAL = 0x110001           # stands for a literal mark in a unit's code points
 _KEPT_UNITS = 120_000         # filtered units that a worker keeps
+_KEPT_STATES = 3_000_000      # their states beyond which they are dropped
 _CHUNK_UNITS = 40_000         # units that are sampled together
+_CHUNK_CHARS = 400_000        # characters of units that are sampled or filtered together (a longer unit alone)
+_LONG_UNIT = 512              # characters from which a unit is filtered and sampled by plain numbers, not with others
 _SLOTS = 1 << 20
 _SEED, _UNIT, _STEP = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7))
 
@@ -173,7 +178,10 @@ class Sampler:
         total = np.zeros(nodes)
         chance = np.empty(len(end))
         cuts = np.flatnonzero(np.diff(place[end], prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(end)]):
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(end)]):
+            if place[end[a]] > _LONG_UNIT:                    # far places of long units, in whatever batch
+                self._filter_place(end[a:b].tolist(), start[a:b].tolist(), log[a:b].tolist(), total, chance, a)
+                continue
             weight = total[start[a:b]] + log[a:b]
             heads = np.flatnonzero(np.diff(end[a:b], prepend=-1))
             most = np.maximum.reduceat(weight, heads)
@@ -205,13 +213,47 @@ class Sampler:
         self.piece.add(piece)
         self.units.update(zip(units, (base + begin + size + np.arange(len(units))).tolist()))
 
+    @staticmethod
+    def _filter_place(end: list, start: list, log: list, total: np.ndarray, chance: np.ndarray, at: int) -> None:
+        """The arcs of one place, state by state: totals of the states, chances from place ``at`` of ``chance`` on."""
+        k = 0
+        while k < len(end):
+            j = k + 1
+            while j < len(end) and end[j] == end[k]:
+                j += 1
+            weight = [total.item(start[m]) + log[m] for m in range(k, j)]
+            most = max(weight)
+            share = [math.exp(w - most) for w in weight]
+            whole = sum(share)
+            total[end[k]] = most + math.log(whole)
+            for m, x in enumerate(share, at + k):
+                chance[m] = x / whole
+            k = j
+
+    def _walk(self, state: int, stream: int) -> list[int]:
+        """Pieces of one unit from its end to its start; the same draws as those of ``sample``."""
+        first, cumulative, source, piece = (x.data for x in (self.first, self.cumulative, self.source, self.piece))
+        mask, step, pieces = (1 << 64) - 1, 0, []
+        while state >= 0:
+            step += 1
+            x = stream + step * int(_STEP) & mask
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+            draw = ((x ^ x >> 31) >> 40) / (1 << 24)
+            arc = first.item(state)
+            while draw >= cumulative.item(arc):
+                arc += 1
+            pieces.append(piece.item(arc))
+            state = source.item(arc)
+        return pieces
+
     def states(self, units: list[str]) -> np.ndarray:
         """The last state of each unit; unknown ones are filtered."""
         found = list(map(self.units.get, units))
         if None in found:
             at = [k for k, state in enumerate(found) if state is None]
             missing = {units[k] for k in at}
-            if len(self.units) + len(missing) > self.kept_units:
+            if len(self.units) + len(missing) > self.kept_units or self.first.n > _KEPT_STATES:
                 self.forget()
                 missing, at = set(units), range(len(units))
             self.filter(list(missing))
@@ -224,8 +266,14 @@ class Sampler:
         state = self.states(units)
         first, cumulative, source, piece = (x.data for x in (self.first, self.cumulative, self.source, self.piece))
         stream = (seeds + _SEED) * _SEED ^ (places + np.uint64(1)) * _UNIT
-        active, drawn, step = np.arange(len(units)), [], 0
+        active, drawn, step, long = np.arange(len(units)), [], 0, {}
         counts = np.zeros(len(units), np.int64)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        for k in np.flatnonzero(sizes > _LONG_UNIT).tolist():            # one by one: they would walk on alone anyway
+            long[k] = self._walk(int(state[k]), int(stream[k]))
+            counts[k] = len(long[k])
+        short = sizes <= _LONG_UNIT
+        active, state, stream = active[short], state[short], stream[short]
         while len(active):
             step += 1
             x = stream + np.uint64(step * int(_STEP) & (1 << 64) - 1)
@@ -246,6 +294,8 @@ class Sampler:
         after = np.cumsum(counts)
         for k, (who, what) in enumerate(drawn):               # drawn from the end backwards
             out[after[who] - 1 - k] = what
+        for k, pieces in long.items():
+            out[after[k] - counts[k]:after[k]] = pieces[::-1]
         return out, counts
 
 
@@ -259,10 +309,22 @@ def _sampler(path: str, alpha: float) -> Sampler:
     return Sampler(Vocabulary(path, alpha))
 
 
+def _parts(units: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of units that together have at most ``_CHUNK_UNITS`` units and ``_CHUNK_CHARS`` characters, or are one unit."""
+    begin = size = 0
+    for k, unit in enumerate(units):
+        if k > begin and (k - begin == _CHUNK_UNITS or size + len(unit) > _CHUNK_CHARS):
+            yield begin, k
+            begin, size = k, 0
+        size += len(unit)
+    if units:
+        yield begin, len(units)
+
+
 def sample_texts(sampler: Sampler, texts: list[str | None], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(pieces of all texts, pieces in each text). Long texts are sampled part by part, whole texts all the same."""
     counts = np.zeros(len(texts), np.int64)
-    found, units, owner, places = [], [], [], []
+    found, units, owner, places, chars = [], [], [], [], 0
 
     def flush() -> None:
         if units:
@@ -275,13 +337,16 @@ def sample_texts(sampler: Sampler, texts: list[str | None], seeds: np.ndarray) -
 
     for k, text in enumerate(texts):
         all_units = units_of(text) if text else []
-        for i in range(0, len(all_units), _CHUNK_UNITS):
-            part = all_units[i:i + _CHUNK_UNITS]
-            if len(units) + len(part) > _CHUNK_UNITS:
+        for i, j in _parts(all_units):
+            part = all_units[i:j]
+            size = sum(map(len, part))
+            if len(units) + len(part) > _CHUNK_UNITS or chars + size > _CHUNK_CHARS:
                 flush()
+                chars = 0
+            chars += size
             units += part
             owner.append((k, len(part)))
-            places.append(np.arange(i, i + len(part)))
+            places.append(np.arange(i, j))
     flush()
     return np.concatenate([np.empty(0, np.int32), *found]), counts
 

@@ -1,6 +1,7 @@
 """Sampled segmentations: lossless, reproducible, and drawn with the lattice's probabilities."""
 
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -81,3 +82,22 @@ def test_rows(spark):
 def test_documents_are_lossless(spark):
     docs = read(spark, "/root/testdata/sf0.001", "documents")
     assert all(r.text == r.decoded for r in pieces.segmentations(docs, PATH).collect())
+
+
+def test_long_units_are_drawn_as_short_ones(sampler, monkeypatch):
+    """The plain walk gives the draws of the arrays, in any batch."""
+    texts = ["thequickbrownfox" * 60, "日本語のテキスト" * 90, "a" * 700 + " short " + "☃x" * 400, "word " * 200]
+    own = draw(pieces.Sampler(sampler.vocabulary), texts, range(4))
+    monkeypatch.setattr(pieces, "_LONG_UNIT", 10**9)
+    assert draw(pieces.Sampler(sampler.vocabulary), texts, range(4)) == own
+    monkeypatch.setattr(pieces, "_LONG_UNIT", 3)
+    assert draw(pieces.Sampler(sampler.vocabulary), texts, range(4)) == own
+
+
+@pytest.mark.parametrize("text", ["thequickbrownfox" * 20_000, "日本語" * 30_000])
+def test_hundreds_of_thousands_of_characters_without_a_blank(sampler, text):
+    fresh = pieces.Sampler(sampler.vocabulary)
+    began = time.process_time()
+    out, = draw(fresh, [text], [5])
+    assert time.process_time() - began < 30                   # places were once filtered at 0.1 ms each
+    assert pieces.join_pieces(sampler.vocabulary.bytes, out) == text
