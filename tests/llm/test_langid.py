@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from rigscope.llm import langid
 from rigscope.llm.tables import read
@@ -71,3 +72,61 @@ def test_slices_tear_no_word():
             parts = list(langid.slices(text, limit))
             assert "".join(parts) == text and all(p[:1] == " " for p in parts[1:])
             assert all(len(p) <= limit or " " not in p[1:limit] for p in parts)
+
+
+def plain_score(model, text):
+    """Softmax of the mean score of all subwords, one after the other."""
+    chars = [0, *(ord(c) if c.isalpha() else 0 for c in text.lower()), 0]
+    rows = []
+    for n, factors in langid._MULTIPLIERS.items():
+        for i in range(len(chars) - n + 1):
+            gram = chars[i:i + n]
+            if (any(gram) if n == 2 else all(gram[1:-1])):
+                mixed = sum(c * f for c, f in zip(gram, factors)) & 0xFFFFFFFF
+                mixed = (mixed ^ mixed >> 15) * 2246822507 & 0xFFFFFFFF
+                rows.append(model.scores[mixed >> 16])
+    logits = (np.sum(rows, axis=0, dtype=float) / max(1, len(rows)) + model.bias) / model.temperature
+    share = np.exp(logits - logits.max())
+    return share / share.sum()
+
+
+def test_every_prediction_equals_plain_version(spark):
+    docs = read(spark, "/root/testdata/sf0.001", "documents")
+    model = langid.train(docs, ~langid.held_out_rows())
+    found = docs.select("text", langid.predict(docs, model, docs["text"]).alias("p")).collect()
+    assert len(found) > 100
+    for text, (lang, score, rejected) in found:
+        if text is None or not any(map(str.isalpha, text)):
+            assert (lang, score, rejected) == (langid.UNDETERMINED, 0.0, True)
+            continue
+        if len(text) > 20_000:
+            continue                                              # the plain walk is slow
+        share = plain_score(model, text)
+        assert score == pytest.approx(share.max(), abs=1e-6)
+        if np.ptp(np.sort(share)[-2:]) > 1e-6:
+            assert lang == model.labels[share.argmax()] and rejected == (score < model.least)
+
+
+def test_descent_takes_the_steps_of_the_formula():
+    """Two examples, one epoch: the fitted weights against gradients written out."""
+    bags = [(0, np.array([3, 9]), np.array([0.5, 0.5], np.float32)), (1, np.array([9]), np.array([1.0], np.float32))]
+    embedding, weight, bias, history = langid._sgd(bags, 2, 1, 0.5, 7)
+    rng = np.random.default_rng(7)
+    e = rng.uniform(-1 / langid.DIMENSION, 1 / langid.DIMENSION, (langid.BUCKETS, langid.DIMENSION)).astype(np.float32)
+    w, b, losses = np.zeros((2, langid.DIMENSION)), np.zeros(2), []
+    for step, k in enumerate(rng.permutation(2)):
+        y, at, share = bags[k]
+        mean = sum(s * e[a] for a, s in zip(at, share))
+        p = np.exp(w @ mean + b)
+        p /= p.sum()
+        losses.append(-np.log(p[y]))
+        error = (p - np.eye(2)[y]) * 0.5 * (1 - step / 2)
+        back = error @ w
+        w -= np.outer(error, mean)
+        b -= 0.1 * error
+        for a, s in zip(at, share):
+            e[a] -= s * back
+    np.testing.assert_allclose(weight, w, atol=1e-6)
+    np.testing.assert_allclose(bias, b, atol=1e-6)
+    np.testing.assert_allclose(embedding[[3, 9]], e[[3, 9]], atol=1e-6)
+    assert history == [pytest.approx(np.mean(losses), abs=1e-6)]
