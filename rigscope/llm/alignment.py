@@ -32,8 +32,8 @@ from tokenizers import Tokenizer
 
 from rigscope.llm.tables import materialize, small_batches
 
-CHUNK_CHARS = 2_000_000       # characters that are aligned together (a longer text alone)
-_KEPT = 200_000               # units in the younger half of a worker's cache
+CHUNK_CHARS = 1_000_000       # characters that are aligned together (a longer text alone)
+_KEPT = 160_000               # units in the younger half of a worker's cache
 _LONGEST = 64                 # characters of a unit that is kept
 _WIDE = 4_096                 # links of a group that are listed one by one; beyond that, by distinct ids
 _MARK = "▁"
@@ -72,7 +72,7 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Aligner:
     """Both tokenizers, and the alignments of units: (tokens of A, of B, groups, links, groups as text, pair codes, times
     that each code is linked), or None where the bytes differ. A pair's code is the id of A times B's vocabulary plus that
-    of B."""
+    of B; codes and times are packed as 64-bit numbers, the times left out where all are 1."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -115,18 +115,28 @@ class Aligner:
         out.update(zip(rest, (e.ids for e in self.a.encode_batch_fast(rest, add_special_tokens=False))))
         return [out[u] for u in units]
 
-    def _lossless(self, unit: str, a: list[int], b: list[int]) -> bool:
-        whole = unit.encode()
-        return (b"".join(map(self.bytes_a.__getitem__, a)) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole)
+    def _all_lossless(self, units: list[str], *tokens: list[list[int]]) -> bool:
+        """Whether the tokens of every unit have its bytes: all bytes in a row are equal, and so is where each unit ends."""
+        whole = [u.encode() for u in units]
+        ends, joined = np.cumsum(list(map(len, whole))), b"".join(whole)
+        for lists, table, length in zip(tokens, (self.bytes_a, self.bytes_b), (self.length_a, self.length_b)):
+            if b"".join(map(table.__getitem__, chain.from_iterable(lists))) != joined:
+                return False
+            upto = np.concatenate([[0], np.cumsum(length[np.fromiter(chain.from_iterable(lists), np.int64)])])
+            if not np.array_equal(upto[np.cumsum(list(map(len, lists)))], ends):
+                return False
+        return True
 
     def align(self, units: list[str]) -> dict[str, tuple | None]:
         """Alignments of distinct units that are encoded together: their tokens make two long lists, which are cut at all
         ends that both have, those of units among them."""
         tokens_a = self.encode_a(units)
         tokens_b = self.b.encode([u[1:] for u in units], num_threads=1) if units else []
-        right = [self._lossless(*x) for x in zip(units, tokens_a, tokens_b)]
-        out: dict[str, tuple | None] = dict.fromkeys(u for u, ok in zip(units, right) if not ok)
-        units, tokens_a, tokens_b = ([x for x, ok in zip(y, right) if ok] for y in (units, tokens_a, tokens_b))
+        out: dict[str, tuple | None] = {}
+        if not self._all_lossless(units, tokens_a, tokens_b):
+            right = [self._all_lossless([u], [x], [y]) for u, x, y in zip(units, tokens_a, tokens_b)]
+            out = dict.fromkeys(u for u, ok in zip(units, right) if not ok)
+            units, tokens_a, tokens_b = ([x for x, ok in zip(y, right) if ok] for y in (units, tokens_a, tokens_b))
         if not units:
             return out
         a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (tokens_a, tokens_b))
@@ -147,7 +157,7 @@ class Aligner:
         narrow = np.where(links <= _WIDE, links, 0)
         group = np.repeat(np.arange(len(p)), narrow)
         nth = _spread(np.zeros(len(p), np.int64), narrow)
-        codes = (a[p0[group] + nth // wide_b[group]] * self.size_b + b[q0[group] + nth % wide_b[group]]).tolist()
+        codes = (a[p0[group] + nth // wide_b[group]] * self.size_b + b[q0[group] + nth % wide_b[group]]).tobytes()
         up_to_code = np.cumsum(narrow)[up_to_group - 1].tolist()
         more: dict[int, Counter] = {}
         for g in np.flatnonzero(links > _WIDE).tolist():
@@ -160,9 +170,10 @@ class Aligner:
         i = j = g = c = k = 0
         for n, (unit, i2, j2, g2, c2, k2) in enumerate(zip(units, up_to_a.tolist(), up_to_b.tolist(), up_to_group.tolist(),
                                                            up_to_code, up_to_link)):
-            own, times = tuple(codes[c:c2]), (1,) * (c2 - c)
+            own, times = codes[8 * c:8 * c2], None
             if n in more:
-                own, times = own + tuple(more[n]), times + tuple(more[n].values())
+                own += np.array(list(more[n]), np.int64).tobytes()
+                times = np.array([1] * (c2 - c) + list(more[n].values()), np.int64).tobytes()
             out[unit] = (i2 - i, j2 - j, g2 - g, k2 - k, "".join(words[i + j:i2 + j2])[:-1], own, times)
             i, j, g, c, k = i2, j2, g2, c2, k2
         return out
@@ -200,18 +211,22 @@ def align_texts(texts: list[str | None], aligner: Aligner):
     wrong = {k for k, x in enumerate(found) if x is None}
     if wrong:
         lists = [[] if wrong.intersection(x) else x for x in lists]
-    empty = (0, 0, 0, 0, "", (), ())
+    empty = (0, 0, 0, 0, "", b"", None)
     found = [x or empty for x in found] + [empty]
     per = np.array([x[:4] for x in found], np.int64)
-    sizes = np.array([len(x[5]) for x in found], np.int64)
+    sizes = np.array([len(x[5]) for x in found], np.int64) // 8
     starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    codes = np.array([c for x in found for c in x[5]], np.int64)
-    times = np.array([c for x in found for c in x[6]], np.int64)
+    codes = np.frombuffer(b"".join([x[5] for x in found]), np.int64)
+    times = np.ones(len(codes), np.int64)
+    for k, x in enumerate(found):
+        if x[6] is not None:
+            times[starts[k]:starts[k] + sizes[k]] = np.frombuffer(x[6], np.int64)
     names = [x[4] for x in found]
-    flat = np.array([k for x in lists for k in x], np.int64)
+    flat = np.fromiter(chain.from_iterable(lists), np.int64)
     text = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    totals = np.zeros((len(lists), 4), np.int64)
-    np.add.at(totals, text, per[flat])
+    ends = np.cumsum([0, *(len(x) for x in lists)])
+    summed = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(per[flat], axis=0)])
+    totals = summed[ends[1:]] - summed[ends[:-1]]
     held, often = np.unique(text * len(found) + flat, return_counts=True)
     text, unit = held // len(found), held % len(found)
     at, many = _spread(starts[unit], sizes[unit]), sizes[unit]
