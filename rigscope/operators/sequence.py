@@ -32,6 +32,7 @@ SEQ = "_seq"
 CHUNK = "_chunk"
 CTX = "_ctx"
 HELPERS = (SEQ, CHUNK, CTX)
+RANGE_ROWS = 1 << 17    # rows that a range partition is to hold at least, however few rows a chunk has
 
 
 @dataclass(frozen=True)
@@ -52,10 +53,11 @@ def add_sequence(df: DataFrame, spec: SensorSpec, layout: Layout = DEFAULT_LAYOU
     table); a ``row_number`` inside each (partition, entity) adds the local position.
 
     ``rows`` (an upper bound, as profiled) makes the number of ranges grow with the data: none is to hold
-    much more than ``chunk_rows`` rows.  Rows without an entity form an entity of their own."""
+    much more than ``chunk_rows`` rows, or ``RANGE_ROWS`` where chunks are smaller, as every range is a task
+    whose rows are sorted, not a window.  Rows without an entity form an entity of their own."""
     spark = df.sparkSession
     parts = layout.range_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                                           -(-rows // layout.chunk_rows))
+                                           -(-rows // max(layout.chunk_rows, RANGE_ROWS)))
     # persisted so the count branch and the row branch read ONE range exchange: the partitioner's
     # sample is seeded per RDD, two planned exchanges could cut at different bounds.  A lost block
     # is recomputed through the same shuffle dependency, i.e. with the same bounds.

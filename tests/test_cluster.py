@@ -28,6 +28,17 @@ def test_ranges_grow_with_the_rows(spark):
     assert laid.groupBy(CHUNK).count().agg(F.max("count")).first()[0] <= 50
 
 
+def test_small_chunks_need_no_more_ranges(spark):
+    """Chunks of two rows of 1,000,000 are no 500,000 tasks: ranges follow the rows, chunks are windows in them."""
+    from rigscope.operators import cache
+
+    rows = events_readings(spark, SF001)
+    add_sequence(rows, EVENTS_SPEC, Layout(chunk_rows=2), rows=1_000_000)
+    assert cache._KEPT[-1].rdd.getNumPartitions() <= 16
+    add_sequence(rows, EVENTS_SPEC, Layout(chunk_rows=1 << 18), rows=1 << 22)
+    assert cache._KEPT[-1].rdd.getNumPartitions() == 16
+
+
 def test_rows_without_a_machine_are_numbered_and_cut(spark):
     r = events_readings(spark, SF001)
     null = r.withColumn("well_id", F.when(F.col("record_id") % 3 > 0, F.col("well_id")))
