@@ -2,9 +2,8 @@
 
 A byte-level tokenizer cuts a text before every blank that follows or precedes something else than white space, and no
 token crosses such a cut. The pieces between cuts ("pre-tokens": a blank, a word and its punctuation) are looked up by
-their length in tokens. A first pass finds frequent ones in a sample of some ``SAMPLED`` documents, picked by a hash of their
-text: every task keeps a bounded Misra-Gries summary of its pre-tokens, and the summaries (not the pre-tokens)
-are merged. The second pass looks up every pre-token of every text:
+their length in tokens. A first pass over all documents finds frequent ones: every task keeps a bounded Misra-Gries summary
+of its pre-tokens, and the summaries (not the pre-tokens) are merged. The second pass looks up every pre-token of every text:
 in the broadcast table, else in the worker's cache, else in the tokenizer itself. Lengths always come from the tokenizer,
 so the table and the caches change the speed alone, never a count.
 """
@@ -26,7 +25,6 @@ from rigscope.llm.tables import small_batches
 
 FREQUENT = 32_768         # entries of the broadcast table: at most 2 MB of text
 SUMMARY = 8_192           # counters that a task sends
-SAMPLED = 20_000          # documents, about, in which the table's pre-tokens are sought
 _LONGEST = 64             # characters of a pre-token that tables and caches keep
 _CACHED = 400_000         # entries of either half of a worker's cache: some 50 MB each
 _INSIDE = re.compile(r"\s \s|\s \Z")
@@ -153,10 +151,8 @@ def _summaries(path: str, size: int):
 
 
 def frequent_pretokens(docs: DataFrame, text_col: str, path: str, size: int = FREQUENT) -> dict[str, int]:
-    """The lengths of about the ``size`` most frequent pre-tokens of a sample of ``docs``."""
-    rate = max(1, docs.count() // SAMPLED)
-    sample = docs.select(text_col).where(F.pmod(F.xxhash64(text_col), F.lit(rate)) == 0)
-    found = sample.mapInArrow(_summaries(path, SUMMARY), "piece string, n long")
+    """The lengths of about the ``size`` most frequent pre-tokens of ``docs``."""
+    found = docs.select(text_col).mapInArrow(_summaries(path, SUMMARY), "piece string, n long")
     top = found.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(size)
     pieces = [r.piece for r in top.collect()]
     lengths = _lengths(path)

@@ -60,6 +60,12 @@ def test_summary_keeps_the_frequent_ones():
     assert len(out) <= 8 and " often" in {r["piece"] for r in out}
 
 
+def test_the_table_comes_from_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(tokencounts, "SAMPLED", 2, raising=False)
+    docs = spark.createDataFrame([(f" word{i}" * 3,) for i in range(40)], "text string").coalesce(1)
+    assert {f" word{i}" for i in range(40)} <= tokencounts.frequent_pretokens(docs, "text", PATH).keys()
+
+
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         tokencounts._Lengths(public_tokenizers.path("word_bpe_49k.json"))
