@@ -25,14 +25,14 @@ def day_states(readings: DataFrame, spec: SensorSpec, cols, date: str) -> DataFr
     """(machine, date, last value and place of each of ``cols``, first depth and place, sums): states of ``readings``."""
     cols = [c for c in cols if c not in (spec.entity, date)]
     place = _place(spec)
-    last = []
-    for c in cols:
-        known = F.when(F.col(c).isNotNull(), place)
-        last += [F.max_by(F.col(c), known).alias(c), F.max(known).alias(f"_at_{c}")]
+    last = {c: F.max(F.when(F.col(c).isNotNull(), F.struct(place.alias("at"), F.col(c).alias("v")))) for c in cols}
     figures = [f(F.col(c)).alias(f"{name}{c}") for c in dict.fromkeys((spec.pressure, spec.vibration)) for name, f in zip(_SUMS, (F.sum, F.count))]
-    return readings.groupBy(spec.entity, date).agg(
-        *last, F.min_by(F.col(spec.depth), place).alias("_first_depth"), F.min(place).alias("_first_at"),
+    found = readings.groupBy(spec.entity, date).agg(
+        *[x.alias(f"_last_{c}") for c, x in last.items()],
+        F.min_by(F.col(spec.depth), place).alias("_first_depth"), F.min(place).alias("_first_at"),
         F.sum(F.col(spec.label)).cast("long").alias("_maintenance"), F.count(F.lit(1)).alias("_rows"), *figures)
+    parts = [x for c in cols for x in (F.col(f"_last_{c}")["v"].alias(c), F.col(f"_last_{c}")["at"].alias(f"_at_{c}"))]
+    return found.select(spec.entity, date, *parts, *[c for c in found.columns if c.startswith("_") and not c.startswith("_last_")])
 
 
 def refresh(spark: SparkSession, readings_path: str, states_path: str, spec: SensorSpec, cols, date: str, dates) -> None:

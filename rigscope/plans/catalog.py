@@ -1297,7 +1297,8 @@ _PAGE_COLS = ["record_id", "t_us", "depth_ft", "value", "signal", "failure_type"
 def _pages(spark, d):
     """States of all readings, appended in three batches that overlap in their dates."""
     readings, states = sinks.scratch_path(spark, "page-readings"), sinks.scratch_path(spark, "page-states")
-    rows = events_labeled(spark, d).select("well_id", *_PAGE_COLS, F.to_date("timestamp").alias("reading_date"))
+    # read by every batch: labelled once, not once a batch
+    rows = keep(events_labeled(spark, d).select("well_id", *_PAGE_COLS, F.to_date("timestamp").alias("reading_date")))
     for k in range(3):
         added = store.append_indexed(rows.where(F.col("record_id") % 3 <= k), readings, "record_id", ["t_us"], partition_by="reading_date")
         maintained.refresh(spark, readings, states, SPEC, _PAGE_COLS, "reading_date",

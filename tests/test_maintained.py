@@ -54,3 +54,16 @@ def test_an_append_rewrites_its_dates_only(spark, scratch):
     assert os.listdir(f"{states}/day=2024-01-01") == first["day=2024-01-01"]
     assert os.listdir(f"{states}/day=2024-01-02") != first["day=2024-01-02"]
     assert [r.record_id for r in maintained.latest_state(spark.read.parquet(states), SPEC, COLS).collect()] == [3]
+
+
+def test_batches_read_rows_that_are_labelled_once(spark):
+    from conftest import SF001
+    from rigscope.operators import cache
+    from rigscope.plans import catalog
+
+    cache.release()
+    states = catalog._pages(spark, SF001)
+    assert any({"well_id", "reading_date", *catalog._PAGE_COLS} == set(f.columns) for f in cache._KEPT)
+    whole = catalog.events_labeled(spark, SF001)
+    assert _set(maintained.latest_state(states, SPEC, catalog._PAGE_COLS)) == _set(fleet.latest_state(
+        whole.select("well_id", *catalog._PAGE_COLS), SPEC))
