@@ -21,13 +21,13 @@ from ..operators.cache import keep, release
 from ..operators.features import assemble, rolling_median
 from ..operators.impute import keep_first, rolling_median_fill
 from ..operators.score import anomaly_threshold, prediction_rows
-from ..operators.sequence import Layout, strip
+from ..operators.sequence import HELPERS, Layout, strip
 from ..sources import sinks, store
 from ..sources.adapters import events_readings, lineitem_readings, read_table
 from ..sources.readers import read_readings, with_epoch
 from ..sources.schemas import READING_DATE, SENSOR_READINGS
 from . import oracle_sql as sql
-from .frames import events_features, events_labeled, labeled
+from .frames import events_features, events_labeled, featurized, labeled
 from .frames import lineitem_features as _lineitem_features
 from .scoring import EVENTS_FORMULA, apply_models, fit_models, score_formula, score_window, standardised
 
@@ -969,7 +969,10 @@ def classifier_importance(spark, d):
     """The same for the fitted logistic classifier, all features; its probability is a column of its coefficients."""
     from ..functions.scalars import sigmoid
 
-    z, _, feats = standardised(events_features(spark, d), SPEC)
+    # two frames are persisted on the way: neither is to hold columns that no step reads
+    laid = labeled(events_readings(spark, d), SPEC)
+    laid = laid.select(SPEC.entity, SPEC.record, SPEC.label, SPEC.depth, *SPEC.impute_cols, *HELPERS)
+    z, _, feats = standardised(featurized(laid, SPEC).drop(SPEC.entity), SPEC)
     zcols = [c + "_z" for c in feats]
     model = models.fit_classifier(z.filter(F.col("split") == "train"), zcols, SPEC.label, kind="logistic").stages[-1]
     weights = dict(zip(zcols, model.coefficients.toArray().tolist()))

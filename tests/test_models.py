@@ -132,3 +132,15 @@ def test_one_numbering_for_all_features(spark):
     kept = len(cache._KEPT)
     got = evaluate.permuted(df, [f"f{k}" for k in range(1, 6)], "record_id")
     assert len(cache._KEPT) == kept + 1 and got.count() == 300
+
+
+def test_importances_keep_only_columns_that_are_read(spark):
+    from conftest import SF001
+    from rigscope.operators import cache
+    from rigscope.plans import catalog
+
+    cache.release()
+    rows = catalog.classifier_importance(spark, SF001).collect()
+    assert {r.feature for r in rows} == set(catalog.SPEC.features)
+    kept = [set(f.columns) for f in cache._KEPT]
+    assert kept and not any({"failure_type", "timestamp", "next_failure_us"} & names for names in kept)
