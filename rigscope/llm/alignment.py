@@ -117,6 +117,8 @@ class Aligner:
 
     def _all_lossless(self, units: list[str], *tokens: list[list[int]]) -> bool:
         """Whether the tokens of every unit have its bytes: all bytes in a row are equal, and so is where each unit ends."""
+        if not units:
+            return True
         whole = [u.encode() for u in units]
         ends, joined = np.cumsum(list(map(len, whole))), b"".join(whole)
         for lists, table, length in zip(tokens, (self.bytes_a, self.bytes_b), (self.length_a, self.length_b)):

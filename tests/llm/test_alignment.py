@@ -75,6 +75,13 @@ def test_cache_keeps_results(aligner, monkeypatch):
         assert groups[0] == (expected[3] if expected else "")
 
 
+def test_no_units_and_none_without_loss(aligner):
+    own = alignment.Aligner(*PATHS)
+    assert own.align([]) == {} and own.align([" \u2581"]) == {" \u2581": None}
+    totals, groups, *_ = alignment.align_texts([None, ""], own)
+    assert not totals.any() and groups == ["", ""]
+
+
 def test_counts_over_the_corpus(spark, aligner):
     texts = ODD + random_texts(60) + ["the thing in a line", "the thing in a line", "the the the"]
     rows = [(k, t, "clash", 1) for k, t in enumerate(texts)] + [(3, texts[3], "clash", 2), (None, "the line", "clash", 3)]
