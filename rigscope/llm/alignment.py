@@ -19,9 +19,10 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise, repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,16 @@ from tokenizers import Tokenizer
 from rigscope.llm.tables import materialize, small_batches
 
 CHUNK_CHARS = 1_000_000       # characters that are aligned together (a longer text alone)
-_KEPT = 160_000               # units in the younger half of a worker's cache
+_KEPT = 320_000               # units in the younger half of a worker's cache
 _LONGEST = 64                 # characters of a unit that is kept
+_ROW = 512                    # bytes of an alignment that is kept
+_JOINED = 4_096               # units that A reads as one text
 _WIDE = 4_096                 # links of a group that are listed one by one; beyond that, by distinct ids
 _MARK = "▁"
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
 _ODD = re.compile(r"[^\S ] [^\S ]")
-_PLAIN = re.compile(r" \S+")
+_PLAIN = re.compile(r" \S(?:.*\S)?", re.DOTALL)
+_NEW = object()                # stands for a unit that the cache does not hold
 
 
 def units_of(text: str) -> list[str]:
@@ -60,7 +64,7 @@ def byte_values() -> dict[str, int]:
 def cuts(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of A and of B lie before each end that both lists have."""
     at_a, at_b = dict(zip(ends_a, range(1, len(ends_a) + 1))), dict(zip(ends_b, range(1, len(ends_b) + 1)))
-    common = sorted(at_a.keys() & at_b.keys())
+    common = list(filter(at_b.__contains__, at_a))               # in order, as the ends are
     return tuple(np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (at_a, at_b))
 
 
@@ -70,9 +74,10 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Aligner:
-    """Both tokenizers, and the alignments of units: (tokens of A, of B, groups, links, groups as text, pair codes, times
-    that each code is linked), or None where the bytes differ. A pair's code is the id of A times B's vocabulary plus that
-    of B; codes and times are packed as 64-bit numbers, the times left out where all are 1."""
+    """Both tokenizers, and the alignments of units, None where the bytes differ. An alignment is packed into one row of bytes:
+    as 64-bit numbers the tokens of A, of B, groups, links, and each link's code, which is the id of A times B's vocabulary
+    plus that of B; then the groups as text. Where a group is too wide to list its links, the alignment has no codes, but
+    a second row of bytes: distinct codes, then how often each is linked."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -94,56 +99,49 @@ class Aligner:
         self.length_a, self.length_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
         ids = range(max(self.size_a, self.size_b))
         self.inner, self.last_a, self.last_b = (np.array([f"{k}{end}" for k in ids], object) for end in ",|;")
-        feed = self.a.encode("\n", add_special_tokens=False).ids
-        self.feed = feed[0] if len(feed) == 1 else None
-        self.young: dict[str, tuple | None] = {}
-        self.old: dict[str, tuple | None] = {}
-
-    def encode_a(self, units: list[str]) -> list[list[int]]:
-        """Token ids of units; those of a blank and one word are lines of one text, as a line feed is a token of its own."""
-        plain = [u for u in units if self.feed is not None and _PLAIN.fullmatch(u)]
-        out: dict[str, list[int]] = {}
-        for k in range(0, len(plain), 4096):
-            part = plain[k:k + 4096]
-            ids = self.a.encode_batch_fast(["\n".join(part) + "\n"], add_special_tokens=False)[0].ids
-            start = 0
-            for unit in part:
-                end = ids.index(self.feed, start)
-                out[unit] = ids[start:end]
-                start = end + 1
-        rest = [u for u in units if u not in out]
-        out.update(zip(rest, (e.ids for e in self.a.encode_batch_fast(rest, add_special_tokens=False))))
-        return [out[u] for u in units]
-
-    def _all_lossless(self, units: list[str], *tokens: list[list[int]]) -> bool:
-        """Whether the tokens of every unit have its bytes: all bytes in a row are equal, and so is where each unit ends."""
-        if not units:
-            return True
-        whole = [u.encode() for u in units]
-        ends, joined = np.cumsum(list(map(len, whole))), b"".join(whole)
-        for lists, table, length in zip(tokens, (self.bytes_a, self.bytes_b), (self.length_a, self.length_b)):
-            if b"".join(map(table.__getitem__, chain.from_iterable(lists))) != joined:
-                return False
-            upto = np.concatenate([[0], np.cumsum(length[np.fromiter(chain.from_iterable(lists), np.int64)])])
-            if not np.array_equal(upto[np.cumsum(list(map(len, lists)))], ends):
-                return False
-        return True
-
-    def align(self, units: list[str]) -> dict[str, tuple | None]:
+        self.young: dict[str, bytes | tuple[bytes, bytes] | None] = {}
+        self.old: dict[str, bytes | tuple[bytes, bytes] | None] = {}
+
+    def encode_a(self, plain: list[str], rest: list[str]) -> list[int]:
+        """Token ids of units, one after the other. Plain ones, from a blank before a word to the end of a word, are joined to
+        long texts, where the same places are cut as in the texts they come from; the rest are read by themselves."""
+        joined = ["".join(plain[k:k + _JOINED]) for k in range(0, len(plain), _JOINED)]
+        return list(chain.from_iterable(e.ids for e in self.a.encode_batch_fast(joined + rest, add_special_tokens=False)))
+
+    def _placed(self, units: list[str], ids_a: list[int], tokens_b: list[list[int]]) -> tuple[np.ndarray, ...] | None:
+        """Ids, byte ends and tokens up to each unit's end, of A and of B; None unless both have the bytes of every unit."""
+        joined = "".join(units).encode()
+        ids_b = list(chain.from_iterable(tokens_b))
+        if any(b"".join(map(table.__getitem__, x)) != joined for x, table in ((ids_a, self.bytes_a), (ids_b, self.bytes_b))):
+            return None
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends_a, ends_b, ends = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b]), np.cumsum([len(u.encode()) for u in units])
+        up_to_a, up_to_b = np.searchsorted(ends_a, ends, "right"), np.cumsum(list(map(len, tokens_b)))
+        same = np.array_equal(ends_a[up_to_a - 1], ends) and np.array_equal(ends_b[up_to_b - 1], ends)
+        return (a, b, ends_a, ends_b, up_to_a, up_to_b) if same else None
+
+    def align(self, units: list[str]) -> dict[str, bytes | tuple[bytes, bytes] | None]:
         """Alignments of distinct units that are encoded together: their tokens make two long lists, which are cut at all
         ends that both have, those of units among them."""
-        tokens_a = self.encode_a(units)
-        tokens_b = self.b.encode([u[1:] for u in units], num_threads=1) if units else []
-        out: dict[str, tuple | None] = {}
-        if not self._all_lossless(units, tokens_a, tokens_b):
-            right = [self._all_lossless([u], [x], [y]) for u, x, y in zip(units, tokens_a, tokens_b)]
-            out = dict.fromkeys(u for u, ok in zip(units, right) if not ok)
-            units, tokens_a, tokens_b = ([x for x, ok in zip(y, right) if ok] for y in (units, tokens_a, tokens_b))
+        plain, rest = [], []
+        for u in units:
+            (plain if _PLAIN.fullmatch(u) else rest).append(u)
+        units = plain + rest
         if not units:
-            return out
-        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (tokens_a, tokens_b))
-        up_to_a, up_to_b = (np.cumsum(list(map(len, x))) for x in (tokens_a, tokens_b))
-        p, q = cuts(np.cumsum(self.length_a[a]).tolist(), np.cumsum(self.length_b[b]).tolist())
+            return {}
+        tokens_b = self.b.encode([u[1:] for u in units], num_threads=1)
+        out: dict[str, bytes | tuple[bytes, bytes] | None] = {}
+        placed = self._placed(units, self.encode_a(plain, rest), tokens_b)
+        if placed is None:
+            each = [self.encode_a([], [u]) for u in units]
+            right = [self._placed([u], x, [y]) is not None for u, x, y in zip(units, each, tokens_b)]
+            out = dict.fromkeys(u for u, ok in zip(units, right) if not ok)
+            units, each, tokens_b = ([x for x, ok in zip(y, right) if ok] for y in (units, each, tokens_b))
+            if not units:
+                return out
+            placed = self._placed(units, list(chain.from_iterable(each)), tokens_b)
+        a, b, ends_a, ends_b, up_to_a, up_to_b = placed
+        p, q = cuts(ends_a.tolist(), ends_b.tolist())
         p0, q0 = np.concatenate([[0], p[:-1]]), np.concatenate([[0], q[:-1]])
         wide_a, wide_b = p - p0, q - q0
         links = wide_a * wide_b
@@ -159,8 +157,8 @@ class Aligner:
         narrow = np.where(links <= _WIDE, links, 0)
         group = np.repeat(np.arange(len(p)), narrow)
         nth = _spread(np.zeros(len(p), np.int64), narrow)
-        codes = (a[p0[group] + nth // wide_b[group]] * self.size_b + b[q0[group] + nth % wide_b[group]]).tobytes()
-        up_to_code = np.cumsum(narrow)[up_to_group - 1].tolist()
+        codes = a[p0[group] + nth // wide_b[group]] * self.size_b + b[q0[group] + nth % wide_b[group]]
+        up_to_code = np.cumsum(narrow)[up_to_group - 1]
         more: dict[int, Counter] = {}
         for g in np.flatnonzero(links > _WIDE).tolist():
             found = more.setdefault(int(np.searchsorted(up_to_group, g, "right")), Counter())
@@ -168,31 +166,38 @@ class Aligner:
             for x, n in Counter(a[p0[g]:p[g]].tolist()).items():
                 for y, m in many.items():
                     found[x * self.size_b + y] += n * m
-        up_to_link = np.cumsum(links)[up_to_group - 1].tolist()
-        i = j = g = c = k = 0
-        for n, (unit, i2, j2, g2, c2, k2) in enumerate(zip(units, up_to_a.tolist(), up_to_b.tolist(), up_to_group.tolist(),
-                                                           up_to_code, up_to_link)):
-            own, times = codes[8 * c:8 * c2], None
-            if n in more:
-                own += np.array(list(more[n]), np.int64).tobytes()
-                times = np.array([1] * (c2 - c) + list(more[n].values()), np.int64).tobytes()
-            out[unit] = (i2 - i, j2 - j, g2 - g, k2 - k, "".join(words[i + j:i2 + j2])[:-1], own, times)
-            i, j, g, c, k = i2, j2, g2, c2, k2
+        # each unit's four totals, before its codes
+        up_to = np.stack([up_to_a, up_to_b, up_to_group, np.cumsum(links)[up_to_group - 1]], axis=1)
+        totals = np.diff(up_to, axis=0, prepend=np.zeros((1, 4), np.int64))
+        bounds = np.concatenate([[0], up_to_code + 4 * np.arange(1, len(units) + 1)])
+        at = bounds[:-1, None] + np.arange(4)
+        numbers, coded = np.empty(bounds[-1], np.int64), np.ones(bounds[-1], bool)
+        numbers[at], coded[at] = totals, False
+        numbers[coded] = codes
+        packed = numbers.tobytes()
+        own = [packed[i:j] for i, j in pairwise((8 * bounds).tolist())]
+        texts = ["".join(words[i:j])[:-1].encode() for i, j in pairwise([0, *(up_to_a + up_to_b).tolist()])]
+        out.update(zip(units, map(add, own, texts)))
+        for n, found in more.items():
+            codes = np.frombuffer(own[n], np.int64)[4:]
+            pairs = np.stack([[*codes, *found], [*np.ones(len(codes), np.int64), *found.values()]])
+            out[units[n]] = own[n][:32] + texts[n], pairs.astype(np.int64).tobytes()
         return out
 
-    def aligned(self, units: list[str]) -> list[tuple | None]:
+    def aligned(self, units: list[str]) -> list[bytes | tuple[bytes, bytes] | None]:
         """The alignments of distinct units; what is new is encoded together."""
         young, old = self.young, self.old
-        new = []
-        for u in units:
-            if u not in young:
-                if u in old:
-                    young[u] = old[u]
-                else:
-                    new.append(u)
-        fresh = self.align(new)
-        out = [young[u] if u in young else fresh[u] for u in units]
-        young.update((u, x) for u, x in fresh.items() if len(u) <= _LONGEST)
+        out = list(map(young.get, units, repeat(_NEW)))
+        missed = [k for k, x in enumerate(out) if x is _NEW]
+        for k in missed:
+            out[k] = old.get(units[k], _NEW)
+        fresh = self.align([units[k] for k in missed if out[k] is _NEW])
+        for k in missed:
+            if out[k] is _NEW:
+                out[k] = fresh[units[k]]
+            x = out[k]
+            if len(units[k]) <= _LONGEST and (x is None or type(x) is bytes and len(x) <= _ROW):
+                young[units[k]] = x
         if len(young) > _KEPT:
             self.old, self.young = young, {}
         return out
@@ -206,24 +211,28 @@ def _aligner(path_a: str, path_b: str) -> Aligner:
 def align_texts(texts: list[str | None], aligner: Aligner):
     """Of each text: [tokens of A, of B, groups, links], the groups as text ('' without tokens); and, for all texts one
     after the other, how many distinct pairs each has, their codes in order, and how often each is linked."""
-    local: dict[str, int] = {}
-    number = local.setdefault
-    lists = [[number(u, len(local)) for u in units_of(t)] if t else [] for t in texts]
+    local: defaultdict[str, int] = defaultdict()
+    local.default_factory = local.__len__                        # a new unit gets the next number
+    lists = [list(map(local.__getitem__, units_of(t))) if t else [] for t in texts]
     found = aligner.aligned(list(local))
     wrong = {k for k, x in enumerate(found) if x is None}
     if wrong:
-        lists = [[] if wrong.intersection(x) else x for x in lists]
-    empty = (0, 0, 0, 0, "", b"", None)
-    found = [x or empty for x in found] + [empty]
-    per = np.array([x[:4] for x in found], np.int64)
-    sizes = np.array([len(x[5]) for x in found], np.int64) // 8
+        lists = [x if wrong.isdisjoint(x) else [] for x in lists]
+    wide = {k: x for k, x in enumerate(found) if type(x) is tuple}
+    found = [x if type(x) is bytes else x[0] if x else bytes(32) for x in found] + [bytes(32)]
+    per = np.frombuffer(b"".join([x[:32] for x in found]), np.int64).reshape(-1, 4)
+    sizes = per[:, 3].copy()                                     # codes of each unit
+    sizes[list(wide)] = 0
+    past = (32 + 8 * sizes).tolist()
+    names = [x[n:].decode() for x, n in zip(found, past)]
+    codes = [x[32:n] for x, n in zip(found, past)]
+    for k, (_, pairs) in wide.items():
+        codes[k], sizes[k] = pairs[:len(pairs) // 2], len(pairs) // 16
     starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    codes = np.frombuffer(b"".join([x[5] for x in found]), np.int64)
+    codes = np.frombuffer(b"".join(codes), np.int64)
     times = np.ones(len(codes), np.int64)
-    for k, x in enumerate(found):
-        if x[6] is not None:
-            times[starts[k]:starts[k] + sizes[k]] = np.frombuffer(x[6], np.int64)
-    names = [x[4] for x in found]
+    for k, (_, pairs) in wide.items():
+        times[starts[k]:starts[k] + sizes[k]] = np.frombuffer(pairs, np.int64)[sizes[k]:]
     flat = np.fromiter(chain.from_iterable(lists), np.int64)
     text = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     ends = np.cumsum([0, *(len(x) for x in lists)])

@@ -105,3 +105,43 @@ def test_counts_over_the_corpus(spark, aligner):
 def test_long_texts_without_blanks(aligner):
     (total, *_), groups, *_ = alignment.align_texts(["日本" * 100_000], aligner)
     assert total[0] and groups[0].count(";") == total[2] - 1
+
+
+class Spy:
+    """Tokenizer A, keeping the texts that it was given."""
+
+    def __init__(self, a):
+        self.a, self.given = a, []
+
+    def encode_batch_fast(self, texts, **more):
+        self.given += texts
+        return self.a.encode_batch_fast(texts, **more)
+
+
+def test_units_are_read_as_few_texts_without_marks_between(aligner, monkeypatch):
+    own = alignment.Aligner(*PATHS)
+    own.a = Spy(own.a)
+    units = alignment.units_of("some words.\nMore of\tthem,\n\nin a line é日")
+    assert set(own.align(units)) == set(units) and own.a.given == ["".join(units)]
+    monkeypatch.setattr(alignment, "_JOINED", 2)
+    again = alignment.Aligner(*PATHS)
+    assert again.align(units) == own.align(units) == {u: x for u in units for x in again.align([u]).values()}
+
+
+def test_units_that_a_does_not_cover_have_no_alignment(aligner):
+    own = alignment.Aligner(*PATHS)
+    z = own.a.encode("z").ids[0]
+    own.bytes_a[z], own.length_a[z] = b"", 0                              # as if A had no such byte
+    totals, groups, *_ = alignment.align_texts(["one qz!two", "one two", "\tz"], own)
+    assert not totals[[0, 2]].any() and groups[0] == groups[2] == ""
+    assert groups[1] == plain("one two", aligner)[3]
+    assert own.align([" \tz"]) == {" \tz": None}
+
+
+def test_cache_holds_short_rows_only(aligner):
+    own = alignment.Aligner(*PATHS)
+    texts = ["some words " + "日本語" * 20, "some words ▁"]
+    for _ in range(2):
+        totals, groups, *_ = alignment.align_texts(texts, own)
+        assert groups == [plain(texts[0], aligner)[3], ""] and not totals[1].any()
+    assert set(own.young) == {" some", " words", " ▁"}
