@@ -94,10 +94,10 @@ def balanced_replicas(df: DataFrame, label: str, counts: dict | None = None, sha
 
 
 def fit_classifier(train: DataFrame, cols, label: str, kind: str = "mlp", hidden=(128, 64, 32),
-                   max_iter: int = 60, seed: int = 42, max_rows: int = FIT_ROWS):
+                   max_iter: int = 60, seed: int = 42, max_rows: int | None = FIT_ROWS):
     """E5: returns a fitted ``PipelineModel`` producing ``probability``. Rows with a missing feature or label are left
     out of the fit.  ``max_rows`` bounds the rows that the network (``mlp``) is fitted on, which repeats and
-    iterates over them; the other kinds take all rows with class weights."""
+    iterates over them (None: all rows); the other kinds take all rows with class weights."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 
@@ -106,9 +106,13 @@ def fit_classifier(train: DataFrame, cols, label: str, kind: str = "mlp", hidden
     counts = class_counts(data, "_y")
     if kind == "mlp":
         share = F.pmod(F.xxhash64("_y", *cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        part = min(1.0, max_rows / max(1, sum(counts.values())))
-        # the share of a kept row is uniform again once divided by the kept part
-        data = balanced_replicas(data.filter(share < F.lit(part)), "_y", counts, share / F.lit(part))
+        part = 1.0 if max_rows is None else min(1.0, max_rows / max(1, sum(counts.values())))
+        if part < 1.0:
+            # row by row: by a hash of their values, equal rows would all be kept or all be lost;
+            # the share of a kept row is uniform again once divided by the kept part
+            data = data.withColumn("_share", F.rand(seed)).filter(F.col("_share") < F.lit(part))
+            share = F.col("_share") / F.lit(part)
+        data = balanced_replicas(data, "_y", counts, share)
         est = MultilayerPerceptronClassifier(featuresCol="_x", labelCol="_y", layers=[len(cols), *hidden, 2],
                                              maxIter=max_iter, seed=seed, blockSize=256)
     else:

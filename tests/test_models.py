@@ -144,3 +144,39 @@ def test_importances_keep_only_columns_that_are_read(spark):
     assert {r.feature for r in rows} == set(catalog.SPEC.features)
     kept = [set(f.columns) for f in cache._KEPT]
     assert kept and not any({"failure_type", "timestamp", "next_failure_us"} & names for names in kept)
+
+
+def test_sample_of_equal_rows_holds_every_kind(spark, monkeypatch):
+    """Two features of two values make four kinds of rows: a hash of the values would keep or lose each kind whole."""
+    df = spark.range(4000).select((F.col("id") % 2).cast("double").alias("a"), (F.floor(F.col("id") / 2) % 2).cast("double").alias("b"))
+    df = df.withColumn("y", (F.col("a") != F.col("b")).cast("double"))
+    seen, plain = [], models.balanced_replicas
+    monkeypatch.setattr(models, "balanced_replicas", lambda d, *a: seen.extend(d.groupBy("a", "b").count().collect()) or plain(d, *a))
+    for part in (400, 1000):
+        seen.clear()
+        model = models.fit_classifier(df, ["a", "b"], "y", kind="mlp", hidden=(8,), max_iter=200, max_rows=part)
+        assert len(seen) == 4 and all(0.6 * part / 4 < r["count"] < 1.4 * part / 4 for r in seen)
+        wrong = models.failure_probability(model, df).filter((F.col("confidence_score") >= 0.5) != (F.col("y") == 1.0))
+        assert wrong.count() == 0
+
+
+def test_recovered_labels_come_from_a_fit_on_all_rows(spark, scratch, monkeypatch):
+    from rigscope.plans import catalog
+
+    rows = [(i, 1_700_000_000 + i, i % 7, "view", None if i % 50 == 0 else float(i % 100), None if i % 41 == 0 else f'{{"k": {i * 13 % 101}}}')
+            for i in range(600)]
+    events = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz")).drop("s").write.parquet(f"{scratch}/events.parquet")
+    bounded = (*models.fit_classifier.__defaults__[:-1], 60)       # as if these rows were more than a bounded fit takes
+    monkeypatch.setattr(models.fit_classifier, "__defaults__", bounded)
+    fitted, plain = [], models.balanced_replicas
+    monkeypatch.setattr(models, "balanced_replicas", lambda d, *a: fitted.append(d.count()) or plain(d, *a))
+
+    got = {r["record_id"]: (r["mlp_class"], r["gbt_class"]) for r in catalog.classifier_recovers_labels(spark, scratch).collect()}
+    want = {}
+    for i, _, _, _, value, props in rows:
+        k = i * 13 % 101
+        known = props is not None and k >= 10 and value is not None      # the reading is lost below a signal of 10
+        want[i] = (int((k >= 50) != (known and value >= 50)),) * 2 if props is not None else (0, 0)
+    assert got == want
+    assert fitted == [sum(props is not None for *_, props in rows)]
